@@ -13,18 +13,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, text_of
+from .common import BLANK
 
 #: Characters that may end a line of prose (before blanks).
-TERMINAL = r"[.!?…:;。！？\"'”’»)\]][\x20\x09-\x0D]*$"
+TERMINAL = ".!?…:;。！？\"'”’»)]"
 #: Characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"
-#: Separators of menus and breadcrumbs.
-SEPARATORS = r"(\x20[|»›•]\x20?|\x20>\x20)"
+SYMBOLS = "#*$%&|<>"
+#: What stands between the entries of menus and breadcrumbs.
+SEPARATORS = (" |", "»", "›", "•", " > ")
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
-    "(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|"
-    "subscribe to our|sign up for|log in to|click here|read more|share (this|on)|lorem ipsum|skip to content|powered by)"
+    "all rights reserved",
+    "cookie policy",
+    "privacy policy",
+    "terms of use",
+    "terms of service",
+    "enable javascript",
+    "subscribe to our",
+    "sign up for",
+    "log in to",
+    "click here",
+    "read more",
+    "share this",
+    "lorem ipsum",
+    "skip to content",
+    "powered by",
 )
 
 
@@ -36,7 +49,7 @@ class QualityRules:
     max_repeat_percent: int = 30
     max_separators: int = 2
     max_symbol_percent: int = 10
-    max_upper_percent: int = 60
+    max_upper_percent: int = 40
     min_upper_letters: int = 10
     min_distinct_percent: int = 30
     min_repetition_words: int = 10
@@ -47,19 +60,33 @@ RULES = QualityRules()
 
 
 def words_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-
-
-def line_fails(line: Column, rules: QualityRules = RULES) -> Column:
-    """Whether a line breaks a rule. A blank line breaks none."""
-    ink = F.length(line) - F.regexp_count(line, F.lit(BLANK))
-    letters, upper = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{Lu}"))
-    return (ink > 0) & (
-        ~line.rlike(TERMINAL)
-        | (F.regexp_count(line, F.lit(SEPARATORS)) > rules.max_separators)
-        | (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > ink * rules.max_symbol_percent)
-        | ((letters >= rules.min_upper_letters) & (upper * 100 > letters * rules.max_upper_percent))
-        | F.lower(line).rlike(BOILERPLATE)
+    # one literal separator is what split() does without a regular expression
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+
+
+def only(text: Column, characters: str) -> Column:
+    """How many of a text's characters are in a class; what lies between goes in one piece."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
+
+
+def any_in(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def line_fails(line: Column, phrases: Column, separators: Column, rules: QualityRules = RULES) -> Column:
+    """Whether a line that isn't blank breaks a rule; ``phrases`` and ``separators``: whether its text has any at all."""
+    between = F.lit(0)
+    for part in SEPARATORS:
+        between = between + (F.length(line) - F.length(F.replace(line, F.lit(part), F.lit("")))) / F.lit(len(part))
+    return (
+        ~F.substring(F.rtrim(line, F.lit(" \t\x0b\f\r")), -1, 1).isin(*TERMINAL)
+        | (separators & (between > rules.max_separators))
+        | (only(line, SYMBOLS) * 100 > F.length(line) * rules.max_symbol_percent)
+        | ((only(line, r"\p{Lu}") >= rules.min_upper_letters) & (only(line, r"\p{Lu}") * 100 > F.length(line) * rules.max_upper_percent))
+        | (phrases & any_in(F.lower(line), BOILERPLATE))
     )
 
 
@@ -85,43 +112,50 @@ def _repeat_words(windows: Column, width: int) -> Column:
     return F.get(F.transform(F.transform(F.array(ranked), starts), covered), F.lit(0))
 
 
-def line_first_cleaning(docs: DataFrame, rules: QualityRules = RULES, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_first_cleaning(docs: DataFrame, rules: QualityRules = RULES, width: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the base counts, the lines' verdicts, and the text without failing lines.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     n_lines, n_lines_removed, lost_chars (long), kept (boolean), clean_text.
 
     A null text has no words: its counts are zero and it is not kept, like an empty one. Ties and
-    repeated rows are judged row by row. A null doc_id stays null. No other column is read.
+    repeated rows are judged row by row. A null doc_id stays null. Other columns are read only if
+    ``keep`` names them; they come back as the fields of ``rest``.
     """
-    d = text_of(docs, id_col, text_col)
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
     d = d.withColumn("words", words_in(F.col("text"))).withColumn("lines", F.split("text", "\n"))
     d = d.withColumn("n", F.size("words")).withColumn("ids", F.transform("words", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get(F.col("ids"), i + j) for j in range(width)])
     d = d.withColumn("windows", F.when(F.col("n") >= width, F.transform(F.sequence(F.lit(0), F.col("n") - width), window)))
-    inked = F.filter("lines", lambda x: x.rlike(f"[^{BLANK[1:]}"))
-    judged = F.transform(
+    repeats = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _repeat_words(F.col("windows"), width)).otherwise(0)
+    d = d.select(
+        "doc_id",
+        "rest",
+        "text",
         "lines",
-        lambda x: F.struct(
-            x.alias("line"),
-            (line_fails(x, rules) | line_repeats(words_in(x), rules)).alias("fails"),
-        ),
+        F.col("n").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.coalesce(repeats, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.filter("lines", lambda x: x.rlike(f"[^{BLANK[1:]}")).alias("inked"),
+        any_in(F.lower("text"), BOILERPLATE).alias("phrases"),
+        any_in(F.col("text"), SEPARATORS).alias("separators"),
     )
-    d = d.withColumn("inked", inked).withColumn("judged", judged)
+    fails = lambda x: line_fails(x, F.col("phrases"), F.col("separators"), rules) | ((F.col("n_repeat_words") > 0) & line_repeats(words_in(x), rules))
+    d = d.withColumn("judged", F.transform("lines", lambda x: F.struct(x.alias("line"), (x.rlike(f"[^{BLANK[1:]}") & fails(x)).alias("fails"))))
     d = d.withColumn("bad", F.filter("judged", lambda x: x["fails"]))
-    repeats = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _repeat_words(F.col("windows"), width)).otherwise(0)
-    ink = lambda t: F.length(t) - F.regexp_count(t, F.lit(BLANK))
     d = d.select(
         "doc_id",
-        F.col("n").cast("long").alias("n_words"),
-        ink(F.col("text")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "rest",
+        "n_words",
+        "word_chars",
+        only(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("inked") - F.size(F.array_distinct("inked"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(repeats, F.lit(0)).cast("long").alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("inked").cast("long").alias("n_lines"),
         F.size("bad").cast("long").alias("n_lines_removed"),
-        F.aggregate("bad", F.lit(0).cast("long"), lambda total, x: total + ink(x["line"])).alias("lost_chars"),
-        F.array_join(F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
+        F.aggregate("bad", F.lit(0).cast("long"), lambda total, x: total + F.length(F.regexp_replace(x["line"], BLANK, ""))).alias("lost_chars"),
+        F.when(F.size("bad") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")).alias("clean_text"),
     )
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     d = d.withColumn("base_failed", failed)
@@ -144,16 +178,16 @@ win AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS k FROM
 twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 8)) u(p) GROUP BY rid),
 lines AS (SELECT rid, unnest(ls) AS l FROM w),
-m AS (SELECT rid, l, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS ink,
-             regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws,
-             len(regexp_extract_all(l, '\p{L}')) AS letters, len(regexp_extract_all(l, '\p{Lu}')) AS upper FROM lines),
-bad AS (SELECT rid, count(*) AS n, sum(ink) AS lost FROM m WHERE
+m AS (SELECT rid, l, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS ink, length(l) AS n,
+             regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(l, '\p{Lu}')) AS upper FROM lines),
+bad AS (SELECT rid, count(*) AS n, sum(ink) AS lost FROM m LEFT JOIN cov USING (rid) WHERE
           NOT regexp_matches(l, '[.!?…:;。！？"''”’»)\]][\x20\x09-\x0D]*$')
-          OR len(regexp_extract_all(l, '(\x20[|»›•]\x20?|\x20>\x20)')) > 2
-          OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 100 > ink * 10
-          OR (letters >= 10 AND upper * 100 > letters * 60)
-          OR regexp_matches(lower(l), '(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|subscribe to our|sign up for|log in to|click here|read more|share (this|on)|lorem ipsum|skip to content|powered by)')
-          OR (len(ws) >= 10 AND len(list_distinct(ws)) * 100 < len(ws) * 30)
+          OR (m.n - length(replace(l, ' |', ''))) / 2 + m.n - length(replace(l, '»', '')) + m.n - length(replace(l, '›', ''))
+             + m.n - length(replace(l, '•', '')) + (m.n - length(replace(l, ' > ', ''))) / 3 > 2
+          OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 100 > m.n * 10
+          OR (upper >= 10 AND upper * 100 > m.n * 40)
+          OR regexp_matches(lower(l), '(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|subscribe to our|sign up for|log in to|click here|read more|share this|lorem ipsum|skip to content|powered by)')
+          OR (coalesce(cov.n, 0) > 0 AND len(ws) >= 10 AND len(list_distinct(ws)) * 100 < len(ws) * 30)
         GROUP BY rid),
 r AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
