@@ -88,16 +88,16 @@ def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDI
     return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, n + 1 - q * (edits + 1), edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)))
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
+def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, anchored: bool = False) -> tuple[int, int] | None:
     """(edits, end) of the best match of the whole pattern within ``text``, on the diagonals low to high; None beyond the budget.
 
     Diagonal d holds the cells of pattern place i and text place i + d. The match may begin and end
-    anywhere in the text.
+    anywhere in the text; an anchored one begins where the text does.
     """
     width, far = high - low + 1, budget + 1
     k = np.arange(width)
-    row = np.zeros(width, np.int64)  # before the pattern: begin anywhere
     begin = low + k
+    row = np.maximum(begin, 0) if anchored else np.zeros(width, np.int64)
     row[(begin < 0) | (begin > len(text))] = far
     padded = np.full(len(text) + 2 * (len(pattern) + width) + 2, 0xFFFFFFFF, np.uint32)
     shift = len(pattern) + width
@@ -127,7 +127,7 @@ def _align(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tu
     # the same backwards from the end gives the start
     lead = max(0, end - len(pattern) - e)
     part = text[lead:end][::-1]
-    back = banded_alignment(pattern[::-1], part, 0, 2 * e, edits)
+    back = banded_alignment(pattern[::-1], part, -e, e, edits, anchored=True)
     return edits, end - (back[1] if back else len(pattern)), end
 
 

@@ -33,6 +33,14 @@ EPOCHS, STEP, DECAY, BIAS = 300, 0.1, 1e-4, -7.0
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 TERM = re.compile(r"\w+")
+#: Letters of a longer word's beginning, which is a feature beside the word: inflected words share it.
+STEM = 5
+
+
+def features(text: str) -> set[str]:
+    """Words of a lower-case text, and the beginnings of longer ones with a star."""
+    words = set(TERM.findall(text))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
 @dataclass(frozen=True)
@@ -43,7 +51,7 @@ class MilModel:
     bias: float
 
     def sentence(self, text: str) -> float:
-        return self.bias + sum(self.weights.get(w, 0.0) for w in set(TERM.findall(text)))
+        return self.bias + sum(self.weights.get(w, 0.0) for w in features(text))
 
 
 def held_out(doc_id):
@@ -63,7 +71,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
 
 def vocabulary(rows: DataFrame, size: int, min_texts: int) -> list[str]:
     """The words whose presence tells most about the label, by the log odds over their standard error."""
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("word"))
+    words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("words"))
+    stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    words = words.select("toxic", F.explode(F.array_union("words", stems)).alias("word"))
     counts = words.groupBy("word").agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg")).where(F.col("pos") + F.col("neg") >= min_texts)
     totals = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     n_pos, n_neg = float(totals[0]), float(totals[1])
@@ -83,7 +93,7 @@ def bags(rows: DataFrame, words: list[str]) -> list[tuple[int, bool, int, list[l
         for batch in batches:
             plain, known = [], []
             for text in batch.column("text").to_pylist():
-                found = [sorted({place[w] for w in TERM.findall(s) if w in place}) for s in SENTENCE.findall(text.lower())]
+                found = [sorted({place[w] for w in features(s) if w in place}) for s in SENTENCE.findall(text.lower())]
                 known.append([f for f in found if f])
                 plain.append(len(found) - len(known[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(known, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "plain", "known"])
@@ -140,7 +150,7 @@ def _score(shared):
             for value in batch.column("text"):
                 lower = value.as_py().lower()
                 at = []
-                if known.isdisjoint(TERM.findall(lower)):
+                if known.isdisjoint(features(lower)):
                     none = plain * sum(1 for _ in SENTENCE.finditer(lower))
                 else:
                     none = 0.0
