@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, tables
+from . import corpus, dedup, tables, vectors
 from .dedup import flagship
 from .registry import ORACLES, QUERIES
 

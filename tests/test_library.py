@@ -1,0 +1,84 @@
+"""Queries against their DuckDB SQL, and properties that SQL can't state."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from corploom.functions import spdx
+from corploom.functions.rng import Rng
+from corploom.operators import bpe, packing
+from corploom.plans import all_oracles, all_queries
+from corploom.plans.tables import TABLES
+from corploom.sources import shards
+from corploom.streaming.dedup import deduplicated, event_counts
+
+
+def plain(v):
+    return float(f"{v:.9g}") if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "pack_assign", "scrub_replace", "softmax", "lr", "manifest_roundtrip", "rng_next_u64"])
+def test_oracles(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df, want = all_queries()[name](spark, sf), con.sql(all_oracles()[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    got = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=repr)
+    assert got == sorted([tuple(plain(r[i]) for i in at) for r in want.fetchall()], key=repr)
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rng_permutation():
+    assert sorted(Rng(7).permutation(100)) == list(range(100)) and Rng(7).permutation(9) == Rng(7).permutation(9)
+    assert all(Rng(k).below(10) < 10 for k in range(50))
+
+
+def test_spdx_depth_and_length():
+    assert spdx.verdict("(" * 16 + "MIT" + ")" * 16).accepted and not spdx.verdict("(" * 17 + "MIT" + ")" * 17).accepted
+    assert not spdx.verdict("MIT" + " " * 1022).accepted and spdx.verdict("GPL-3.0-only OR MIT").accepted
+
+
+def test_bpe_learns_overlaps_and_ties():
+    assert bpe.learn([(b"aaa", 1)], 5) == [] and bpe.learn([(b"aaa", 2)], 1) == [(97, 97)]
+    assert bpe.learn([(b"ba", 2), (b"ab", 2)], 1) == [(97, 98)]
+
+
+def test_greedy_shards_do_not_depend_on_partitions(spark):
+    rows = [(k, (k * 37) % 11) for k in range(200)]
+    want = None
+    for n in (1, 4, 17):
+        got = sorted(map(tuple, packing.greedy_shards(spark.createDataFrame(rows, "o long, s long").repartition(n), "s", "o", 25).collect()))
+        want = want or got
+        assert got == want
+    small = packing.greedy_shards(spark.createDataFrame([(0, 3), (1, 3), (2, 2)], "o long, s long"), "s", "o", 5).collect()
+    assert [r["shard"] for r in small] == [0, 0, 1]
+
+
+def test_shards_refuse_damage():
+    good = shards.encode_shard([1, 2, 3, 256], 300, 256)
+    assert shards.decode_shard(good) == (300, 256, [1, 2, 3, 256])
+    for bad in (good[:-1], b"x" + good[1:], good[:40] + b"\xff" + good[41:]):
+        with pytest.raises(ValueError):
+            shards.decode_shard(bad)
+
+
+def test_streaming(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.write.parquet(str(tmp_path / "docs"))
+    stream = deduplicated(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")))
+    q = stream.writeStream.format("memory").queryName("first_copies").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("first_copies").count() == docs.select("text").distinct().count()
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    counted = event_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
+    q = counted.writeStream.format("memory").queryName("event_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.sql("select sum(n) from event_counts").first()[0] == events.count()
