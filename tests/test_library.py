@@ -46,7 +46,7 @@ def test_spdx_depth_and_length():
 
 
 def test_bpe_learns_overlaps_and_ties():
-    assert bpe.learn([(b"aaa", 1)], 5) == [] and bpe.learn([(b"aaa", 2)], 1) == [(97, 97)]
+    assert bpe.learn([(b"aaa", 1)], 1, 3) == [] and bpe.learn([(b"aaa", 2)], 1) == [(97, 97)]
     assert bpe.learn([(b"ba", 2), (b"ab", 2)], 1) == [(97, 98)]
 
 
