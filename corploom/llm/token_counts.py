@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import text_of
 
 #: Distinct pieces whose counts a worker remembers; beyond that it starts anew, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,15 +56,14 @@ class PrefixCounter:
         self.blank = regex.compile(r"\s+").fullmatch
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, bytes | list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.shapes: dict[bytes, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > 2 * REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self._valid(left, right)
+        if len(self.pairs) > REMEMBERED // 3:
+            self.pairs.clear()
+        found = self.pairs[left << 32 | right] = self._valid(left, right)
         return found
 
     def _valid(self, left: int, right: int) -> bool:
@@ -83,14 +82,19 @@ class PrefixCounter:
 
     def prefix_counts(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, from the empty one to the whole."""
-        last, counts, rank, longest = [-1], [0], self.rank, self.longest
+        last, counts, rank, longest, pairs = [-1], [0], self.rank.get, self.longest, self.pairs
         for end in range(1, len(piece) + 1):
             for start in range(max(0, end - longest), end):
-                token = rank.get(piece[start:end])
-                if token is not None and (start == 0 or self.valid(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
+                token = rank(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    found = pairs.get(last[start] << 32 | token)
+                    if not (self.valid(last[start], token) if found is None else found):
+                        continue
+                last.append(token)
+                counts.append(counts[start] + 1)
+                break
         return counts
 
     def total(self, piece: str) -> int:
@@ -102,7 +106,9 @@ class PrefixCounter:
                 return counts[-1]
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            counts = self.known[piece] = bytes(counts)
+                self.shapes.clear()
+            packed = bytes(counts)
+            counts = self.known[piece] = self.shapes.setdefault(packed, packed)  # many pieces have the same counts
         return counts[-1]
 
     def count(self, text: str) -> int:
