@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,7 +98,12 @@ def _listed(spans) -> str:
 def _near(text: str, spans, window: int) -> list[dict]:
     """For each entity of a text, its terms within the window: one row for each entity and term, with the places."""
     near: dict[tuple[int, str], set[tuple[int, int]]] = {}
-    taken = sorted((s, e) for _, s, e in spans)
+    taken: list[list[int]] = []  # spans merged, so that one look-up tells whether a word meets any
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     reach = 64 * window  # characters to either side in which the words are looked for
     for kind, start, end in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}".encode()) - (1 << 63)
@@ -108,7 +114,8 @@ def _near(text: str, spans, window: int) -> list[dict]:
             if len(after) == window:
                 break
         for m in before + after:
-            if not any(s < m.end() and m.start() < e for s, e in taken):
+            at = bisect_left(taken, [m.end()]) - 1
+            if at < 0 or taken[at][1] <= m.start():
                 near.setdefault((entity, m.group().lower()), set()).add(m.span())
     return [{"entity": e, "term": t, "places": [{"start": s, "end": x} for s, x in sorted(p)]} for (e, t), p in sorted(near.items())]
 
@@ -151,8 +158,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = RULE
     pairs = found.select("doc_id", "text_key", F.explode("pairs").alias("p")).select("text_key", "p.entity", "p.term")
     by_text = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
     together = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= rules.min_texts)
-    together = materialize(together, "together")
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # a term is in at least as many texts as it is near a mention in; pairs that fail even so need no count of it
+    near = found.select(F.explode(F.array_distinct(F.col("pairs.term"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    n = float(docs.count())
+    information = F.log2(n / F.col("n_entity"))
+
+    def ratio(n_term):
+        return F.when(information > 0, F.log2(F.col("n_both") * n / (F.col("n_entity") * n_term)) / information)
+
+    together = together.join(entities, "entity").join(near, "term").where(ratio(F.col("n_near")) > rules.threshold)
+    together = materialize(together, "together")
     terms = together.select("term").distinct()
     few = terms.limit(rules.broadcast_terms + 1).count()
     # Java's \w is ASCII only: letters, digits, marks and connectors are spelt out as Python's has them
@@ -161,11 +177,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = RULE
         counted = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
-    n = docs.count()
-    joined = together.join(entities, "entity").join(counted, "term")
-    information = F.log2(n / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    return joined.withColumn("disclosure", F.when(information > 0, mutual / information)).where(F.col("disclosure") > rules.threshold).select("entity", "term", "disclosure")
+    joined = together.join(counted, "term").withColumn("disclosure", ratio(F.greatest("n_term", "n_both")))
+    return joined.where(F.col("disclosure") > rules.threshold).select("entity", "term", "disclosure")
 
 
 def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
