@@ -159,7 +159,9 @@ def line_first_cleaning(docs: DataFrame, rules: QualityRules = RULES, width: int
     )
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     d = d.withColumn("base_failed", failed)
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_percent))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_percent))
+    # a caller's filter must not be pushed below: it would repeat these expressions, those of the lambdas for each element
+    return d.select(F.explode_outer(F.array(F.struct(*d.columns))).alias("row")).select("row.*")
 
 
 def op1_quality_rules(documents: DataFrame) -> DataFrame:
