@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, dedup, logs, tables, vectors
+from . import corpus, dedup, listings, logs, tables, vectors
 from .dedup import flagship
 from .registry import ORACLES, QUERIES
 

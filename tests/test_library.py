@@ -17,7 +17,7 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "pack_assign", "scrub_replace", "softmax", "lr", "manifest_roundtrip", "rng_next_u64"])
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "pack_assign", "scrub_replace", "softmax", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "agg_findings_by_rule"])
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
