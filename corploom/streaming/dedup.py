@@ -11,9 +11,10 @@ def deduplicated(stream: DataFrame, text: str = "text", event_time: str | None =
     keyed = stream.withColumn("digest", F.sha2(F.col(text), 256))
     if event_time is None:
         return keyed.dropDuplicates(["digest"])
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["digest"])
+    return keyed.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["digest"])
 
 
 def event_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Counts and sums of events by window and type, late rows up to the watermark included."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks refuse times without a zone
+    return timed.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
