@@ -1,7 +1,12 @@
 """The pipeline's stages, one by one, on rows of the tables and on odd ones."""
 
+import itertools
+import random
+
+import pytest
+
 import corpus_pipeline
-from corploom.llm import decontaminate
+from corploom.llm import decontaminate, near_copies
 
 from .test_operators import ODD, brute_quality, docs_of
 
@@ -33,3 +38,33 @@ def test_stages_on_no_rows(spark, sf):
     docs = docs_of(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def _similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_copies_go_and_others_stay(spark, small):
+    rnd = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(200)]
+        rows.append((100 * g, " ".join(base)))
+        for c in range(1, 9):
+            words = list(base)
+            for at in rnd.sample(range(200), c):
+                words[at] = f"c{c}x{at}"
+            rows.append((100 * g + c if c % 4 else None, " ".join(words)))
+    # different texts with one doc_id, and an exact copy of a named row without an id
+    rows += [(5000, "one text of its own that is long enough to have shingles"), (5000, "quite another text with the same number and other words in it"), (None, rows[0][1])]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    left = [(r[0], r[1]) for r in near_copies.without_near_copies(docs, small=small).select("doc_id", "text").collect()]
+    assert all(_similarity(a, b) < 0.8 for (_, a), (_, b) in itertools.combinations(left, 2))
+    gone = [t for i, t in rows if (i, t) not in left]
+    assert all(any(_similarity(t, u) >= 0.8 and u != t or u == t and rows[0][1] == t for _, u in rows) for t in gone)
+    assert {t for i, t in rows if i == 5000} == {t for i, t in left if i == 5000}
+    # the stage with its own settings leaves no pair either
+    stage = [r["text"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert all(_similarity(a, b) < 0.8 for a, b in itertools.combinations(stage, 2))
