@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
@@ -49,6 +49,8 @@ class Disclosure:
 
 
 RULES = Disclosure()
+#: Texts with spans up to which they are broadcast to the rows.
+MAX_BROADCAST = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -126,7 +128,7 @@ def _scan(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, shas, listed, keys, entities, pairs = [[] for _ in KINDS], [], [], [], [], []
+            counts, shas, listed, entities, pairs = [[] for _ in KINDS], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = base_spans(text)
@@ -135,22 +137,26 @@ def _scan(window: int):
                     column.append(kinds.count(kind))
                 listed.append(_listed(spans))
                 shas.append(hashlib.sha256(listed[-1].encode()).hexdigest())
-                keys.append(xxhash.xxh64_intdigest(text.encode()) - (1 << 63) if spans else 0)
                 near = _near(text, spans, window) if spans else []
                 pairs.append(near)
                 entities.append(sorted({x["entity"] for x in near}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(listed, pa.string()), pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pair))],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(listed, pa.string()), batch.column("text_key"), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pair))],
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text_key", "entities", "pairs"],
             )
 
     return run
 
 
+def text_key() -> Column:
+    """By which a text is known, whatever its doc_id: 16 bytes of its SHA-256, a null text like the empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
+
+
 def find_base(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     """What the patterns find in each text, and the terms near it."""
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, text_key long, entities array<long>, pairs array<struct<entity:long,term:string,places:array<struct<start:int,end:int>>>>"
-    return text_of(docs).mapInArrow(_scan(rules.window), schema)
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, text_key binary, entities array<long>, pairs array<struct<entity:long,term:string,places:array<struct<start:int,end:int>>>>"
+    return text_of(docs).withColumn("text_key", text_key()).mapInArrow(_scan(rules.window), schema)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = RULES) -> DataFrame:
@@ -185,16 +191,18 @@ def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans, text_key of every text.
 
     ``spans`` lists all of them as kind:start:end, kinds in the order email, ip, card, phone, term,
-    then by start. A null text has none. Rows that repeat are found alike; a row without a doc_id
-    gets the patterns' spans only. Only doc_id and text are read.
+    then by start. A null text has none. Rows that repeat are found alike, with a doc_id or without;
+    spans belong to a text, which ``text_key`` names. Only doc_id and text are read.
     """
     found = materialize(find_base(docs, rules), "pii")
     flagged = disclosing_terms(docs, found, rules)
-    places = found.where("doc_id is not null").select("doc_id", "text_key", F.explode("pairs").alias("p")).select("doc_id", "text_key", "p.*")
-    hit = places.join(flagged, ["entity", "term"]).select("doc_id", "text_key", F.explode("places").alias("at"))
-    by_doc = hit.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
+    places = found.select("text_key", F.explode("pairs").alias("p")).select("text_key", "p.*")
+    hit = places.join(flagged, ["entity", "term"]).select("text_key", F.explode("places").alias("at"))
+    by_text = hit.groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
+    by_text = materialize(by_text, "terms")
+    side = F.broadcast(by_text) if by_text.count() <= MAX_BROADCAST else by_text
     listed = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
-    both = found.drop("pairs", "entities").join(by_doc, ["doc_id", "text_key"], "left")
+    both = found.drop("pairs", "entities").join(side, "text_key", "left")
     spans = F.array_join(F.filter(F.array(F.col("base"), F.array_join(F.coalesce(listed, F.array().cast("array<string>")), ",")), lambda s: s != ""), ",")
     return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), spans.alias("spans"), "text_key")
 
@@ -225,16 +233,17 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
 
-def sanitise(docs: DataFrame, spans: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
+def sanitise(docs: DataFrame, spans: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs`` with the spans of ``sensitive_spans`` taken out of their texts; other columns as they are.
 
-    Rows with spans are broadcast up to ``max_broadcast`` of them; beyond that the join is a shuffle.
+    Spans are found by the text, so rows without a doc_id or that share one get their own. Texts with
+    spans are broadcast up to ``max_broadcast`` of them; beyond that the join is a shuffle.
     """
-    marked = spans.where("spans != '' and doc_id is not null").groupBy(F.col("doc_id").alias("__doc_id")).agg(F.max("spans").alias("spans"))
+    marked = spans.where("spans != ''").groupBy(F.col("text_key").alias("__text_key")).agg(F.max("spans").alias("spans"))
     marked = materialize(marked, "spans")
     side = F.broadcast(marked) if marked.count() <= max_broadcast else marked
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"))
-    joined = packed.join(side, F.col("doc_id") == F.col("__doc_id"), "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "rest")
+    joined = packed.join(side, text_key() == F.col("__text_key"), "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "rest")
     out = joined.mapInArrow(_redact, joined.schema)
     return out.select("doc_id", "text", *([F.col("rest")[c].alias(c) for c in rest] if rest else [])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -105,6 +105,16 @@ def test_pii_terms_and_redaction(spark):
     assert clean[0]["rest"] == "y"
 
 
+def test_pii_of_rows_without_an_id_of_their_own(spark):
+    rows = [(None, "write to ann@sea.org now"), (None, "or to bob@lake.net then"), (7, "call +1 (555) 555-1234 or not"), (7, "x carl@hill.com"), (7, "nothing at all"), (8, None)]
+    docs = docs_of(spark, rows)
+    clean = rows_of(pii.sanitise(docs, pii.sensitive_spans(docs)), "doc_id", "text")
+    want = [(None, "write to <EMAIL> now"), (None, "or to <EMAIL> then"), (7, "call <PHONE> or not"), (7, "x <EMAIL>"), (7, "nothing at all"), (8, None)]
+    assert clean == sorted(want, key=repr)
+    shuffled = pii.sanitise(docs, pii.sensitive_spans(docs), max_broadcast=0)
+    assert rows_of(shuffled, "doc_id", "text") == clean
+
+
 # 3 token counts
 def test_token_counts(spark, sf):
     from tokenizers import Tokenizer
