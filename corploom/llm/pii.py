@@ -1,14 +1,16 @@
 """Operator 2, personal data: patterns, and terms that give protected values away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each value found is a
-protected entity. Terms near it disclose it as far as the corpus shows that they go together: with
+protected entity. Terms of its texts disclose it as far as the corpus shows that they go together: with
 document frequencies over the whole corpus, the pointwise mutual information of term and entity is
 set against the entity's information content, and a term whose ratio exceeds the threshold is
-generalised (digits) or removed (the rest) where it stands near the entity.
+generalised (digits) or removed (the rest) wherever it stands in a text of that entity.
 
-Co-occurrence is counted within a window of words, so rows grow with the mentions, not with the
-product of entities and terms of a document; counts are combined before each shuffle. A pair must
-occur in several different texts, so copies of one text alone disclose nothing.
+Frequencies are of different texts, so copies of one text alone disclose nothing. The count of a
+pair is smoothed by an absolute discount: what a single text shows counts next to nothing, what several
+show nearly in full, and no number of texts is a condition. Entities that can't pass even if a term is
+in all of their texts and nowhere else are left out before terms are paired with them; pairs are
+combined before each shuffle.
 """
 
 from __future__ import annotations
@@ -39,10 +41,9 @@ TERM = re.compile(r"\w{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Words to either side of a mention, texts that a pair must be in, ratio beyond which a term discloses."""
+    """What is taken off the count of a pair's texts, and the ratio beyond which a term discloses."""
 
-    window: int = 8
-    min_texts: int = 3
+    discount: float = 0.95
     threshold: float = 0.9
     #: candidate terms up to which they are broadcast to the scan that counts them
     broadcast_terms: int = 100_000
@@ -97,38 +98,33 @@ def _listed(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _near(text: str, spans, window: int) -> list[dict]:
-    """For each entity of a text, its terms within the window: one row for each entity and term, with the places."""
-    near: dict[tuple[int, str], set[tuple[int, int]]] = {}
+def _entities(text: str, spans) -> list[int]:
+    return sorted({xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}".encode()) - (1 << 63) for kind, start, end in spans})
+
+
+def _terms(text: str, spans) -> list[dict]:
+    """The terms of a text that meet no span, each with all of its places."""
+    places: dict[str, list[tuple[int, int]]] = {}
     taken: list[list[int]] = []  # spans merged, so that one look-up tells whether a word meets any
     for s, e in sorted((s, e) for _, s, e in spans):
         if taken and s <= taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
             taken.append([s, e])
-    reach = 64 * window  # characters to either side in which the words are looked for
-    for kind, start, end in spans:
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}".encode()) - (1 << 63)
-        before = [m for m in TERM.finditer(text, max(0, start - reach), start)][-window:]
-        after = []
-        for m in TERM.finditer(text, end, min(len(text), end + reach)):
-            after.append(m)
-            if len(after) == window:
-                break
-        for m in before + after:
-            at = bisect_left(taken, [m.end()]) - 1
-            if at < 0 or taken[at][1] <= m.start():
-                near.setdefault((entity, m.group().lower()), set()).add(m.span())
-    return [{"entity": e, "term": t, "places": [{"start": s, "end": x} for s, x in sorted(p)]} for (e, t), p in sorted(near.items())]
-
-
-def _scan(window: int):
+    for m in TERM.finditer(text):
+        at = bisect_left(taken, [m.end()]) - 1
+        if at < 0 or taken[at][1] <= m.start():
+            places.setdefault(m.group().lower(), []).append(m.span())
+    return [{"term": t, "places": [{"start": s, "end": x} for s, x in p]} for t, p in sorted(places.items())]
+
+
+def _scan():
     place = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    pair = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("places", pa.list_(place))])
+    term = pa.struct([("term", pa.string()), ("places", pa.list_(place))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, shas, listed, entities, pairs = [[] for _ in KINDS], [], [], [], []
+            counts, shas, listed, entities, terms = [[] for _ in KINDS], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = base_spans(text)
@@ -137,12 +133,11 @@ def _scan(window: int):
                     column.append(kinds.count(kind))
                 listed.append(_listed(spans))
                 shas.append(hashlib.sha256(listed[-1].encode()).hexdigest())
-                near = _near(text, spans, window) if spans else []
-                pairs.append(near)
-                entities.append(sorted({x["entity"] for x in near}))
+                entities.append(_entities(text, spans))
+                terms.append(_terms(text, spans) if spans else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(listed, pa.string()), batch.column("text_key"), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pair))],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text_key", "entities", "pairs"],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(listed, pa.string()), batch.column("text_key"), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(term))],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text_key", "entities", "terms"],
             )
 
     return run
@@ -153,37 +148,42 @@ def text_key() -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
 
 
-def find_base(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
-    """What the patterns find in each text, and the terms near it."""
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, text_key binary, entities array<long>, pairs array<struct<entity:long,term:string,places:array<struct<start:int,end:int>>>>"
-    return text_of(docs).withColumn("text_key", text_key()).mapInArrow(_scan(rules.window), schema)
+def find_base(docs: DataFrame) -> DataFrame:
+    """What the patterns find in each text, and the terms of texts in which they find something."""
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, text_key binary, entities array<long>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
+    return text_of(docs).withColumn("text_key", text_key()).mapInArrow(_scan(), schema)
+
+
+def judged_pairs(found: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
+    """(text_key, entity, n_entity, term, places) of different texts, for entities that a term could disclose at all."""
+    texts = found.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"])
+    mentions = texts.select("text_key", F.explode("entities").alias("entity"))
+    counts = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # at best a term is in all of the entity's texts and in no other
+    best = _ratio(F.col("n_entity"), F.col("n_entity"), F.col("n_entity"), n, rules)
+    judged = materialize(mentions.join(counts.where(best > rules.threshold), "entity"), "judged")
+    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "t.*")
+
+
+def _ratio(n_both: Column, n_entity: Column, n_term: Column, n: int, rules: Disclosure) -> Column:
+    """Mutual information of the smoothed count by the entity's information content; null for an entity of every text."""
+    information = F.log2(float(n) / n_entity)
+    return F.when(information > 0, F.log2((n_both - rules.discount) * float(n) / (n_entity * n_term)) / information)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = RULES) -> DataFrame:
+def disclosing_terms(docs: DataFrame, pairs: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
     """(entity, term, disclosure): pairs whose ratio of mutual information to information content exceeds the threshold."""
-    pairs = found.select("doc_id", "text_key", F.explode("pairs").alias("p")).select("text_key", "p.entity", "p.term")
-    by_text = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
-    together = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= rules.min_texts)
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term is in at least as many texts as it is near a mention in; pairs that fail even so need no count of it
-    near = found.select(F.explode(F.array_distinct(F.col("pairs.term"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    n = float(docs.count())
-    information = F.log2(n / F.col("n_entity"))
-
-    def ratio(n_term):
-        return F.when(information > 0, F.log2(F.col("n_both") * n / (F.col("n_entity") * n_term)) / information)
-
-    together = together.join(entities, "entity").join(near, "term").where(ratio(F.col("n_near")) > rules.threshold)
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    # a term is in at least as many texts as hold it beside the entity; pairs that fail even so need no count of it
+    together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold)
     together = materialize(together, "together")
     terms = together.select("term").distinct()
     few = terms.limit(rules.broadcast_terms + 1).count()
     # Java's \w is ASCII only: letters, digits, marks and connectors are spelt out as Python's has them
-    words = text_of(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)))).alias("term"))
-    if few <= rules.broadcast_terms:
-        counted = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
-    joined = together.join(counted, "term").withColumn("disclosure", ratio(F.greatest("n_term", "n_both")))
+    words = docs.select(text_key().alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)))).alias("term"))
+    words = words.join(F.broadcast(terms), "term") if few <= rules.broadcast_terms else words.join(terms, "term", "left_semi")
+    counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    joined = together.join(counted, "term").withColumn("disclosure", _ratio(F.col("n_both"), F.col("n_entity"), F.greatest("n_term", "n_both"), n, rules))
     return joined.where(F.col("disclosure") > rules.threshold).select("entity", "term", "disclosure")
 
 
@@ -194,15 +194,16 @@ def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     then by start. A null text has none. Rows that repeat are found alike, with a doc_id or without;
     spans belong to a text, which ``text_key`` names. Only doc_id and text are read.
     """
-    found = materialize(find_base(docs, rules), "pii")
-    flagged = disclosing_terms(docs, found, rules)
-    places = found.select("text_key", F.explode("pairs").alias("p")).select("text_key", "p.*")
-    hit = places.join(flagged, ["entity", "term"]).select("text_key", F.explode("places").alias("at"))
+    found = materialize(find_base(docs), "pii")
+    n = found.select("text_key").distinct().count()
+    pairs = judged_pairs(found, n, rules)
+    flagged = disclosing_terms(docs, pairs, n, rules)
+    hit = pairs.join(flagged, ["entity", "term"]).select("text_key", F.explode("places").alias("at"))
     by_text = hit.groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
     by_text = materialize(by_text, "terms")
     side = F.broadcast(by_text) if by_text.count() <= MAX_BROADCAST else by_text
     listed = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
-    both = found.drop("pairs", "entities").join(side, "text_key", "left")
+    both = found.drop("terms", "entities").join(side, "text_key", "left")
     spans = F.array_join(F.filter(F.array(F.col("base"), F.array_join(F.coalesce(listed, F.array().cast("array<string>")), ",")), lambda s: s != ""), ",")
     return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), spans.alias("spans"), "text_key")
 
