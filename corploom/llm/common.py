@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,10 +25,12 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where none is set (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where none is set and all runs in one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIRS:
         _OWN_DIRS.append(tempfile.TemporaryDirectory(prefix="spark-corploom-", ignore_cleanup_errors=True))
         atexit.register(_OWN_DIRS[0].cleanup)
@@ -45,6 +48,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if it has more than this part of all rows, so at most as many keys are.
+HEAVY = 2_000
+#: Rows and bytes up to which a table whose size was counted is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
+
+
+def join_heavy(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", slim: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each key, whose column ``n`` says how many rows have it) without a hot key.
+
+    Keys with more than one in ``HEAVY`` of the ``total`` rows, of which there are no more than
+    ``HEAVY``, are broadcast; the other ones are joined by shuffle, where none of them can fill a
+    task. ``slim`` says which facts are small enough to be broadcast. Both tables should be written ones.
+    """
+    heavy = F.col(n) * HEAVY > total
+    heavy = F.coalesce(heavy & slim if slim is not None else heavy, F.lit(False))
+    few, others = facts.where(heavy).drop(n), facts.where(~heavy).drop(n)
+    light = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(others, keys, how)
+    return rows.join(F.broadcast(few), keys).unionByName(light)
+
+
+def small(df: DataFrame, *texts: str) -> bool:
+    """Whether a written table is small enough to be broadcast, by its rows and the bytes of its columns ``texts``."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    n, width = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and width <= BROADCAST_BYTES
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000, text: int = 1) -> Iterator[list[list]]:
     """The columns of each batch as lists, cut into runs of rows of about ``max_chars`` characters of text."""
     for batch in batches:
@@ -59,5 +89,6 @@ def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000, text:
             yield [c[start:] for c in columns]
 
 
-def sha256(column: Column) -> Column:
-    return F.sha2(column, 256)
+def text_key() -> Column:
+    """By which a text is known, whatever its doc_id: 16 bytes of its SHA-256, a null text like the empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)

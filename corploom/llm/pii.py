@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import join_heavy, materialize, small, text_key, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,13 +45,11 @@ class Disclosure:
 
     discount: float = 0.95
     threshold: float = 0.9
-    #: candidate terms up to which they are broadcast to the scan that counts them
-    broadcast_terms: int = 100_000
 
 
 RULES = Disclosure()
-#: Texts with spans up to which they are broadcast to the rows.
-MAX_BROADCAST = 200_000
+#: Terms with texts that a worker holds before it passes them on.
+HELD = 400_000
 
 
 def luhn(digits: str) -> bool:
@@ -62,6 +60,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number is at most 255; leading zeros don't count, and a long number is never converted."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the e-mail pattern, found from each ``@``, in time linear in the text."""
     found, done, at = [], 0, text.find("@")
@@ -83,7 +87,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every kind in its order, then by start; code points, end exclusive."""
     found = [("email", s, e) for s, e in emails(text)]
     if DIGIT.search(text):
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m.group().split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -143,11 +147,6 @@ def _scan():
     return run
 
 
-def text_key() -> Column:
-    """By which a text is known, whatever its doc_id: 16 bytes of its SHA-256, a null text like the empty one."""
-    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
-
-
 def find_base(docs: DataFrame) -> DataFrame:
     """What the patterns find in each text, and the terms of texts in which they find something."""
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, text_key binary, entities array<long>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
@@ -155,14 +154,19 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def judged_pairs(found: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
-    """(text_key, entity, n_entity, term, places) of different texts, for entities that a term could disclose at all."""
+    """(text_key, entity, n_entity, first, term, places) of different texts, for entities that a term could disclose at all.
+
+    ``first`` marks one entity of each text at most, so that rows with it are texts.
+    """
     texts = found.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"])
-    mentions = texts.select("text_key", F.explode("entities").alias("entity"))
-    counts = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    mentions = materialize(texts.select("text_key", F.posexplode("entities").alias("at", "entity")), "mentions")
+    counts = materialize(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    total = mentions.count()
     # at best a term is in all of the entity's texts and in no other
     best = _ratio(F.col("n_entity"), F.col("n_entity"), F.col("n_entity"), n, rules)
-    judged = materialize(mentions.join(counts.where(best > rules.threshold), "entity"), "judged")
-    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "t.*")
+    judged = counts.where(best > rules.threshold).withColumn("n_rows", F.col("n_entity"))
+    judged = materialize(join_heavy(mentions, judged, ["entity"], "n_rows", total), "judged")
+    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", (F.col("at") == 0).alias("first"), F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "first", "t.*")
 
 
 def _ratio(n_both: Column, n_entity: Column, n_term: Column, n: int, rules: Disclosure) -> Column:
@@ -171,20 +175,67 @@ def _ratio(n_both: Column, n_entity: Column, n_term: Column, n: int, rules: Disc
     return F.when(information > 0, F.log2((n_both - rules.discount) * float(n) / (n_entity * n_term)) / information)
 
 
+def _most_texts(n: int, rules: Disclosure) -> Column:
+    """The number of texts of a term beyond which the ratio can't exceed the threshold."""
+    n_entity = F.col("n_entity").cast("double")
+    return F.ceil((F.col("n_both") - rules.discount) * n / n_entity * F.pow(n_entity / n, F.lit(rules.threshold))).cast("long")
+
+
+def _texts_of_terms(shared, most: int):
+    """Arrow map: (term, text_key) of the wanted terms (of all, without a broadcast), combined within a partition.
+
+    Of a term no more texts are given than it takes to see that it is in too many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value if shared else None
+        seen: dict[str, set[bytes]] = {}
+        held = 0
+
+        def rows():
+            pairs = [(t, k) for t, keys in seen.items() for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([k for _, k in pairs], pa.binary())], names=["term", "text_key"])
+
+        for batch in batches:
+            for key, value in zip(batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
+                terms = {t.lower() for t in set(TERM.findall(value.as_py()))}
+                for t in terms if wanted is None else wanted.keys() & terms:
+                    keys = seen.setdefault(t, set())
+                    if len(keys) <= (most if wanted is None else wanted[t]) and key not in keys:
+                        keys.add(key)
+                        held += 1
+                if held > HELD:
+                    yield rows()
+                    seen.clear()
+                    held = 0
+        yield rows()
+
+    return run
+
+
 def disclosing_terms(docs: DataFrame, pairs: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
-    """(entity, term, disclosure): pairs whose ratio of mutual information to information content exceeds the threshold."""
+    """(entity, term, n_both, disclosure): pairs whose ratio of mutual information to information content exceeds the threshold.
+
+    ``pairs`` is a written table. A term is in at least as many texts as hold it beside the entity,
+    and as hold it beside any judged entity; pairs that fail even so need no count over the corpus.
+    The texts of the other terms are counted in one map over all texts.
+    """
+    by_term = materialize(pairs.groupBy("term").agg(F.count("*").alias("n_pairs"), F.count_if("first").alias("n_seen")), "seen")
+    total = by_term.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    # a term is in at least as many texts as hold it beside the entity; pairs that fail even so need no count of it
-    together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold)
-    together = materialize(together, "together")
-    terms = together.select("term").distinct()
-    few = terms.limit(rules.broadcast_terms + 1).count()
-    # Java's \w is ASCII only: letters, digits, marks and connectors are spelt out as Python's has them
-    words = docs.select(text_key().alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)))).alias("term"))
-    words = words.join(F.broadcast(terms), "term") if few <= rules.broadcast_terms else words.join(terms, "term", "left_semi")
-    counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = together.join(counted, "term").withColumn("disclosure", _ratio(F.col("n_both"), F.col("n_entity"), F.greatest("n_term", "n_both"), n, rules))
-    return joined.where(F.col("disclosure") > rules.threshold).select("entity", "term", "disclosure")
+    together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold).withColumn("most", _most_texts(n, rules))
+    together = join_heavy(materialize(together, "together"), by_term, ["term"], "n_pairs", total)
+    together = materialize(together.where(F.col("n_seen") <= F.col("most")).drop("n_seen"), "candidates")
+    terms = materialize(together.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n_rows")), "terms")
+    most = terms.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.collect()}) if small(terms, "term") else None
+    texts = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    words = texts.mapInArrow(_texts_of_terms(shared, most), "term string, text_key binary")
+    words = words if shared else words.join(terms.select("term"), "term", "left_semi")
+    counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_term")).join(terms.select("term", "n_rows"), "term")
+    joined = join_heavy(together, materialize(counted, "counted"), ["term"], "n_rows", together.count())
+    joined = joined.withColumn("disclosure", _ratio(F.col("n_both"), F.col("n_entity"), F.greatest("n_term", "n_both"), n, rules))
+    return joined.where(F.col("disclosure") > rules.threshold).select("entity", "term", "n_both", "disclosure")
 
 
 def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
@@ -195,20 +246,27 @@ def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     spans belong to a text, which ``text_key`` names. Only doc_id and text are read.
     """
     found = materialize(find_base(docs), "pii")
-    n = found.select("text_key").distinct().count()
-    pairs = judged_pairs(found, n, rules)
-    flagged = disclosing_terms(docs, pairs, n, rules)
-    hit = pairs.join(flagged, ["entity", "term"]).select("text_key", F.explode("places").alias("at"))
+    n, rows = found.agg(F.count_distinct("text_key"), F.count("*")).first()
+    pairs = materialize(judged_pairs(found, n, rules), "pairs")
+    flagged = materialize(disclosing_terms(docs, pairs, n, rules), "flagged").drop("disclosure")
+    hit = join_heavy(pairs, flagged, ["entity", "term"], "n_both", pairs.count()).select("text_key", F.explode("places").alias("at"))
     by_text = hit.groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
-    by_text = materialize(by_text, "terms")
-    side = F.broadcast(by_text) if by_text.count() <= MAX_BROADCAST else by_text
+    held = found.where(F.size("entities") > 0)
+    by_text = materialize(held.groupBy("text_key").agg(F.count("*").alias("n_rows")).join(by_text, "text_key"), "by_text")
+    bare = found.drop("terms", "entities")
+    with_terms = join_heavy(held.drop("terms", "entities"), by_text, ["text_key"], "n_rows", rows, "left", F.size("terms") <= 1_000)
+    both = with_terms.unionByName(bare.where(F.size(found["entities"]) == 0), allowMissingColumns=True)
     listed = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
-    both = found.drop("terms", "entities").join(side, "text_key", "left")
     spans = F.array_join(F.filter(F.array(F.col("base"), F.array_join(F.coalesce(listed, F.array().cast("array<string>")), ",")), lambda s: s != ""), ",")
-    return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), spans.alias("spans"), "text_key")
+    n_term = F.when(F.col("terms").isNull(), 0).otherwise(F.size("terms")).cast("long")
+    return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", n_term.alias("n_term"), spans.alias("spans"), "text_key")
 
 
 def op2_pii(documents: DataFrame) -> DataFrame:
+    """The contract's columns and ``n_term`` of every row of ``documents``; see ``sensitive_spans`` for nulls and repeated rows.
+
+    A dotted number with a part beyond 255, of however many digits, is no address. An empty table gives no rows.
+    """
     found = sensitive_spans(documents)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
@@ -234,17 +292,21 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
 
-def sanitise(docs: DataFrame, spans: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def sanitise(docs: DataFrame, spans: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """The rows of ``docs`` with the spans of ``sensitive_spans`` taken out of their texts; other columns as they are.
 
     Spans are found by the text, so rows without a doc_id or that share one get their own. Texts with
-    spans are broadcast up to ``max_broadcast`` of them; beyond that the join is a shuffle.
+    spans are broadcast if they are few and their spans short (or as ``broadcast`` says); otherwise the
+    join is a shuffle, in which texts with many copies are still broadcast.
     """
-    marked = spans.where("spans != ''").groupBy(F.col("text_key").alias("__text_key")).agg(F.max("spans").alias("spans"))
+    marked = spans.where("spans != ''").groupBy(F.col("text_key").alias("__text_key")).agg(F.max("spans").alias("__spans"), F.count("*").alias("n_rows"))
     marked = materialize(marked, "spans")
-    side = F.broadcast(marked) if marked.count() <= max_broadcast else marked
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"))
-    joined = packed.join(side, text_key() == F.col("__text_key"), "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "rest")
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"), text_key().alias("__text_key"))
+    if broadcast if broadcast is not None else small(marked, "__spans"):
+        joined = packed.join(F.broadcast(marked.drop("n_rows")), "__text_key", "left")
+    else:
+        joined = join_heavy(packed, marked, ["__text_key"], "n_rows", docs.count(), "left", F.length("__spans") <= 8_000)
+    joined = joined.select("doc_id", "text", F.coalesce("__spans", F.lit("")).alias("spans"), "rest")
     out = joined.mapInArrow(_redact, joined.schema)
     return out.select("doc_id", "text", *([F.col("rest")[c].alias(c) for c in rest] if rest else [])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,9 +84,13 @@ def brute_spans(text):
 
 def test_pii_base(spark, sf):
     rnd = random.Random(3)
-    bits = ["a@b.co", "@", "x.y@z", ".com", "1.2.3.4", "300.1.1.1", ".5", "4111 1111 1111 1111", "4111-1111-1111-1112", " ", "+1 (555) 555-1234", "+", "7", "é", "-", "%", "\n", "a@b@c.d.e", "..", "12345678901234567"]
+    bits = ["a@b.co", "@", "x.y@z", ".com", "1.2.3.4", "300.1.1.1", ".5", "4111 1111 1111 1111", "4111-1111-1111-1112", " ", "+1 (555) 555-1234", "+", "7", "é", "-", "%", "\n", "a@b@c.d.e", "..", "12345678901234567", "007.0008.9.0"]
     made = [(1000 + k, "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14)))) for k in range(600)]
     rows = ODD + made + texts_of("/root/testdata/sf0.001", spark)
+    # parts too long to be converted: no address with the nines, one with the noughts
+    nines, noughts = (7001, "1.2.3." + "9" * 5000), (7002, "x 0.0.0." + "0" * 5000 + "7 y")
+    long = {r["doc_id"]: (r["n_ip"], r["base"]) for r in pii.find_base(docs_of(spark, [nines, noughts])).collect()}
+    assert long[7001][0] == 0 and long[7002] == (1, "ip:2:5009")
     out = pii.find_base(docs_of(spark, rows))
     assert rows_of(out, "doc_id", "base") == sorted([(i, ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(t))) for i, t in rows], key=repr)
 
@@ -123,10 +127,58 @@ def test_pii_of_rows_without_an_id_of_their_own(spark):
     clean = rows_of(pii.sanitise(docs, pii.sensitive_spans(docs)), "doc_id", "text")
     want = [(None, "write to <EMAIL> now"), (None, "or to <EMAIL> then"), (7, "call <PHONE> or not"), (7, "x <EMAIL>"), (7, "nothing at all"), (8, None)]
     assert clean == sorted(want, key=repr)
-    shuffled = pii.sanitise(docs, pii.sensitive_spans(docs), max_broadcast=0)
+    shuffled = pii.sanitise(docs, pii.sensitive_spans(docs), broadcast=False)
     assert rows_of(shuffled, "doc_id", "text") == clean
 
 
+def brute_terms(rows, discount=0.95, threshold=0.9):
+    """text -> places of disclosing terms, straight from the definition."""
+    import math
+    import re
+
+    texts = {t or "" for _, t in rows}
+    spans = {t: brute_spans(t) for t in texts}
+    entities = {t: {(k, t[s:e].lower()) for k, s, e in spans[t]} for t in texts}
+    free = {t: [m for m in re.finditer(r"\w{3,}", t) if not any(s < m.end() and m.start() < e for _, s, e in spans[t])] for t in texts}
+    words = {t: {m.group().lower() for m in re.finditer(r"\w{3,}", t)} for t in texts}
+    n, out = len(texts), {t: set() for t in texts}
+    for entity in {e for t in texts for e in entities[t]}:
+        own = [t for t in texts if entity in entities[t]]
+        information = math.log2(n / len(own))
+        for term in {m.group().lower() for t in own for m in free[t]}:
+            places = {t: [m.span() for m in free[t] if m.group().lower() == term] for t in own}
+            both = sum(1 for t in own if places[t])
+            every = max(both, sum(1 for t in texts if term in words[t]))
+            if information > 0 and math.log2((both - discount) * n / (len(own) * every)) / information > threshold:
+                for t in own:
+                    out[t] |= set(places[t])
+    return {t: sorted(p) for t, p in out.items()}
+
+
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_pii_terms_by_brute_force(spark, monkeypatch, limit):
+    from corploom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(pii, "HELD", 50)
+    rnd = random.Random(6)
+    common_words = [f"plain{k}" for k in range(40)]
+    rows = list(ODD)
+    for k in range(900):
+        words = rnd.choices(common_words, k=rnd.randint(3, 12))
+        if k % 3 == 0:
+            e = rnd.randint(0, 25)
+            words += [f"p{e}@host.org"] + [f"secret{e}"] * rnd.randint(0, 2) + ([f"Rare{e % 5}"] if rnd.random() < 0.5 else [])
+            rnd.shuffle(words)
+        rows.append((k if k % 7 else None, " ".join(words)))
+    rows += rows[30:60] * 3
+    want = brute_terms(rows)
+    got = pii.sensitive_spans(docs_of(spark, rows)).select("doc_id", "spans").collect()
+    spans = sorted([(r["doc_id"], tuple(s for s in r["spans"].split(",") if s.startswith("term"))) for r in got], key=repr)
+    assert spans == sorted([(i, tuple(f"term:{s}:{e}" for s, e in want[t or ""])) for i, t in rows], key=repr)
+    assert sum(len(s) for _, s in spans) > 100
+
+
 # 3 token counts
 def test_token_counts(spark, sf):
     from tokenizers import Tokenizer
