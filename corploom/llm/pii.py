@@ -153,20 +153,15 @@ def find_base(docs: DataFrame) -> DataFrame:
     return text_of(docs).withColumn("text_key", text_key()).mapInArrow(_scan(), schema)
 
 
-def judged_pairs(found: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
-    """(text_key, entity, n_entity, first, term, places) of different texts, for entities that a term could disclose at all.
-
-    ``first`` marks one entity of each text at most, so that rows with it are texts.
-    """
-    texts = found.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"])
-    mentions = materialize(texts.select("text_key", F.posexplode("entities").alias("at", "entity")), "mentions")
+def judged_pairs(texts: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
+    """(text_key, entity, n_entity, term, places) of different texts, for entities that a term could disclose at all."""
+    mentions = materialize(texts.select("text_key", F.explode("entities").alias("entity")), "mentions")
     counts = materialize(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    total = mentions.count()
     # at best a term is in all of the entity's texts and in no other
     best = _ratio(F.col("n_entity"), F.col("n_entity"), F.col("n_entity"), n, rules)
     judged = counts.where(best > rules.threshold).withColumn("n_rows", F.col("n_entity"))
-    judged = materialize(join_heavy(mentions, judged, ["entity"], "n_rows", total), "judged")
-    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", (F.col("at") == 0).alias("first"), F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "first", "t.*")
+    judged = materialize(join_heavy(mentions, judged, ["entity"], "n_rows", mentions.count()), "judged")
+    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "t.*")
 
 
 def _ratio(n_both: Column, n_entity: Column, n_term: Column, n: int, rules: Disclosure) -> Column:
@@ -213,24 +208,23 @@ def _texts_of_terms(shared, most: int):
     return run
 
 
-def disclosing_terms(docs: DataFrame, pairs: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
     """(entity, term, n_both, disclosure): pairs whose ratio of mutual information to information content exceeds the threshold.
 
-    ``pairs`` is a written table. A term is in at least as many texts as hold it beside the entity,
-    and as hold it beside any judged entity; pairs that fail even so need no count over the corpus.
-    The texts of the other terms are counted in one map over all texts.
+    ``texts`` (the different texts with an entity) and ``pairs`` are written tables. A term is in at
+    least as many texts as hold it beside the entity, and as hold it beside any entity; pairs that
+    fail even so need no count over the corpus. The texts of the other terms, which are rare ones, are
+    counted in one map over all texts.
     """
-    by_term = materialize(pairs.groupBy("term").agg(F.count("*").alias("n_pairs"), F.count_if("first").alias("n_seen")), "seen")
-    total = by_term.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold).withColumn("most", _most_texts(n, rules))
-    together = join_heavy(materialize(together, "together"), by_term, ["term"], "n_pairs", total)
-    together = materialize(together.where(F.col("n_seen") <= F.col("most")).drop("n_seen"), "candidates")
-    terms = materialize(together.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n_rows")), "terms")
+    together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold)
+    together = materialize(together.withColumn("most", _most_texts(n, rules)), "together")
+    seen = texts.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    terms = together.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n_rows")).join(seen, "term")
+    terms = materialize(terms.where(F.col("n_seen") <= F.col("most")).drop("n_seen"), "candidates")
     most = terms.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
-    shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.collect()}) if small(terms, "term") else None
-    texts = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    words = texts.mapInArrow(_texts_of_terms(shared, most), "term string, text_key binary")
+    shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.select("term", "most").collect()}) if small(terms, "term") else None
+    words = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_texts_of_terms(shared, most), "term string, text_key binary")
     words = words if shared else words.join(terms.select("term"), "term", "left_semi")
     counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_term")).join(terms.select("term", "n_rows"), "term")
     joined = join_heavy(together, materialize(counted, "counted"), ["term"], "n_rows", together.count())
@@ -247,8 +241,9 @@ def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     """
     found = materialize(find_base(docs), "pii")
     n, rows = found.agg(F.count_distinct("text_key"), F.count("*")).first()
-    pairs = materialize(judged_pairs(found, n, rules), "pairs")
-    flagged = materialize(disclosing_terms(docs, pairs, n, rules), "flagged").drop("disclosure")
+    texts = materialize(found.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"]), "texts")
+    pairs = materialize(judged_pairs(texts, n, rules), "pairs")
+    flagged = materialize(disclosing_terms(docs, texts, pairs, n, rules), "flagged").drop("disclosure")
     hit = join_heavy(pairs, flagged, ["entity", "term"], "n_both", pairs.count()).select("text_key", F.explode("places").alias("at"))
     by_text = hit.groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
     held = found.where(F.size("entities") > 0)
