@@ -313,31 +313,57 @@ def test_links_are_complete_for_any_number_of_blocks():
 
 # 9 repeated passages
 def brute_repeats(rows, window=20):
+    """Different texts of one doc_id are documents of their own, in the order of a hash of the text."""
     first, out = {}, []
-    order = sorted([r for r in rows if r[0] is not None], key=lambda r: r[0])
-    for i, t in order:
-        words = (t or "").encode().split()
+    place = {r: (r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) for r in rows if r[0] is not None}
+    place = {r: (i, h - (1 << 64) if h >> 63 else h) for r, (i, h) in place.items()}
+    for r in sorted(place, key=place.get):
+        words = (r[1] or "").encode().split()
         for p in range(len(words) - window + 1):
-            first.setdefault(tuple(words[p : p + window]), (i, p))
+            first.setdefault(tuple(words[p : p + window]), (place[r], p))
     for i, t in rows:
         words = (t or "").encode().split()
         gone = set()
         for p in range(len(words) - window + 1):
-            if i is not None and first[tuple(words[p : p + window])] != (i, p):
+            if i is not None and first[tuple(words[p : p + window])] != (place[i, t], p):
                 gone.update(range(p, p + window))
         out.append((i, len(words), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest()))
     return sorted(out, key=repr)
 
 
-def test_substring_dedup(spark, sf):
-    rnd = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(12)]
-    passage = [rnd.choice(vocabulary) for _ in range(60)]
-    made = []
-    for k in range(80):
+def passages(rnd, n, at=1000, vocabulary=12):
+    """Texts with parts of one passage in different surroundings."""
+    words = [f"w{k}" for k in range(vocabulary)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    for k in range(n):
         cut = sorted(rnd.sample(range(60), 2))
-        made.append((1000 + k, " ".join([rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))] + passage[cut[0] : cut[1]] + [f"u{k}"] * rnd.randint(0, 3) + passage[: cut[1]])))
+        yield at + k, " ".join([rnd.choice(words) for _ in range(rnd.randint(0, 30))] + passage[cut[0] : cut[1]] + [f"u{k}"] * rnd.randint(0, 3) + passage[: cut[1]])
+
+
+@pytest.mark.parametrize("paired,common", [(16, 10), (2, 10**9), (1, 3)])
+def test_substring_dedup(spark, sf, paired, common):
+    rnd = random.Random(5)
+    made = list(passages(rnd, 80))
+    # a phrase of twelve words in surroundings that all differ, and the same phrase with more and more of them alike
+    phrase = " ".join(f"p{k}" for k in range(12))
+    made += [(3000 + k, " ".join([f"l{k}x{j}" for j in range(12)]) + f" {phrase} " + " ".join([f"r{k}x{j}" for j in range(12)])) for k in range(60)]
+    made += [(4000 + k, " ".join([f"c{j}" if j > k % 13 else f"d{k}x{j}" for j in range(12)]) + f" {phrase} " + " ".join([f"e{j}" if j < k // 13 else f"f{k}x{j}" for j in range(12)])) for k in range(120)]
     rows = ODD + made + [(2000, "a " * 70), (2001, "a b " * 50)] + texts_of(sf, spark)
+    got = rows_of(substring_dedup.remove_repeats(docs_of(spark, rows), paired=paired, common=common), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats(rows)
+
+
+def test_substring_dedup_of_different_texts_with_one_id(spark):
+    made = list(passages(random.Random(9), 60))
+    rows = [(i % 7, t) for i, t in made] + [(None, t) for _, t in made[:5]] + [(3, made[3][1])] * 3 + [(3, None), (3, "short")]
+    got = rows_of(substring_dedup.op9_substring_dedup(docs_of(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats(rows)
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rnd = random.Random(2)
+    long = " ".join(f"v{rnd.randrange(50_000)}" for _ in range(400_000))  # more than one slice of a batch
+    rows = [(1, long), (2, long[1_000_000:1_200_000]), (3, "x " + long[:3000])]
     got = rows_of(substring_dedup.op9_substring_dedup(docs_of(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute_repeats(rows)
 
