@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_of
+from .common import join_heavy, materialize, slices, text_of
 
 WIDTH, SEED, RADIUS, TILE = 4, 42, 4, 4096
 #: Shingles whose bits are counted at once.
@@ -160,7 +160,8 @@ def fingerprint_links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)]))
     keyed = nodes.select("fp", keys.alias("key")).select("fp", "key.*")
     sizes = keyed.groupBy("k", "bits").agg(F.count("*").alias("size")).where("size > 1")
-    keyed = keyed.join(sizes, ["k", "bits"])
+    sizes = materialize(sizes.withColumn("n_rows", F.col("size")), "sizes")
+    keyed = join_heavy(keyed, sizes, ["k", "bits"], "n_rows", n * len(masks))
     small = keyed.where(F.col("size") <= tile).select(F.xxhash64("k", "bits").alias("tile"), F.lit(0).alias("side"), "fp")
     # a large bucket: cells by population count and hash; a fingerprint goes to every pair of cells that its own is in
     cells = F.ceil(F.col("size") / (4 * tile)).cast("int")
@@ -182,15 +183,16 @@ def components(edges: DataFrame) -> DataFrame:
     round's table is written to the shared folder, so no round is ever computed again.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, n: int, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # a vertex of very many links is a hot key
+        joined = join_heavy(both, materialize(least, "least"), ["u"], "n", 2 * n if large else n)
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        return out.where("u != v").distinct()
+        return materialize(out.where("u != v").distinct(), "stars")
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -198,7 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     seen = state(edges)
     while seen[0]:
-        edges = materialize(star(star(edges, True), False), "stars")
+        large = star(edges, seen[0], True)
+        edges = star(large, large.count(), False)
         now = state(edges)
         if now == seen:
             break
@@ -215,13 +218,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     null id. Every row gives one row, rows that repeat too. Only doc_id and text are read.
     """
     by_doc = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), nodes.count(), radius, tile))
-    labelled = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    classes = materialize(labelled.join(least, "root").select("fp", F.col("root").alias("group"), "component_id"), "classes")
-    return by_doc.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group")
+    nodes = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_rows")), "nodes")
+    n = nodes.count()
+    roots = components(fingerprint_links(nodes.select("fp"), n, radius, tile))
+    labelled = materialize(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "labelled")
+    # a large component and a fingerprint of many copies are hot keys
+    least = materialize(labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("n")), "least")
+    classes = materialize(join_heavy(labelled, least, ["root"], "n", n).select("fp", F.col("root").alias("group"), "component_id", "n_rows"), "classes")
+    named = join_heavy(by_doc, classes, ["fp"], "n_rows", by_doc.count())
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group")
 
 
 def op8_simhash(documents: DataFrame) -> DataFrame:
+    """The contract's columns of every row of ``documents``; see ``near_duplicates`` for nulls, ties and repeated rows. An empty table gives no rows."""
     return near_duplicates(documents).drop("group")

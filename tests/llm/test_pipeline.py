@@ -45,8 +45,8 @@ def _similarity(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_near_copies_go_and_others_stay(spark, small):
+@pytest.mark.parametrize("tile", [64, 2])
+def test_near_copies_go_and_others_stay(spark, tile):
     rnd = random.Random(4)
     rows = []
     for g in range(12):
@@ -60,7 +60,7 @@ def test_near_copies_go_and_others_stay(spark, small):
     # different texts with one doc_id, and an exact copy of a named row without an id
     rows += [(5000, "one text of its own that is long enough to have shingles"), (5000, "quite another text with the same number and other words in it"), (None, rows[0][1])]
     docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
-    left = [(r[0], r[1]) for r in near_copies.without_near_copies(docs, small=small).select("doc_id", "text").collect()]
+    left = [(r[0], r[1]) for r in near_copies.without_near_copies(docs, tile=tile).select("doc_id", "text").collect()]
     assert all(_similarity(a, b) < 0.8 for (_, a), (_, b) in itertools.combinations(left, 2))
     gone = [t for i, t in rows if (i, t) not in left]
     assert all(any(_similarity(t, u) >= 0.8 and u != t or u == t and rows[0][1] == t for _, u in rows) for t in gone)
