@@ -6,22 +6,26 @@ from one left-to-right pass: the last token of the encoding of each prefix is th
 ends there and stands validly after the last token of the prefix before it, where two tokens are a
 valid pair if undoing their merges never shows a merge across them that would have come first.
 
-A piece's counts are kept, so a text's total, any truncation and any budget question are read off
-without encoding again. The step is a map: no shuffle, and its memory is one slice of a batch, one
-text's counts and a bounded table of pieces.
+A text's counts are stored in two levels: for each piece the count at its end, and for each distinct
+piece the counts of its prefixes. Totals, truncations and budget questions are read off by a search
+in the first and a look into the second, without encoding again; ``prefix_counts`` gives them out
+in full. The step is a map: no shuffle, and its memory is one slice of a batch, one text's counts
+and a bounded table of pieces.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import splitter, text_of
 
 #: Distinct pieces whose counts a worker remembers; beyond that it starts anew, which costs time only.
 REMEMBERED = 800_000
@@ -52,11 +56,10 @@ class PrefixCounter:
             self.rank[left + right] = self.merged[pair] = new
             self.halves.append(pair)
         self.longest = max(map(len, self.rank))
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = splitter(pattern)
         self.blank = regex.compile(r"\s+").fullmatch
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.known: dict[str, bytes | list[int]] = {}
-        self.shapes: dict[bytes, bytes] = {}
+        self.totals = _Totals(self)
         self.pairs: dict[int, bool] = {}
 
     def valid(self, left: int, right: int) -> bool:
@@ -97,33 +100,18 @@ class PrefixCounter:
                 break
         return counts
 
-    def total(self, piece: str) -> int:
-        counts = self.known.get(piece)
-        if counts is None:
-            raw = piece.encode("utf-8")
-            counts = self.prefix_counts(raw)
-            if len(raw) > 64:
-                return counts[-1]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-                self.shapes.clear()
-            packed = bytes(counts)
-            counts = self.known[piece] = self.shapes.setdefault(packed, packed)  # many pieces have the same counts
-        return counts[-1]
+    def ends(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a text without special tokens, and the tokens up to the end of each of them, from 0 on."""
+        pieces = self.pieces(text)
+        return pieces, list(accumulate(map(self.totals.__getitem__, pieces), initial=0))
+
+    def parts(self, text: str) -> list[str]:
+        """Ordinary text and special tokens' strings in turn."""
+        return self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special token's string in it is one token, as is the library's default."""
-        if self.cut and any(s in text for s in self.special):
-            return sum(1 if i % 2 else self._count(part) for i, part in enumerate(self.cut(text)))
-        return self._count(text)
-
-    def _count(self, text: str) -> int:
-        known, total = self.known, self.total
-        counted = 0
-        for piece in self.pieces(text):
-            counts = known.get(piece)
-            counted += counts[-1] if counts is not None else total(piece)
-        return counted
+        return sum(1 if i % 2 else self.ends(part)[1][-1] for i, part in enumerate(self.parts(text)))
 
     def text_counts(self, text: str) -> list[int]:
         """Tokens of every prefix of a text, by characters, from the empty prefix to the whole text.
@@ -132,22 +120,25 @@ class PrefixCounter:
         the whole does (blanks before a word, the letters of a contraction), the tail is split anew.
         """
         out, done = [0], 0
-        for i, part in enumerate(self.cut(text) if self.cut else [text]):
+        parts, pieces = self.parts(text), []
+        for i, part in enumerate(parts):
             if i % 2:
-                # a special string that is cut is ordinary text after what stands before it
-                base = len(out) - 1
-                out += [self.count(text[: base + k]) for k in range(1, len(part))] + [out[-1] + 1]
-                done = out[-1]
+                # a special string that is cut is ordinary text; only the last piece before it may go on into it
+                tail = pieces[-1] if pieces else ""
+                base = done - (self.totals[tail] if tail else 0)
+                out += [base + self.ends(tail + part[:k])[1][-1] for k in range(1, len(part))] + [done + 1]
+                done, pieces = out[-1], []
                 continue
             before, blank = done, ""
-            for piece in self.pieces(part):
+            pieces = self.pieces(part)
+            for piece in pieces:
                 if self.blank(piece):
                     # blanks at a prefix's end are one piece, together with those just before
                     blank += piece
                     own = self.prefix_counts(blank.encode("utf-8"))
                     places = [len(blank[:k].encode("utf-8")) for k in range(len(blank) - len(piece) + 1, len(blank) + 1)]
                     out += [before + own[p] for p in places]
-                    done += self.total(piece)
+                    done += self.totals[piece]
                     continue
                 if blank and self.blank(piece[0]):
                     own = self.prefix_counts((blank + piece[0]).encode("utf-8"))
@@ -160,15 +151,44 @@ class PrefixCounter:
                 contraction = piece[0] == "'" and len(piece) > 2 and piece[1].isalpha()
                 for k in range(start, len(piece)):
                     at += len(piece[k].encode("utf-8"))
-                    out.append(done + (self._count(piece[: k + 1]) if contraction and k + 1 < len(piece) else own[at]))
+                    out.append(done + (self.ends(piece[: k + 1])[1][-1] if contraction and k + 1 < len(piece) else own[at]))
                 done += own[-1]
                 before, blank = done, ""
         return out
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
-        counts = self.text_counts(text)
-        return max(k for k, n in enumerate(counts) if n <= budget)
+        """Characters of the longest prefix of at most ``budget`` tokens; a negative budget fits nothing and gives 0."""
+        parts = self.parts(text)
+        pieces, ends = self.ends(text) if len(parts) == 1 else ([], [budget + 1])
+        return self.within(text, pieces, ends, budget)
+
+    def within(self, text: str, pieces: list[str], ends: list[int], budget: int) -> int:
+        """``fit`` by the counts at the ends of the text's pieces; a text with special tokens has none, and all of its prefixes are looked at."""
+        if not pieces:
+            return max((k for k, n in enumerate(self.text_counts(text)) if n <= budget), default=0)
+        over = bisect_right(ends, budget)  # the piece whose end is the first beyond the budget
+        if over == len(ends):
+            return len(text)
+        # a prefix that ends in a later piece but the next has more tokens; blanks join those just before
+        first, last = max(0, over - 6), min(len(pieces), over + 1)
+        start = sum(map(len, pieces[:first]))
+        near = self.text_counts(text[start : start + sum(map(len, pieces[first:last]))])
+        return start + max((k for k, n in enumerate(near) if ends[first] + n <= budget), default=0)
+
+
+class _Totals(dict):
+    """piece -> its tokens, by the prefix counts of the piece; at most ``REMEMBERED`` pieces of 64 characters or fewer."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+
+    def __missing__(self, piece: str) -> int:
+        total = self.counter.prefix_counts(piece.encode("utf-8"))[-1]
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = total
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -181,17 +201,21 @@ def _counts(path: str, pattern: str, limit: int, prefixes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
         for batch in batches:
-            n_bytes, n_tokens, stored = [], [], []
+            n_bytes, n_tokens, fits, stored = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
-                n_bytes.append(len(text.encode("utf-8")))
+                n_bytes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
+                if len(parts := counter.parts(text)) > 1:
+                    total, pieces, ends = sum(1 if i % 2 else counter.ends(p)[1][-1] for i, p in enumerate(parts)), [], []
+                else:
+                    pieces, ends = counter.ends(text)
+                    total = ends[-1]
+                n_tokens.append(total)
+                fits.append(len(text) if total <= limit else counter.within(text, pieces, ends, limit))
                 if prefixes:
                     stored.append(counter.text_counts(text))
-                    n_tokens.append(stored[-1][-1])
-                else:
-                    n_tokens.append(counter.count(text))
-            columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"]
             if prefixes:
                 columns, names = [*columns, pa.array(stored, pa.list_(pa.int32()))], [*names, "prefix_counts"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -200,18 +224,23 @@ def _counts(path: str, pattern: str, limit: int, prefixes: bool):
 
 
 def prefix_token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, prefixes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and, if asked for, ``prefix_counts``: the tokens of each prefix, by characters.
+    """doc_id, n_bytes, n_tokens, over_limit, limit_chars and, if asked for, ``prefix_counts``: the tokens of each prefix, by characters.
 
-    With ``prefix_counts`` a budget question is ``size(filter(prefix_counts, n -> n <= budget)) - 1``
-    characters or fewer, without encoding again. A null text counts as the empty one (no bytes, no
-    tokens); every row gives one row, rows that repeat and those without an id too.
+    ``limit_chars`` is the length of the longest prefix of at most ``limit`` tokens, read off the
+    counts of prefixes. With ``prefix_counts`` any other budget question is one of the array, without
+    encoding again. A null text counts as the empty one (no bytes, no tokens); every row gives one
+    row, rows that repeat and those without an id too.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", prefix_counts array<int>" if prefixes else "")
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long" + (", prefix_counts array<int>" if prefixes else "")
     return text_of(docs, id_col, text_col).mapInArrow(_counts(path, pattern, limit, prefixes), schema)
 
 
 def op3_token_counts(documents: DataFrame) -> DataFrame:
-    """Counts of byte_bpe_50k.json over every whole text."""
+    """Counts of byte_bpe_50k.json over every whole text, from the counts of prefixes at the ends of pieces.
+
+    ``limit_chars`` answers the truncation to 1,024 tokens. Nulls and repeated rows as in
+    ``prefix_token_counts``; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return prefix_token_counts(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, prefixes=False)
