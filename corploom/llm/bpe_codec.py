@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import splitter, text_of
 
 #: Characters of a chunk and of the overlap with the next, and how near a chunk's end a boundary isn't trusted.
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 8
@@ -44,7 +44,7 @@ def _coder(ranks_path: str, pattern: str):
     def code(piece: str) -> tuple[str, int, bytes]:
         found = known.get(piece)
         if found is None:
-            ids = encoding._encode_single_piece(piece)
+            ids = encoding.encode_ordinary(piece)  # a pre-token by itself is one pre-token
             found = " ".join(map(str, ids)), len(ids), b"".join([bytes_of[i] for i in ids])
             if len(piece) <= 64:
                 if len(known) >= REMEMBERED:
@@ -52,11 +52,11 @@ def _coder(ranks_path: str, pattern: str):
                 known[piece] = found
         return found
 
-    return code, regex.compile(pattern).findall
+    return code, splitter(pattern)
 
 
-def _boundaries(pattern: str):
-    """Arrow map: adds the places (from the text's start) at which a chunk's pieces begin, those near its end left out."""
+def _boundaries(pattern: str, chunk: int, overlap: int):
+    """Arrow map: adds the places (from the text's start) in either overlap at which a chunk's pieces begin, those near its end left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(pattern).finditer
@@ -66,7 +66,7 @@ def _boundaries(pattern: str):
                 trusted = len(t) if end else len(t) - MARGIN
                 found = [m.start() for m in pieces(t)]
                 # after blanks a boundary may depend on what comes next, so a text is never cut there
-                places.append([s + p for p in found[1:] if p <= trusted and not t[p - 1].isspace()])
+                places.append([s + p for p in found[1:] if (p <= overlap or chunk <= p) and p <= trusted and not t[p - 1].isspace()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.list_(pa.int32()))], names=[*batch.schema.names, "places"])
 
     return run
@@ -96,20 +96,30 @@ def _encode(ranks_path: str, pattern: str, digests: bool):
     return run
 
 
+def _chunks(chunk: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text, of = batch.column("text")[row].as_py(), batch.slice(row, 1)
+                starts = range(0, len(text), chunk)
+                for few in range(0, len(starts), 64):
+                    own = starts[few : few + 64]
+                    same = [of.column(c).take(pa.array([0] * len(own))) for c in ("key", "digest", "copies")]
+                    parts = [pa.array([text[s : s + chunk + overlap] for s in own], pa.string()), *(pa.array(x, pa.int32()) for x in ([s // chunk for s in own], list(own)))]
+                    yield pa.RecordBatch.from_arrays([*same, *parts, pa.array([s + chunk >= len(text) for s in own])], names=["key", "digest", "copies", "text", "seq", "start", "last"])
+
+    return run
+
+
 def chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(key, digest, copies, text) with its chunks for its text: ``chunk`` characters each and ``overlap`` of the next."""
-    of = F.ceil(F.length("text") / chunk).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), of - 1),
-        lambda i: F.struct(F.substring("text", i * chunk + 1, F.lit(chunk + overlap)).alias("text"), i.alias("seq"), (i * chunk).alias("start"), (i == of - 1).alias("last")),
-    )
-    return texts.select("key", "digest", "copies", F.explode(cut).alias("c")).select("key", "digest", "copies", "c.*")
+    return texts.select("key", "digest", "copies", "text").mapInArrow(_chunks(chunk, overlap), "key long, digest string, copies long, text string, seq int, start int, last boolean")
 
 
 def segments(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Long texts to (key, digest, copies, seq, text): stretches between stitches, each split on its own as within its text."""
     cut = chunks(texts, chunk, overlap)
-    places = cut.mapInArrow(_boundaries(pattern), cut.schema.simpleString()[7:-1] + ",places:array<int>")
+    places = cut.mapInArrow(_boundaries(pattern, chunk, overlap), cut.schema.simpleString()[7:-1] + ",places:array<int>")
     by_text = Window.partitionBy("key", "digest").orderBy("seq")
     common = F.array_min(F.array_intersect(F.filter("places", lambda p: p >= F.col("start")), F.lag("places").over(by_text)))
     found = places.withColumn("from", F.when(F.col("seq") == 0, 0).otherwise(common)).drop("places")
