@@ -5,9 +5,11 @@ logistic function of the words in it; the bag's is their noisy-or, 1 - prod(1 -
 fitted to the labels of bags, so the sentences that make a bag toxic get high scores by themselves,
 and are then pointed out.
 
-The fit sees a bounded sample of labelled rows (``MAX_POSITIVE``, ``MAX_NEGATIVE``), which is all
-that is broadcast or sent to the driver beside the model (``VOCABULARY`` words). Scoring is a map
-over whole texts: no shuffle, and a hot source or group of copies costs as many other rows.
+The fit sees a bounded sample of labelled rows (``MAX_POSITIVE``, ``MAX_NEGATIVE``, ``MAX_CHARS``),
+which is all that is broadcast or sent to the driver beside the model (``VOCABULARY`` words); the
+driver gets known words as numbers, so at most four bytes for each two characters of the sample.
+Scoring is a map over whole texts: no shuffle, and a hot source or group of copies costs as many
+other rows.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 #: Labelled rows that the fit sees at most, the first of each label by a hash of the id.
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
+#: Characters of the texts of each label that the fit sees at most, in the same order.
+MAX_CHARS = 24_000_000
 #: Words of the model, and texts that a word must be in.
 VOCABULARY, MIN_TEXTS = 2_048, 5
 #: Steps of the fit, their size, the pull of weights to zero, and the first bias of a sentence.
@@ -59,14 +63,20 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> DataFrame:
-    """(toxic, text) of the sample: at most so many rows of each label, by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, toxic, text) of the sample: at most so many rows and characters of each label, by a hash of the id.
+
+    Of different texts that share a doc_id the least one is taken. An id is toxic if any of its labels is.
+    """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     order = F.xxhash64("doc_id")
     sample = rows.where("toxic").orderBy(order, "doc_id").limit(max_positive).unionByName(rows.where("not toxic").orderBy(order, "doc_id").limit(max_negative))
     # bounded by the two limits, whatever the input
-    return text_of(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    texts = text_of(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "sample")
+    chars = texts.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("sum", F.sum("n").over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return texts.join(F.broadcast(chars.where(F.col("sum") <= max_chars).select("doc_id")), "doc_id", "left_semi")
 
 
 def vocabulary(rows: DataFrame, size: int, min_texts: int) -> list[str]:
@@ -85,32 +95,48 @@ def vocabulary(rows: DataFrame, size: int, min_texts: int) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
-def bags(rows: DataFrame, words: list[str]) -> list[tuple[int, bool, int, list[list[int]]]]:
-    """(doc_id, toxic, sentences without a known word, known words of each other sentence), by doc_id."""
+@dataclass(frozen=True)
+class Bags:
+    """Bags of sentences in one: labels and sentences without a known word of each bag; for each other sentence its bag and its words."""
+
+    label: np.ndarray
+    plain: np.ndarray
+    bag_of: np.ndarray
+    lengths: np.ndarray
+    word: np.ndarray
+
+
+def bags(rows: DataFrame, words: list[str]) -> Bags:
+    """The bags of the sample, in the order of doc_id."""
     place = {w: i for i, w in enumerate(words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, known = [], []
+            plain, known, lengths = [], [], []
             for text in batch.column("text").to_pylist():
                 found = [sorted({place[w] for w in features(s) if w in place}) for s in SENTENCE.findall(text.lower())]
-                known.append([f for f in found if f])
-                plain.append(len(found) - len(known[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(known, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "plain", "known"])
-
-    found = rows.mapInArrow(run, "doc_id long, toxic boolean, plain int, known array<array<int>>")
-    return sorted((r["doc_id"], r["toxic"], r["plain"], [list(s) for s in r["known"]]) for r in found.collect())
+                held = [f for f in found if f]
+                plain.append(len(found) - len(held))
+                lengths.append(np.array([len(f) for f in held], np.uint16).tobytes())
+                known.append(np.array([w for f in held for w in f], np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(lengths, pa.binary()), pa.array(known, pa.binary())], names=["doc_id", "toxic", "plain", "lengths", "known"])
+
+    found = sorted(rows.mapInArrow(run, "doc_id long, toxic boolean, plain int, lengths binary, known binary").collect())
+    lengths = [np.frombuffer(r["lengths"], np.uint16) for r in found]
+    return Bags(
+        np.array([r["toxic"] for r in found], float),
+        np.array([r["plain"] for r in found], float),
+        np.repeat(np.arange(len(found)), [len(x) for x in lengths]),
+        np.concatenate([*lengths, np.zeros(0, np.uint16)]).astype(int),
+        np.concatenate([*(np.frombuffer(r["known"], np.uint16) for r in found), np.zeros(0, np.uint16)]).astype(int),
+    )
 
 
-def fit_noisy_or(found: list[tuple[int, bool, int, list[list[int]]]], n_words: int) -> tuple[np.ndarray, float]:
+def fit_noisy_or(found: Bags, n_words: int) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the bags' labels; a fixed number of steps from fixed values."""
-    label = np.array([b[1] for b in found], float)
-    plain = np.array([b[2] for b in found], float)
-    bag_of = np.array([i for i, b in enumerate(found) for _ in b[3]], int)
-    lengths = np.array([len(s) for b in found for s in b[3]], int)
-    word = np.array([w for b in found for s in b[3] for w in s], int)
+    label, plain, bag_of, lengths, word = found.label, found.plain, found.bag_of, found.lengths, found.word
     sentence_of = np.repeat(np.arange(len(lengths)), lengths)
-    n, share = len(found), max(label.mean(), 1e-9)
+    n, share = len(label), max(label.mean(), 1e-9)
     weight = np.where(label > 0, 0.5 / share, 0.5 / max(1 - share, 1e-9))
     theta, m, v = np.append(np.zeros(n_words), BIAS), np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, EPOCHS + 1):
@@ -127,16 +153,13 @@ def fit_noisy_or(found: list[tuple[int, bool, int, list[list[int]]]], n_words: i
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, size: int = VOCABULARY, min_texts: int = MIN_TEXTS) -> MilModel:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, size: int = VOCABULARY, min_texts: int = MIN_TEXTS, max_chars: int = MAX_CHARS) -> MilModel:
     """The model of the labelled rows that aren't held out. Without both labels in the sample it knows no word and calls nothing toxic."""
-    rows = training_rows(docs, labels, max_positive, max_negative).cache()
-    try:
-        words = vocabulary(rows, size, min_texts)
-        if not words:
-            return MilModel({}, -50.0)
-        weights, bias = fit_noisy_or(bags(rows, words), len(words))
-    finally:
-        rows.unpersist()
+    rows = training_rows(docs, labels, max_positive, max_negative, max_chars)
+    words = vocabulary(rows, size, min_texts)
+    if not words:
+        return MilModel({}, -50.0)
+    weights, bias = fit_noisy_or(bags(rows, words), len(words))
     return MilModel({w: float(x) for w, x in zip(words, weights, strict=True)}, bias)
 
 
@@ -179,7 +202,11 @@ def toxicity_scores(docs: DataFrame, model: MilModel) -> DataFrame:
 
 
 def op4_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns and the place of the first offending sentence (null without one)."""
+    """The contract's columns and the place of the first offending sentence (null without one), for every row of ``documents``.
+
+    A null or empty text scores 0; a row without a doc_id isn't held out. Rows that repeat score alike.
+    Without labels nothing is toxic; an empty table gives no rows.
+    """
     found = toxicity_scores(documents, fit(documents, labels))
     return found.select(
         "doc_id",
