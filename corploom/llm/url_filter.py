@@ -38,6 +38,8 @@ class _Path:
     segments: dict[str, _Path] = field(default_factory=dict)
     #: what the next segment must begin with -> (verdict, rule as text)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: characters of the longest of them
+    longest: int = 0
     #: a rule without a path, which holds for every path
     any: tuple[str, str] | None = None
 
@@ -62,6 +64,7 @@ class HostPathTrie:
             *whole, tail = path.split("/")[1:] if path.startswith("/") else path.split("/")
             for segment in whole:
                 at = at.segments.setdefault(segment, _Path())
+            at.longest = max(at.longest, len(tail))
             if tail not in at.ends or verdict == "block":
                 at.ends[tail] = value
 
@@ -80,7 +83,7 @@ class HostPathTrie:
     def _path(at: _Path, segments: list[str]) -> tuple[str, str] | None:
         best = at.any
         for segment in segments:
-            for k in range(len(segment) + 1):
+            for k in range(min(len(segment), at.longest) + 1):
                 best = at.ends.get(segment[:k], best) if at.ends else best
             at = at.segments.get(segment)
             if at is None:
@@ -117,6 +120,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col:
 
 
 def op7_url_filter(pages: DataFrame) -> DataFrame:
+    """The contract's rules and columns for every row of ``pages``; see ``url_verdicts`` for nulls and repeated rows. An empty table gives no rows."""
     return url_verdicts(pages)
 
 
