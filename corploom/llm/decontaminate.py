@@ -2,7 +2,8 @@
 
 An item of n characters that stands in a text with at most e edits shares at least
 n + 1 - q * (e + 1) of its q-grams with it, on diagonals at most e apart; of any k of its q-grams, at
-least k - q * e. So:
+least k - q * e. Items of fewer than q characters have no q-gram and must stand in a text exactly, as
+whole words. So:
 
 1. the q-grams of a text are looked up in an index of the benchmark's (a table of bits first, which
    nearly all fail),
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
-Q, MAX_EDIT_SHARE, MIN_CHARS = 8, 0.1, 32
+Q, MAX_EDIT_SHARE, MIN_CHARS = 8, 0.1, 1
 #: Characters of the benchmark whose index is broadcast at once, and of texts that are scanned at once.
 BLOCK_CHARS, SCAN_CHARS = 4_000_000, 1_000_000
 TABLE_BITS, CACHED = 22, 1 << 15
@@ -75,14 +76,22 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     longest: int
+    #: for items of fewer than q characters: length -> (hashes in order, items)
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDIT_SHARE, min_chars: int = MIN_CHARS) -> Index:
-    items = [(i, t) for i, t in items if t and len(t) >= max(min_chars, q)]
+    items = [(i, t) for i, t in items if t and len(t) >= min_chars and t.strip()]
     n = np.array([len(t) for _, t in items], np.int64)
     # as many edits as the share allows and the lemma can still see
     edits = np.maximum(np.minimum((n * share).astype(np.int64), n // q - 1), 0)
     hashes = [gram_hashes(codes(t), q) for _, t in items]
+    short = {}
+    for length in sorted(set(n[n < q].tolist())):
+        own = np.flatnonzero(n == length)
+        whole = np.array([gram_hashes(codes(items[i][1]), length)[0] for i in own.tolist()], np.uint64)
+        by = np.argsort(whole, kind="stable")
+        short[length] = (whole[by], own[by])
     grams = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     item = np.repeat(np.arange(len(items)), [len(h) for h in hashes]).astype(np.int64)
     place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, int)]).astype(np.int64)
@@ -102,7 +111,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDI
     order = np.argsort(grams, kind="stable")
     table = np.zeros(1 << TABLE_BITS, bool)
     table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)))
+    return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)), short)
 
 
 def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, anchored: bool = False) -> tuple[int, int] | None:
@@ -137,10 +146,13 @@ def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
 def _align(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of an item within a text near the diagonals low to high."""
     pattern, e = codes(index.texts[item]), int(index.edits[item])
-    found = banded_alignment(pattern, text, low - e, high + e, e)
+    # only what the band can reach
+    begin = max(0, low - e)
+    near = text[begin : max(begin, high + e + len(pattern) + 1)]
+    found = banded_alignment(pattern, near, low - e - begin, high + e - begin, e)
     if found is None:
         return None
-    edits, end = found
+    edits, end = found[0], found[1] + begin
     # the same backwards from the end gives the start
     lead = max(0, end - len(pattern) - e)
     part = text[lead:end][::-1]
@@ -148,6 +160,25 @@ def _align(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tu
     return edits, end - (back[1] if back else len(pattern)), end
 
 
+def _short_matches(index: Index, joined: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item) -> (0, start, end) of the first place of each item that has no q-gram, as whole words."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    letter = (joined >= 97) & (joined <= 122) | (joined >= 48) & (joined <= 57) | (joined >= 128) & (joined < 0xFFFFFFF0)
+    for length, (grams, items) in index.short.items():
+        hashes = gram_hashes(joined, length)
+        left = np.searchsorted(grams, hashes, "left")
+        hit = np.flatnonzero((left < len(grams)) & (grams[np.minimum(left, len(grams) - 1)] == hashes))
+        # a word may not go on on either side of the item's own first and last letter
+        before = (hit > 0) & letter[np.maximum(hit - 1, 0)] & letter[hit]
+        after = letter[np.minimum(hit + length, len(joined) - 1)] & (hit + length < len(joined)) & letter[hit + length - 1]
+        for at in hit[~before & ~after].tolist():
+            t = int(np.searchsorted(first, at, "right")) - 1
+            for k in range(int(np.searchsorted(grams, hashes[at], "left")), int(np.searchsorted(grams, hashes[at], "right"))):
+                start = at - int(first[t])
+                found.setdefault((t, int(items[k])), (0, start, start + length))
+    return found
+
+
 def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end): for each text and item that stands in it the match of fewest edits, the first of them."""
     if not len(index.ids) or not texts:
@@ -161,8 +192,9 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     left = np.searchsorted(index.grams, hashes[hit], "left")
     count = np.searchsorted(index.grams, hashes[hit], "right") - left
     hit, left, count = hit[count > 0], left[count > 0], count[count > 0]
+    best: dict[tuple[int, int], tuple[int, int, int]] = _short_matches(index, joined, first)
     if not len(hit):
-        return []
+        return [(t, i, *found) for (t, i), found in sorted(best.items())]
     entry = np.repeat(left, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at, item = np.repeat(hit, count), index.item[entry]
     owner = np.searchsorted(first, at, "right") - 1
@@ -175,7 +207,6 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     keys, hits = np.unique(np.concatenate([key, key - 1]), return_counts=True)
     pair = keys // span
     keep = hits >= index.needed[pair % len(index.ids)]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for p, b in zip(pair[keep].tolist(), (keys[keep] % span + lowest).tolist(), strict=True):
         t, i = divmod(p, len(index.ids))
         if (t, i) in best and best[t, i][0] == 0:
@@ -191,7 +222,7 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        overlap = 2 * index.longest
+        overlap = 2 * index.longest + 1
         for batch in batches:
             rows: dict[tuple[int, int], tuple] = {}
             held: list[tuple[int, int, str]] = []
@@ -225,27 +256,32 @@ def _scan(shared):
 
 
 def _blocks(benchmark: DataFrame, q: int, share: float, min_chars: int, block_chars: int):
-    """The broadcast indexes of the benchmark's blocks, each of about ``block_chars`` characters, built one after the other."""
+    """(number of blocks, broadcast index) of the benchmark's blocks, each of about ``block_chars`` characters, built one after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, share, min_chars))
+        yield blocks, benchmark.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, share, min_chars))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = MAX_EDIT_SHARE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, end) for every text and item that stands in it within the edit budget.
 
     An item of n characters may differ in ``share`` of them, A-Z in either case and any blank for
-    any other; start and end are code points of the text. Items without text, or of fewer than
-    ``min_chars`` characters, are no passages and match nothing. Of several places of an item in a
-    text the one of fewest edits, then the first, is given. Texts without a match give no row; null
-    and empty texts match nothing. Repeated rows are matched alike.
+    any other; start and end are code points of the text. Items of fewer than q characters match
+    exactly, as whole words. Items without text or of blanks only, or of fewer than ``min_chars``
+    characters, are no passages and match nothing. Of several places of an item in a text the one of
+    fewest edits, then the first, is given. Texts without a match give no row; null and empty texts
+    match nothing. Repeated rows are matched alike, with a doc_id or without. An empty benchmark or an
+    empty table gives no rows. Of several blocks, each one's matches are written before the next is built.
     """
     texts, out = text_of(docs), None
-    for shared in _blocks(benchmark, q, share, min_chars, block_chars):
+    for blocks, shared in _blocks(benchmark, q, share, min_chars, block_chars):
         found = texts.mapInArrow(_scan(shared), "doc_id long, item_id long, edits int, start int, end int")
+        if blocks > 1:
+            found = materialize(found, "matches")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -262,11 +298,18 @@ def _drop(shared):
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = MAX_EDIT_SHARE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, that no item of the benchmark stands in; row by row, so ids may be null or repeat."""
-    for shared in _blocks(benchmark, q, share, min_chars, block_chars):
+    """The rows of ``docs``, all columns, that no item of the benchmark stands in; row by row, so ids may be null or repeat.
+
+    Of several blocks, the rows that each one leaves are written before the next is built.
+    """
+    for blocks, shared in _blocks(benchmark, q, share, min_chars, block_chars):
         docs = docs.mapInArrow(_drop(shared), docs.schema)
+        if blocks > 1:
+            docs = materialize(docs, "left")
+            shared.unpersist()
     return docs
 
 
 def op10_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, start, end) of every benchmark passage in every whole text; see ``contamination`` for nulls, ties and repeated rows."""
     return contamination(documents, benchmark)
