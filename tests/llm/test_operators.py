@@ -195,13 +195,31 @@ def test_token_counts_of_prefixes(spark):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rnd = random.Random(1)
-    bits = ["a", "the", " ", "  ", "\n", "'", "'re", "'ll", "é", "1", "!", "...", "<|endoftext|>", "日本", "🙂", "\u00a0", " 's", "internationalisation"]
+    bits = ["a", "the", " ", "  ", "\n", "'", "'re", "'ll", "é", "1", "!", "...", "<|endoftext|>", "日本", "🙂", "\u00a0", " 's", "internationalisation", "\x1c", "!!<|endoftext|>"]
     rows = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 20)))) for k in range(120)]
-    out = token_counts.prefix_token_counts(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    texts = dict(rows)
-    for r in out.collect():
-        x = texts[r["doc_id"]]
-        assert r["prefix_counts"] == [len(t.encode(x[:k], add_special_tokens=False).ids) for k in range(len(x) + 1)]
+    for limit in (0, 3, 9):
+        out = token_counts.prefix_token_counts(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit)
+        texts = dict(rows)
+        for r in out.collect():
+            x = texts[r["doc_id"]]
+            want = [len(t.encode(x[:k], add_special_tokens=False).ids) for k in range(len(x) + 1)]
+            assert r["prefix_counts"] == want
+            assert r["limit_chars"] == max(k for k, n in enumerate(want) if n <= limit) and r["over_limit"] == (want[-1] > limit)
+
+
+def test_ascii_form_of_patterns():
+    import re
+
+    import regex
+
+    from corploom.llm.common import ascii_form
+
+    plain, general = re.compile(ascii_form(public_tokenizers.PATTERN)), regex.compile(public_tokenizers.PATTERN)
+    rnd = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab 1 '  \t\n\r\x0b\x0c\x1c\x1f!.-_sl") for _ in range(rnd.randint(0, 14)))
+        assert plain.findall(text) == general.findall(text)
+    assert ascii_form(r"\w+") is None
 
 
 # 4 toxicity
@@ -224,6 +242,41 @@ def test_toxicity_places_and_odd_rows(spark):
     assert {r["predicted"] for r in toxicity.op4_toxicity(docs_of(spark, rows), empty).collect()} == {0}
 
 
+def test_toxicity_by_brute_force(spark, sf):
+    import math
+    import re
+
+    rnd = random.Random(2)
+    weights = {w: rnd.uniform(-3, 4) for w in ("the", "and", "thing", "ereat*", "é", "cat", "a")}
+    model = toxicity.MilModel(weights, -2.5)
+    rows = [*ODD, (31, "The cat. the THING and!\n\n?a."), (32, "ereation ereatoon! x"), *texts_of(sf, spark)]
+
+    def brute(text):
+        none = 1.0
+        for s in re.split(r"[.!?\n]", (text or "").lower()):
+            words = set(re.findall(r"\w+", s))
+            words |= {w[:5] + "*" for w in words if len(w) > 5}
+            if s:
+                none *= 1 - 1 / (1 + math.exp(-(-2.5 + sum(weights.get(w, 0) for w in words))))
+        return 1 - none
+
+    got = sorted([(r["doc_id"], r["score"]) for r in toxicity.toxicity_scores(docs_of(spark, rows), model).collect()], key=repr)
+    want = sorted([(i, brute(t)) for i, t in rows], key=repr)
+    assert sorted(map(repr, [i for i, _ in got])) == sorted(map(repr, [i for i, _ in want]))
+    by = lambda pairs: sorted((repr(i), round(x, 9)) for i, x in pairs)
+    assert by(got) == by(want)
+
+
+def test_toxicity_fit_is_the_maximum_and_bounded(spark):
+    rows = [(k, "plain words here. " * 3 + ("foul stuff" if k % 3 == 0 else "fine stuff")) for k in range(300)]
+    docs = docs_of(spark, rows + [(k, "zzz another text of the id") for k in range(0, 30, 3)])
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights["foul"] > 2 > model.weights.get("stuff", 0)
+    few = toxicity.training_rows(docs, labels, 20, 30, 500).collect()
+    assert all(sum(len(r["text"]) for r in few if r["toxic"] == t) <= 500 for t in (True, False)) and 0 < len(few) < 50
+
+
 # 5 byte-level BPE
 @pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 10), (64, 24), (32, 10)])
 def test_bpe_codec(spark, sf, chunk, overlap):
@@ -311,6 +364,43 @@ def test_links_are_complete_for_any_number_of_blocks():
             assert any((a & m % (1 << 64)) == (b & m % (1 << 64)) for m in masks)
 
 
+@pytest.mark.parametrize("op", ["op1", "op2", "op3", "op4", "op5", "op6", "op8", "op9", "op10"])
+def test_operators_on_no_rows_and_no_benchmark(spark, op):
+    docs, odd = docs_of(spark, []), docs_of(spark, ODD)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    run = {
+        "op1": quality.op1_quality_rules, "op2": pii.op2_pii, "op3": token_counts.op3_token_counts, "op4": lambda d: toxicity.op4_toxicity(d, labels), "op5": bpe_codec.op5_bpe_codec,
+        "op6": licenses.op6_license_scan, "op8": simhash.op8_simhash, "op9": substring_dedup.op9_substring_dedup, "op10": lambda d: decontaminate.op10_decontaminate(d, bench),
+    }[op]
+    assert run(docs).count() == 0
+    assert run(odd).count() == (0 if op == "op10" else len(ODD))
+
+
+def test_very_long_texts(spark):
+    """Beyond a chunk, a slice, a block of shingles and a part of a scan."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    words = ["%s%d" % (rnd.choice("abcdefghij"), rnd.randrange(900)) for _ in range(420_000)]
+    item = "the quick brown fox of the benchmark jumps over a lazy dog"
+    text = " ".join(words[:300_000]) + " " + item.upper() + " " + " ".join(words[300_000:])
+    docs = docs_of(spark, [(1, text), (2, "short text")])
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = len(t.encode(text, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe_codec.op5_bpe_codec(docs).collect()}[1] == n
+    got = {r["doc_id"]: r for r in token_counts.op3_token_counts(docs).collect()}[1]
+    assert got["n_tokens"] == n and len(t.encode(text[: got["limit_chars"]], add_special_tokens=False).ids) <= 1024 < len(t.encode(text[: got["limit_chars"] + 1], add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.op8_simhash(docs).collect()}[1] == f"{brute_fingerprint(text):016x}"
+    hit = decontaminate.op10_decontaminate(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["edits"], text[r["start"] : r["end"]].lower()) for r in hit] == [(1, 5, 0, item)]
+    assert {r["doc_id"]: r["n_words"] for r in quality.op1_quality_rules(docs).collect()}[1] == len(text.split())
+
+
+def test_url_filter_on_no_rows(spark):
+    assert url_filter.op7_url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 # 9 repeated passages
 def brute_repeats(rows, window=20):
     """Different texts of one doc_id are documents of their own, in the order of a hash of the text."""
@@ -384,7 +474,7 @@ def test_decontaminate(spark):
     rnd = random.Random(8)
     letters = "abcdefghij klmno"
     word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
-    items = [(k, word(rnd.randint(32, 120))) for k in range(12)] + [(50, None), (51, "short")]
+    items = [(k, word(rnd.randint(32, 120))) for k in range(8)] + [(k, word(rnd.randint(8, 31))) for k in range(8, 12)] + [(50, None), (51, "shorts"), (52, "  "), (53, "")]
     rows = list(ODD)
     for k in range(80):
         i, t = rnd.choice(items[:12])
@@ -399,6 +489,7 @@ def test_decontaminate(spark):
             else:
                 edited.insert(p, rnd.choice(letters))
         rows.append((100 + k, word(rnd.randint(0, 60)) + "".join(edited).upper() + word(rnd.randint(0, 60))))
+    rows += [(300, "ab SHORTS. cd"), (301, "shortsy"), (302, "xshorts"), (303, "shorts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     index = decontaminate.build_index([x for x in items if x[1]])
     budget = dict(zip(index.ids.tolist(), index.edits.tolist(), strict=True))
@@ -408,6 +499,7 @@ def test_decontaminate(spark):
             e = brute_edits(pattern.lower(), (t or "").lower()) if t and len(t) < 1000 else 999
             if e <= budget[item]:
                 want.append((i, item, e))
+    want += [(300, 51, 0), (303, 51, 0)]
     out = decontaminate.contamination(docs_of(spark, rows), bench).cache()
     assert rows_of(out, "doc_id", "item_id", "edits") == sorted(want, key=repr) and len(want) > 20
     texts = dict(rows)
