@@ -297,12 +297,133 @@ def test_bpe_codec(spark, sf, chunk, overlap):
 
 
 # 6 licences
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD3 = """Copyright 2019 The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation, either version %s of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute.
+"""
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}\n" for line in text.split("\n"))
+
+
+LICENCES = {
+    40: ("MIT", "Ab cd. Released under the MIT License. Ef."),
+    41: ("MIT", MIT),
+    42: ("MIT", commented(MIT, "//") + "int main() {}\n"),
+    43: ("BSD-3-Clause,LicenseRef-AllRightsReserved", BSD3),
+    44: ("BSD-3-Clause,LicenseRef-AllRightsReserved", commented(BSD3, "#")),
+    45: ("BSD-2-Clause,LicenseRef-AllRightsReserved", BSD3[: BSD3.index("3. ")] + BSD3[BSD3.index("THIS SOFTWARE") :]),
+    46: ("GPL-3.0-or-later", GPL % ("", "3")),
+    47: ("GPL-2.0-or-later", commented(GPL % ("", "2"), " *")),
+    48: ("AGPL-3.0-or-later", GPL % ("Affero ", "3")),
+    49: ("LGPL-2.1-or-later", GPL % ("Lesser ", "2.1")),
+    50: ("Apache-2.0", commented(APACHE, "--")),
+    51: ("ISC", ISC),
+    52: ("0BSD", ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")),
+    53: ("Zlib", ZLIB),
+    54: ("MPL-2.0", commented(MPL, ";")),
+    55: ("BSL-1.0", BOOST),
+    56: ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    57: ("Apache-2.0,LicenseRef-AllRightsReserved", "Licensed under the Apache License, Version 2.0.\nAll rights reserved."),
+    58: ("MIT", "// SPDX-License-Identifier: MIT\nfn main() {}"),
+    59: ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    60: ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    61: ("", "We asked permission. The licence of the driver was redistributed as is."),
+    62: ("Apache-2.0,MIT", MIT + "\n\n" + APACHE),
+}
+
+
 def test_license_scan(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this.\nThe above copyright notice and this permission notice shall be included in all copies.\nThe software is provided \"as is\", without warranty of any\nkind, express or implied."
-    rows = [*ODD, (40, "Ab cd. Released under the MIT License. Ef."), (41, mit), (42, "Licensed under the Apache License, Version 2.0.\nAll rights reserved.")]
-    got = {r["doc_id"]: r for r in licenses.op6_license_scan(docs_of(spark, rows)).collect()}
-    assert (got[40]["licenses"], got[41]["licenses"], got[41]["sentence_ids"]) == ("MIT", "MIT", "MitGrant,MitNotice,MitAsIs")
-    assert got[42]["licenses"] == "Apache-2.0,LicenseRef-AllRightsReserved" and got[9002]["licenses"] == ""
+    import duckdb
+
+    rows = [*ODD, *((k, t) for k, (_, t) in LICENCES.items())]
+    out = licenses.op6_license_scan(docs_of(spark, rows))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {k: got[k]["licenses"] for k in LICENCES} == {k: ",".join(sorted(n.split(","), key=[x for x, _ in licenses.RULES].index)) if n else "" for k, (n, _) in LICENCES.items()}
+    assert got[41]["sentence_ids"] == "Copyright,MitGrant,MitNotice,MitAsIs" and got[41]["unmatched"] == "Copyright" and got[9002]["licenses"] == ""
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    columns = ("doc_id", "n_known", "sentence_ids", "licenses", "unmatched")
+    assert rows_of(out, *columns) == sorted(con.sql(licenses.OP6_SQL).fetchall(), key=repr)
 
 
 # 7 URL filters
