@@ -45,8 +45,10 @@ def _similarity(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("tile", [64, 2])
-def test_near_copies_go_and_others_stay(spark, tile):
+@pytest.mark.parametrize("tile,leaders", [(64, 32), (2, 32), (2, 1)])
+def test_near_copies_go_and_others_stay(spark, tile, leaders, monkeypatch):
+    monkeypatch.setattr(near_copies, "LEADERS", leaders)
+    monkeypatch.setattr(near_copies, "PART", 3)
     rnd = random.Random(4)
     rows = []
     for g in range(12):
