@@ -14,21 +14,25 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(a: Column) -> Column:
-    """exp(x - max) over its sum."""
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    """exp(x - max) over its sum; maximum and sum are computed once for a vector."""
+    shifted = lambda top: F.transform(a, lambda x: F.exp(x - top))
+    return bound(F.array_max(a), lambda top: bound(shifted(top), lambda s: bound(total(s), lambda t: F.transform(s, lambda x: x / t))))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    lse = top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
-    return F.transform(a, lambda x: x - lse)
+    rest = lambda top: F.log(F.aggregate(a, F.lit(0.0), lambda t, x: t + F.exp(x - top)))
+    return bound(F.array_max(a), lambda top: bound(top + rest(top), lambda lse: F.transform(a, lambda x: x - lse)))
 
 
 def rms_norm(a: Column, eps: float = 1e-5) -> Column:
-    scale = F.sqrt(total(F.transform(a, lambda x: x * x)) / F.size(a) + F.lit(eps))
-    return F.transform(a, lambda x: x / scale)
+    scale = F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x) / F.size(a) + F.lit(eps))
+    return bound(scale, lambda s: F.transform(a, lambda x: x / s))
 
 
 def l2_norm(a: Column) -> Column:

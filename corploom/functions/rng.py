@@ -38,6 +38,10 @@ class Rng:
         s[3] = _rotate(s[3], 45)
         return out
 
+    def fork(self, stream: int) -> Rng:
+        """A generator of its own for a numbered stream; takes one number of this one."""
+        return Rng(self.next() ^ (stream * 0x9E3779B97F4A7C15 & MASK))
+
     def below(self, n: int) -> int:
         """Uniform below n: the high half of a product, drawn again where the low half would favour some results."""
         if n <= 0:

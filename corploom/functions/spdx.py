@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 MAX_BYTES, MAX_DEPTH = 1024, 16
 
-#: Permissive and weak copyleft identifiers that the default policy accepts.
+#: Identifiers that the default policy accepts, permissive ones and weak copyleft.
 ALLOWED = (
-    "0BSD Apache-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSL-1.0 BlueOak-1.0.0 CC0-1.0 ISC MIT MIT-0 "
-    "NCSA PostgreSQL Python-2.0 Unicode-3.0 Unicode-DFS-2016 Unlicense WTFPL Zlib MPL-2.0 EPL-2.0 CDDL-1.0 "
-    "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"
+    "0BSD Apache-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSL-1.0 CC0-1.0 curl HPND ISC Libpng MIT MIT-0 NCSA PSF-2.0 "
+    "Python-2.0 Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 WTFPL X11 Zlib "
+    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception"
 ).split()
 
 TOKEN = re.compile(r"\s*([()]|[^\s()]+)")
@@ -99,6 +99,10 @@ def verdict(text: str | None, allowed=frozenset(map(canonical, ALLOWED)), allow_
     except ValueError as error:
         return Verdict(False, str(error))
 
+    def joined(reasons) -> str:
+        """The reasons in order, one that follows itself once."""
+        return "; ".join(r for k, r in enumerate(reasons) if not k or reasons[k - 1] != r)
+
     def judge(node) -> Verdict:
         if node[0] == "id":
             name, exception = node[1], node[2]
@@ -110,8 +114,32 @@ def verdict(text: str | None, allowed=frozenset(map(canonical, ALLOWED)), allow_
         found = [judge(n) for n in node[1]]
         if node[0] == "or":
             ok = any(v.accepted for v in found)
-            return Verdict(ok, "" if ok else "; ".join(dict.fromkeys(v.reason for v in found)))
+            return Verdict(ok, "" if ok else joined([v.reason for v in found]))
         bad = [v.reason for v in found if not v.accepted]
-        return Verdict(not bad, "; ".join(dict.fromkeys(bad)))
+        return Verdict(not bad, joined(bad))
 
     return judge(tree)
+
+
+def display(node, inside: str = "") -> str:
+    """An expression as text again: AND within OR needs no parentheses, OR within AND does."""
+    if node[0] == "id":
+        return node[1] + (f" WITH {node[2]}" if node[2] else "")
+    text = f" {node[0].upper()} ".join(display(n, node[0]) for n in node[1])
+    return f"({text})" if inside == "and" and node[0] == "or" or inside == node[0] else text
+
+
+def judged(rows, column: str = "license", allowed: tuple[str, ...] = tuple(ALLOWED), allow_unlicensed: bool = False):
+    """``rows`` with ``accepted`` and ``reason``: distinct expressions are judged once each, in an Arrow map, and joined back. A null has no expression."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    names = frozenset(map(canonical, allowed))
+
+    def run(batches):
+        for batch in batches:
+            found = [verdict(x, names, allow_unlicensed) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.accepted for v in found], pa.bool_()), pa.array([v.reason for v in found], pa.string())], names=["__license", "accepted", "reason"])
+
+    known = rows.select(F.col(column).alias("__license")).distinct().mapInArrow(run, "__license string, accepted boolean, reason string")
+    return rows.join(known, rows[column].eqNullSafe(known["__license"])).drop("__license")

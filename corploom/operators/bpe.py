@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ PATTERNS = {
     "cl100k_like": r"[^\r\n\p{IsAlphabetic}0-9]?\p{IsAlphabetic}+|[0-9]{1,3}| ?[^\p{IsWhite_Space}\p{IsAlphabetic}0-9]+[\r\n]*|\p{IsWhite_Space}*[\r\n]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+",
     "code_shell": "\\x1b\\[[0-?]*[ -/]*[@-~]|\\x1b|" + r"[^\r\n\p{IsAlphabetic}0-9_]?[\p{IsAlphabetic}_]+|[0-9]{1,3}| ?[^\p{IsWhite_Space}\p{IsAlphabetic}0-9_\x1b]+[\r\n]*|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+",
 }
+#: Distinct pieces that are learnt from on the driver; of more, each merge is a round over their table.
 MAX_DISTINCT = 2_000_000
 
 
@@ -76,9 +78,68 @@ def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
 
 
 def learn_from(docs: DataFrame, merges: int, config: str = "code_shell", min_frequency: int = 2, max_distinct: int = MAX_DISTINCT) -> list[tuple[int, int]]:
-    """Learns from all texts. Distinct pieces go to the driver, the most frequent ``max_distinct`` at most (a documented bound)."""
-    rows = piece_counts(docs, config).orderBy(F.desc("n"), "piece").limit(max_distinct).collect()
-    return learn([(r["piece"].encode(), r["n"]) for r in rows], merges, min_frequency)
+    """Learns from all pieces of all texts, on the driver or, of more than ``max_distinct`` pieces, in rounds; the merges are the same."""
+    counts = piece_counts(docs, config)
+    rows = counts.limit(max_distinct + 1).collect()
+    if len(rows) <= max_distinct:
+        return learn(sorted((r["piece"].encode(), r["n"]) for r in rows), merges, min_frequency)
+    return learn_rounds(counts, merges, min_frequency)
+
+
+def learn_rounds(counts: DataFrame, merges: int, min_frequency: int = 2, keep: int = 20) -> list[tuple[int, int]]:
+    """``learn`` without the driver: pairs are counted over the table of pieces, the best one is merged in all of them.
+
+    Every ``keep`` rounds the table is checkpointed in the shared folder of ``spark.checkpoint.dir``.
+    """
+    words = counts.select(F.transform(F.split(F.hex(F.encode("piece", "utf-8")), "(?<=\\G..)(?!$)"), lambda x: F.conv(x, 16, 10).cast("int")).alias("ids"), "n").where(F.size("ids") > 1)
+    found: list[tuple[int, int]] = []
+    words = words.checkpoint()
+    while len(found) < merges:
+        pairs = words.select(F.explode(F.zip_with(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", 2, F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"), "n")
+        best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+        if best is None or best["n"] < min_frequency:
+            break
+        found.append((best["a"], best["b"]))
+        words = words.mapInArrow(_merge_all(best["a"], best["b"], 255 + len(found)), "ids array<int>, n long").where(F.size("ids") > 1)
+        if len(found) % keep == 0:
+            words = words.checkpoint()
+    return found
+
+
+def _merge_all(a: int, b: int, new: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ids in batch.column("ids").to_pylist():
+                if a in ids:
+                    merged, i = [], 0
+                    while i < len(ids):
+                        if ids[i] == a and i + 1 < len(ids) and ids[i + 1] == b:
+                            merged.append(new)
+                            i += 2
+                        else:
+                            merged.append(ids[i])
+                            i += 1
+                    ids = merged
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column("n")], names=["ids", "n"])
+
+    return run
+
+
+def decode(encoded: DataFrame, piece: dict[int, bytes]) -> DataFrame:
+    """(doc_id, raw, error): the bytes of (doc_id, ids); an id that the vocabulary lacks gives an error and no bytes."""
+
+    def run(batches):
+        for batch in batches:
+            raw, errors = [], []
+            for ids in batch.column("ids").to_pylist():
+                unknown = next((i for i in ids or () if i not in piece), None)
+                raw.append(None if unknown is not None else b"".join(piece[i] for i in ids or ()))
+                errors.append(f"unknown token {unknown}" if unknown is not None else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "raw", "error"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary, error string")
 
 
 def encode_piece(piece: bytes, rank: dict[tuple[int, int], int]) -> list[int]:
@@ -104,8 +165,6 @@ def encode(docs: DataFrame, merges: list[tuple[int, int]], config: str = "code_s
     shared = docs.sparkSession.sparkContext.broadcast({pair: r for r, pair in enumerate(merges)})
 
     def run(batches):
-        import pyarrow as pa
-
         rank, known = shared.value, {}
         for batch in batches:
             if len(known) > 200_000:

@@ -2,34 +2,106 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import Rng
+from .windows import number_part
 
+#: Sequences of one epoch that are shuffled as one.
+MAX_SEQUENCES = 50_000_000
 
-def greedy_shards(docs: DataFrame, size: str, order: str, target: int) -> DataFrame:
-    """Adds ``shard``: in order, a shard is closed once it has ``target`` or more; the next row opens a new one.
 
-    The fold has a carry from row to row, so it runs over (order, size) alone, sorted, as one
-    stream through one task that holds one batch at a time; the texts never pass through it.
+def _chains(size: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, closed, filled) of one block: running sums, and for each row, from a shard that opens with it, the shards closed and the last one's filling at the block's end."""
+    n, sums = len(size), np.concatenate([[0], np.cumsum(size)])
+    # the row with which a shard that opens with row i is full
+    full = np.searchsorted(sums[1:], sums[:-1] + target, "left")
+    closed, filled = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        nxt = full[i] + 1
+        closed[i], filled[i] = (closed[nxt] + 1, filled[nxt]) if nxt <= n else (0, sums[n] - sums[i])
+    return sums, closed, filled
+
+
+def _blocks(batches, run):
+    """``run`` on the columns (block, ord, size) of each block; batches are sorted by block, which may go on over several."""
+    held: list[tuple] = []
+    for batch in batches:
+        block, order, size = (batch.column(c).to_numpy() for c in ("block", "ord", "size"))
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for b, o, s in zip(np.split(block, cuts), np.split(order, cuts), np.split(size, cuts), strict=True):
+            if not len(b):
+                continue
+            if held and held[0][0] != b[0]:
+                yield run(held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2)))
+                held = []
+            held.append((b[0], o, s))
+    if held:
+        yield run(held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2)))
+
+
+def greedy_shards(docs: DataFrame, size: str, order: str, target: int, blocks: int = 4096) -> DataFrame:
+    """(ord, size, shard): in order, a shard is closed once it has ``target`` or more; the next row opens a new one.
+
+    The fold has a carry from row to row: how full the open shard is. Each of ``blocks`` ranges of the order
+    is summed up, in parallel, by what becomes of any filling that comes into it: a step function with a
+    step for each row that can fill the first shard. Those tables alone are folded in order in one task;
+    then each block is folded in parallel from the filling that it gets. Rows of size 0 or less are left out.
     """
+    slim = docs.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size")).where("size > 0")
+    dealt = slim.withColumn("block", number_part(slim, "ord", blocks)).repartition("block").sortWithinPartitions("block", "ord")
+
+    def steps(batches):
+        def run(block, _, sizes):
+            sums, closed, filled = _chains(sizes, target)
+            # a filling f with target - sums[k + 1] <= f < target - sums[k] is full with row k
+            last = int(np.searchsorted(sums[1:], target, "left"))
+            rows = np.arange(min(last + 1, len(sizes)))
+            least = np.maximum(target - sums[rows + 1], 0)
+            done, left = 1 + closed[rows + 1], filled[rows + 1]
+            keep = np.concatenate([(done[1:] != done[:-1]) | (left[1:] != left[:-1]), [True]])  # of equal steps the least filling
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(block)]), pa.array([int(sums[-1])]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (least[keep], done[keep], left[keep]))],
+                names=["block", "total", "least", "closed", "filled"],
+            )
+
+        yield from _blocks(batches, run)
 
     def fold(batches):
-        import pyarrow as pa
+        shard = filling = 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                out.append((row["block"], shard, filling))
+                found = [k for k, least in enumerate(row["least"]) if filling >= least]  # least falls from step to step
+                if found:
+                    shard, filling = shard + row["closed"][found[0]], row["filled"][found[0]]
+                else:
+                    filling += row["total"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["block", "shard", "filling"])
+
+    tables = dealt.mapInArrow(steps, "block long, total long, least array<long>, closed array<long>, filled array<long>")
+    entries = tables.repartition(1).sortWithinPartitions("block").mapInArrow(fold, "block long, shard long, filling long")
 
-        shard = filled = 0
+    def assign(batches):
+        last, shard, filling = None, 0, 0
         for batch in batches:
             out = []
-            for n in batch.column("size").to_pylist():
+            for block, size, first, before in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "shard", "filling")), strict=True):
+                if block != last:
+                    last, shard, filling = block, first, before
                 out.append(shard)
-                filled += n
-                if filled >= target:
-                    shard, filled = shard + 1, 0
+                filling += size
+                if filling >= target:
+                    shard, filling = shard + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("size"), pa.array(out, pa.int64())], names=["ord", "size", "shard"])
 
-    slim = docs.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size")).where("size > 0")
-    return slim.repartition(1).sortWithinPartitions("ord").mapInArrow(fold, "ord long, size long, shard long")
+    # one row for each block; the join leaves rows where they are
+    folded = dealt.join(F.broadcast(entries), "block").sortWithinPartitions("block", "ord")
+    return folded.select("block", "ord", "size", "shard", "filling").mapInArrow(assign, "ord long, size long, shard long")
 
 
 def windows(shards: DataFrame, length: int) -> DataFrame:
@@ -40,10 +112,33 @@ def windows(shards: DataFrame, length: int) -> DataFrame:
 
 
 def epoch_batches(spark, n: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
-    """(epoch, index, row, sequence): a seeded permutation of n sequences in batches from batch ``start`` on; the remainder is dropped."""
-    order = Rng(seed ^ (epoch * 0x9E3779B97F4A7C15)).permutation(n)
-    rows = [(epoch, k // batch, k % batch, s) for k, s in enumerate(order[: n - n % batch]) if k // batch >= start]
-    return spark.createDataFrame(rows, "epoch long, index long, row long, sequence long")
+    """(epoch, index, row, sequence): a seeded permutation of n sequences in batches from batch ``start`` on; the remainder is dropped.
+
+    The shuffle is one chain of draws, each of which depends on the one before, so it runs in one
+    task and holds n numbers there, at most ``MAX_SEQUENCES``; the sequences themselves are joined to its rows.
+    """
+    if n > MAX_SEQUENCES:
+        raise ValueError(f"{n} sequences; at most {MAX_SEQUENCES} are shuffled as one")
+
+    def run(batches):
+        for _ in batches:
+            order = Rng(seed).fork(epoch).permutation(n)
+            for at in range(start * batch, n - n % batch, 100_000):
+                part = np.arange(at, min(at + 100_000, n - n % batch))
+                columns = (np.full(len(part), epoch), part // batch, part % batch, np.array(order[at : at + len(part)], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["epoch", "index", "row", "sequence"])
+
+    return spark.range(1).repartition(1).mapInArrow(run, "epoch long, index long, row long, sequence long")
+
+
+def batches_of(shards: DataFrame, length: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
+    """(epoch, index, row, inputs, targets): the windows of shards(shard, tokens), numbered by shard and place, in the order of an epoch."""
+    ends = sequence_ends(shards, length)
+    n = ends.agg(F.coalesce(F.max("ends"), F.lit(0))).first()[0]
+    order = epoch_batches(shards.sparkSession, n, batch, seed, epoch, start)
+    numbered = windows(shards, length).join(ends.select("shard", (F.col("ends") - F.col("sequences")).alias("first")), "shard")
+    numbered = numbered.select((F.col("first") + F.col("i")).alias("sequence"), "inputs", "targets")
+    return order.join(numbered, "sequence").select("epoch", "index", "row", "inputs", "targets")
 
 
 def sequence_ends(shards: DataFrame, length: int) -> DataFrame:

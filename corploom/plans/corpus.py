@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import spdx
 from ..functions.rng import Rng
 from ..operators import bpe, packing, scrub
-from ..session import table
+from ..session import spread, table
 from ..sources import manifest, shards
 from .registry import query
 from .tables import sql_query
 
-# -- notices: a line and its label; boundaries spelt out, since the engines' \b differ ------------
+# -- notices: a line and its label; \b is that of ASCII words in both dialects -------------------
 
 #: Label -> pattern.
 NOTICES = (
-    ("notice_all_rights", "all rights reserved"),
-    ("notice_proprietary", "proprietary"),
-    ("notice_noncommercial", "non-?commercial|by-nc"),
-    ("notice_personal_use", "(personal|educational) use only|for personal (or|and) educational use"),
-    ("notice_permission", "without (the )?(prior |express )?(written )?permission|written permission"),
-    ("notice_may_not", "may not be (used|copied|reproduced|distributed)"),
-    ("notice_no_license", "no licen[cs]e (is )?granted|not licen[cs]ed"),
-    ("notice_ai_training", "(train|training) (of )?(ai|artificial|machine|language) |not be used (to|for) train"),
+    ("notice_all_rights", r"\ball\s+rights\s+reserved\b"),
+    ("notice_proprietary", r"\bproprietary\b"),
+    ("notice_noncommercial", r"\bnon[- ]?commercial\b"),
+    ("notice_personal_use", r"\b(personal|private|educational|research|non-?profit)\s+(use|purposes?)\s+only\b|\bfor\s+(personal|educational|private)\s+use\b"),
+    ("notice_permission", r"\b(without|no)\s+(\w+\s+){0,2}permission\b|\bpermission\s+(is|has)\s+not\s+(been\s+)?granted\b"),
+    (
+        "notice_may_not",
+        r"\b(may|must|shall|can)\s*(not|n.t)\s+be\s+(used|copied|reproduced|redistributed|distributed|modified|sold|shared)\b"
+        r"|\bdo\s+not\s+(copy|redistribute|reproduce|reupload|re-upload|steal|reuse|use\s+this)\b|\b(not|never)\s+(allowed|permitted)\s+to\s+(copy|use|reuse|redistribute|modify)\b",
+    ),
+    ("notice_no_license", r"\bno\s+licen[sc]e\b[^.\n]{0,40}\b(granted|given|provided)\b|\bnot\s+licensed\b"),
+    (
+        "notice_ai_training",
+        r"\b(no|not|never|prohibit\w*|forbid\w*|forbidden|disallow\w*|banned?)\b[^.\n]{0,60}\b(ai|a\.i\.|machine[- ]learning|llms?|language\s+models?|generative)\b[^.\n]{0,40}\b(train\w*|scrap\w*|dataset\w*|corpus)\b"
+        r"|\b(train\w*|scrap\w*)\b[^.\n]{0,40}\b(ai|machine[- ]learning|llms?|language\s+models?)\b[^.\n]{0,40}\b(prohibit\w*|forbid\w*|forbidden|disallow\w*|not\s+(allowed|permitted))\b|\bdo\s+not\s+(train|scrape)\b",
+    ),
 )
+#: Lines that the queries put after some documents, since the tables hold few notices of their own.
+PLANTED = (
+    "This is proprietary code.", "For non commercial use.", "Personal use only, please", "no prior written permission", "It may not be sold by you", "No licence is hereby granted", "Do not train on this", "You must never use it for AI or model training",
+    "Scraping by LLMs is prohibited", "permission has not been granted", "never permitted to redistribute", "for private use",
+)
+_JAVA_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_CHOSEN = "CASE doc_id % 40 " + " ".join(f"WHEN {k} THEN '{line}'" for k, line in enumerate(PLANTED)) + " ELSE '' END"
+
+
+def notice_lines(docs, pattern: str):
+    """(doc_id, line_no, shown): lines of whole texts in which the pattern stands, in either case."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    hit = lines.where(F.col("line").rlike("(?i)" + pattern.replace(r"\b", _JAVA_B)))
+    return hit.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), F.substring(F.regexp_replace("line", "[ \t]+", " "), 1, 160).alias("shown"))
+
+
 for _name, _pattern in NOTICES:
-    _bounded = f"(?i)(^|[^A-Za-z0-9_])({_pattern})($|[^A-Za-z0-9_])"
-    sql_query(_name, f"SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, substr(regexp_replace(line, '[ \\\\t]+', ' '), 1, 160) AS shown FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {{documents}}) WHERE line RLIKE '{_bounded}'",
-              f"SELECT doc_id, i AS line_no, substr(regexp_replace(ls[i], '[ \\t]+', ' ', 'g'), 1, 160) AS shown FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {{documents}}) t, unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '{_bounded}')")
+    query(_name, f"SELECT doc_id, i AS line_no, substr(regexp_replace(ls[i], '[ \\t]+', ' ', 'g'), 1, 160) AS shown FROM (SELECT doc_id, string_split(text || chr(10) || {_CHOSEN}, chr(10)) AS ls FROM documents) t, unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '(?i){_pattern}')")(
+        lambda spark, d, p=_pattern: notice_lines(table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), F.expr(_CHOSEN)).alias("text")), p)
+    )
 sql_query("notice_decide", "SELECT d.doc_id, CASE WHEN NOT d.text LIKE '%All rights reserved%' THEN 'usable' WHEN l.doc_id IS NOT NULL THEN 'reviewed' ELSE 'flagged' END AS decision FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 
 # -- licences --------------------------------------------------------------------------------------
@@ -43,9 +68,7 @@ _ACCEPTED = {"MIT", "Apache-2.0 OR GPL-3.0-only", "(MIT OR Apache-2.0) AND Unico
 def _lic_verdict(spark, d):
     """Distinct expressions are judged once each and joined back."""
     rows = spark.createDataFrame([(k, e) for k, e in enumerate(_EXPRESSIONS)], "ord int, license string")
-    judge = F.udf(lambda e: (lambda v: (v.accepted, v.reason))(spdx.verdict(e)), "struct<accepted:boolean,reason:string>")
-    judged = rows.select("license").distinct().withColumn("v", judge("license"))
-    return rows.join(judged, "license").select("license", F.col("v.accepted").alias("accepted"))
+    return spdx.judged(rows).select("license", "accepted")
 
 
 query("lic_verdict", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', {str(e in _ACCEPTED).lower()})" for e in _EXPRESSIONS) + ") AS t(license, accepted)")(_lic_verdict)
@@ -60,27 +83,72 @@ sql_query("normalize_license", r"SELECT x, CASE WHEN n RLIKE '[()]| (AND|OR|WITH
 _SECRET = 'token = "([A-Za-z0-9+/=_-]{16,256})"'
 sql_query("scrub_generic_count", f"SELECT doc_id, CAST(size(regexp_extract_all(text, '{_SECRET}', 1)) AS BIGINT) AS n FROM {{documents}} WHERE text RLIKE '{_SECRET}'",
           f"SELECT doc_id, len(regexp_extract_all(text, '{_SECRET}')) AS n FROM {{documents}} WHERE regexp_matches(text, '{_SECRET}')")
-query("scrub_replace", f"SELECT doc_id, sha256(regexp_replace(text, '{_SECRET}', 'token = \"<redacted>\"', 'g')) AS digest FROM documents")(
-    lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(scrub.scrubbed(F.col("text")), 256).alias("digest"))
+_HEX = "sha2(concat('{k}', CAST(doc_id AS STRING)), 256)"
+_DUCK_HEX = "sha256('{k}' || doc_id::VARCHAR)"
+#: One line for each rule: what stands before the secret, the secret from a digest of the id, and what stands after.
+_LINES = (
+    *((rule, "x ", begin, "upper(translate({h}, '0189', 'QRST'))" if rule == "aws-access-key-id" else "{h}", "") for rule, begin, letters, _ in scrub.TOKENS),
+    ("jwt", "t=", "eyJ", "{h} || '.eyJ' || {h} || '.' || {h}", " é"),
+    ("private-key", "# ", "-----BEGIN RSA PRIVATE KEY-----", "chr(10) || {h} || chr(10) || {h} || chr(10) || '-----END RSA PRIVATE KEY-----'", ""),
+    ("url-password", "see ftp://ann:", "", "{h}", "@host.org/"),
+    ("auth-header", "Authorization: Bearer ", "", "{h}", ""),
+    (scrub.GENERIC, 'api_key := "', "", "{h}", '" # é'),
+)
+
+
+def _planted(digest: str, literal: str) -> str:
+    """(doc_id, rule, line, start, end) of one planted secret of each kind for every tenth document."""
+    cases = []
+    for k, (rule, before, begin, body, after) in enumerate(_LINES):
+        secret = f"('{begin}' || {body.format(h=digest.format(k=k))})"
+        cases.append(f"SELECT doc_id, '{rule}' AS rule, '{before}' || {secret} || '{after}' AS line, length('{before}')::{literal} AS start_at, (length('{before}') + length({secret}))::{literal} AS end_at FROM {{documents}} WHERE doc_id % 10 = 0")
+    return " UNION ALL ".join(cases)
+
+
+def _scrub_kinds(spark, d):
+    """Every planted secret is found where it stands, by its rule, and nothing else in its line."""
+    from .tables import views
+
+    lines = spark.sql(views(spark, d, _planted(_HEX, "BIGINT"))).select("doc_id", F.col("line").alias("text"))
+    return scrub.findings(lines).groupBy("doc_id", "rule", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at")).agg(F.count("*").alias("n"))
+
+
+query("scrub_kinds", f"SELECT doc_id, rule, start_at, end_at, count(*) AS n FROM ({_planted(_DUCK_HEX, 'BIGINT').replace('{documents}', 'documents')}) GROUP BY ALL")(_scrub_kinds)
+query("agg_findings_by_rule", f"SELECT rule, count(*) AS n FROM ({_planted(_DUCK_HEX, 'BIGINT').replace('{documents}', 'documents')}) GROUP BY rule")(
+    lambda spark, d: _scrub_kinds(spark, d).groupBy("rule").agg(F.sum("n").alias("n"))
 )
-query("scrub_find", f"SELECT 'generic-secret' AS rule, sum(len(regexp_extract_all(text, '{_SECRET}')))::BIGINT AS n FROM documents HAVING n > 0")(
-    lambda spark, d: table(spark, d, "documents").select(F.explode(scrub.findings(F.col("text"))).alias("f")).groupBy("f.rule").agg(F.sum("f.n").alias("n"))
+#: Assignments with one of the words, as the tables have them; the value must look random.
+_GENERIC = """
+WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[a-z0-9_-]*(?:secret|password|passwd|pwd|token|api_?key|api-key|access_?key|private_?key)[a-z0-9_-]*["'']?[ \t]*(?::=|=>|={1,3}|:)[ \t]*"[^ "\n\t]{16,256}"')) AS m FROM documents),
+w AS (SELECT doc_id, m, regexp_extract(m, '"([^ "\n\t]{16,256})"$', 1) AS value FROM v),
+c AS (SELECT doc_id, m, value, (SELECT sum(-n / length(value) * log2(n / length(value))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)) AS h FROM w WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+s AS (SELECT * FROM c WHERE h >= 3.5)
+"""
+query("scrub_replace", _GENERIC + """
+, r AS (SELECT doc_id, list_distinct(list(value)) AS vs FROM s GROUP BY doc_id)
+SELECT d.doc_id, sha256(CASE WHEN vs IS NULL THEN text ELSE list_reduce(list_prepend(text, vs), lambda t, v: replace(t, '"' || v || '"', '"<redacted>"')) END) AS digest FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+""")(lambda spark, d: scrub.scrub(spread(table(spark, d, "documents")).select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("digest")))
+query("scrub_find", _GENERIC + "SELECT doc_id, 'generic-secret' AS rule, count(*) AS n FROM s GROUP BY doc_id")(
+    lambda spark, d: scrub.findings(spread(table(spark, d, "documents"))).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+)
+query("scrub_without_generic", "SELECT doc_id, 0::BIGINT AS n FROM documents")(
+    lambda spark, d: scrub.scrub(spread(table(spark, d, "documents")).select("doc_id", "text"), generic=False, replace=False).select("doc_id", F.size("findings").cast("long").alias("n"))
 )
 
 # -- pieces and vocabularies -----------------------------------------------------------------------
 
 
 def _pretok(spark, d):
-    pieces = table(spark, d, "documents").select("doc_id", "text", bpe.pieces(F.col("text"), "gpt2_like").alias("p"))
+    pieces = spread(table(spark, d, "documents")).select("doc_id", "text", bpe.pieces(F.col("text"), "gpt2_like").alias("p"))
     return pieces.select("doc_id", F.octet_length(F.array_join("p", "")).cast("long").alias("piece_bytes"), (F.array_join("p", "") == F.col("text")).alias("lossless"))
 
 
 query("pretok_pieces", "SELECT doc_id, octet_length(encode(text)) AS piece_bytes, true AS lossless FROM documents")(_pretok)
-query("bpe_count")(lambda spark, d: bpe.piece_counts(table(spark, d, "documents")))
+query("bpe_count")(lambda spark, d: bpe.piece_counts(spread(table(spark, d, "documents"))))
 
 
 def _bpe_learn(spark, d):
-    merges = bpe.learn_from(table(spark, d, "documents"), 128)
+    merges = bpe.learn_from(spread(table(spark, d, "documents")), 128)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left int, right int")
 
 
@@ -91,13 +159,12 @@ query("bpe_textbook", "SELECT * FROM (VALUES (0, 101, 115), (1, 256, 116), (2, 1
 
 
 def _bpe_roundtrip(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     merges = bpe.learn_from(docs, 64)
     piece = {i: bytes([i]) for i in range(256)}
     for k, (a, b) in enumerate(merges):
         piece[256 + k] = piece[a] + piece[b]
-    decode = F.udf(lambda ids: bytearray(b"".join(piece[i] for i in ids)), "binary")
-    return bpe.encode(docs, merges).select("doc_id", F.sha2(decode("ids"), 256).alias("digest"))
+    return bpe.decode(bpe.encode(docs, merges), piece).select("doc_id", F.sha2("raw", 256).alias("digest"))
 
 
 query("bpe_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents")(_bpe_roundtrip)
@@ -112,9 +179,6 @@ s(shard, first, base) AS (SELECT 0::BIGINT, 1::BIGINT, 0::HUGEINT UNION ALL
   SELECT s.shard + 1, e.k + 1, e.upto FROM s, LATERAL (SELECT k, upto FROM d WHERE d.k >= s.first AND d.upto - s.base >= 200000 ORDER BY k LIMIT 1) e)
 SELECT d.ord, d.size, max(s.shard) AS shard FROM d JOIN s ON d.k >= s.first GROUP BY d.ord, d.size
 """)(lambda spark, d: packing.greedy_shards(table(spark, d, "documents").withColumn("size", F.col("n_chars") + 1), "size", "doc_id", 200_000))
-sql_query("seq_windows", "SELECT vec_id, CAST(i AS INT) AS i, CAST(array_sum[0] AS BIGINT) AS first_label FROM (SELECT vec_id, explode(sequence(0, (size(embedding) - 1) DIV 4 - 1)) AS i, array(label) AS array_sum FROM {embeddings})",
-          "SELECT vec_id, i::INT AS i, label::BIGINT AS first_label FROM {embeddings} t, unnest(range(0, (len(embedding) - 1) // 4)) u(i)")
-
 
 def _io_pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("shard"), F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"))
@@ -124,20 +188,71 @@ def _io_pairs(spark, d):
 
 
 query("io_pairs", "SELECT vec_id AS shard, i::INT AS i, list_sum(list_slice(t, i * 4 + 1, i * 4 + 4))::BIGINT AS inputs, list_sum(list_slice(t, i * 4 + 2, i * 4 + 5))::BIGINT AS targets FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 100::FLOAT)::INT) AS t FROM embeddings) s, unnest(range(0, (len(t) - 1) // 4)) u(i)")(_io_pairs)
-query("permute_epoch")(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1))
-query("batch_seek")(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1, start=5))
+
+
+def _epoch_sql(n: int, batch: int, seed: int, epoch: int, start: int) -> str:
+    """The generator and the shuffle in SQL: 64-bit words as wider numbers modulo 2**64, one row for each draw and each swap."""
+    m, golden = 1 << 64, 0x9E3779B97F4A7C15
+
+    def mixed(x: str) -> str:
+        a = f"(xor({x}, {x} // (1::UHUGEINT << 30)) * {0xBF58476D1CE4E5B9}::UHUGEINT % {m}::UHUGEINT)"
+        b = f"(xor({a}, {a} // (1::UHUGEINT << 27)) * {0x94D049BB133111EB}::UHUGEINT % {m}::UHUGEINT)"
+        return f"xor({b}, {b} // (1::UHUGEINT << 31))"
+
+    words = lambda s: ", ".join(f"{mixed(f'(({s} + {golden * (k + 1) % m}::UHUGEINT) % {m}::UHUGEINT)')} AS s{k}" for k in range(4))
+    rotated = lambda x, k: f"(({x} * (1::UHUGEINT << {k})) % {m}::UHUGEINT + {x} // (1::UHUGEINT << {64 - k}))"
+    value = f"({rotated(f'(s1 * 5 % {m}::UHUGEINT)', 7)} * 9 % {m}::UHUGEINT)"
+    return f"""
+WITH RECURSIVE a AS (SELECT {words(f"{seed}::UHUGEINT")}),
+f AS (SELECT xor({value}, {epoch * golden % m}::UHUGEINT) AS seed FROM a),
+g AS (SELECT {words("seed")} FROM f),
+r(i, s0, s1, s2, s3) AS (SELECT 0, s0, s1, s2, s3 FROM g UNION ALL
+  SELECT i + 1, xor(s0, xor(s3, s1)), xor(s1, xor(s2, s0)), xor(xor(s2, s0), (s1 * (1::UHUGEINT << 17)) % {m}::UHUGEINT), {rotated("xor(s3, s1)", 45)} FROM r WHERE i < {n - 2}),
+draws AS (SELECT i, ({value} * ({n} - i)::UHUGEINT // {m}::UHUGEINT)::INT AS j FROM r),
+p(i, l) AS (SELECT 0, range({n}) UNION ALL
+  SELECT p.i + 1, list_transform(l, lambda x, k: CASE k WHEN {n} - p.i THEN l[j + 1] WHEN j + 1 THEN l[{n} - p.i] ELSE x END) FROM p JOIN draws d ON d.i = p.i WHERE p.i < {n - 1})
+SELECT {epoch}::BIGINT AS epoch, (k // {batch})::BIGINT AS index, (k % {batch})::BIGINT AS row, l[k + 1]::BIGINT AS sequence FROM p, unnest(range({n - n % batch})) u(k) WHERE i = {n - 1} AND k // {batch} >= {start}
+"""
+
+
+query("permute_epoch", _epoch_sql(100, 8, 42, 1, 0))(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1))
+query("batch_seek", _epoch_sql(100, 8, 42, 1, 5))(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1, start=5))
 query("rng_next_u64", "SELECT * FROM (VALUES (0, 0, '99ec5f36cb75f2b4'), (0, 1, 'bf6e1f784956452a'), (0, 2, '1a5f849d4933e6e0'), (0, 3, '6aa594f1262d2d2c'), (42, 0, '15780b2e0c2ec716'), (42, 1, '6104d9866d113a7e'), (42, 2, 'ae17533239e499a1'), (42, 3, 'ecb8ad4703b360a1')) AS t(seed, i, value)")(
     lambda spark, d: spark.createDataFrame([(s, i, f"{v:016x}") for s in (0, 42) for r in [Rng(s)] for i, v in enumerate(r.next() for _ in range(4))], "seed int, i int, value string")
 )
 
 
+def _byte_tokens(spark, d):
+    """(shard, tokens): the bytes of each whole text and an end of text, 256."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = [[*(t or "").encode("utf-8"), 256] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(tokens, pa.list_(pa.int32()))], names=["shard", "tokens"])
+
+    return table(spark, d, "documents").select(F.col("doc_id").alias("shard"), "text").mapInArrow(run, "shard long, tokens array<int>")
+
+
 def _shard_roundtrip(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("shard"), F.transform(F.split(F.substring("source", 1, 8), ""), lambda c: F.ascii(c)).alias("tokens"))
-    back = shards.read_shards(shards.shard_files(rows, 300, 256))
-    return back.select("shard", F.size("tokens").cast("long").alias("n"), F.coalesce("error", F.lit("")).alias("error"))
+    back = shards.read_shards(shards.shard_files(_byte_tokens(spark, d), 300, 256))
+    return back.select("shard", F.size("tokens").cast("long").alias("n"), F.element_at("tokens", -1).alias("last"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+query("shard_roundtrip", "SELECT doc_id AS shard, octet_length(encode(text)) + 1 AS n, 256 AS last, '' AS error FROM documents")(_shard_roundtrip)
+query("seq_windows", "SELECT doc_id AS shard, i::INT AS i, octet_length(encode(text)) AS n, ascii(substr(text, (i * 128 + 1)::BIGINT, 1))::BIGINT AS first_token FROM documents, unnest(range(0, octet_length(encode(text)) // 128)) u(i) WHERE octet_length(encode(text)) = length(text) AND octet_length(encode(text)) >= 128")(
+    lambda spark, d: packing.windows(_byte_tokens(spark, d).where(~F.exists("tokens", lambda t: (t > 127) & (t < 256))), 128)
+    .join(_byte_tokens(spark, d).select("shard", (F.size("tokens") - 1).cast("long").alias("n")), "shard")
+    .select("shard", "i", "n", F.get("inputs", F.lit(0)).cast("long").alias("first_token"))
+)
+
+
+def _batches(spark, d):
+    """The batches of an epoch over all windows: how many bytes of each batch's targets are letters."""
+    made = packing.batches_of(_byte_tokens(spark, d), 128, 8, 42, 1)
+    return made.select("epoch", "index", "row", F.size("inputs").cast("long").alias("n"), F.sha2(F.array_join("inputs", " "), 256).alias("digest"))
 
 
-query("shard_roundtrip", "SELECT doc_id AS shard, length(source) AS n, '' AS error FROM documents")(_shard_roundtrip)
+query("batch_next")(_batches)
 
 
 def _manifest(spark, d):
@@ -155,8 +270,8 @@ sql_query("sha256", "SELECT doc_id, sha2(text, 256) AS digest FROM {documents}",
 sql_query("strip_ansi", r"SELECT doc_id, regexp_replace(concat(char(27), '[31m', source, char(27), '[0m'), '\\x1b\\[[0-9;]*m', '') AS plain FROM {documents}",
           r"SELECT doc_id, regexp_replace(chr(27) || '[31m' || source || chr(27) || '[0m', '\x1b\[[0-9;]*m', '', 'g') AS plain FROM {documents}")
 sql_query("source_dir", "SELECT page_id, replace(url, '/', '__') AS dir FROM {pages}")
-sql_query("line_of_offset", r"SELECT doc_id, CAST(length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), '\n', '')) + 1 AS BIGINT) AS line_no FROM {documents}",
-          "SELECT doc_id, length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) + 1 AS line_no FROM {documents}")
+sql_query("line_of_offset", r"SELECT doc_id, CAST(length(text) - length(replace(text, '\n', '')) + 1 AS BIGINT) AS line_no FROM {documents}",
+          "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line_no FROM {documents}")
 sql_query("json_props", "SELECT event_id, get_json_object(props, '$.k') AS k, props IS NOT NULL AS has_props FROM {events}",
           "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AS has_props FROM {events}")
 sql_query("windows2_pairs", "SELECT source, array_join(transform(sequence(1, length(source) - 1), i -> substr(source, i, 2)), ',') AS pairs FROM (SELECT DISTINCT source FROM {documents})",

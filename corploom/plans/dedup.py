@@ -9,25 +9,24 @@ from ..session import table
 from .registry import query
 
 
-def first_copies(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """Adds ``digest`` (SHA-256 hex) and ``is_first``: whether no earlier row has the same text.
+def first_copies(docs: DataFrame, text: str | None = "text", order: str = "doc_id") -> DataFrame:
+    """Adds ``digest`` (SHA-256 hex of ``text``, unless it is there) and ``is_first``: whether no earlier row has the same text; ``text`` itself goes.
 
-    Copies are combined before the shuffle, which carries digests and order keys only.
+    Copies are combined before the shuffle; the join carries digests and the other columns only.
     """
-    keyed = docs.withColumn("digest", F.sha2(F.col(text), 256))
+    keyed = docs.withColumn("digest", F.sha2(F.col(text), 256)).drop(text) if text else docs
     first = keyed.groupBy("digest").agg(F.min(order).alias("first_order"))
     return keyed.join(first, "digest", "left").withColumn("is_first", F.col(order).eqNullSafe(F.col("first_order"))).drop("first_order")
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
     """What exact deduplication keeps of each source."""
-    d = first_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    n_bytes = F.octet_length("text").cast("long")
+    d = first_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.octet_length("text").cast("long").alias("n_bytes")))
     return d.groupBy("source").agg(
         F.count("*").alias("documents"),
         F.count_if("is_first").alias("kept"),
         F.count_if(~F.col("is_first")).alias("duplicates"),
-        F.coalesce(F.sum(F.when(F.col("is_first"), n_bytes)), F.lit(0)).alias("kept_bytes"),
+        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("n_bytes"))), F.lit(0)).alias("kept_bytes"),
     )
 
 

@@ -1,11 +1,7 @@
-"""File listings, strict logs, shard headers and per-rule secrets: rows in, judged rows out."""
+"""File listings, strict logs and shard headers: rows in, judged rows out."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import scrub
-from ..session import table
 from .registry import query
 from .tables import sql_query
 
@@ -44,22 +40,3 @@ _both("special_validate", "SELECT token, token <> '' AND trim(token) = token AND
 _SHARDS = "(300, 256, 299), (300, 300, 1), (65536, 0, 65535), (65537, 0, 65536), (0, 0, 0), (300, 256, 300)"
 _both("shard_width", "SELECT DISTINCT vocab, CASE WHEN vocab <= 65536 THEN 2 ELSE 4 END AS width FROM {v}", _SHARDS, "vocab, eos, top")
 _both("shard_validate", "SELECT vocab, eos, top, vocab > 0 AND eos < vocab AND top < vocab AS ok FROM {v}", _SHARDS, "vocab, eos, top")
-
-# -- secrets by rule -------------------------------------------------------------------------------
-
-
-def _findings_by_rule(spark, d):
-    """Findings of every rule; a rule without one has a row too."""
-    found = table(spark, d, "documents").select(F.explode(scrub.findings(F.col("text"))).alias("f")).groupBy("f.rule").agg(F.sum("f.n").alias("n"))
-    rules = spark.createDataFrame([(r,) for r, _ in scrub.RULES], "rule string")
-    return rules.join(found, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def _duck_pattern(rule: str, pattern: str) -> str:
-    """The rule without looking behind or ahead, which that dialect lacks: the neighbours are part of the match."""
-    if rule == "generic-secret":
-        return '(?:token|secret|passwd|password|api_key|apikey) = "[A-Za-z0-9+/=_-]{16,256}"'
-    return f"(?:^|[^A-Za-z0-9_])(?:{pattern})"
-
-
-query("agg_findings_by_rule", " UNION ALL ".join(f"SELECT '{r}' AS rule, coalesce(sum(len(regexp_extract_all(text, '{_duck_pattern(r, p)}'))), 0)::BIGINT AS n FROM documents" for r, p in scrub.RULES))(_findings_by_rule)

@@ -6,8 +6,13 @@ picks the joins. Aggregates are partial before each shuffle; limits are top-k re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import windows
 from .registry import query
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,15 +57,18 @@ sql_query("p_size_window", "SELECT doc_id, octet_length(text) > 0 AND octet_leng
           "SELECT doc_id, octet_length(encode(text)) > 0 AND octet_length(encode(text)) <= 4096 AS ok FROM {documents}")
 sql_query("p_long_line", r"SELECT doc_id, exists(split(text, '\n'), l -> octet_length(l) > 1000) AS long_line FROM {documents}",
           "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: octet_length(encode(l)) > 1000)) > 0 AS long_line FROM {documents}")
-_REPOS = "('https://github.com/Rust-Lang/regex.git'), ('git@github.com:a/b.git'), ('http://www.github.com/x/y/tree/main'), ('https://gitlab.com/a/b'), ('github.com/q/r#readme'), ('https://github.com/only')"
-sql_query("p_github_url", rf"SELECT u, regexp_extract(u, '(?i)^(?:git[+])?(?:https?://|git://|ssh://git@|git@)?(?:www[.])?github[.]com[/:]([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:[.]git)?(?:[/#?].*)?$', 1) AS owner, regexp_extract(u, '(?i)^(?:git[+])?(?:https?://|git://|ssh://git@|git@)?(?:www[.])?github[.]com[/:]([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:[.]git)?(?:[/#?].*)?$', 2) AS repo FROM VALUES {_REPOS} AS t(u)",
-          rf"SELECT u, regexp_extract(u, '(?i)^(?:git[+])?(?:https?://|git://|ssh://git@|git@)?(?:www[.])?github[.]com[/:]([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:[.]git)?(?:[/#?].*)?$', 1) AS owner, regexp_extract(u, '(?i)^(?:git[+])?(?:https?://|git://|ssh://git@|git@)?(?:www[.])?github[.]com[/:]([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:[.]git)?(?:[/#?].*)?$', 2) AS repo FROM (VALUES {_REPOS}) AS t(u)")
+_REPOS = "('https://github.com/Rust-Lang/regex.git'), ('git@github.com:a/b.git'), ('http://www.github.com/x/y/tree/main'), ('https://gitlab.com/a/b'), ('github.com/q/r#readme'), ('https://github.com/only'), ('git+https://github.com/c/d.git'), ('ssh://git@github.com/e/f'), (' git://github.com/g/h ')"
+_REPO = "^(?:https?://|git://|git[+]https://)?(?:www[.])?github[.]com[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:[.]git)?(?:[/#?].*)?$"
+sql_query("p_github_url", f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM VALUES {_REPOS} AS t(u)",
+          f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM (VALUES {_REPOS}) AS t(u)")
 _SHEBANG = r"('#!/bin/bash -e'), ('#!/usr/bin/env zsh'), ('#!/usr/bin/bashful'), ('#!/usr/bin/env python'), ('echo'), ('#! /bin/sh')"
-sql_query("p_shell_shebang", rf"SELECT head, substring(head, 1, 200) RLIKE '^#!.*(^|[^A-Za-z0-9_])(sh|bash|zsh|dash|ksh|fish)($|[^A-Za-z0-9_])' AS ok FROM VALUES {_SHEBANG} AS t(head)",
-          rf"SELECT head, regexp_matches(substring(head, 1, 200), '^#!.*(^|[^A-Za-z0-9_])(sh|bash|zsh|dash|ksh|fish)($|[^A-Za-z0-9_])') AS ok FROM (VALUES {_SHEBANG}) AS t(head)")
-_NAMES = "('README.md'), ('docs/Guide.MD'), ('CHANGELOG.md'), ('src/lib.rs'), ('run.sh'), ('.profile'), ('History.txt'), ('a b.rs')"
-sql_query("p_is_doc", rf"SELECT path, lower(path) RLIKE '[.](md|rst|txt|adoc)$' AND NOT upper(regexp_extract(path, '([^/]*)$', 1)) RLIKE '^(CHANGELOG|CHANGES|HISTORY|RELEASES|NEWS|AUTHORS)' AS is_doc, path RLIKE '[.](rs|sh|bash|zsh)$' AS is_code FROM VALUES {_NAMES} AS t(path)",
-          rf"SELECT path, regexp_matches(lower(path), '[.](md|rst|txt|adoc)$') AND NOT regexp_matches(upper(regexp_extract(path, '([^/]*)$', 1)), '^(CHANGELOG|CHANGES|HISTORY|RELEASES|NEWS|AUTHORS)') AS is_doc, regexp_matches(path, '[.](rs|sh|bash|zsh)$') AS is_code FROM (VALUES {_NAMES}) AS t(path)")
+_SHELL = r"^#!\s*(?:/usr/bin/env\s+(?:-S\s+)?|/\S*/)?(?:sh|bash|zsh|dash|ksh|fish)(?:[^A-Za-z0-9_]|$)"
+sql_query("p_shell_shebang", f"SELECT head, substring(head, 1, 200) RLIKE '{_SHELL}' AS ok FROM VALUES {_SHEBANG} AS t(head)".replace(chr(92), chr(92) * 2),
+          f"SELECT head, regexp_matches(substring(head, 1, 200), '{_SHELL}') AS ok FROM (VALUES {_SHEBANG}) AS t(head)")
+_NAMES = "('README.md'), ('docs/Guide.MD'), ('CHANGELOG.md'), ('src/lib.rs'), ('run.sh'), ('.profile'), ('History.txt'), ('a b.rs'), ('x.markdown'), ('AUTHORS.md'), ('RELEASES.md'), ('sub/Makefile'), ('t.bats')"
+_NAME = "regexp_extract(path, '([^/]*)$', 1)"
+_DOC = f"{{m}}(lower({_NAME}), '[.](md|markdown|rst)$') AND NOT {{m}}(upper({_NAME}), '^(CHANGELOG|CHANGES|HISTORY|NEWS|RELEASE)') AS is_doc, {{m}}(path, '[.](rs)$') AS is_rust, {{m}}({_NAME}, '[.](sh|bash|zsh|fish|bats)$|^(Makefile|makefile|GNUmakefile|Dockerfile)$') AS is_shell"
+sql_query("p_is_doc", f"SELECT path, {_DOC.format(m='regexp_like')} FROM VALUES {_NAMES} AS t(path)", f"SELECT path, {_DOC.format(m='regexp_matches')} FROM (VALUES {_NAMES}) AS t(path)")
 sql_query("p_excluded", "SELECT doc_id FROM {documents} d LEFT ANTI JOIN (SELECT lower(x) AS x FROM VALUES ('SRC0'), ('src3') AS t(x)) e ON lower(d.source) = e.x",
           "SELECT doc_id FROM {documents} d WHERE lower(d.source) NOT IN ('src0', 'src3')")
 _BUCKET = "CAST(conv(substr(sha2(concat('1', char(0), source), 256), 1, 8), 16, 10) AS BIGINT) % 100"
@@ -69,8 +77,8 @@ sql_query("p_holdout", f"SELECT source, {_BUCKET} AS bucket, {_BUCKET} < 10 AS h
           f"SELECT source, {_DUCK_BUCKET} AS bucket, {_DUCK_BUCKET} < 10 AS held_out FROM (SELECT DISTINCT source FROM {{documents}})")
 sql_query("p_sequence_fits", "SELECT doc_id, greatest((n_chars - 1) DIV 128, 0) AS sequences FROM {documents}",
           "SELECT doc_id, greatest((n_chars - 1) // 128, 0) AS sequences FROM {documents}")
-sql_query("p_token_in_vocab", "SELECT doc_id, exists(ids, t -> t >= 128) AS out_of_vocab, CAST(array_position(ids, 10) AS BIGINT) AS first_eos FROM (SELECT doc_id, transform(regexp_extract_all(substr(text, 1, 64), '([ -~\\n])', 1), c -> ascii(c)) AS ids FROM {documents})",
-          "SELECT doc_id, len(list_filter(ids, lambda t: t >= 128)) > 0 AS out_of_vocab, coalesce(list_position(ids, 10), 0)::BIGINT AS first_eos FROM (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 64), '([ -~\\n])', 1), lambda c: ascii(c)) AS ids FROM {documents})")
+sql_query("p_token_in_vocab", r"SELECT doc_id, text RLIKE '[^\\x00-\\x7F]' AS out_of_vocab, CAST(instr(text, '\n') AS BIGINT) AS first_eos FROM {documents}",
+          r"SELECT doc_id, regexp_matches(text, '[^\x00-\x7F]') AS out_of_vocab, strpos(text, chr(10)) AS first_eos FROM {documents}")
 sql_query("p_finite", "SELECT event_id, NOT isnan(value) AND abs(value) < CAST('Infinity' AS DOUBLE) AS finite FROM {events}",
           "SELECT event_id, isfinite(value) AS finite FROM {events}")
 
@@ -134,8 +142,31 @@ sql_query("agg_candidates_by_repo",
 sql_query("agg_merge_licenses",
           f"SELECT lower(repo) AS k, coalesce(nullif(array_join(transform(array_distinct(transform(array_sort(collect_list(if(license IS NULL, null, struct(ord, license)))), x -> x.license)), (l, i) -> if(l RLIKE ' (OR|AND) ', concat('(', l, ')'), l)), ' AND '), ''), 'NOASSERTION') AS license FROM VALUES {_CRATES} AS t(ord, name, repo, license, downloads) GROUP BY lower(repo)",
           f"WITH f AS (SELECT lower(repo) AS k, license, min(ord) AS o FROM (VALUES {_CRATES}) AS t(ord, name, repo, license, downloads) GROUP BY ALL) SELECT k, coalesce(string_agg(CASE WHEN regexp_matches(license, ' (OR|AND) ') THEN '(' || license || ')' ELSE license END, ' AND ' ORDER BY o), 'NOASSERTION') AS license FROM f GROUP BY k")
-sql_query("agg_entropy", "SELECT label, CAST(count(*) AS BIGINT) AS letters, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT label, c, CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER (PARTITION BY label) AS DOUBLE) AS t FROM (SELECT lang AS label, explode(split(source, '')) AS c FROM {documents}) GROUP BY label, c) GROUP BY label",
-          "SELECT label, count(*) AS letters, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT label, c, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY label))::DOUBLE AS t FROM (SELECT lang AS label, unnest(string_split(source, '')) AS c FROM {documents}) GROUP BY label, c) GROUP BY label")
+
+
+def _characters(spark, d, width: int) -> DataFrame:
+    """(label, a, b, n): characters of whole texts, or pairs of neighbours, counted in an Arrow map before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            counts: dict[str, Counter] = {}
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text:
+                    counts.setdefault(label, Counter()).update(text if width == 1 else zip(text, text[1:], strict=False))
+            rows = [(label, *c, n) if width == 2 else (label, c, None, n) for label, found in counts.items() for c, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k < 3 else pa.int64()) for k in range(4)], names=["label", "a", "b", "n"])
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    return docs.mapInArrow(run, "label string, a string, b string, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _entropy(spark, d):
+    counts = _characters(spark, d, 1)
+    by = counts.groupBy("label").agg(F.sum("n").alias("letters"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return by.select("label", "letters", F.round(F.log2("letters") - F.col("s") / F.col("letters"), 6).alias("entropy"))
+
+
+query("agg_entropy", "SELECT label, sum(n)::BIGINT AS letters, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT label, c, count(*) AS n FROM (SELECT lang AS label, unnest(string_split(text, '')) AS c FROM documents) GROUP BY label, c) GROUP BY label")(_entropy)
 sql_query("agg_eval_mean", "SELECT event_type, round(avg(value), 6) AS mean_value FROM {events} GROUP BY event_type")
 sql_query("agg_window_loss", "SELECT (event_id DIV 100) AS step_window, round(avg(value), 6) AS loss, max(value) AS max_value, max_by(event_id, value) AS at_step FROM {events} GROUP BY event_id DIV 100",
           "SELECT (event_id // 100) AS step_window, round(avg(value), 6) AS loss, max(value) AS max_value, arg_max(event_id, value) AS at_step FROM {events} GROUP BY event_id // 100")
@@ -145,10 +176,15 @@ sql_query("agg_ratio_badge", "SELECT p_partkey, CASE WHEN r <= 1.05 THEN 'even'
 sql_query("agg_checks", "SELECT count(*) AS total, CAST(count_if(toxic = 0) AS BIGINT) AS passed, CAST(count_if(toxic = 1) AS BIGINT) AS failed FROM {labels}")
 sql_query("agg_policy_by_category", "SELECT coalesce(lang, 'all') AS category, CAST(count_if(text NOT LIKE '%All rights reserved%') AS BIGINT) AS accepted, CAST(count_if(text LIKE '%All rights reserved%') AS BIGINT) AS rejected FROM {documents} GROUP BY ROLLUP (lang)")
 sql_query("group_sort_failed", "SELECT source, CAST(count_if(toxic = 1) AS BIGINT) AS failed FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source ORDER BY failed DESC, source")
-sql_query("agg_pair_counts", "SELECT p.a AS a, p.b AS b, count(*) AS n FROM (SELECT explode(transform(sequence(1, length(s) - 1), i -> struct(substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b))) AS p FROM (SELECT source AS s FROM {documents})) GROUP BY 1, 2",
-          "SELECT substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b, count(*) AS n FROM (SELECT source AS s FROM {documents}) t, unnest(range(1, length(s))) u(i) GROUP BY 1, 2")
-sql_query("topk_pair", "SELECT a, b, n FROM (SELECT p.a AS a, p.b AS b, count(*) AS n FROM (SELECT explode(transform(sequence(1, length(s) - 1), i -> struct(substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b))) AS p FROM (SELECT source AS s FROM {documents})) GROUP BY 1, 2) ORDER BY n DESC, a, b LIMIT 1",
-          "SELECT substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b, count(*) AS n FROM (SELECT source AS s FROM {documents}) t, unnest(range(1, length(s))) u(i) GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 1")
+_PAIRS = "SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM (SELECT unnest(list_zip(l[:-2], l[2:])) AS p FROM (SELECT string_split(text, '') AS l FROM documents WHERE length(text) > 1)) GROUP BY 1, 2"
+
+
+def _pairs(spark, d):
+    return _characters(spark, d, 2).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+query("agg_pair_counts", _PAIRS)(_pairs)
+query("topk_pair", f"SELECT a, b, n FROM ({_PAIRS}) ORDER BY n DESC, a, b LIMIT 1")(lambda spark, d: _pairs(spark, d).orderBy(F.desc("n"), "a", "b").limit(1))
 
 # -- windows ------------------------------------------------------------------------------------
 
@@ -167,10 +203,36 @@ def _sample(h: str, size: str, cap: bool) -> str:
     return f"SELECT doc_id, source, CAST(size AS BIGINT) AS size FROM (SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS taken FROM ({inner}) c) d WHERE taken < 200000"
 
 
-sql_query("win_sample_cumsum", _sample(_H, _BYTES[0], False), _sample(_DH, _BYTES[1], False))
-sql_query("win_sample_cap", _sample(_H, _BYTES[0], True), _sample(_DH, _BYTES[1], True))
-_PICK = "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM {{events}}) r JOIN (SELECT k FROM {rows}) p ON r.i = {r}(p.k * (r.n - 1) / 19.0)"
-sql_query("win_pick_rows", _PICK.format(rows="(SELECT id AS k FROM range(20))", r="bround"), _PICK.format(rows="(SELECT range AS k FROM range(20)) q", r="round_even").replace("/ 19.0)", "/ 19.0, 0)"))
+
+
+def _sampled(cap: bool):
+    """Rows in the order of a hash until 200,000 bytes are taken; with a cap, no more than 20,000 of a source."""
+
+    def run(spark, d):
+        rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.expr(_H).alias("h"), F.octet_length("text").cast("long").alias("size"))
+        if cap:
+            taken = F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+            rows = rows.withColumn("taken", taken).where("taken < 20000").drop("taken")
+        summed = windows.running_sum(rows, F.col("size"), windows.hex_part(F.col("h")), ["h", "doc_id"], "upto")
+        return summed.where(F.col("upto") - F.col("size") < 200_000).select("doc_id", "source", "size")
+
+    return run
+
+
+query("win_sample_cumsum", _sample(_DH, _BYTES[1], False).replace("{documents}", "documents"))(_sampled(False))
+query("win_sample_cap", _sample(_DH, _BYTES[1], True).replace("{documents}", "documents"))(_sampled(True))
+
+
+def _pick_rows(spark, d):
+    """Twenty rows at even distances: numbers by ranges of the key, then a join with the twenty numbers."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")
+    n = rows.count()
+    numbered = windows.running_sum(rows, F.lit(1), windows.number_part(rows, "event_id"), ["event_id"], "upto")
+    picks = spark.range(20).select(F.bround(F.col("id") * (n - 1) / F.lit(19.0)).cast("long").alias("i"))
+    return numbered.withColumn("i", F.col("upto") - 1).join(F.broadcast(picks), "i").select("event_id", "value")
+
+
+query("win_pick_rows", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) r JOIN (SELECT range AS k FROM range(20)) p ON r.i = round_even(p.k * (r.n - 1) / 19.0, 0)")(_pick_rows)
 sql_query("win_eval_even", "SELECT id AS k, id * 1000 DIV 37 AS seq FROM range(37)", "SELECT range AS k, range * 1000 // 37 AS seq FROM range(37)")
 sql_query("win_seq_ends", "SELECT source, CAST(sum(n) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq_end FROM (SELECT source, sum(greatest((n_chars - 1) DIV 128, 0)) AS n FROM {documents} GROUP BY source)",
           "SELECT source, CAST(sum(n) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq_end FROM (SELECT source, sum(greatest((n_chars - 1) // 128, 0)) AS n FROM {documents} GROUP BY source)")

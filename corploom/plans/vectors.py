@@ -5,6 +5,8 @@ Results are rounded to six digits on both sides; sums run over DOUBLE.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -86,29 +88,54 @@ query("agg_accuracy", f"SELECT round(avg((list_position(a, list_max(a)) - 1 = la
 )
 
 
-def _matmul(spark, d):
-    """Gram matrix of the columns (A transposed times A): a join on the row, partial sums by cell."""
-    v = _vectors(spark, d)
-    pairs = v.select(F.posexplode("a").alias("i", "x"), "a").select("i", "x", F.posexplode("a").alias("j", "y")).where("i < 8 and j < 8")
-    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("value"))
+def column_products(v):
+    """(i, j, n, x, y, xy): for every two columns of whole vectors the rows, both sums and the sum of products; each batch is one product of matrices."""
 
+    def run(batches):
+        for batch in batches:
+            a = batch.column("a")
+            if not len(a):
+                continue
+            m = np.array(a.flatten().to_numpy(zero_copy_only=False), float).reshape(len(a), -1)
+            xy, x = m.T @ m, m.sum(axis=0)
+            i, j = np.indices(xy.shape)
+            columns = (i.ravel(), j.ravel(), np.full(xy.size, len(m)), x[i.ravel()], x[j.ravel()], xy.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(columns)], names=["i", "j", "n", "x", "y", "xy"])
 
-query("matmul", f"SELECT i - 1 AS i, j - 1 AS j, round(sum(a[i] * a[j]), 4) AS value FROM {_E} t, unnest(range(1, 9)) u(i), unnest(range(1, 9)) w(j) GROUP BY 1, 2")(_matmul)
+    parts = v.where("a is not null").select("a").mapInArrow(run, "i long, j long, n long, x double, y double, xy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy")])
 
 
-def _covariance(spark, d):
-    v = _vectors(spark, d)
-    pairs = v.select(F.posexplode("a").alias("i", "x"), "a").select("i", "x", F.posexplode("a").alias("j", "y")).where("i <= j and j < 8")
-    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.round(F.covar_pop("x", "y"), 6).alias("cov"))
+_CELLS = "unnest(range(1, len(a) + 1)) u(i), unnest(range(1, len(a) + 1)) w(j)"
+query("matmul", f"SELECT i - 1 AS i, j - 1 AS j, round(sum(a[i] * a[j]), 4) AS value FROM {_E} t, {_CELLS} GROUP BY 1, 2")(
+    lambda spark, d: column_products(_vectors(spark, d)).select("i", "j", F.round("xy", 4).alias("value"))
+)
+query("agg_covariance", f"SELECT i - 1 AS i, j - 1 AS j, round(covar_pop(a[i], a[j]), 6) + 0.0 AS cov FROM {_E} t, {_CELLS} WHERE i <= j GROUP BY 1, 2")(
+    lambda spark, d: column_products(_vectors(spark, d)).where("i <= j").select("i", "j", (F.round(F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n"), 6) + 0.0).alias("cov"))
+)
+
+
+def _pca(spark, d):
+    """The two directions of greatest variance: the covariances are one matrix of the vectors' width, whatever the number of vectors."""
+    cells = column_products(_vectors(spark, d)).collect()
+    width = 1 + max((c["i"] for c in cells), default=-1)
+    cov, mean = np.zeros((width, width)), np.zeros(width)
+    for c in cells:
+        cov[c["i"], c["j"]] = c["xy"] / c["n"] - c["x"] / c["n"] * c["y"] / c["n"]
+        mean[c["i"]] = c["x"] / c["n"]
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2].T if width else np.zeros((2, 0))
+    axes = [(a * (1 if a[np.abs(a).argmax()] >= 0 else -1)).tolist() for a in axes]  # signs are free: the largest part is positive
+    project = lambda axis: A.total(F.zip_with("a", F.lit(axis), lambda x, w: x * w)) - float(np.dot(mean, axis))
+    return _vectors(spark, d).select("vec_id", F.round(project(axes[0]), 5).alias("x"), F.round(project(axes[1]), 5).alias("y"))
 
 
-query("agg_covariance", f"SELECT i - 1 AS i, j - 1 AS j, round(covar_pop(a[i], a[j]), 6) AS cov FROM {_E} t, unnest(range(1, 9)) u(i), unnest(range(1, 9)) w(j) WHERE i <= j GROUP BY 1, 2")(_covariance)
+query("pca2")(_pca)
 sql_query("transpose", "SELECT pos, count(*) AS n, round(sum(x * (vec_id % 7)), 4) AS mark FROM (SELECT vec_id, posexplode(transform(embedding, e -> CAST(e AS DOUBLE))) AS (pos, x) FROM {embeddings}) GROUP BY pos",
           f"SELECT (i - 1)::INT AS pos, count(*) AS n, round(sum(a[i] * (vec_id % 7)), 4) AS mark FROM {_E} t, unnest(range(1, len(a) + 1)) u(i) GROUP BY i")
 sql_query("narrow", "SELECT vec_id, round(aggregate(slice(transform(embedding, e -> CAST(e AS DOUBLE)), 3, 4), 0D, (t, x) -> t + x), 6) AS part FROM {embeddings}",
           f"SELECT vec_id, round(list_sum(list_slice(a, 3, 6)), 6) AS part FROM {_E}")
-sql_query("repeat_interleave", "SELECT vec_id, size(flatten(transform(embedding, e -> array_repeat(e, 2)))) AS n FROM {embeddings}",
-          "SELECT vec_id, (len(embedding) * 2)::INT AS n FROM embeddings")
+sql_query("repeat_interleave", "SELECT vec_id, size(r) AS n, round(aggregate(zip_with(r, sequence(1, size(r)), (x, i) -> x * i), 0D, (t, x) -> t + x), 4) AS mark FROM (SELECT vec_id, flatten(transform(embedding, e -> array_repeat(CAST(e AS DOUBLE), 2))) AS r FROM {embeddings})",
+          "SELECT vec_id, (len(a) * 2)::INT AS n, round(list_sum(list_transform(a, lambda x, i: x * (4 * i - 1))), 4) AS mark FROM " + _E)
 
 # -- closed forms ----------------------------------------------------------------------------------
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -26,3 +27,13 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (one row group, say), dealt out to twice as many; others as they are.
+
+    Partitions are counted without reading a column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return df if found is None or found + 1 >= cores else df.repartition(2 * cores)

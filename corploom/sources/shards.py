@@ -1,4 +1,4 @@
-"""Token shards as files: a 32-byte little-endian header, ids of 2 or 4 bytes, a SHA-256 of all before it."""
+"""Token shards as files: a 32-byte little-endian header (magic, version, width, vocabulary, end of text, tokens), ids of 2 or 4 bytes, a SHA-256 of all before."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ import hashlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAGIC, VERSION = b"TOKSHARD", 1
+#: What a file begins with, and the version of the layout.
+MAGIC, VERSION = b"MMTOKENS", 1
 
 
 def encode_shard(tokens, vocabulary: int, eos: int) -> bytes:
     width = 2 if vocabulary <= 65_536 else 4
-    body = MAGIC + struct.pack("<IIIIQ", VERSION, vocabulary, eos, width, len(tokens)) + np.asarray(tokens, f"<u{width}").tobytes()
+    body = MAGIC + struct.pack("<IIIIQ", VERSION, width, vocabulary, eos, len(tokens)) + np.asarray(tokens, f"<u{width}").tobytes()
     return body + hashlib.sha256(body).digest()
 
 
@@ -25,7 +26,7 @@ def decode_shard(content: bytes) -> tuple[int, int, list[int]]:
         raise ValueError("too short")
     if content[:8] != MAGIC:
         raise ValueError("not a shard")
-    version, vocabulary, eos, width, n = struct.unpack("<IIIIQ", content[8:32])
+    version, width, vocabulary, eos, n = struct.unpack("<IIIIQ", content[8:32])
     if version != VERSION:
         raise ValueError(f"unsupported version {version}")
     if width != (2 if vocabulary <= 65_536 else 4) or len(content) != 64 + n * width:
@@ -40,18 +41,28 @@ def decode_shard(content: bytes) -> tuple[int, int, list[int]]:
 
 def shard_files(shards: DataFrame, vocabulary: int, eos: int) -> DataFrame:
     """(shard, content) of shards(shard, tokens), for any sink that takes binary rows."""
-    encode = F.udf(lambda tokens: encode_shard(tokens, vocabulary, eos), T.BinaryType())
-    return shards.select("shard", encode("tokens").alias("content"))
+
+    def run(batches):
+        for batch in batches:
+            content = [encode_shard(t.values.to_numpy() if t.is_valid else [], vocabulary, eos) for t in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(content, pa.binary())], names=["shard", "content"])
+
+    return shards.select(F.col("shard").cast("long").alias("shard"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "shard long, content binary")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
     """(shard, tokens, error) of rows with ``content``; a damaged shard gives its error and no tokens."""
 
-    def decode(content):
-        try:
-            return decode_shard(bytes(content))[2], None
-        except ValueError as error:
-            return None, str(error)
+    def run(batches):
+        for batch in batches:
+            tokens, errors = [], []
+            for content in batch.column("content").to_pylist():
+                try:
+                    tokens.append(decode_shard(content)[2])
+                    errors.append(None)
+                except ValueError as error:
+                    tokens.append(None)
+                    errors.append(str(error))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(tokens, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=["shard", "tokens", "error"])
 
-    read = F.udf(decode, "struct<tokens:array<int>,error:string>")
-    return files.select("shard", read("content").alias("r")).select("shard", "r.tokens", "r.error")
+    return files.select(F.col("shard").cast("long").alias("shard"), F.coalesce("content", F.unhex(F.lit(""))).alias("content")).mapInArrow(run, "shard long, tokens array<int>, error string")
