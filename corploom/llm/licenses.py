@@ -11,13 +11,16 @@ is taken out before the next is tried. All of it is a projection, without a shuf
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: A text without any of these words holds no licence sentence.
-HINT = "(?i)(licen[cs]e|rights reserved|permission|redistribut|warrant|copyright|public domain|as is)"
+#: A text without any of these (in either case) holds no licence sentence.
+HINTS = ("licen", "reserved", "permission", "redistribut", "warrant", "copyright", "public domain")
 #: Characters of a line from which on it may go on in the next one, and unknown sentences between two known ones.
 WRAPPED, GAPS = 50, 3
 #: Signs at a line's beginning that belong to comments, and marks of list items.
@@ -193,24 +196,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no rule's match. A null or empty text has none of them (empty strings). Every row gives one row,
     rows that repeat and those without an id too; an empty table gives none. Other columns aren't read.
     """
-    d = text_of(docs, id_col, text_col)
+    d = text_of(docs, id_col, text_col).withColumn("low", F.lower("text"))
     ids = F.transform(F.filter(F.transform(sentences(F.col("text")), normalised), lambda s: s != ""), identifier)
-    d = d.select("doc_id", F.when(F.col("text").rlike(HINT), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
+    d = d.select("doc_id", F.when(reduce(or_, [F.contains("low", F.lit(h)) for h in HINTS]), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     d = d.select("doc_id", F.filter("ids", lambda i: i != "-").alias("known"), F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";")).alias("rest"))
-    found = []
-    for k, (name, sequence) in enumerate(RULES):
-        pattern = _pattern(sequence)
-        found.append(F.when(F.col(f"hit_{k}"), name))
-        hit = F.contains("rest", F.lit(f";{sequence[0]};"))
-        hit = hit & F.col("rest").rlike(pattern) if len(sequence) > 1 else hit
-        d = d.withColumn(f"hit_{k}", hit)
-        d = d.withColumn("rest", F.when(F.col(f"hit_{k}"), F.regexp_replace("rest", pattern, ";-;")).otherwise(F.col("rest")))
-    left = F.filter(F.split("rest", ";"), lambda i: ~i.isin("", "-"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f";{sequence[0]};").alias("first"), F.lit(_pattern(sequence)).alias("pattern")) for name, sequence in RULES])
+
+    def tried(state: Column, rule: Column) -> Column:
+        # a pattern is looked at only where the rule's first sentence is left
+        hit = F.contains(state["rest"], rule["first"]) & F.regexp_like(state["rest"], rule["pattern"])
+        rest = F.when(hit, F.regexp_replace(state["rest"], rule["pattern"], F.lit(";-;"))).otherwise(state["rest"])
+        return F.struct(rest.alias("rest"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
+
+    start = F.struct("rest", F.array().cast("array<string>").alias("found"))
+    d = d.select("doc_id", "known", F.when(F.size("known") > 0, F.aggregate(rules, start, tried)).otherwise(start).alias("state"))
+    left = F.filter(F.split("state.rest", ";"), lambda i: ~i.isin("", "-"))
     return d.select(
         "doc_id",
         F.size("known").cast("long").alias("n_known"),
         F.array_join("known", ",").alias("sentence_ids"),
-        F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), ",").alias("licenses"),
+        F.array_join(F.array_distinct("state.found"), ",").alias("licenses"),
         F.array_join(left, ",").alias("unmatched"),
     )
 
@@ -233,11 +238,12 @@ def _oracle() -> str:
         steps.append(f"r{k} AS (SELECT * EXCLUDE (rest), regexp_matches(rest, '{pattern}') AS hit_{k}, regexp_replace(rest, '{pattern}', ';-;', 'g') AS rest FROM {last})")
         last = f"r{k}"
     hits = ", ".join(f"CASE WHEN hit_{k} THEN '{n}' END" for k, (n, _) in enumerate(RULES))
+    hints = " OR ".join(f"contains(lower(t), '{h}')" for h in HINTS)
     # a licence that two rules name stands at the first of them
     first = "list_filter(found, lambda x, i: list_position(found, x) = i)"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents WHERE true),
-bare AS (SELECT rid, doc_id, CASE WHEN regexp_matches(t, '{HINT}') THEN list_transform(string_split(t, chr(10)), lambda x:
+bare AS (SELECT rid, doc_id, CASE WHEN {hints} THEN list_transform(string_split(t, chr(10)), lambda x:
           rtrim(regexp_replace(regexp_replace(replace(x, chr(13), ''), '{quoted(COMMENT)}', ''), '{quoted(ITEM)}', ''), ' ')) ELSE []::VARCHAR[] END AS ls FROM d),
 joined AS (SELECT rid, doc_id, coalesce(array_to_string(list_transform(ls, lambda x: x || CASE WHEN length(x) >= {WRAPPED} AND right(x, 1) NOT IN ('.', '!', '?', ':', ';') THEN ' ' ELSE chr(10) END), ''), '') AS t FROM bare),
 cut AS (SELECT rid, doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '{quoted(SHORT)}', '\1\2 ', 'g'), '([.!?])["'')]*[ \t]+', '\1' || chr(10), 'g'), chr(10)),
