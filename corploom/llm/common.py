@@ -59,14 +59,17 @@ def join_heavy(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total
     """``rows`` joined with ``facts`` (one row for each key, whose column ``n`` says how many rows have it) without a hot key.
 
     Keys with more than one in ``HEAVY`` of the ``total`` rows, of which there are no more than
-    ``HEAVY``, are broadcast; the other ones are joined by shuffle, where none of them can fill a
-    task. ``slim`` says which facts are small enough to be broadcast. Both tables should be written ones.
+    ``HEAVY``, are broadcast, found by a hash of the key; the other ones are joined by shuffle, where
+    none of them can fill a task. ``slim`` says which facts are small enough to be broadcast. Both
+    tables should be written ones.
     """
     heavy = F.col(n) * HEAVY > total
-    heavy = F.coalesce(heavy & slim if slim is not None else heavy, F.lit(False))
-    few, others = facts.where(heavy).drop(n), facts.where(~heavy).drop(n)
-    light = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(others, keys, how)
-    return rows.join(F.broadcast(few), keys).unionByName(light)
+    hashed = F.xxhash64(*keys)
+    often = [r[0] for r in facts.where(heavy & slim if slim is not None else heavy).select(hashed).distinct().collect()]
+    if not often:
+        return rows.join(facts.drop(n), keys, how)
+    few, light = facts.where(hashed.isin(often)).drop(n), ~hashed.isin(often)
+    return rows.where(hashed.isin(often)).join(F.broadcast(few), keys, how).unionByName(rows.where(light).join(facts.where(light).drop(n), keys, how))
 
 
 def small(df: DataFrame, *texts: str) -> bool:
