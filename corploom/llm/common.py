@@ -68,8 +68,9 @@ def join_heavy(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total
     often = [r[0] for r in facts.where(heavy & slim if slim is not None else heavy).select(hashed).distinct().collect()]
     if not often:
         return rows.join(facts.drop(n), keys, how)
-    few, light = facts.where(hashed.isin(often)).drop(n), ~hashed.isin(often)
-    return rows.where(hashed.isin(often)).join(F.broadcast(few), keys, how).unionByName(rows.where(light).join(facts.where(light).drop(n), keys, how))
+    # as text: thousands of literals one by one take the driver seconds
+    own = F.expr(f"xxhash64({', '.join(f'`{k}`' for k in keys)}) IN ({', '.join(map(str, often))})")
+    return rows.where(own).join(F.broadcast(facts.where(own).drop(n)), keys, how).unionByName(rows.where(~own).join(facts.where(~own).drop(n), keys, how))
 
 
 def small(df: DataFrame, *texts: str) -> bool:
