@@ -22,6 +22,7 @@ IDENTIFIER = re.compile(r"[A-Za-z0-9.-]+\+?$|(DocumentRef-[A-Za-z0-9.-]+:)?Licen
 class Verdict:
     accepted: bool
     reason: str
+    valid: bool = True
 
 
 def canonical(identifier: str) -> str:
@@ -93,11 +94,11 @@ def parse(text: str):
 def verdict(text: str | None, allowed=frozenset(map(canonical, ALLOWED)), allow_unlicensed: bool = False) -> Verdict:
     """OR needs one accepted part, AND all of them; an exception never rescues. NONE and NOASSERTION grant nothing."""
     if text is None:
-        return Verdict(False, "no expression")
+        return Verdict(False, "no expression", False)
     try:
         tree = parse(text)
     except ValueError as error:
-        return Verdict(False, str(error))
+        return Verdict(False, str(error), False)
 
     def joined(reasons) -> str:
         """The reasons in order, one that follows itself once."""
@@ -130,7 +131,7 @@ def display(node, inside: str = "") -> str:
 
 
 def judged(rows, column: str = "license", allowed: tuple[str, ...] = tuple(ALLOWED), allow_unlicensed: bool = False):
-    """``rows`` with ``accepted`` and ``reason``: distinct expressions are judged once each, in an Arrow map, and joined back. A null has no expression."""
+    """``rows`` with ``accepted``, ``reason`` and ``valid`` (it parses): distinct expressions are judged once each, in an Arrow map, and joined back. A null has no expression."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def judged(rows, column: str = "license", allowed: tuple[str, ...] = tuple(ALLOW
     def run(batches):
         for batch in batches:
             found = [verdict(x, names, allow_unlicensed) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.accepted for v in found], pa.bool_()), pa.array([v.reason for v in found], pa.string())], names=["__license", "accepted", "reason"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.accepted for v in found], pa.bool_()), pa.array([v.reason for v in found], pa.string()), pa.array([v.valid for v in found], pa.bool_())], names=["__license", "accepted", "reason", "valid"])
 
-    known = rows.select(F.col(column).alias("__license")).distinct().mapInArrow(run, "__license string, accepted boolean, reason string")
+    known = rows.select(F.col(column).alias("__license")).distinct().mapInArrow(run, "__license string, accepted boolean, reason string, valid boolean")
     return rows.join(known, rows[column].eqNullSafe(known["__license"])).drop("__license")

@@ -259,7 +259,8 @@ def _manifest(spark, d):
     rows = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("ord")).select(
         "ord", F.col("source").alias("id"), F.concat(F.lit("https://host/"), "source").alias("url"), F.sha2("source", 256).alias("revision"), F.lit("MIT").alias("license"), F.lit("2024-02-29").alias("fetched"), F.lit("rust").alias("category")
     )
-    return manifest.read_manifest(manifest.manifest_text(rows)).select("id", "url", "revision", "license", "fetched", "category", "ok")
+    texts = manifest.manifest_texts(rows.withColumn("path", F.col("id")))
+    return manifest.read_manifests(texts).select("id", "url", "revision", "license", "fetched", "category", F.isnull("error").alias("ok"))
 
 
 query("manifest_roundtrip", "SELECT DISTINCT source AS id, 'https://host/' || source AS url, sha256(source) AS revision, 'MIT' AS license, '2024-02-29' AS fetched, 'rust' AS category, true AS ok FROM documents")(_manifest)

@@ -15,7 +15,7 @@ from corploom.functions.rng import Rng
 from corploom.operators import bpe, packing, scrub, windows
 from corploom.plans import all_oracles, all_queries
 from corploom.plans.tables import TABLES
-from corploom.sources import shards
+from corploom.sources import logs, manifest, shards, tensors
 from corploom.streaming.dedup import deduplicated, event_counts
 
 
@@ -23,7 +23,7 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum"])
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read"])
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -176,3 +176,41 @@ def test_streaming(spark, sf, tmp_path):
     q = counted.writeStream.format("memory").queryName("event_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from event_counts").first()[0] == events.count()
+
+
+def test_manifests_name_the_first_fault(spark, tmp_path):
+    record = "\nid: {}\nurl: https://a.b/c\nrevision: " + "0" * 40 + "\nlicense: MIT\nfetched: 2024-02-29\ncategory: rust\n"
+    good = "manifest 1\n" + record.format("a/b") + record.format("c/d")
+    texts = {
+        "good": good, "header": "manifest 1\n", "empty": "", "null": None, "end": good[:-1], "cr": good.replace("MIT", "MIT\r", 1), "version": good.replace("manifest 1", "manifest 2"),
+        "key": good.replace("url:", "uri:", 1), "value": good.replace("license: MIT", "license: ", 1), "date": good.replace("02-29", "02-30", 1), "twice": good.replace("c/d", "a/b"),
+        "blank": good + "\n", "license": good.replace("license: MIT", "license: MIT AND", 1), "line": good.replace("\n\nid: c", "\nx\nid: c"), "space": good.replace("a/b", "a/b "),
+    }
+    rows = manifest.read_manifests(spark.createDataFrame(list(texts.items()), "path string, value string")).collect()
+    assert {r["id"] for r in rows if r["path"] == "good"} == {"a/b", "c/d"} and all(r["error"] is None for r in rows if r["path"] == "good")
+    bad = {r["path"]: r["line"] for r in rows if r["error"]}
+    assert bad == {"empty": 0, "null": 0, "end": 0, "cr": 6, "version": 1, "key": 4, "value": 6, "date": 3, "twice": 10, "blank": 17, "license": 3, "line": 9, "space": 3}
+    assert len(rows) == len(bad) + 2
+
+
+def test_logs_are_read_strictly(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("step\tloss\n1\t2.5\n\n1\t2.0\n2\tnan\n")
+    made = logs.read_tsv(logs.whole_files(spark, str(tmp_path)), ("step", "loss"))
+    assert [(r["line_no"], r["step"]) for r in made.orderBy("line_no").collect()] == [(2, 1.0), (3, 1.0), (4, 2.0)]
+    assert {r["step"]: r["line_no"] for r in logs.last_of_step(made).collect()} == {1.0: 3, 2.0: 4}
+    texts = [("x", "step\tloss\n1\tx\n2"), ("n", None), ("h", "loss\tstep\n"), ("only", "step\tloss\n")]
+    found = {r["path"]: r["error"] for r in logs.read_tsv(spark.createDataFrame(texts, "path string, value string"), ("step", "loss")).collect()}
+    assert found == {"x": "line 2 has a field that is not a number", "n": "the first line is not step loss", "h": "the first line is not step loss"}
+    texts = [("ok", "steps 1\ntotal_steps 2\ntokens 3\nfinished false\nsteps 4\n"), ("long", "steps 1 2\n"), ("none", None), ("word", "steps one\ntotal_steps 2\ntokens 3\nfinished true")]
+    found = {r["path"]: (r["values"], r["error"]) for r in logs.read_summaries(spark.createDataFrame(texts, "path string, value string")).collect()}
+    assert found["ok"] == ({"steps": "4", "total_steps": "2", "tokens": "3", "finished": "false"}, None)
+    assert [found[p][1] for p in ("long", "none", "word")] == ["`steps 1 2` is not `key value`", "no `steps`", "steps is `one`"]
+
+
+def test_tensor_files_refuse_damage(spark):
+    content = tensors.encode_tensors([("b", [2, 1], [1.5, 2.5]), ("a", [], [0.25]), ("é", [0], [])], {"k": "v"})
+    assert [(n, s, v.tolist()) for n, s, v in tensors.decode_tensors(content)][:1] == [("a", [], [0.25])] and int.from_bytes(content[:8], "little") % 8 == 0
+    files = [("ok", content), ("cut", content[:-1]), ("long", content + b"x"), ("short", b"abc"), ("null", None), ("type", content.replace(b"F32", b"F16")), ("json", content.replace(b'"shape"', b'"shope"'))]
+    rows = tensors.read_tensors(spark.createDataFrame(files, "path string, content binary")).collect()
+    assert sorted(r["name"] for r in rows if r["path"] == "ok") == ["a", "b", "é"]
+    assert {r["path"] for r in rows if r["error"]} == {"cut", "long", "short", "null", "type", "json"} and len(rows) == 9
