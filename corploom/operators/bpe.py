@@ -4,26 +4,111 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-token patterns (Java) of the two common settings and of code.
-PATTERNS = {
-    "gpt2_like": r" ?\p{IsAlphabetic}+| ?[0-9]+| ?[^\p{IsWhite_Space}\p{IsAlphabetic}0-9]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+",
-    "cl100k_like": r"[^\r\n\p{IsAlphabetic}0-9]?\p{IsAlphabetic}+|[0-9]{1,3}| ?[^\p{IsWhite_Space}\p{IsAlphabetic}0-9]+[\r\n]*|\p{IsWhite_Space}*[\r\n]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+",
-    "code_shell": "\\x1b\\[[0-?]*[ -/]*[@-~]|\\x1b|" + r"[^\r\n\p{IsAlphabetic}0-9_]?[\p{IsAlphabetic}_]+|[0-9]{1,3}| ?[^\p{IsWhite_Space}\p{IsAlphabetic}0-9_\x1b]+[\r\n]*|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+",
+from ..functions.arrays import bound
+
+#: Bytes of the longest piece; longer ones are cut between characters.
+MAX_PIECE = 128
+
+
+@dataclass(frozen=True)
+class Splitter:
+    """The switches of a pre-tokeniser; ``pattern`` is the same for Java's engine and Python's ``regex``.
+
+    ``ansi`` keeps terminal sequences whole, ``underscore`` makes it a letter, ``prefix`` (space or any)
+    is what a word may take with it, ``digits`` the longest run (0: no bound), ``newlines`` follow
+    punctuation, ``whitespace`` (gpt2 or cl100k) tells whether a run ends with its last line break.
+    """
+
+    ansi: bool = True
+    underscore: bool = True
+    prefix: str = "any"
+    digits: int = 3
+    newlines: bool = True
+    whitespace: str = "gpt2"
+
+    @property
+    def pattern(self) -> str:
+        letter, white = r"\p{IsAlphabetic}" + "_" * self.underscore, r"\p{IsWhite_Space}"
+        space = " ?" if self.prefix == "space" else ""
+        parts = ["\\x1b\\[[0-?]*[ -/]*[@-~]", "\\x1b"] if self.ansi else []
+        parts.append((space or rf"[^\r\n{letter}0-9]?") + f"[{letter}]+")
+        parts.append(space + "[0-9]" + (f"{{1,{self.digits}}}" if self.digits else "+"))
+        parts.append(f" ?[^{white}{letter}0-9" + "\\x1b" * self.ansi + "]+" + r"[\r\n]*" * self.newlines)
+        parts += [rf"{white}*[\r\n]+"] * (self.whitespace == "cl100k")
+        return "|".join([*parts, rf"{white}+(?![^{white}])", f"{white}+"])
+
+
+SPLITTERS = {
+    "gpt2_like": Splitter(False, False, "space", 0, False, "gpt2"),
+    "cl100k_like": Splitter(False, False, "any", 3, True, "cl100k"),
+    "code_shell": Splitter(),
 }
 #: Distinct pieces that are learnt from on the driver; of more, each merge is a round over their table.
 MAX_DISTINCT = 2_000_000
 
 
-def pieces(text: Column, config: str = "code_shell") -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({PATTERNS[config]})"), F.lit(1))
+def _splitter(config: str | Splitter) -> Splitter:
+    return SPLITTERS[config] if isinstance(config, str) else config
+
+
+def _cut(piece: Column) -> Column:
+    """A piece of over ``MAX_PIECE`` bytes in parts, each as long as whole characters allow."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def take(t, c):
+        full = F.octet_length(t["open"]) + F.octet_length(c) > MAX_PIECE
+        return F.struct(F.when(full, F.array_append(t["done"], t["open"])).otherwise(t["done"]).alias("done"), F.when(full, c).otherwise(F.concat(t["open"], c)).alias("open"))
+
+    return F.aggregate(F.split(piece, ""), start, take, lambda t: F.array_append(t["done"], t["open"]))
+
 
+def pieces(text: Column, config: str | Splitter = "code_shell") -> Column:
+    """The pieces of a text, which join to it; null for a null."""
+    found = F.regexp_extract_all(text, F.lit(f"({_splitter(config).pattern})"), F.lit(1))
+    cut = lambda ps: F.flatten(F.transform(ps, lambda p: F.when(F.octet_length(p) > MAX_PIECE, _cut(p)).otherwise(F.array(p))))
+    return bound(found, lambda ps: F.when(F.exists(ps, lambda p: F.octet_length(p) > MAX_PIECE), cut(ps)).otherwise(ps))
 
-def piece_counts(docs: DataFrame, config: str = "code_shell", text: str = "text") -> DataFrame:
+
+def byte_pieces(docs: DataFrame, config: str | Splitter = "code_shell", content: str = "content") -> DataFrame:
+    """(doc_id, pieces): the pieces of any bytes; a byte that isn't part of UTF-8 counts as punctuation. Null bytes have no pieces."""
+    compiled = regex.compile(_splitter(config).pattern)
+
+    def parts(raw: bytes):
+        while len(raw) > MAX_PIECE:
+            # the nearest place up to three bytes before the limit where a character starts
+            back = next((k for k in range(4) if raw[MAX_PIECE - k] & 0xC0 != 0x80), 0)
+            yield raw[: MAX_PIECE - back]
+            raw = raw[MAX_PIECE - back :]
+        yield raw
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for raw in batch.column("content").to_pylist():
+                text = (raw or b"").decode("utf-8", "surrogateescape")
+                out.append([x for m in compiled.finditer(text) for x in parts(m.group().encode("utf-8", "surrogateescape"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "pieces"])
+
+    return docs.select("doc_id", F.col(content).alias("content")).mapInArrow(run, "doc_id long, pieces array<binary>")
+
+
+def with_specials(text: Column, specials: tuple[str, ...], config: str | Splitter = "code_shell") -> Column:
+    """The pieces of a text with special tokens kept whole: leftmost first, of several at one place the longest."""
+    if not specials:
+        return pieces(text, config)
+    any_of = "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in sorted(specials, key=len, reverse=True))
+    between, found = F.split(text, any_of, -1), F.regexp_extract_all(text, F.lit(f"({any_of})"), F.lit(1))
+    return F.flatten(F.zip_with(between, found, lambda b, s: F.when(s.isNull(), pieces(b, config)).otherwise(F.array_append(pieces(b, config), s))))
+
+
+def piece_counts(docs: DataFrame, config: str | Splitter = "code_shell", text: str = "text") -> DataFrame:
     """(piece, n) over all texts, combined before the shuffle."""
     return docs.select(F.explode(pieces(F.col(text), config)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
@@ -77,7 +162,7 @@ def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
     return out
 
 
-def learn_from(docs: DataFrame, merges: int, config: str = "code_shell", min_frequency: int = 2, max_distinct: int = MAX_DISTINCT) -> list[tuple[int, int]]:
+def learn_from(docs: DataFrame, merges: int, config: str | Splitter = "code_shell", min_frequency: int = 2, max_distinct: int = MAX_DISTINCT) -> list[tuple[int, int]]:
     """Learns from all pieces of all texts, on the driver or, of more than ``max_distinct`` pieces, in rounds; the merges are the same."""
     counts = piece_counts(docs, config)
     rows = counts.limit(max_distinct + 1).collect()
@@ -160,15 +245,19 @@ def encode_piece(piece: bytes, rank: dict[tuple[int, int], int]) -> list[int]:
     return ids
 
 
-def encode(docs: DataFrame, merges: list[tuple[int, int]], config: str = "code_shell") -> DataFrame:
-    """(doc_id, ids) of every text, with the merges broadcast; a worker encodes each distinct piece of a batch once."""
+def encode(docs: DataFrame, merges: list[tuple[int, int]], config: str | Splitter = "code_shell", specials: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of every text, with the merges broadcast; a worker encodes each distinct piece of a batch once.
+
+    Special tokens have the ids after the merges; no other piece can be equal to one, since texts are cut at them first.
+    """
+    special = {s: [256 + len(merges) + k] for k, s in enumerate(specials)}
     shared = docs.sparkSession.sparkContext.broadcast({pair: r for r, pair in enumerate(merges)})
 
     def run(batches):
-        rank, known = shared.value, {}
+        rank, known = shared.value, dict(special)
         for batch in batches:
             if len(known) > 200_000:
-                known.clear()
+                known = dict(special)
             out = []
             for found in batch.column("pieces").to_pylist():
                 ids: list[int] = []
@@ -179,4 +268,4 @@ def encode(docs: DataFrame, merges: list[tuple[int, int]], config: str = "code_s
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", pieces(F.col("text"), config).alias("pieces")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", with_specials(F.col("text"), specials, config).alias("pieces")).mapInArrow(run, "doc_id long, ids array<int>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spdx
 from ..functions.rng import Rng
-from ..operators import bpe, packing, scrub
+from ..operators import bpe, packing, scrub, vocabulary
 from ..session import spread, table
 from ..sources import manifest, shards
 from .registry import query
@@ -168,6 +168,24 @@ def _bpe_roundtrip(spark, d):
 
 
 query("bpe_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents")(_bpe_roundtrip)
+
+
+def _encode_specials(spark, d):
+    """Ends of sentences become special tokens; their number, and the bytes after a round trip."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.replace("text", F.lit(". "), F.lit("<|end|>")).alias("text"))
+    kept = vocabulary.Vocabulary(bpe.SPLITTERS["cl100k_like"], tuple(bpe.learn_from(docs, 32)), ("<|end|>", "<|end|>>", "<|pad|>"))
+    kept = vocabulary.loads(kept.dumps())
+    ids = bpe.encode(docs, list(kept.merges), kept.splitter, kept.specials)
+    first = 256 + len(kept.merges)
+    raw = bpe.decode(ids, kept.pieces())
+    return ids.select("doc_id", F.size(F.filter("ids", lambda i: i >= first)).cast("long").alias("n_special")).join(raw.select("doc_id", F.sha2("raw", 256).alias("digest")), "doc_id")
+
+
+query("bpe_encode", "SELECT doc_id, len(string_split(t, '<|end|>'))::BIGINT - 1 AS n_special, sha256(t) AS digest FROM (SELECT doc_id, replace(text, '. ', '<|end|>') AS t FROM documents)")(_encode_specials)
+query("pretok_bytes", "SELECT doc_id, octet_length(encode(text)) + 4 AS n_bytes, true AS within FROM documents")(
+    lambda spark, d: bpe.byte_pieces(spread(table(spark, d, "documents")).select("doc_id", F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("E282FF80"))).alias("content")))
+    .select("doc_id", F.aggregate("pieces", F.lit(0).cast("long"), lambda t, p: t + F.octet_length(p)).alias("n_bytes"), F.forall("pieces", lambda p: F.octet_length(p).between(1, bpe.MAX_PIECE)).alias("within"))
+)
 sql_query("special_find", r"SELECT x, array_join(regexp_extract_all(x, '(<[|]end_of_text[|]>|<[|]end[|]>|<[|]pad[|]>)', 1), ',') AS found FROM VALUES ('a<|end|>b<|end_of_text|>'), ('<|pad|><|pad|>'), ('none') AS t(x)",
           r"SELECT x, array_to_string(regexp_extract_all(x, '(<[|]end_of_text[|]>|<[|]end[|]>|<[|]pad[|]>)'), ',') AS found FROM (VALUES ('a<|end|>b<|end_of_text|>'), ('<|pad|><|pad|>'), ('none')) AS t(x)")
 

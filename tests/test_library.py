@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from corploom.functions import spdx
 from corploom.functions.rng import Rng
-from corploom.operators import bpe, packing, scrub, windows
+from corploom.operators import bpe, packing, scrub, vocabulary, windows
 from corploom.plans import all_oracles, all_queries
 from corploom.plans.tables import TABLES
 from corploom.sources import logs, manifest, shards, tensors
@@ -23,7 +23,7 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read"])
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read", "bpe_encode", "pretok_bytes"])
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -214,3 +214,35 @@ def test_tensor_files_refuse_damage(spark):
     rows = tensors.read_tensors(spark.createDataFrame(files, "path string, content binary")).collect()
     assert sorted(r["name"] for r in rows if r["path"] == "ok") == ["a", "b", "é"]
     assert {r["path"] for r in rows if r["error"]} == {"cut", "long", "short", "null", "type", "json"} and len(rows) == 9
+
+
+def test_pieces_of_text_and_of_bytes(spark):
+    rng, letters = random.Random(3), ["a", "Z", "_", "7", " ", "  ", "\n", "\r\n", "\t", "\x1b[31m", "\x1b", "é", "中", "\u3000", "\x85", "!", "(", "😀", "don't"]
+    texts = ["", "x" * 300, "é" * 200, "中" * 100 + "!", " " * 129, "1234567", "a_b  c\n\n d"] + ["".join(rng.choice(letters) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for config in (*bpe.SPLITTERS.values(), bpe.Splitter(True, False, "space", 1, True, "cl100k")):
+        text = {r[0]: r[1] for r in docs.select("doc_id", bpe.pieces(F.col("text"), config)).collect()}
+        raw = {r[0]: [bytes(p) for p in r[1]] for r in bpe.byte_pieces(docs.withColumn("content", F.encode("text", "utf-8")), config).collect()}
+        assert all("".join(text[k]) == t and [p.encode() for p in text[k]] == raw[k] and all(len(p) <= bpe.MAX_PIECE for p in raw[k]) for k, t in enumerate(texts))
+    cut = lambda t, c: [r[0] for r in [spark.createDataFrame([(t,)], "text string").select(bpe.pieces(F.col("text"), c)).first()]][0]
+    assert cut("a_b  c1234", "code_shell") == ["a_b", " ", " c", "123", "4"] and cut("a_b  12 c\n x", "gpt2_like") == ["a", "_", "b", " ", " 12", " c", "\n", " x"]
+    assert cut("a);\n\n  \n b", "cl100k_like") == ["a", ");\n\n", "  \n", " b"] and [len(p) for p in cut("x" * 300, "code_shell")] == [128, 128, 44]
+    assert [len(p.encode()) for p in cut("中" * 100, "code_shell")] == [126, 126, 48]
+    broken = spark.createDataFrame([(0, b"ab\xff\xe2\x82 c"), (1, None), (2, b"\x80" * 130)], "doc_id long, content binary")
+    assert {r[0]: [bytes(p) for p in r[1]] for r in bpe.byte_pieces(broken).collect()} == {0: [b"ab", b"\xff\xe2\x82", b" c"], 1: [], 2: [b"\x80" * 128, b"\x80" * 2]}
+
+
+def test_vocabulary_files():
+    kept = vocabulary.Vocabulary(bpe.SPLITTERS["gpt2_like"], ((97, 98), (256, 99)), ("<|a b|>", "<|c|>"))
+    text = kept.dumps()
+    assert vocabulary.loads(text) == kept and kept.pieces()[257] == b"abc" and kept.pieces()[259] == b"<|c|>" and text.splitlines()[1] == "pretokenizer ansi=0 underscore=0 prefix=space digits=0 punct_newlines=0 whitespace=gpt2"
+    for damage in (text.replace(" 1\n", " 2\n", 1), text.replace("ansi=0", "ansi=2"), text.replace("ansi=0 ", ""), text.replace("ansi=0", "ansi=0 ansi=0"), text + "special x\n", text + "merge 1\n", text + "merge 1 999\n", text + "merge 97 98\n", text + "\n", text.replace("<|c|>", "<|a b|>"), text.replace("<|c|>", " c")):
+        with pytest.raises(ValueError):
+            vocabulary.loads(damage)
+    assert vocabulary.special_errors(("a", "", "b\n", " c", "a")) == [None, "empty", "has a line break", "has spaces at an end", "is listed twice"]
+
+
+def test_special_tokens_win_by_place_and_length(spark):
+    docs = spark.createDataFrame([(0, "x<|a|>b<|a|>>"), (1, ""), (2, None), (3, "<|a|>")], "doc_id long, text string")
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, [(97, 98)], "code_shell", ("<|a|>", "<|a|>>")).collect()}
+    assert ids == {0: [120, 257, 98, 258], 1: [], 2: [], 3: [257]}
