@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..sources import logs, manifest, tensors
+from ..sources import logs, manifest, reports, tensors
 from .registry import query
 
 #: One file for each 64 event ids of a user; every fifth user's last line lacks a field.
@@ -71,3 +71,43 @@ query("safetensors_read", "SELECT (vec_id // 32)::VARCHAR AS path, 'v' || vec_id
         tensors.tensor_files(table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("path"), F.concat(F.lit("v"), "vec_id").alias("name"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("values")))
     ).select("path", "name", F.get("shape", F.lit(0)).alias("n"), F.get("values", F.lit(0)).cast("double").alias("first_value"), F.element_at("values", -1).cast("double").alias("last_value"), "error")
 )
+
+# -- answers of indexes and build logs, made of the pages --------------------------------------------
+
+
+def _json_files(spark, d, key: str, *columns: str):
+    """One JSON text for ten pages."""
+    rows = table(spark, d, "pages").selectExpr("CAST(page_id DIV 10 AS STRING) AS path", f"struct({', '.join(columns)}) AS s")
+    return rows.groupBy("path").agg(F.to_json(F.struct(F.lit("candidates/1").alias("schema"), F.collect_list("s").alias(key))).alias("value"))
+
+
+query("crates_page_parse", "SELECT (page_id // 10)::VARCHAR AS path, 'c' || page_id AS name, CASE WHEN page_id % 3 > 0 THEN url END AS repository, page_id * 7 AS downloads, CASE WHEN page_id % 4 > 0 THEN '1.0.' || page_id ELSE '2.0.0-rc' END AS version FROM pages WHERE page_id % 9 > 0")(
+    lambda spark, d: reports.crates_pages(_json_files(spark, d, "crates", "CASE WHEN page_id % 9 > 0 THEN concat('c', page_id) END AS name", "CASE WHEN page_id % 3 > 0 THEN url END AS repository", "page_id * 7 AS downloads", "CASE WHEN page_id % 4 > 0 THEN concat('1.0.', page_id) END AS max_stable_version", "'2.0.0-rc' AS newest_version"))
+)
+query("github_search_parse", "SELECT (page_id // 10)::VARCHAR AS path, 'a/r' || page_id AS id, CASE page_id % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'NOASSERTION' ELSE 'MIT' END AS license, page_id AS stars FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0")(
+    lambda spark, d: reports.repository_searches(_json_files(spark, d, "items", "concat(if(page_id % 5 = 0, 'a b', 'a'), '/r', page_id) AS full_name", "page_id % 4 = 0 AS fork", "CASE page_id % 3 WHEN 1 THEN named_struct('spdx_id', CAST(NULL AS STRING), 'key', 'x') WHEN 2 THEN named_struct('spdx_id', 'MIT', 'key', 'x') END AS license", "page_id AS stars"))
+)
+query("candidates_json", "SELECT (page_id // 10)::VARCHAR AS path, 'a/' || page_id AS id, 'x,y' || page_id AS crates, page_id AS downloads, NULL::VARCHAR AS error FROM pages WHERE page_id // 10 % 4 > 0 UNION ALL SELECT DISTINCT (page_id // 10)::VARCHAR, NULL, NULL, NULL::BIGINT, 'not candidates/1' FROM pages WHERE page_id // 10 % 4 = 0")(
+    lambda spark, d: reports.candidates(
+        _json_files(spark, d, "candidates", "concat('a/', page_id) AS id", "array('x', concat('y', page_id)) AS crates", "page_id AS downloads").withColumn("value", F.expr("if(path % 4 = 0, replace(value, 'candidates/1', 'candidates/2'), value)"))
+    ).withColumn("crates", F.array_join("crates", ","))
+)
+query("crate_version_parse", "SELECT page_id::VARCHAR AS path, CASE page_id % 4 WHEN 0 THEN 'Apache-2.0 OR MIT' WHEN 1 THEN 'MIT OR ISC' WHEN 2 THEN '(MIT/X)' END AS license, page_id % 6 = 0 AS yanked FROM pages")(
+    lambda spark, d: reports.crate_versions(table(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", "to_json(named_struct('version', named_struct('license', CASE page_id % 4 WHEN 0 THEN 'Apache-2.0 / MIT' WHEN 1 THEN ' MIT/ISC' WHEN 2 THEN '(MIT/X)' END, 'yanked', page_id % 6 = 0))) AS value"))
+)
+query("ls_remote_parse", "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 5 > 0 THEN substr(sha256(url), 1, 40) END AS revision FROM pages")(
+    lambda spark, d: reports.remote_heads(table(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", "concat(substr(sha2(path, 256), 1, 40), char(9), 'refs/x', char(10), substr(sha2(url, 256), 1, 40), char(9), if(page_id % 5 = 0, 'refs/HEAD', 'HEAD'), char(10)) AS value"))
+)
+query("log_ci_tests", "SELECT lang AS suite, count(*) FILTER (doc_id % 7 > 1) AS passed, count(*) FILTER (doc_id % 7 = 0) AS failed, count(*) FILTER (doc_id % 7 = 1) AS ignored FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL GROUP BY lang")(
+    lambda spark, d: reports.test_counts(table(spark, d, "documents").selectExpr("concat('test ', lang, '::d', doc_id, ' ... ', CASE doc_id % 7 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'ignored' ELSE 'ok' END) AS value"))
+)
+query("log_ci_fmt", "SELECT 'src/' || page_id % 20 || '.rs' AS path, count(*) AS hunks, min(page_id) AS first_line FROM pages GROUP BY 1")(
+    lambda spark, d: reports.format_hunks(table(spark, d, "pages").selectExpr("concat('Diff in src/', page_id % 20, '.rs', if(page_id % 2 = 0, ' at line ', ':'), page_id, ':') AS value"))
+)
+query("log_ci_diagnostics", """SELECT page_id::VARCHAR AS path, 2 AS line_no, 'warning' AS level, NULL AS code, 'unused ' || page_id AS message, CASE WHEN page_id % 2 = 0 THEN 'src/a.rs' END AS file, CASE WHEN page_id % 2 = 0 THEN page_id END::INT AS at FROM pages
+UNION ALL SELECT page_id::VARCHAR, 4, 'error', 'E0308', 'mismatched', 'src/b.rs', 9 FROM pages""")(
+    lambda spark, d: reports.diagnostics(table(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", r"concat('Checking\nwarning: unused ', page_id, '\n', if(page_id % 2 = 0, concat('  --> src/a.rs:', page_id, ':5'), '   |'), '\nerror[E0308]: mismatched\n   |\n --> src/b.rs:9:1\nDone') AS value"))
+)
+query("log_data_smoke", "SELECT page_id::VARCHAR AS path, unnest(['scrub', 'scrub', 'pack']) AS section, unnest(['files', 'secrets', 'shards']) AS metric, unnest([page_id, page_id * 2, 4]) AS value FROM pages")(
+    lambda spark, d: reports.sections(table(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", r"concat('early 1\n=== scrub ===\nfiles ', page_id, '\nsecrets ', page_id * 2, '\nnot a number\n=== pack ===\nshards 4\n') AS value"))
+)

@@ -27,8 +27,6 @@ sql_query("files_list_write", "SELECT concat_ws(char(9), lang, 'docs', source, d
 
 _TSV = "(1, 'step,loss,tokens'), (2, '1,8.3,2048'), (3, '2,x,4096'), (4, '3,7.9'), (5, '4,7.5,8192')"
 _both("tsv_log_read", "SELECT n AS line_no, CASE WHEN n = 1 THEN line = 'step,loss,tokens' ELSE {rlike}(line, '^[0-9]+,[0-9]+([.][0-9]+)?,[0-9]+$') END AS ok FROM {v}", _TSV, "n, line")
-_FMT = "('Diff in src/a.rs at line 3:'), ('Diff in src/b.rs at line 9:'), ('Diff in src/a.rs at line 40:'), ('Finished')"
-_both("log_ci_fmt", "SELECT regexp_extract(line, '^Diff in (.*) at line', 1) AS path, count(*) AS hunks FROM {v} WHERE line LIKE 'Diff in %' GROUP BY 1", _FMT, "line")
 _SMOKE = "('loss 5.5674 -> 0.0005, accuracy 1.000'), ('done')"
 _both("log_train_smoke", "SELECT CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 1) AS DOUBLE) AS first_loss, CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 2) AS DOUBLE) AS last_loss, CAST(regexp_extract(line, 'accuracy ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM {v} WHERE line LIKE 'loss %'", _SMOKE, "line")
 sql_query("join_moments_params", "SELECT coalesce(d.doc_id, l.doc_id) AS name, d.doc_id IS NULL AS no_param, l.doc_id IS NULL AS no_moment FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")

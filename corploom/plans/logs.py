@@ -9,31 +9,13 @@ def _rows(values: str, columns: str) -> str:
     return f"SELECT * FROM (VALUES {values}) AS t({columns})"
 
 
-_PAGE = '{"crates":[{"name":"hash","repository":"https://github.com/a/hash","downloads":29,"max_stable_version":"1.2.0","newest_version":"1.3.0-rc"},{"name":"fmt","repository":null,"downloads":7,"max_stable_version":null,"newest_version":"0.1.0"},{"name":null,"downloads":1}]}'
-sql_query("crates_page_parse", f"SELECT name, repository, downloads, coalesce(max_stable_version, newest_version) AS version FROM (SELECT inline(from_json('{_PAGE}', 'crates array<struct<name:string,repository:string,downloads:bigint,max_stable_version:string,newest_version:string>>').crates)) WHERE name IS NOT NULL",
-          _rows("('hash', 'https://github.com/a/hash', 29::BIGINT, '1.2.0'), ('fmt', NULL, 7::BIGINT, '0.1.0')", "name, repository, downloads, version"))
-sql_query("crate_version_parse", "SELECT regexp_replace(get_json_object(j, '$.version.license'), ' ?/ ?', ' OR ') AS license, CAST(get_json_object(j, '$.version.yanked') AS BOOLEAN) AS yanked FROM VALUES ('{\"version\":{\"license\":\"Apache-2.0 / MIT\",\"yanked\":false}}'), ('{\"version\":{\"license\":\"MIT\",\"yanked\":true}}') AS t(j)",
-          _rows("('Apache-2.0 OR MIT', false), ('MIT', true)", "license, yanked"))
-_SEARCH = '{"items":[{"full_name":"a/b","fork":false,"license":null,"stars":5},{"full_name":"c/d","fork":true,"license":null,"stars":9},{"full_name":"e/f","fork":false,"license":{"spdx_id":"MIT"},"stars":2},{"full_name":"g/h","fork":false,"license":{"spdx_id":null},"stars":1}]}'
-sql_query("github_search_parse", f"SELECT full_name AS id, CASE WHEN license IS NULL THEN 'NONE' ELSE coalesce(license.spdx_id, 'NOASSERTION') END AS license, stars FROM (SELECT inline(from_json('{_SEARCH}', 'items array<struct<full_name:string,fork:boolean,license:struct<spdx_id:string>,stars:bigint>>').items)) WHERE NOT fork AND full_name RLIKE '^[A-Za-z0-9._/-]+$'",
-          _rows("('a/b', 'NONE', 5::BIGINT), ('e/f', 'MIT', 2::BIGINT), ('g/h', 'NOASSERTION', 1::BIGINT)", "id, license, stars"))
-sql_query("ls_remote_parse", r"SELECT element_at(filter(split(x, '\n'), l -> l RLIKE '^[0-9a-f]{40}\\s+HEAD$'), 1) RLIKE '^14432a28' AS found, substr(element_at(filter(split(x, '\n'), l -> l RLIKE '^[0-9a-f]{40}\\s+HEAD$'), 1), 1, 40) AS revision FROM VALUES ('abc refs/x\n14432a28e180ec717933714aed7828fc7ed2fd29\tHEAD\n') AS t(x)",
-          _rows("(true, '14432a28e180ec717933714aed7828fc7ed2fd29')", "found, revision"))
 sql_query("policy_report_read", r"SELECT f[0] AS status, f[1] AS id, f[3] AS license, CASE WHEN size(f) > 4 THEN f[4] END AS reason FROM (SELECT split(x, '\t') AS f FROM VALUES ('accepted\ta/b\trust\tMIT'), ('rejected\tc/d\tshell\tGPL-3.0-only\tnot on the list') AS t(x))",
           _rows("('accepted', 'a/b', 'MIT', NULL), ('rejected', 'c/d', 'GPL-3.0-only', 'not on the list')", "status, id, license, reason"))
 sql_query("summary_kv_read", r"SELECT try_cast(m['steps'] AS BIGINT) AS steps, try_cast(m['tokens'] AS BIGINT) AS tokens, m['finished'] = 'yes' AS finished FROM (SELECT str_to_map(x, '\n', ' ') AS m FROM VALUES ('steps 100\ntokens 204800\nfinished yes') AS t(x))",
           _rows("(100::BIGINT, 204800::BIGINT, true)", "steps, tokens, finished"))
-sql_query("candidates_json", "SELECT id, array_join(crates, ',') AS crates, downloads FROM (SELECT inline(from_json('{\"schema\":\"candidates/1\",\"candidates\":[{\"id\":\"a/b\",\"crates\":[\"x\",\"y\"],\"downloads\":3}]}', 'schema string, candidates array<struct<id:string,crates:array<string>,downloads:bigint>>').candidates))",
-          _rows("('a/b', 'x,y', 3::BIGINT)", "id, crates, downloads"))
-_LOG = "(1, '=== scrub ==='), (2, 'files 256'), (3, 'secrets 17'), (4, '=== pack ==='), (5, 'shards 4'), (6, 'tokens 713006')"
-sql_query("log_data_smoke", f"SELECT section, split(line, ' ')[0] AS metric, CAST(split(line, ' ')[1] AS BIGINT) AS value FROM (SELECT line, last(nullif(regexp_extract(line, '^=== (.*) ===$', 1), ''), true) OVER (ORDER BY n) AS section FROM VALUES {_LOG} AS t(n, line)) WHERE NOT line LIKE '===%'",
-          _rows("('scrub', 'files', 256::BIGINT), ('scrub', 'secrets', 17::BIGINT), ('pack', 'shards', 4::BIGINT), ('pack', 'tokens', 713006::BIGINT)", "section, metric, value"))
 _RUNS = "('a', 'tokens', 5), ('b', 'tokens', 5), ('a', 'shards', 4), ('b', 'shards', 3), ('a', 'only', 1)"
 sql_query("log_compare_runners", f"SELECT metric, a, b, coalesce(a = b, false) AS same FROM (SELECT * FROM VALUES {_RUNS} AS t(runner, metric, value)) PIVOT (max(value) FOR runner IN ('a' AS a, 'b' AS b))",
           f"SELECT metric, max(value) FILTER (runner = 'a') AS a, max(value) FILTER (runner = 'b') AS b, coalesce(max(value) FILTER (runner = 'a') = max(value) FILTER (runner = 'b'), false) AS same FROM (VALUES {_RUNS}) AS t(runner, metric, value) GROUP BY metric")
-_TESTS = "('test a::b ... ok'), ('test a::c ... FAILED'), ('test d::e ... ok'), ('test d::f ... ignored'), ('noise')"
-_CI = "SELECT suite, CAST({c}(r = 'ok') AS BIGINT) AS passed, CAST({c}(r = 'FAILED') AS BIGINT) AS failed, CAST({c}(r = 'ignored') AS BIGINT) AS ignored FROM (SELECT regexp_extract(x, '^test ([a-z]+)::', 1) AS suite, regexp_extract(x, '[.][.][.] ([A-Za-z]+)$', 1) AS r FROM {v} AS t(x)) q WHERE suite <> '' GROUP BY suite"
-sql_query("log_ci_tests", _CI.format(c="count_if", v=f"VALUES {_TESTS}"), _CI.format(c="count_if", v=f"(VALUES {_TESTS})"))
 sql_query("log_ffi_checks", "SELECT count(*) AS total, CAST(count_if(x LIKE 'ok %') AS BIGINT) AS passed, CAST(count_if(x LIKE 'FAIL %') AS BIGINT) AS failed FROM VALUES ('ok one'), ('FAIL two'), ('ok three') AS t(x)",
           _rows("(3::BIGINT, 2::BIGINT, 1::BIGINT)", "total, passed, failed"))
 sql_query("log_train_report", "SELECT round(ln(4096D), 6) AS uninformed, min_by(value, event_id) AS first_loss, max_by(value, event_id) AS last_loss, max(value) AS worst, max_by(event_id, value) AS at_step FROM {events}",
