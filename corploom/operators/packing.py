@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -145,3 +147,28 @@ def sequence_ends(shards: DataFrame, length: int) -> DataFrame:
     """(shard, sequences, ends): running number of sequences by shard."""
     n = shards.select("shard", F.greatest(F.floor((F.size("tokens") - 1) / length), F.lit(0)).alias("sequences"))
     return n.withColumn("ends", F.sum("sequences").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def corpus_counts(encoded: DataFrame, docs: DataFrame) -> DataFrame:
+    """(documents, bytes, tokens) in one row: texts of ``docs`` by bytes, encoded(ids) by tokens and an end of text each."""
+    tokens = encoded.agg(F.coalesce(F.sum(F.size("ids") + 1), F.lit(0)).cast("long").alias("tokens"))
+    sizes = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes"))
+    return sizes.crossJoin(tokens)  # one row each
+
+
+def batch_digest(made: DataFrame, limit: int = 100) -> str:
+    """SHA-256 over the first ``limit`` batches of made(index, row, inputs, targets), which is what is told of an epoch: of each, its inputs, then its targets, as 4-byte little-endian numbers."""
+    digest, held, at = hashlib.sha256(), [], None
+
+    def put():
+        for column in ("inputs", "targets"):
+            for r in held:
+                digest.update(np.asarray(r[column], "<u4").tobytes())
+
+    for row in made.where(F.col("index") < limit).orderBy("index", "row").toLocalIterator():
+        if row["index"] != at:
+            put()
+            held, at = [], row["index"]
+        held.append(row)
+    put()
+    return digest.hexdigest()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
-from ..sources import logs, manifest, reports, tensors
+from ..operators import bpe, packing
+from ..session import spread, table
+from ..sources import listing, logs, manifest, reports, tensors
 from .registry import query
 
 #: One file for each 64 event ids of a user; every fifth user's last line lacks a field.
@@ -111,3 +112,21 @@ UNION ALL SELECT page_id::VARCHAR, 4, 'error', 'E0308', 'mismatched', 'src/b.rs'
 query("log_data_smoke", "SELECT page_id::VARCHAR AS path, unnest(['scrub', 'scrub', 'pack']) AS section, unnest(['files', 'secrets', 'shards']) AS metric, unnest([page_id, page_id * 2, 4]) AS value FROM pages")(
     lambda spark, d: reports.sections(table(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", r"concat('early 1\n=== scrub ===\nfiles ', page_id, '\nsecrets ', page_id * 2, '\nnot a number\n=== pack ===\nshards 4\n') AS value"))
 )
+
+# -- trees of files, packed tokens -------------------------------------------------------------
+
+_TREE = """CASE page_id % 8 WHEN 0 THEN 'src/f{p}.rs' WHEN 1 THEN 'target/f{p}.rs' WHEN 2 THEN 'bin/f{p}' WHEN 3 THEN 'bin/f{p}' WHEN 4 THEN 'docs/Guide{p}.MD' WHEN 5 THEN 'docs/changelog{p}.md' WHEN 6 THEN 'a b/f{p}.sh' ELSE 'd{p}/Makefile' END"""
+
+
+def _tree(spark, d):
+    pages = table(spark, d, "pages")
+    path = f"replace({_TREE}, '{{p}}', CAST(page_id AS STRING))"
+    files = pages.selectExpr(f"{path} AS path", "page_id AS size", "CASE page_id % 8 WHEN 2 THEN '#!/usr/bin/env -S bash -e' WHEN 3 THEN '#!/usr/bin/bashful' END AS head")
+    kinds = [listing.select_files(files, c, kind=k).select("path", F.lit(name).alias("kind")) for name, c, k in (("rust", "rust", "code"), ("shell", "shell", "code"), ("docs", "rust", "docs"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+query("select_files", f"SELECT replace({_TREE}, '{{p}}', page_id::VARCHAR) AS path, CASE page_id % 8 WHEN 0 THEN 'rust' WHEN 4 THEN 'docs' ELSE 'shell' END AS kind FROM pages WHERE page_id % 8 IN (0, 2, 4, 7) AND page_id BETWEEN 1 AND 1048576")(_tree)
+query("agg_docs_tokens", "SELECT count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(octet_length(encode(text)) + 1)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")(
+    lambda spark, d: packing.corpus_counts(bpe.encode(spread(table(spark, d, "documents")).where("text is not null"), []), table(spark, d, "documents").where("text is not null"))
+)

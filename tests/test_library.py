@@ -1,11 +1,13 @@
 """Queries against their DuckDB SQL, and properties that SQL can't state."""
 
+import hashlib
 import random
 import re
 import string
 import tempfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from corploom.functions.rng import Rng
 from corploom.operators import bpe, packing, scrub, vocabulary, windows
 from corploom.plans import all_oracles, all_queries
 from corploom.plans.tables import TABLES
-from corploom.sources import logs, manifest, shards, tensors
+from corploom.sources import listing, logs, manifest, shards, tensors
 from corploom.streaming.dedup import deduplicated, event_counts
 
 
@@ -23,7 +25,7 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read", "bpe_encode", "pretok_bytes", "crates_page_parse", "github_search_parse", "candidates_json", "crate_version_parse", "ls_remote_parse", "log_ci_tests", "log_ci_diagnostics", "log_data_smoke"])
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read", "bpe_encode", "pretok_bytes", "crates_page_parse", "github_search_parse", "candidates_json", "crate_version_parse", "ls_remote_parse", "log_ci_tests", "log_ci_diagnostics", "log_data_smoke", "select_files", "agg_docs_tokens"])
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -246,3 +248,19 @@ def test_special_tokens_win_by_place_and_length(spark):
     docs = spark.createDataFrame([(0, "x<|a|>b<|a|>>"), (1, ""), (2, None), (3, "<|a|>")], "doc_id long, text string")
     ids = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, [(97, 98)], "code_shell", ("<|a|>", "<|a|>>")).collect()}
     assert ids == {0: [120, 257, 98, 258], 1: [], 2: [], 3: [257]}
+
+
+def test_trees_of_files(spark, tmp_path):
+    for path, text in (("a/x.rs", "fn"), ("a/run", "#! /bin/sh\n"), ("a/e.rs", ""), ("vendor/y.rs", "fn"), ("README.md", "hi"), ("News.md", "no")):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    files = listing.listing(spark, str(tmp_path), heads=True)
+    names = lambda **kw: sorted(r["path"] for r in listing.select_files(files, **kw).collect())
+    assert names(category="rust") == ["a/x.rs"] and names(category="shell") == ["a/run"] and names(category="rust", kind="docs") == ["README.md"] and names(category="rust", max_bytes=1) == []
+    digests = {r["path"]: r["digest"] for r in listing.file_digests(spark, str(tmp_path)).collect()}
+    assert len(digests) == 5 and "a/e.rs" not in digests and digests["README.md"] == hashlib.sha256(b"hi").hexdigest()
+
+
+def test_batch_digest(spark):
+    made = spark.createDataFrame([(1, 0, [5], [6]), (0, 1, [3], [4]), (0, 0, [1], [2]), (2, 0, [9], [9])], "index long, row long, inputs array<int>, targets array<int>")
+    assert packing.batch_digest(made, 2) == hashlib.sha256(np.array([1, 3, 2, 4, 5, 6], "<u4").tobytes()).hexdigest()
