@@ -144,3 +144,16 @@ def judged(rows, column: str = "license", allowed: tuple[str, ...] = tuple(ALLOW
 
     known = rows.select(F.col(column).alias("__license")).distinct().mapInArrow(run, "__license string, accepted boolean, reason string, valid boolean")
     return rows.join(known, rows[column].eqNullSafe(known["__license"])).drop("__license")
+
+
+def shaped(text):
+    """Whether a column has the shape of an expression: names, ``name WITH name``, joined by AND or OR, in brackets; names needn't exist. Null and empty have not."""
+    from pyspark.sql import functions as F
+
+    tokens = F.regexp_extract_all(text, F.lit(r"[()]|[A-Za-z0-9.+:_-]+"), 0)
+    # one letter for each token: brackets, o between terms, w for WITH, i for a name
+    kinds = F.transform(tokens, lambda t: F.when(t.isin("(", ")"), t).when(t.isin("AND", "OR"), "o").when(t == "WITH", "w").otherwise("i"))
+    line = F.array_join(kinds, "")
+    level = F.aggregate(kinds, F.lit(0), lambda n, t: F.when(n < 0, n).when(t == "(", n + 1).when(t == ")", n - 1).otherwise(n))
+    whole = text.rlike(r"^[A-Za-z0-9.+:_()\s-]*$") & line.rlike("^[(i]") & line.rlike("[i)]$") & ~line.rlike(r"[(o][^(i]|i[(i]|\)[^o)]|w[^i]|wiw")
+    return F.coalesce(whole & (level == 0), F.lit(False))
