@@ -16,18 +16,5 @@ sql_query("summary_kv_read", r"SELECT try_cast(m['steps'] AS BIGINT) AS steps, t
 _RUNS = "('a', 'tokens', 5), ('b', 'tokens', 5), ('a', 'shards', 4), ('b', 'shards', 3), ('a', 'only', 1)"
 sql_query("log_compare_runners", f"SELECT metric, a, b, coalesce(a = b, false) AS same FROM (SELECT * FROM VALUES {_RUNS} AS t(runner, metric, value)) PIVOT (max(value) FOR runner IN ('a' AS a, 'b' AS b))",
           f"SELECT metric, max(value) FILTER (runner = 'a') AS a, max(value) FILTER (runner = 'b') AS b, coalesce(max(value) FILTER (runner = 'a') = max(value) FILTER (runner = 'b'), false) AS same FROM (VALUES {_RUNS}) AS t(runner, metric, value) GROUP BY metric")
-sql_query("log_ffi_checks", "SELECT count(*) AS total, CAST(count_if(x LIKE 'ok %') AS BIGINT) AS passed, CAST(count_if(x LIKE 'FAIL %') AS BIGINT) AS failed FROM VALUES ('ok one'), ('FAIL two'), ('ok three') AS t(x)",
-          _rows("(3::BIGINT, 2::BIGINT, 1::BIGINT)", "total, passed, failed"))
 sql_query("log_train_report", "SELECT round(ln(4096D), 6) AS uninformed, min_by(value, event_id) AS first_loss, max_by(value, event_id) AS last_loss, max(value) AS worst, max_by(event_id, value) AS at_step FROM {events}",
           "SELECT round(ln(4096::DOUBLE), 6) AS uninformed, arg_min(value, event_id) AS first_loss, arg_max(value, event_id) AS last_loss, max(value) AS worst, arg_max(event_id, value) AS at_step FROM {events}")
-_PATHS = "('target/debug/a.o', 10), ('src/lib.rs', 6000000), ('.env', 5), ('keys/id_rsa', 9), ('node_modules/x/y.js', 3)"
-_HYGIENE = "SELECT path, split_part(path, '/', 1) IN ('target', 'node_modules', 'build', 'dist') AS build_dir, size > 5242880 AS large, {m} AS secret_name FROM {v} AS t(path, size)"
-sql_query("log_hygiene", _HYGIENE.format(m="path RLIKE '(^|/)([.]env|id_rsa|.*[.]pem)$'", v=f"VALUES {_PATHS}"), _HYGIENE.format(m="regexp_matches(path, '(^|/)([.]env|id_rsa|.*[.]pem)$')", v=f"(VALUES {_PATHS})"))
-sql_query("agg_hygiene_buildroots", f"SELECT split_part(path, '/', 1) AS top, count(*) AS files FROM VALUES {_PATHS} AS t(path, size) WHERE split_part(path, '/', 1) IN ('target', 'node_modules') GROUP BY 1",
-          _rows("('target', 1::BIGINT), ('node_modules', 1::BIGINT)", "top, files"))
-sql_query("log_security", "SELECT id, package FROM (SELECT explode(from_json('{\"yanked\":[{\"id\":\"A\",\"package\":\"p\"}],\"unsound\":[{\"id\":\"B\",\"package\":\"q\"},{\"id\":\"C\",\"package\":\"r\"}]}', 'map<string,array<struct<id:string,package:string>>>')) AS (kind, w)) LATERAL VIEW inline(w) x AS id, package",
-          _rows("('A', 'p'), ('B', 'q'), ('C', 'r')", "id, package"))
-_BENCH = "(1, 'matmul/unit-32'), (2, 'time: [4.8 us 4.9 us 5.0 us]'), (3, 'matmul/baseline-c-32'), (4, 'time: [2.0 us 2.5 us 2.6 us]')"
-_MID = "SELECT name, round(CAST(regexp_extract(line, '\\\\[[0-9.]+ us ([0-9.]+) us', 1) AS DOUBLE) * 1000, 3) AS mid_ns FROM (SELECT line, {last} OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS name FROM {v} AS t(n, line)) q WHERE line LIKE 'time:%'"
-sql_query("log_bench_parse", _MID.format(last="last(if(line LIKE 'time:%', null, line), true)", v=f"VALUES {_BENCH}"),
-          _MID.replace("\\\\[", "\\[").format(last="last_value(CASE WHEN line LIKE 'time:%' THEN NULL ELSE line END IGNORE NULLS)", v=f"(VALUES {_BENCH})"))
