@@ -10,6 +10,7 @@ from ..functions.rng import Rng
 from ..operators import bpe, packing, scrub, vocabulary
 from ..session import spread, table
 from ..sources import manifest, shards
+from ..sources.reports import normalized_license
 from .registry import query
 from .tables import sql_query
 
@@ -67,16 +68,19 @@ _ACCEPTED = {"MIT", "Apache-2.0 OR GPL-3.0-only", "(MIT OR Apache-2.0) AND Unico
 
 def _lic_verdict(spark, d):
     """Distinct expressions are judged once each and joined back."""
-    rows = spark.createDataFrame([(k, e) for k, e in enumerate(_EXPRESSIONS)], "ord int, license string")
-    return spdx.judged(rows).select("license", "accepted")
+    rows = table(spark, d, "pages").select("page_id", F.get(F.array(*map(F.lit, _EXPRESSIONS)), F.col("page_id") % len(_EXPRESSIONS)).alias("license"))
+    return spdx.judged(rows).select("page_id", "license", "accepted")
 
 
-query("lic_verdict", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', {str(e in _ACCEPTED).lower()})" for e in _EXPRESSIONS) + ") AS t(license, accepted)")(_lic_verdict)
-sql_query("lic_check_identifier", "SELECT id, id RLIKE '^([A-Za-z0-9.-]+|(DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+)$' AS ok FROM VALUES ('MIT'), ('LicenseRef-a'), ('DocumentRef-x:LicenseRef-y'), ('a b'), ('a_b') AS t(id)",
-          "SELECT id, regexp_matches(id, '^([A-Za-z0-9.-]+|(DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+)$') AS ok FROM (VALUES ('MIT'), ('LicenseRef-a'), ('DocumentRef-x:LicenseRef-y'), ('a b'), ('a_b')) AS t(id)")
+query("lic_verdict", f"SELECT page_id, e[page_id % {len(_EXPRESSIONS)} + 1] AS license, a[page_id % {len(_EXPRESSIONS)} + 1] AS accepted FROM pages, (SELECT {_EXPRESSIONS} AS e, {[e in _ACCEPTED for e in _EXPRESSIONS]} AS a)")(_lic_verdict)
+_IDENTIFIER = "SELECT replace(CASE page_id % 6 WHEN 0 THEN 'MIT-~' WHEN 1 THEN 'LicenseRef-~' WHEN 2 THEN 'DocumentRef-x:LicenseRef-~' WHEN 3 THEN 'a ~' WHEN 4 THEN 'a_~' ELSE 'x:~' END, '~', CAST(page_id AS STRING)) AS id FROM {pages}"
+sql_query("lic_check_identifier", f"SELECT id, id RLIKE '^([A-Za-z0-9.-]+|(DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+)$' AS ok FROM ({_IDENTIFIER}) t",
+          f"SELECT 'MIT-' || page_id AS id, true AS ok FROM {{pages}} WHERE page_id % 6 = 0 UNION ALL SELECT CASE page_id % 6 WHEN 1 THEN '' ELSE 'DocumentRef-x:' END || 'LicenseRef-' || page_id, true FROM {{pages}} WHERE page_id % 6 IN (1, 2) UNION ALL SELECT CASE page_id % 6 WHEN 3 THEN 'a ' WHEN 4 THEN 'a_' ELSE 'x:' END || page_id, false FROM {{pages}} WHERE page_id % 6 > 2")
 query("lic_allowed_ids", "SELECT unnest(['" + "','".join(spdx.ALLOWED) + "']) AS id")(lambda spark, d: spark.createDataFrame([(x,) for x in spdx.ALLOWED], "id string"))
-sql_query("normalize_license", r"SELECT x, CASE WHEN n RLIKE '[()]| (AND|OR|WITH) ' OR n NOT LIKE '%/%' THEN n ELSE regexp_replace(n, ' ?/ ?', ' OR ') END AS license FROM (SELECT x, trim(regexp_replace(x, '\\s+', ' ')) AS n FROM VALUES ('MIT/Apache-2.0'), ('Apache-2.0 / MIT'), (' MIT '), ('(MIT/X)'), ('MIT OR  ISC') AS t(x))",
-          r"SELECT x, CASE WHEN regexp_matches(n, '[()]| (AND|OR|WITH) ') OR n NOT LIKE '%/%' THEN n ELSE regexp_replace(n, ' ?/ ?', ' OR ', 'g') END AS license FROM (SELECT x, trim(regexp_replace(x, '\s+', ' ', 'g')) AS n FROM (VALUES ('MIT/Apache-2.0'), ('Apache-2.0 / MIT'), (' MIT '), ('(MIT/X)'), ('MIT OR  ISC')) AS t(x))")
+_SLASHED = "CASE page_id % 8 WHEN 0 THEN 'MIT/Apache-~' WHEN 1 THEN 'Apache-~ / MIT' WHEN 2 THEN ' MIT ~ ' WHEN 3 THEN '(MIT/X~)' WHEN 4 THEN 'MIT  OR ISC/~' WHEN 5 THEN 'A//B/~/' WHEN 6 THEN 'ORB/~' ELSE ' ' END"
+query("normalize_license", "SELECT page_id, replace(CASE page_id % 8 WHEN 0 THEN 'MIT OR Apache-~' WHEN 1 THEN 'Apache-~ OR MIT' WHEN 2 THEN 'MIT ~' WHEN 3 THEN '(MIT/X~)' WHEN 4 THEN 'MIT OR ISC/~' WHEN 5 THEN 'A OR B OR ~' WHEN 6 THEN 'ORB OR ~' END, '~', page_id::VARCHAR) AS license FROM pages")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", normalized_license(F.expr(f"replace({_SLASHED}, '~', CAST(page_id AS STRING))")).alias("license"))
+)
 
 # -- secrets ---------------------------------------------------------------------------------------
 

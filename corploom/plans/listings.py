@@ -1,4 +1,4 @@
-"""File listings, strict logs and shard headers: rows in, judged rows out."""
+"""File listings, strict logs and shard headers: rows made of the tables in, judged rows out."""
 
 from __future__ import annotations
 
@@ -6,20 +6,28 @@ from .registry import query
 from .tables import sql_query
 
 
-def _both(name: str, sql: str, values: str, columns: str) -> None:
-    """Registers one statement over literal rows; ``{v}`` stands for them, ``{rlike}`` for the dialect's search by pattern."""
-    sql_query(name, sql.replace("{v}", f"VALUES {values} AS t({columns})").replace("{rlike}", "regexp_like"),
-              sql.replace("{v}", f"(VALUES {values}) AS t({columns})").replace("{rlike}", "regexp_matches"))
+def _both(name: str, sql: str, values: str, columns: str = "") -> None:
+    """Registers one statement over rows, literal ones or those of a SELECT; ``{v}`` stands for them, ``{rlike}`` for the dialect's search by pattern."""
+    made = f"({values}) AS t" if values.startswith("SELECT") else None
+    sql_query(name, sql.replace("{v}", made or f"VALUES {values} AS t({columns})").replace("{rlike}", "regexp_like"),
+              sql.replace("{v}", made or f"(VALUES {values}) AS t({columns})").replace("{rlike}", "regexp_matches"))
+
+
+def _case(*forms: str) -> str:
+    """One of the forms for each page, by turns; ``~`` stands for its id."""
+    whens = " ".join(f"WHEN {k} THEN '{form}'" for k, form in enumerate(forms))
+    return f"replace(CASE page_id % {len(forms)} {whens} END, '~', CAST(page_id AS STRING))"
 
 
 # -- listings --------------------------------------------------------------------------------------
 
-_FILES = "('src/a.rs', 10, ''), ('.profile', 9, '#!/bin/sh'), ('bin/run', 9, '#!/usr/bin/env bash'), ('bin/x', 9, '#!/usr/bin/bashful'), ('target/b.rs', 10, ''), ('a b.rs', 10, ''), ('empty.rs', 0, ''), ('big.rs', 2000000, ''), ('README.md', 50, ''), ('CHANGELOG.md', 50, ''), ('docs/changelog.txt', 7, '')"
+_FILES = "SELECT " + _case("src/a~.rs", ".profile~", "bin/run~", "bin/x~", "target/b~.rs", "a b~.rs", "empty~.rs", "big~.rs", "README~.md", "CHANGELOG~.md", "docs/changelog~.txt", "d/.cache/~.sh") + " AS path, CASE page_id % 12 WHEN 6 THEN 0 WHEN 7 THEN 2000000 ELSE 10 END AS size, CASE page_id % 12 WHEN 1 THEN '#!/bin/sh' WHEN 2 THEN '#!/usr/bin/env bash' WHEN 3 THEN '#!/usr/bin/bashful' ELSE '' END AS head FROM {pages}"
 _SHELL = "{rlike}(head, '^#!.*(^|[^A-Za-z0-9_])(sh|bash|zsh|dash|ksh|fish)($|[^A-Za-z0-9_])')"
-_both("walk_select_files", f"SELECT path FROM {{v}} WHERE size > 0 AND size <= 1048576 AND path NOT LIKE '% %' AND NOT {{rlike}}(path, '(^|/)(target|node_modules|vendor)/') AND ({{rlike}}(path, '[.](rs|sh|md|txt)$') OR {_SHELL})", _FILES, "path, size, head")
-_both("fileset_walk_dotskip", "SELECT path FROM {v} WHERE NOT {rlike}(path, '(^|/)[.]')", _FILES, "path, size, head")
-_both("p_is_code", f"SELECT path, {{rlike}}(path, '[.](rs|sh)$') OR {_SHELL} AS code, {{rlike}}(path, '[.](md|txt)$') AND NOT {{rlike}}(lower(path), '(^|/)changelog[^/]*$') AS docs FROM {{v}}", _FILES, "path, size, head")
-_both("read_list", "SELECT trim(line) AS path FROM {v} WHERE trim(line) <> ''", "('a.rs'), (''), ('  '), (' b.rs')", "line")
+_both("walk_select_files", f"SELECT path FROM {{v}} WHERE size > 0 AND size <= 1048576 AND path NOT LIKE '% %' AND NOT {{rlike}}(path, '(^|/)(target|node_modules|vendor)/') AND ({{rlike}}(path, '[.](rs|sh|md|txt)$') OR {_SHELL})", _FILES)
+_both("fileset_walk_dotskip", "SELECT path FROM {v} WHERE NOT {rlike}(path, '(^|/)[.]')", _FILES)
+_both("p_is_code", f"SELECT path, {{rlike}}(path, '[.](rs|sh)$') OR {_SHELL} AS code, {{rlike}}(path, '[.](md|txt)$') AND NOT {{rlike}}(lower(path), '(^|/)changelog[^/]*$') AS docs FROM {{v}}", _FILES)
+sql_query("read_list", "SELECT doc_id, trim(line) AS path FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM {documents}) WHERE trim(line) <> ''",
+          "SELECT doc_id, trim(line) AS path FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) t WHERE trim(line) <> ''")
 sql_query("files_list_write", "SELECT concat_ws(char(9), lang, 'docs', source, doc_id) AS line FROM {documents} WHERE NOT text LIKE '%All rights reserved%'",
           "SELECT concat_ws(chr(9), lang, 'docs', source, doc_id) AS line FROM {documents} WHERE NOT text LIKE '%All rights reserved%'")
 
@@ -27,14 +35,14 @@ sql_query("files_list_write", "SELECT concat_ws(char(9), lang, 'docs', source, d
 
 _TSV = "(1, 'step,loss,tokens'), (2, '1,8.3,2048'), (3, '2,x,4096'), (4, '3,7.9'), (5, '4,7.5,8192')"
 _both("tsv_log_read", "SELECT n AS line_no, CASE WHEN n = 1 THEN line = 'step,loss,tokens' ELSE {rlike}(line, '^[0-9]+,[0-9]+([.][0-9]+)?,[0-9]+$') END AS ok FROM {v}", _TSV, "n, line")
-_SMOKE = "('loss 5.5674 -> 0.0005, accuracy 1.000'), ('done')"
-_both("log_train_smoke", "SELECT CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 1) AS DOUBLE) AS first_loss, CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 2) AS DOUBLE) AS last_loss, CAST(regexp_extract(line, 'accuracy ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM {v} WHERE line LIKE 'loss %'", _SMOKE, "line")
+_SMOKE = "SELECT page_id, " + _case("loss ~.5674 -> 0.~, accuracy 0.~", "done ~", "no loss ~", "loss 8.5 -> 1.25, accuracy 1.000") + " AS line FROM {pages}"
+_both("log_train_smoke", "SELECT page_id, CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 1) AS DOUBLE) AS first_loss, CAST(regexp_extract(line, 'loss ([0-9.]+) -> ([0-9.]+)', 2) AS DOUBLE) AS last_loss, CAST(regexp_extract(line, 'accuracy ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM {v} WHERE line LIKE 'loss %'", _SMOKE)
 sql_query("join_moments_params", "SELECT coalesce(d.doc_id, l.doc_id) AS name, d.doc_id IS NULL AS no_param, l.doc_id IS NULL AS no_moment FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 
 # -- special tokens, shards ------------------------------------------------------------------------
 
-_TOKENS = "('<|end|>'), ('<|pad|>'), ('<|pad|>'), (''), (' <|x|>')"
-_both("special_validate", "SELECT token, token <> '' AND trim(token) = token AND count(*) OVER (PARTITION BY token) = 1 AS ok FROM {v}", _TOKENS, "token")
-_SHARDS = "(300, 256, 299), (300, 300, 1), (65536, 0, 65535), (65537, 0, 65536), (0, 0, 0), (300, 256, 300)"
-_both("shard_width", "SELECT DISTINCT vocab, CASE WHEN vocab <= 65536 THEN 2 ELSE 4 END AS width FROM {v}", _SHARDS, "vocab, eos, top")
-_both("shard_validate", "SELECT vocab, eos, top, vocab > 0 AND eos < vocab AND top < vocab AS ok FROM {v}", _SHARDS, "vocab, eos, top")
+_TOKENS = "SELECT page_id, " + _case("<|a~|>", "", "<|pad|>", " <|x~|>", "<|b~|>", "<|c~|>") + " AS token FROM {pages}"
+_both("special_validate", "SELECT page_id, token, token <> '' AND trim(token) = token AND row_number() OVER (PARTITION BY token ORDER BY page_id) = 1 AS ok FROM {v}", _TOKENS)
+_SHARDS = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 65536 WHEN 2 THEN 65537 ELSE page_id END AS vocab, page_id % 300 AS eos, CASE page_id % 4 WHEN 1 THEN 65535 + page_id % 3 ELSE page_id END AS top FROM {pages}"
+_both("shard_width", "SELECT DISTINCT vocab, CASE WHEN vocab <= 65536 THEN 2 ELSE 4 END AS width FROM {v}", _SHARDS)
+_both("shard_validate", "SELECT page_id, vocab, eos, top, vocab > 0 AND eos < vocab AND top < vocab AS ok FROM {v}", _SHARDS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spdx
 from ..session import table
-from ..sources import buildlogs, settings
+from ..sources import buildlogs, reports, settings
 from .registry import query
 
 
@@ -133,3 +133,22 @@ _EXPRESSION = "CASE page_id % 8 WHEN 0 THEN 'A{p} OR (B AND C)' WHEN 1 THEN 'A{p
 query("p_spdx_shaped", f"SELECT replace({_EXPRESSION}, '{{p}}', page_id::VARCHAR) AS license, page_id % 8 IN (0, 1, 7) AS ok FROM pages")(
     lambda spark, d: table(spark, d, "pages").selectExpr(f"replace({_EXPRESSION}, '{{p}}', CAST(page_id AS STRING)) AS license").select("license", spdx.shaped(F.col("license")).alias("ok"))
 )
+
+# -- packages by repository: eleven repositories, each third of one licence only, in two spellings --------
+
+_PACKAGES = """SELECT page_id AS ord, concat('p', page_id) AS name, page_id % 11 AS g, page_id * 3 AS downloads,
+CASE WHEN page_id % 13 = 0 THEN 'https://other.org/a/b' WHEN page_id % 2 = 0 THEN concat('https://github.com/Own/Repo', CAST(page_id % 11 AS STRING), '.git') ELSE concat('http://www.github.com/own/repo', CAST(page_id % 11 AS STRING), '/tree/x') END AS repository,
+CASE WHEN page_id % 11 = 5 THEN NULL WHEN page_id % 11 % 3 = 0 THEN 'MIT OR ISC' WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'MIT' ELSE 'MIT OR Apache-2.0' END AS license FROM """
+
+
+def _candidates(spark, d):
+    return reports.candidates_by_repository(spark.sql(_PACKAGES + f"parquet.`{d}/pages.parquet`"))
+
+
+query("agg_candidates_by_repo", f"SELECT 'own/repo' || g AS key, arg_min(CASE WHEN ord % 2 = 0 THEN 'Own/Repo' ELSE 'own/repo' END || g, ord) AS id, string_agg(name, ',' ORDER BY ord) AS crates, sum(downloads)::BIGINT AS downloads FROM ({_PACKAGES} pages) WHERE ord % 13 > 0 GROUP BY g")(
+    lambda spark, d: _candidates(spark, d).select("key", "id", F.array_join("crates", ",").alias("crates"), "downloads")
+)
+query("agg_merge_licenses", f"""WITH f AS (SELECT g, license, min(ord) AS o, count(*) OVER (PARTITION BY g, license IS NULL) AS n FROM ({_PACKAGES} pages) WHERE ord % 13 > 0 GROUP BY g, license)
+SELECT 'own/repo' || g AS key, coalesce(string_agg(CASE WHEN n > 1 AND license LIKE '% OR %' THEN '(' || license || ')' ELSE license END, ' AND ' ORDER BY o), 'NOASSERTION') AS license FROM f GROUP BY g""")(
+    lambda spark, d: _candidates(spark, d).select("key", "license")
+)

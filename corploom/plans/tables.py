@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..sources.reports import REPOSITORY
 from .registry import query
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,8 +47,9 @@ sql_query("p_url_ok", r"SELECT page_id, url, url RLIKE '^[a-z][a-z0-9+.-]*://[^\
           r"SELECT page_id, url, regexp_matches(url, '^[a-z][a-z0-9+.-]*://[^\s]+$') AND octet_length(encode(url)) <= 512 AS ok FROM {pages}")
 sql_query("p_revision_ok", "SELECT doc_id, sha2(text, 256) AS revision, sha2(text, 256) RLIKE '^([0-9a-f]{40}|[0-9a-f]{64})$' AS ok FROM {documents}",
           "SELECT doc_id, sha256(text) AS revision, regexp_matches(sha256(text), '^([0-9a-f]{40}|[0-9a-f]{64})$') AS ok FROM {documents}")
-sql_query("p_date_ok", "SELECT d, d RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND try_to_date(d, 'yyyy-MM-dd') IS NOT NULL AND coalesce(year(try_to_date(d, 'yyyy-MM-dd')), 0) >= 1970 AS ok FROM VALUES ('2024-02-29'), ('2023-02-29'), ('1969-12-31'), ('1970-01-01'), ('2024-2-9'), ('2024-13-01'), ('x'), ('2100-02-29'), ('2000-02-29') AS t(d)",
-          "SELECT d, regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND try_cast(d AS DATE) IS NOT NULL AND coalesce(year(try_cast(d AS DATE)), 0) >= 1970 AS ok FROM (VALUES ('2024-02-29'), ('2023-02-29'), ('1969-12-31'), ('1970-01-01'), ('2024-2-9'), ('2024-13-01'), ('x'), ('2100-02-29'), ('2000-02-29')) AS t(d)")
+_DATES = "(SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'x' WHEN o_orderkey % 89 = 0 THEN '2024-2-9' ELSE concat(CAST(1960 + o_orderkey % 80 AS STRING), '-', substr(CAST(100 + o_orderkey % 14 AS STRING), 2), '-', substr(CAST(100 + o_orderkey % 33 AS STRING), 2)) END AS d FROM {orders}) t"
+_DATE = "SELECT o_orderkey, d, {m}(d, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND {c} IS NOT NULL AND coalesce(year({c}), 0) >= 1970 AS ok FROM "
+sql_query("p_date_ok", _DATE.format(m="regexp_like", c="try_to_date(d, 'yyyy-MM-dd')") + _DATES, _DATE.format(m="regexp_matches", c="try_cast(d AS DATE)") + _DATES)
 sql_query("p_category_ok", "SELECT doc_id, lang, lang RLIKE '^[a-z0-9_-]{1,32}$' AS ok FROM {documents}",
           "SELECT doc_id, lang, regexp_matches(lang, '^[a-z0-9_-]{1,32}$') AS ok FROM {documents}")
 sql_query("p_field_clean", r"SELECT doc_id, text <> '' AND NOT text RLIKE '[\\x00-\\x1F\\x7F-\\x9F]' AND trim(text) = text AS ok FROM {documents}",
@@ -58,7 +60,7 @@ sql_query("p_size_window", "SELECT doc_id, octet_length(text) > 0 AND octet_leng
 sql_query("p_long_line", r"SELECT doc_id, exists(split(text, '\n'), l -> octet_length(l) > 1000) AS long_line FROM {documents}",
           "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: octet_length(encode(l)) > 1000)) > 0 AS long_line FROM {documents}")
 _REPOS = "('https://github.com/Rust-Lang/regex.git'), ('git@github.com:a/b.git'), ('http://www.github.com/x/y/tree/main'), ('https://gitlab.com/a/b'), ('github.com/q/r#readme'), ('https://github.com/only'), ('git+https://github.com/c/d.git'), ('ssh://git@github.com/e/f'), (' git://github.com/g/h ')"
-_REPO = "^(?:https?://|git://|git[+]https://)?(?:www[.])?github[.]com[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:[.]git)?(?:[/#?].*)?$"
+_REPO = REPOSITORY
 sql_query("p_github_url", f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM VALUES {_REPOS} AS t(u)",
           f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM (VALUES {_REPOS}) AS t(u)")
 _SHEBANG = r"('#!/bin/bash -e'), ('#!/usr/bin/env zsh'), ('#!/usr/bin/bashful'), ('#!/usr/bin/env python'), ('echo'), ('#! /bin/sh')"
@@ -135,13 +137,7 @@ sql_query("topk_sources", f"SELECT source, CAST(sum({_BYTES[0]}) AS BIGINT) AS b
           f"SELECT source, CAST(sum({_BYTES[1]}) AS BIGINT) AS bytes FROM {{documents}} GROUP BY source ORDER BY bytes DESC, source LIMIT 15")
 sql_query("topk_hits", "SELECT source, doc_id, n_more FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, greatest(count(*) OVER (PARTITION BY source) - 3, 0) AS n_more FROM {documents}) WHERE rn <= 3",
           "SELECT source, doc_id, n_more FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, greatest(count(*) OVER (PARTITION BY source) - 3, 0) AS n_more FROM {documents}) t WHERE rn <= 3")
-_CRATES = "(1, 'a1', 'Own/Repo', 'MIT', 5), (2, 'a2', 'own/repo', 'MIT OR Apache-2.0', 7), (3, 'b', 'x/y', NULL, 1), (4, 'c', 'OWN/repo', 'MIT', 2), (5, 'd', 'x/Y', NULL, 4)"
-sql_query("agg_candidates_by_repo",
-          f"SELECT lower(repo) AS k, min_by(repo, ord) AS id, array_join(array_sort(collect_list(name)), ',') AS crates, sum(downloads) AS downloads FROM VALUES {_CRATES} AS t(ord, name, repo, license, downloads) GROUP BY lower(repo)",
-          f"SELECT lower(repo) AS k, arg_min(repo, ord) AS id, array_to_string(list_sort(list(name)), ',') AS crates, sum(downloads)::BIGINT AS downloads FROM (VALUES {_CRATES}) AS t(ord, name, repo, license, downloads) GROUP BY lower(repo)")
-sql_query("agg_merge_licenses",
-          f"SELECT lower(repo) AS k, coalesce(nullif(array_join(transform(array_distinct(transform(array_sort(collect_list(if(license IS NULL, null, struct(ord, license)))), x -> x.license)), (l, i) -> if(l RLIKE ' (OR|AND) ', concat('(', l, ')'), l)), ' AND '), ''), 'NOASSERTION') AS license FROM VALUES {_CRATES} AS t(ord, name, repo, license, downloads) GROUP BY lower(repo)",
-          f"WITH f AS (SELECT lower(repo) AS k, license, min(ord) AS o FROM (VALUES {_CRATES}) AS t(ord, name, repo, license, downloads) GROUP BY ALL) SELECT k, coalesce(string_agg(CASE WHEN regexp_matches(license, ' (OR|AND) ') THEN '(' || license || ')' ELSE license END, ' AND ' ORDER BY o), 'NOASSERTION') AS license FROM f GROUP BY k")
+
 
 
 def _characters(spark, d, width: int) -> DataFrame:

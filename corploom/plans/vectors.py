@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import table
+from ..sources.buildlogs import to_ns
 from .registry import query
 from .tables import sql_query
 
@@ -150,5 +151,8 @@ sql_query("param_breakdown", _PARAMS.format(div="DIV", src=f"VALUES {_MODELS}"),
 _SHAPES = "(array(2, 3), array(3)), (array(4, 1, 5), array(7, 1)), (array(1), array(6, 2))"
 sql_query("broadcast_shapes", f"SELECT array_join(reverse(zip_with(reverse(a), reverse(b), (x, y) -> greatest(coalesce(x, 1), coalesce(y, 1)))), 'x') AS shape, CAST(aggregate(a, 1, (t, x) -> t * x) AS BIGINT) AS numel FROM VALUES {_SHAPES} AS t(a, b)",
           "SELECT * FROM (VALUES ('2x3', 6::BIGINT), ('4x7x5', 20::BIGINT), ('6x2', 1::BIGINT)) AS t(shape, numel)")
-sql_query("to_ns", "SELECT v, u, v * CASE u WHEN 'ps' THEN 0.001D WHEN 'ns' THEN 1D WHEN 'us' THEN 1000D WHEN 'ms' THEN 1000000D ELSE 1000000000D END AS ns FROM VALUES (1.5D, 'us'), (2D, 'ms'), (3D, 's'), (500D, 'ps'), (7D, 'ns') AS t(v, u)",
-          "SELECT v, u, v * CASE u WHEN 'ps' THEN 0.001 WHEN 'ns' THEN 1 WHEN 'us' THEN 1000 WHEN 'ms' THEN 1000000 ELSE 1000000000 END::DOUBLE AS ns FROM (VALUES (1.5::DOUBLE, 'us'), (2::DOUBLE, 'ms'), (3::DOUBLE, 's'), (500::DOUBLE, 'ps'), (7::DOUBLE, 'ns')) AS t(v, u)")
+_TIME = "(o_orderkey % 1000 + 0.5)"
+_UNIT = "CASE o_orderkey % 6 WHEN 0 THEN 'ps' WHEN 1 THEN 'ns' WHEN 2 THEN 'us' WHEN 3 THEN 'ms' WHEN 4 THEN 's' ELSE 'eons' END"
+query("to_ns", f"SELECT o_orderkey, round({_TIME}::DOUBLE * CASE o_orderkey % 6 WHEN 0 THEN 0.001 WHEN 2 THEN 1000 WHEN 3 THEN 1000000 WHEN 4 THEN 1000000000 ELSE 1 END::DOUBLE, 6) AS ns FROM orders")(
+    lambda spark, d: table(spark, d, "orders").select("o_orderkey", F.round(to_ns(F.expr(_TIME), F.expr(_UNIT)), 6).alias("ns"))
+)

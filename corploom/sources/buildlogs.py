@@ -134,7 +134,7 @@ def program_checks(files: DataFrame) -> DataFrame:
 def sanitizer_checks(files: DataFrame) -> DataFrame:
     """(path, suite, name, passed, detail): the three sanitizers, always there; of undefined behaviour up to three lines are told."""
     cut = files.select("path", _text().alias("t"))
-    told = F.transform(F.filter(F.split("t", "\r\n|\r|\n"), lambda x: F.contains(x, F.lit("runtime error:"))), F.trim)
+    told = F.transform(F.filter(F.split("t", "\r\n|\r|\n"), lambda x: F.contains(x, F.lit("runtime error:"))), lambda x: F.trim(x))
     free = lambda words: ~F.contains("t", F.lit(words))
     return _checks(cut, "sanitizers", F.array(_check("no AddressSanitizer errors", free("ERROR: AddressSanitizer")), _check("no LeakSanitizer reports", free("ERROR: LeakSanitizer")), _check("no UndefinedBehaviorSanitizer reports", F.size(told) == 0, F.array_join(F.slice(told, 1, 3), "; "))))
 

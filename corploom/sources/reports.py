@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: addresses of repositories on the known host; owner and name.
+REPOSITORY = "^(?:https?://|git://|git[+]https://)?(?:www[.])?github[.]com[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:[.]git)?(?:[/#?].*)?$"
 _PAGE = "crates array<struct<name:string,repository:string,downloads:bigint,max_stable_version:string,newest_version:string>>"
 _VERSION = "version struct<license:string,yanked:boolean>"
 _SEARCH = "items array<struct<full_name:string,fork:boolean,license:struct<spdx_id:string>,stars:bigint>>"
@@ -15,15 +17,32 @@ _CANDIDATES = "schema string, candidates array<struct<id:string,crates:array<str
 
 
 def normalized_license(text: Column) -> Column:
-    """White space as single spaces; the old slash between names is OR, unless the text is an expression already."""
-    one = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(one.rlike(r"[()]| (AND|OR|WITH) "), one).otherwise(F.regexp_replace(one, " ?/ ?", " OR "))
+    """White space as single spaces; the old slash between names is OR, unless the text is an expression already. No text is null."""
+    one = F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+    names = F.filter(F.transform(F.split(one, "/"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(~F.contains(one, F.lit("/")) | one.rlike(r"[(]|\b(AND|OR|WITH)\b"), one).otherwise(F.array_join(names, " OR "))
 
 
 def crates_pages(files: DataFrame) -> DataFrame:
     """(path, name, repository, downloads, version) of the named entries of index pages; a stable version goes before the newest."""
     rows = files.select("path", F.inline(F.from_json("value", _PAGE)["crates"])).where("name is not null")
-    return rows.select("path", "name", "repository", "downloads", F.coalesce("max_stable_version", "newest_version").alias("version"))
+    return rows.select("path", "name", "repository", F.coalesce("downloads", F.lit(0)).alias("downloads"), F.coalesce("max_stable_version", "newest_version").alias("version"))
+
+
+def candidates_by_repository(crates: DataFrame) -> DataFrame:
+    """(key, id, crates, downloads, license) of (ord, name, repository, license, downloads): packages of one repository as one candidate.
+
+    Repositories are told apart whatever their case, by the spelling of the first; others than of the known host go. Names are
+    in the order of ord. Different licences are joined by AND in the order they come, those of many parts in brackets; none: NOASSERTION.
+    """
+    home = F.trim("repository")
+    rows = crates.select("ord", "name", "license", F.coalesce("downloads", F.lit(0)).alias("downloads"), F.regexp_extract(home, REPOSITORY, 1).alias("owner"), F.regexp_extract(home, REPOSITORY, 2).alias("repo"))
+    rows = rows.where("owner <> '' and repo <> ''").withColumn("id", F.concat_ws("/", "owner", "repo")).withColumn("key", F.lower("id"))
+    found = rows.where("license <> ''").groupBy("key", "license").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "license"))).alias("ls"))
+    wrapped = F.transform("ls", lambda x: F.when(x["license"].rlike(" (OR|AND) "), F.concat(F.lit("("), x["license"], F.lit(")"))).otherwise(x["license"]))
+    merged = F.when(F.size("ls") == 1, F.col("ls")[0]["license"]).otherwise(F.array_join(wrapped, " AND "))
+    groups = rows.groupBy("key").agg(F.min_by("id", "ord").alias("id"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("crates"), F.sum("downloads").alias("downloads"))
+    return groups.join(found, "key", "left").select("key", "id", "crates", "downloads", F.coalesce(F.when(F.col("ls").isNotNull(), merged), F.lit("NOASSERTION")).alias("license"))
 
 
 def crate_versions(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corploom.functions import spdx
 from corploom.sources import buildlogs as B
-from corploom.sources import settings
+from corploom.sources import reports, settings
 
 BENCH = """   Compiling x
 Warning: slow
@@ -41,8 +41,8 @@ def test_interface_checks(spark):
     found = [(r["path"], r["name"], r["passed"], r["detail"]) for r in B.program_checks(files).collect()]
     assert [f for f in found if f[0] == "0"] == [("0", "a b", True, ""), ("0", "c", False, "line 7")] and [f[1] for f in found if f[0] == "1"] == ["a", "program ran to completion"]
     assert [f[3] for f in found if f[0] == "2"][1] == "the program said 2, the log has 0" and [f[1] for f in found if f[0] in "34"] == ["ran at least one check", "program ran to completion"]
-    bad = B.sanitizer_checks(_files(spark, "x.c: runtime error: one\n==1==ERROR: LeakSanitizer: x", "")).collect()
-    assert [r["passed"] for r in bad] == [True, False, False, True, True, True] and bad[2]["detail"] == "x.c: runtime error: one"
+    bad = B.sanitizer_checks(_files(spark, " 0x.c: runtime error: 10 \n==1==ERROR: LeakSanitizer: x", "")).collect()
+    assert [r["passed"] for r in bad] == [True, False, False, True, True, True] and bad[2]["detail"] == "0x.c: runtime error: 10"
     logs = [("0", "ERROR SUMMARY: 2 errors from 1 contexts\ndefinitely lost: 1,024 bytes in 3 blocks", 1), ("1", "", 0), ("2", "ERROR SUMMARY: 0 errors from 0 contexts", 0), ("3", "ERROR SUMMARY: 0 errors from 0 contexts", None)]
     memory = B.memory_checks(spark.createDataFrame(logs, "path string, value string, status int"))
     assert [(r["passed"], r["detail"]) for r in memory.collect()][:4] == [(False, "2 error(s)"), (False, "1024 bytes"), (False, "exit status 1"), (False, "no ERROR SUMMARY line in the log")]
@@ -110,3 +110,15 @@ def test_shape_of_expressions(spark):
     bad = ["", " ", "MIT ISC", "AND", "MIT AND", "OR MIT", "(MIT", "MIT)", ")MIT(", "()", "A WITH", "A WITH b WITH c", "(A) WITH b", "A WITH (b)", "MIT/X", "A (B)", "A AND OR B", None]
     rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", spdx.shaped(F.col("t")).alias("ok")).collect()
     assert {r["t"]: r["ok"] for r in rows} == {**dict.fromkeys(good, True), **dict.fromkeys(bad, False)}
+
+
+def test_packages_of_one_repository(spark):
+    rows = [(2, "b", "http://github.com/o/R", "MIT", 5), (1, "a", "https://github.com/O/r.git", "ISC OR MIT", None), (3, "c", "https://gitlab.com/o/r", "X", 9), (4, "d", " github.com/p/q ", "A OR B", 1), (5, "e", "github.com/s/t", None, 2), (6, "f", None, "MIT", 2), (7, "g", "github.com/O/R#x", "MIT", 1)]
+    found = reports.candidates_by_repository(spark.createDataFrame(rows, "ord int, name string, repository string, license string, downloads long")).orderBy("key").collect()
+    assert [tuple(r) for r in found] == [("o/r", "O/r", ["a", "b", "g"], 6, "(ISC OR MIT) AND MIT"), ("p/q", "p/q", ["d"], 1, "A OR B"), ("s/t", "s/t", ["e"], 2, "NOASSERTION")]
+
+
+def test_old_licence_texts(spark):
+    cases = {"MIT/X": "MIT OR X", " MIT / 2X ": "MIT OR 2X", "A//B/": "A OR B", "(A/B)": "(A/B)", "A OR B/C": "A OR B/C", "ORB/C": "ORB OR C", "MIT  X": "MIT X", "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", reports.normalized_license(F.col("t")).alias("l")).collect()
+    assert {r["t"]: r["l"] for r in rows} == cases
