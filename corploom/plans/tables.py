@@ -59,18 +59,31 @@ sql_query("p_size_window", "SELECT doc_id, octet_length(text) > 0 AND octet_leng
           "SELECT doc_id, octet_length(encode(text)) > 0 AND octet_length(encode(text)) <= 4096 AS ok FROM {documents}")
 sql_query("p_long_line", r"SELECT doc_id, exists(split(text, '\n'), l -> octet_length(l) > 1000) AS long_line FROM {documents}",
           "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: octet_length(encode(l)) > 1000)) > 0 AS long_line FROM {documents}")
-_REPOS = "('https://github.com/Rust-Lang/regex.git'), ('git@github.com:a/b.git'), ('http://www.github.com/x/y/tree/main'), ('https://gitlab.com/a/b'), ('github.com/q/r#readme'), ('https://github.com/only'), ('git+https://github.com/c/d.git'), ('ssh://git@github.com/e/f'), (' git://github.com/g/h ')"
-_REPO = REPOSITORY
-sql_query("p_github_url", f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM VALUES {_REPOS} AS t(u)",
-          f"SELECT u, regexp_extract(trim(u), '{_REPO}', 1) AS owner, regexp_extract(trim(u), '{_REPO}', 2) AS repo FROM (VALUES {_REPOS}) AS t(u)")
-_SHEBANG = r"('#!/bin/bash -e'), ('#!/usr/bin/env zsh'), ('#!/usr/bin/bashful'), ('#!/usr/bin/env python'), ('echo'), ('#! /bin/sh')"
+
+
+def _planted(column: str, forms: dict[str, object], *answers: str) -> tuple[str, str]:
+    """Rows of the pages with one of the forms each by turns, ``~`` standing for the page's id: for Spark the rows, for the oracle also the answers that belong to them."""
+    pick = lambda values: "replace(CASE page_id % " + str(len(forms)) + "".join(f" WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END, '~', CAST(page_id AS STRING))"
+    rows = f"(SELECT page_id, {pick(forms)} AS {column} FROM {{pages}}) t"
+    told = [f"{pick([v[k] for v in forms.values()])}{'' if isinstance(next(iter(forms.values()))[k], str) else '::BOOLEAN'} AS {name}" for k, name in enumerate(answers)]
+    return rows, f"SELECT page_id, {pick(forms)} AS {column}, {', '.join(told)} FROM {{pages}}"
+
+
+_ROWS, _TOLD = _planted("u", {
+    "https://github.com/Rust-Lang/regex~.git": ("Rust-Lang", "regex~"), "git@github.com:a/b~.git": ("", ""), "http://www.github.com/x/y~/tree/main": ("x", "y~"), "https://gitlab.com/a/b~": ("", ""), "github.com/q/r~#readme": ("q", "r~"),
+    "https://github.com/only~": ("", ""), "git+https://github.com/c/d.~.git": ("c", "d.~"), "ssh://git@github.com/e/f~": ("", ""), " git://github.com/g~/h ": ("g~", "h"),
+}, "owner", "repo")
+sql_query("p_github_url", f"SELECT page_id, u, regexp_extract(trim(u), '{REPOSITORY}', 1) AS owner, regexp_extract(trim(u), '{REPOSITORY}', 2) AS repo FROM {_ROWS}", _TOLD)
 _SHELL = r"^#!\s*(?:/usr/bin/env\s+(?:-S\s+)?|/\S*/)?(?:sh|bash|zsh|dash|ksh|fish)(?:[^A-Za-z0-9_]|$)"
-sql_query("p_shell_shebang", f"SELECT head, substring(head, 1, 200) RLIKE '{_SHELL}' AS ok FROM VALUES {_SHEBANG} AS t(head)".replace(chr(92), chr(92) * 2),
-          f"SELECT head, regexp_matches(substring(head, 1, 200), '{_SHELL}') AS ok FROM (VALUES {_SHEBANG}) AS t(head)")
-_NAMES = "('README.md'), ('docs/Guide.MD'), ('CHANGELOG.md'), ('src/lib.rs'), ('run.sh'), ('.profile'), ('History.txt'), ('a b.rs'), ('x.markdown'), ('AUTHORS.md'), ('RELEASES.md'), ('sub/Makefile'), ('t.bats')"
+_ROWS, _TOLD = _planted("head", {"#!/bin/bash -~": (True,), "#!/usr/bin/env -S zsh ~": (True,), "#!/usr/bin/bashful~": (False,), "#!/usr/bin/env python ~": (False,), "echo ~ #!/bin/sh": (False,), "#! /opt/~/sh": (True,), "#!/bin/run~ bash": (False,)}, "ok")
+sql_query("p_shell_shebang", f"SELECT page_id, head, substring(head, 1, 200) RLIKE '{_SHELL}' AS ok FROM {_ROWS}".replace(chr(92), chr(92) * 2), _TOLD)
 _NAME = "regexp_extract(path, '([^/]*)$', 1)"
-_DOC = f"{{m}}(lower({_NAME}), '[.](md|markdown|rst)$') AND NOT {{m}}(upper({_NAME}), '^(CHANGELOG|CHANGES|HISTORY|NEWS|RELEASE)') AS is_doc, {{m}}(path, '[.](rs)$') AS is_rust, {{m}}({_NAME}, '[.](sh|bash|zsh|fish|bats)$|^(Makefile|makefile|GNUmakefile|Dockerfile)$') AS is_shell"
-sql_query("p_is_doc", f"SELECT path, {_DOC.format(m='regexp_like')} FROM VALUES {_NAMES} AS t(path)", f"SELECT path, {_DOC.format(m='regexp_matches')} FROM (VALUES {_NAMES}) AS t(path)")
+_DOC = f"regexp_like(lower({_NAME}), '[.](md|markdown|rst)$') AND NOT regexp_like(upper({_NAME}), '^(CHANGELOG|CHANGES|HISTORY|NEWS|RELEASE)') AS is_doc, regexp_like(path, '[.](rs)$') AS is_rust, regexp_like({_NAME}, '[.](sh|bash|zsh|fish|bats)$|^(Makefile|makefile|GNUmakefile|Dockerfile)$') AS is_shell"
+_ROWS, _TOLD = _planted("path", {
+    "README~.md": (True, False, False), "docs/Guide~.MD": (True, False, False), "CHANGELOG~.md": (False, False, False), "src/~/lib.rs": (False, True, False), "run~.sh": (False, False, True), ".profile~": (False, False, False), "History~.txt": (False, False, False),
+    "a ~.rs": (False, True, False), "x~.markdown": (True, False, False), "AUTHORS~.md": (True, False, False), "RELEASES~.md": (False, False, False), "sub~/Makefile": (False, False, True), "t~.bats": (False, False, True), "Makefile~": (False, False, False), "news~/a.rst": (True, False, False),
+}, "is_doc", "is_rust", "is_shell")
+sql_query("p_is_doc", f"SELECT page_id, path, {_DOC} FROM {_ROWS}", _TOLD)
 sql_query("p_excluded", "SELECT doc_id FROM {documents} d LEFT ANTI JOIN (SELECT lower(x) AS x FROM VALUES ('SRC0'), ('src3') AS t(x)) e ON lower(d.source) = e.x",
           "SELECT doc_id FROM {documents} d WHERE lower(d.source) NOT IN ('src0', 'src3')")
 _BUCKET = "CAST(conv(substr(sha2(concat('1', char(0), source), 256), 1, 8), 16, 10) AS BIGINT) % 100"
