@@ -38,13 +38,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIRS[0].name}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared scratch folder."""
+    return f"{scratch_dir(spark)}/corploom-{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared scratch folder and read back.
 
     The readers of the result neither recompute it nor depend on an executor that may be lost.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/corploom-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from ..session import spread, table
-from . import bpe_codec, decontaminate, licenses, pii, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
-
+from . import bpe_codec, decontaminate, importance, licenses, periodic_runs, pii, quality, simhash, substring_dedup, token_counts, token_files, toxicity, url_filter
 
 
 def _docs(spark, d):
@@ -23,5 +22,8 @@ QUERIES = {
     "op8_simhash": lambda spark, d: simhash.op8_simhash(_docs(spark, d)),
     "op9_substring_dedup": lambda spark, d: substring_dedup.op9_substring_dedup(_docs(spark, d)),
     "op10_decontaminate": lambda spark, d: decontaminate.op10_decontaminate(_docs(spark, d), table(spark, d, "benchmark")),
+    "op11_token_files": lambda spark, d: token_files.op11_token_files(_docs(spark, d)),
+    "op12_importance": lambda spark, d: importance.op12_importance(_docs(spark, d), table(spark, d, "benchmark")),
+    "op13_periodic_runs": lambda spark, d: periodic_runs.op13_periodic_runs(_docs(spark, d)),
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op6_license_scan": licenses.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL}
