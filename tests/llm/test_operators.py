@@ -207,19 +207,22 @@ def test_token_counts_of_prefixes(spark):
             assert r["limit_chars"] == max(k for k, n in enumerate(want) if n <= limit) and r["over_limit"] == (want[-1] > limit)
 
 
-def test_ascii_form_of_patterns():
+def test_plain_forms_of_patterns():
     import re
 
     import regex
 
-    from corploom.llm.common import ascii_form
-
-    plain, general = re.compile(ascii_form(public_tokenizers.PATTERN)), regex.compile(public_tokenizers.PATTERN)
-    rnd = random.Random(3)
-    for _ in range(3000):
-        text = "".join(rnd.choice("ab 1 '  \t\n\r\x0b\x0c\x1c\x1f!.-_sl") for _ in range(rnd.randint(0, 14)))
-        assert plain.findall(text) == general.findall(text)
-    assert ascii_form(r"\w+") is None
+    from corploom.llm.common import ASCII_CLASSES, plain_form, splitter
+
+    plain, general = re.compile(plain_form(public_tokenizers.PATTERN, ASCII_CLASSES)), regex.compile(public_tokenizers.PATTERN)
+    rnd, split = random.Random(3), splitter(public_tokenizers.PATTERN)
+    for letters in ("ab 1 '  \t\n\r\x0b\x0c\x1c\x1f!.-_sl", "aÉß \n\u2003\u00a0\x1c'9Ⅷ½日\u0301_-\u200b١", "a é🙂\n𝐀'l"):
+        for _ in range(3000):
+            text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14)))
+            assert split(text) == general.findall(text)
+            assert not text.isascii() or plain.findall(text) == general.findall(text)
+    assert all(split(x) == general.findall(x) for c in range(0x10000) if not 0xD800 <= c < 0xE000 for x in ["a " + chr(c) + "1 é"])
+    assert plain_form(r"\w+", ASCII_CLASSES) is None
 
 
 # 4 toxicity
