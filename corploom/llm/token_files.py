@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..sources.committed import Commit, Written, committed, open_file
 from .common import scratch_path, splitter, text_of
+from .token_counts import byte_letters
 
 MAGIC, VERSION = b"CLBITIDS", 1
 _HEAD, _TAIL = struct.Struct("<8sII"), struct.Struct("<QQQQII8s")
@@ -249,14 +251,19 @@ class PackedIds(DataSource):
 # -- encoding ------------------------------------------------------------------------------------------
 
 
+#: Each byte, as the letter that stands for it in vocabulary files.
+_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
+
+
 class _Known(dict):
-    """pre-token -> its ids as bytes, by the tokenizer's library; long ones aren't remembered."""
+    """pre-token -> its ids as bytes, by the library's model; long ones aren't remembered."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, model):
+        self.model = model
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<i4").tobytes()
+        letters = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        found = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -270,12 +277,14 @@ def _coder(path: str, pattern: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
     with open(path, encoding="utf-8") as lines:
-        special = sorted((t["content"] for t in json.load(lines)["added_tokens"]), key=len, reverse=True)
+        spec = json.load(lines)
+    before = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError(f"{path} is not a byte-level vocabulary that splits texts as they are")
+    special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
     cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-    known, pieces = _Known(tokenizer), splitter(pattern)
+    known, pieces = _Known(tokenizer.model), splitter(pattern)
     special_ids = {s: np.array([tokenizer.token_to_id(s)], "<i4").tobytes() for s in special}
 
     def encode(text: str) -> bytes:
