@@ -6,14 +6,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import Rng
-from .windows import number_part
+from ..functions.rng import Rng, draws_below, jumped, state_of
+from ..scratch import materialize
+from .windows import in_ranges, running_total
 
-#: Sequences of one epoch that are shuffled as one.
-MAX_SEQUENCES = 50_000_000
+#: Draws of an epoch's shuffle that one task makes at a time.
+DRAWS = 1 << 20
 
 
 def _chains(size: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,35 +30,38 @@ def _chains(size: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _blocks(batches, run):
-    """``run`` on the columns (block, ord, size) of each block; batches are sorted by block, which may go on over several."""
+    """``run`` on (block, sizes) of each block; batches are sorted by block, which may go on over several."""
     held: list[tuple] = []
     for batch in batches:
-        block, order, size = (batch.column(c).to_numpy() for c in ("block", "ord", "size"))
+        block, size = batch.column("block").to_numpy(), batch.column("size").to_numpy()
         cuts = np.flatnonzero(np.diff(block)) + 1
-        for b, o, s in zip(np.split(block, cuts), np.split(order, cuts), np.split(size, cuts), strict=True):
+        for b, s in zip(np.split(block, cuts), np.split(size, cuts), strict=True):
             if not len(b):
                 continue
             if held and held[0][0] != b[0]:
-                yield run(held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2)))
+                yield run(held[0][0], np.concatenate([h[1] for h in held]))
                 held = []
-            held.append((b[0], o, s))
+            held.append((b[0], s))
     if held:
-        yield run(held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2)))
+        yield run(held[0][0], np.concatenate([h[1] for h in held]))
 
 
-def greedy_shards(docs: DataFrame, size: str, order: str, target: int, blocks: int = 4096) -> DataFrame:
-    """(ord, size, shard): in order, a shard is closed once it has ``target`` or more; the next row opens a new one.
+def greedy_shards(docs: DataFrame, size: str, order: str, target: int, blocks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, size, shard) and the columns ``keep``: in order, a shard is closed once it has ``target`` or more; the next row opens a new one.
 
-    The fold has a carry from row to row: how full the open shard is. Each of ``blocks`` ranges of the order
-    is summed up, in parallel, by what becomes of any filling that comes into it: a step function with a
-    step for each row that can fill the first shard. Those tables alone are folded in order in one task;
-    then each block is folded in parallel from the filling that it gets. Rows of size 0 or less are left out.
+    The fold has a carry from row to row: how full the open shard is. Ranges of (order, size) with about
+    as many rows each are summed up, in parallel, by what becomes of any filling that comes into them: a
+    step function with a step for each row that can fill the first shard. Those tables alone are folded in
+    order in one task; then each block is folded in parallel from the filling that it gets. Rows that
+    share an ``order`` are taken by size and then by the columns ``keep``, so the shards don't depend on
+    how the table lies in partitions. Rows without an order come first, rows of size 0 or less are left out.
     """
-    slim = docs.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size")).where("size > 0")
-    dealt = slim.withColumn("block", number_part(slim, "ord", blocks)).repartition("block").sortWithinPartitions("block", "ord")
+    slim = docs.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size"), *keep).where("size > 0")
+    by = ["ord", "size", *keep]
+    dealt = in_ranges(slim, by, blocks).repartition("block").sortWithinPartitions("block", *by)
 
     def steps(batches):
-        def run(block, _, sizes):
+        def run(block, sizes):
             sums, closed, filled = _chains(sizes, target)
             # a filling f with target - sums[k + 1] <= f < target - sums[k] is full with row k
             last = int(np.searchsorted(sums[1:], target, "left"))
@@ -85,25 +89,27 @@ def greedy_shards(docs: DataFrame, size: str, order: str, target: int, blocks: i
                     filling += row["total"]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["block", "shard", "filling"])
 
-    tables = dealt.mapInArrow(steps, "block long, total long, least array<long>, closed array<long>, filled array<long>")
+    tables = dealt.select("block", "size").mapInArrow(steps, "block long, total long, least array<long>, closed array<long>, filled array<long>")
     entries = tables.repartition(1).sortWithinPartitions("block").mapInArrow(fold, "block long, shard long, filling long")
 
     def assign(batches):
         last, shard, filling = None, 0, 0
         for batch in batches:
             out = []
-            for block, size, first, before in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "shard", "filling")), strict=True):
+            for block, size, first, before in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "__shard", "__filling")), strict=True):
                 if block != last:
                     last, shard, filling = block, first, before
                 out.append(shard)
                 filling += size
                 if filling >= target:
                     shard, filling = shard + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("size"), pa.array(out, pa.int64())], names=["ord", "size", "shard"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(out, pa.int64())], names=[*by, "shard"])
 
     # one row for each block; the join leaves rows where they are
-    folded = dealt.join(F.broadcast(entries), "block").sortWithinPartitions("block", "ord")
-    return folded.select("block", "ord", "size", "shard", "filling").mapInArrow(assign, "ord long, size long, shard long")
+    entries = entries.withColumnsRenamed({"shard": "__shard", "filling": "__filling"})
+    folded = dealt.join(F.broadcast(entries), "block").sortWithinPartitions("block", *by).select("block", *by, "__shard", "__filling")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+    return folded.mapInArrow(assign, f"{kinds}, shard long")
 
 
 def windows(shards: DataFrame, length: int) -> DataFrame:
@@ -113,24 +119,82 @@ def windows(shards: DataFrame, length: int) -> DataFrame:
     return cut.select("shard", "i", F.slice("tokens", F.col("i") * length + 1, length).alias("inputs"), F.slice("tokens", F.col("i") * length + 2, length).alias("targets"))
 
 
-def epoch_batches(spark, n: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
-    """(epoch, index, row, sequence): a seeded permutation of n sequences in batches from batch ``start`` on; the remainder is dropped.
+def epoch_draws(spark: SparkSession, n: int, seed: int, epoch: int, draws: int = DRAWS) -> DataFrame:
+    """(i, j): the place i, from n - 1 down to 1, and the place j that the shuffle of an epoch swaps it with.
 
-    The shuffle is one chain of draws, each of which depends on the one before, so it runs in one
-    task and holds n numbers there, at most ``MAX_SEQUENCES``; the sequences themselves are joined to its rows.
+    Tasks start at their own places of the generator's stream. A number that is drawn again moves all
+    later ones; that is as rare as n in 2^64, so blocks first tell how many they had, and only then, if
+    there are any, those after them are counted anew from the place they have moved to.
     """
-    if n > MAX_SEQUENCES:
-        raise ValueError(f"{n} sequences; at most {MAX_SEQUENCES} are shuffled as one")
+    start = state_of(Rng(seed).fork(epoch))
+    blocks = -(-(n - 1) // draws)
+
+    def block_draws(block: int, moved: int) -> tuple[np.ndarray, np.ndarray, int]:
+        at = block * draws
+        i = np.arange(n - 1 - at, max(n - 1 - at - draws, 0), -1, dtype=np.int64)
+        j, again = draws_below(jumped(start, at + moved), (i + 1).astype(np.uint64))
+        return i, j.astype(np.int64), again
+
+    def repeats(moved: int):
+        def run(batches):
+            for batch in batches:
+                found = [(b, block_draws(b, moved)[2]) for b in batch.column("id").to_pylist()]
+                found = [f for f in found if f[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["block", "again"])
+
+        return run
+
+    moves, first, moved = [(0, 0)], 0, 0  # from which block on numbers have moved, and by how many
+    while first < blocks:
+        hit = spark.range(first, blocks, 1, max(1, min(blocks - first, 4096))).mapInArrow(repeats(moved), "block long, again long").orderBy("block").limit(1).collect()
+        if not hit:
+            break
+        first, moved = hit[0]["block"] + 1, moved + hit[0]["again"]
+        moves.append((first, moved))
 
     def run(batches):
-        for _ in batches:
-            order = Rng(seed).fork(epoch).permutation(n)
-            for at in range(start * batch, n - n % batch, 100_000):
-                part = np.arange(at, min(at + 100_000, n - n % batch))
-                columns = (np.full(len(part), epoch), part // batch, part % batch, np.array(order[at : at + len(part)], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["epoch", "index", "row", "sequence"])
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                i, j, _ = block_draws(block, next(m for f, m in reversed(moves) if block >= f))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["i", "j"])
+
+    return spark.range(0, max(blocks, 0), 1, max(1, min(blocks, 4096))).mapInArrow(run, "i long, j long")
+
 
-    return spark.range(1).repartition(1).mapInArrow(run, "epoch long, index long, row long, sequence long")
+def permutation(spark: SparkSession, n: int, seed: int, epoch: int, draws: int = DRAWS) -> DataFrame:
+    """(place, sequence): the order of n sequences in an epoch; equal to swapping n - 1, ..., 1 with their draws one after the other.
+
+    The swap at i leaves for good, at i, what stood at j before. That was put there by the swap at the
+    next greater k with the same j, which brought what stood at k; without such a k it is j itself. What
+    stands at k before its own swap came in the same way from the least k' > k that was swapped with k,
+    and so on: each place is in one chain of ascending places, whose end is the answer. The ends are
+    found by doubling: joins of (place, place further on), as many as the logarithm of the longest
+    chain, which is short itself. No task holds more than its share of the n places.
+    """
+    if n < 2:
+        return spark.range(n).select(F.col("id").alias("place"), F.col("id").alias("sequence"))
+    same = Window.partitionBy("j").orderBy("i")
+    swaps = epoch_draws(spark, n, seed, epoch, draws).withColumn("later", F.lead("i").over(same)).withColumn("nth", F.row_number().over(same))
+    swaps = materialize(swaps, "swaps")
+    # the first swap with a place, but for one with itself, is the next in the place's chain
+    links = swaps.where("nth = 1").select(F.col("j").alias("k"), F.when(F.col("i") == F.col("j"), F.col("later")).otherwise(F.col("i")).alias("to")).where("to IS NOT NULL")
+    links = materialize(links, "links")
+    while True:
+        further = links.select(F.col("k").alias("to"), F.col("to").alias("beyond"))
+        links = materialize(links.select("k", "to").join(further, "to", "left").select("k", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "links")
+        if links.where("moved").isEmpty():
+            break
+    # what each place gets: the end of the chain from where it was put last, or the place that nothing was put into
+    wanted = swaps.select(F.col("i").alias("place"), "j", F.when(F.col("i") == F.col("j"), F.col("i")).otherwise(F.col("later")).alias("k"))
+    wanted = wanted.unionByName(spark.range(1).select(F.col("id").alias("place"), F.col("id").alias("j"), F.col("id").alias("k")))
+    return wanted.join(links.select("k", "to"), "k", "left").select("place", F.coalesce("to", "k", "j").alias("sequence"))
+
+
+def epoch_batches(spark: SparkSession, n: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
+    """(epoch, index, row, sequence): a seeded permutation of n sequences in batches from batch ``start`` on; the remainder is dropped."""
+    order = permutation(spark, n, seed, epoch).where((F.col("place") >= start * batch) & (F.col("place") < n - n % batch))
+    index = F.floor(F.col("place") / batch).cast("long")
+    return order.select(F.lit(epoch).cast("long").alias("epoch"), index.alias("index"), (F.col("place") % batch).alias("row"), "sequence")
 
 
 def batches_of(shards: DataFrame, length: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
@@ -146,7 +210,7 @@ def batches_of(shards: DataFrame, length: int, batch: int, seed: int, epoch: int
 def sequence_ends(shards: DataFrame, length: int) -> DataFrame:
     """(shard, sequences, ends): running number of sequences by shard."""
     n = shards.select("shard", F.greatest(F.floor((F.size("tokens") - 1) / length), F.lit(0)).alias("sequences"))
-    return n.withColumn("ends", F.sum("sequences").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_total(n, F.col("sequences"), ["shard"], "ends")
 
 
 def corpus_counts(encoded: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def running_sum(rows: DataFrame, value: Column, part: Column, order: list[str], name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows up to this one.
@@ -27,7 +29,20 @@ def hex_part(digest: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
 
 
-def number_part(rows: DataFrame, column: str, parts: int = 1024) -> Column:
-    """Ranges of a number, of equal width between its least and its greatest value."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    return F.lit(0) if low is None else F.floor((F.col(column) - low) * parts / (high - low + 1)).cast("int")
+def in_ranges(rows: DataFrame, order: list[str], parts: int | None = None, block: str = "block") -> DataFrame:
+    """The rows, written, with the number of the range of ``order`` that each is in: ranges ascend and have about as many rows each.
+
+    Split points are drawn from a sample of (order, row), so neither a skewed nor a repeated key fills
+    a range; rows that are equal in ``order`` may lie in several ranges. Nulls come first. Without
+    ``parts`` there are as many ranges as shuffle partitions after small ones are joined.
+    """
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    keys = [*order, "__row"]
+    dealt = numbered.repartitionByRange(parts, *keys) if parts else numbered.repartitionByRange(*keys)
+    return materialize(dealt.withColumn(block, F.spark_partition_id()), "ranges").withColumnRenamed("__row", f"{block}_row")
+
+
+def running_total(rows: DataFrame, value: Column, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``running_sum`` over ranges of equal numbers of rows; of rows that are equal in ``order`` one comes after the other."""
+    dealt = in_ranges(rows, order, parts, "__range")
+    return running_sum(dealt, value, F.col("__range"), [*order, "__range_row"], name).drop("__range", "__range_row")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import spdx
 from ..functions.rng import Rng
-from ..operators import bpe, packing, scrub, vocabulary
+from ..operators import bpe, packing, scrub, vocabulary, windows
 from ..session import spread, table
 from ..sources import manifest, shards
 from ..sources.reports import normalized_license
@@ -212,36 +213,85 @@ def _io_pairs(spark, d):
 query("io_pairs", "SELECT vec_id AS shard, i::INT AS i, list_sum(list_slice(t, i * 4 + 1, i * 4 + 4))::BIGINT AS inputs, list_sum(list_slice(t, i * 4 + 2, i * 4 + 5))::BIGINT AS targets FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 100::FLOAT)::INT) AS t FROM embeddings) s, unnest(range(0, (len(t) - 1) // 4)) u(i)")(_io_pairs)
 
 
-def _epoch_sql(n: int, batch: int, seed: int, epoch: int, start: int) -> str:
-    """The generator and the shuffle in SQL: 64-bit words as wider numbers modulo 2**64, one row for each draw and each swap."""
-    m, golden = 1 << 64, 0x9E3779B97F4A7C15
+_M, _GOLDEN = 1 << 64, 0x9E3779B97F4A7C15
 
-    def mixed(x: str) -> str:
-        a = f"(xor({x}, {x} // (1::UHUGEINT << 30)) * {0xBF58476D1CE4E5B9}::UHUGEINT % {m}::UHUGEINT)"
-        b = f"(xor({a}, {a} // (1::UHUGEINT << 27)) * {0x94D049BB133111EB}::UHUGEINT % {m}::UHUGEINT)"
-        return f"xor({b}, {b} // (1::UHUGEINT << 31))"
 
-    words = lambda s: ", ".join(f"{mixed(f'(({s} + {golden * (k + 1) % m}::UHUGEINT) % {m}::UHUGEINT)')} AS s{k}" for k in range(4))
-    rotated = lambda x, k: f"(({x} * (1::UHUGEINT << {k})) % {m}::UHUGEINT + {x} // (1::UHUGEINT << {64 - k}))"
-    value = f"({rotated(f'(s1 * 5 % {m}::UHUGEINT)', 7)} * 9 % {m}::UHUGEINT)"
+def _mixed(x: str) -> str:
+    """One word of a seed's state in SQL: 64-bit words as wider numbers modulo 2**64."""
+    a = f"(xor({x}, {x} // (1::UHUGEINT << 30)) * {0xBF58476D1CE4E5B9}::UHUGEINT % {_M}::UHUGEINT)"
+    b = f"(xor({a}, {a} // (1::UHUGEINT << 27)) * {0x94D049BB133111EB}::UHUGEINT % {_M}::UHUGEINT)"
+    return f"xor({b}, {b} // (1::UHUGEINT << 31))"
+
+
+def _words(seed: str) -> str:
+    return ", ".join(f"{_mixed(f'(({seed} + {_GOLDEN * (k + 1) % _M}::UHUGEINT) % {_M}::UHUGEINT)')} AS s{k}" for k in range(4))
+
+
+def _rotated(x: str, k: int) -> str:
+    return f"(({x} * (1::UHUGEINT << {k})) % {_M}::UHUGEINT + {x} // (1::UHUGEINT << {64 - k}))"
+
+
+_VALUE = f"({_rotated(f'(s1 * 5 % {_M}::UHUGEINT)', 7)} * 9 % {_M}::UHUGEINT)"
+_STEP = f"xor(s0, xor(s3, s1)) AS s0, xor(s1, xor(s2, s0)) AS s1, xor(xor(s2, s0), (s1 * (1::UHUGEINT << 17)) % {_M}::UHUGEINT) AS s2, {_rotated('xor(s3, s1)', 45)} AS s3"
+
+
+def _draws_sql(n: str, seed: int, epoch: int) -> str:
+    """CTEs up to draws(t, i, j): the swaps of an epoch's shuffle of ``n`` places, one row for each draw."""
     return f"""
-WITH RECURSIVE a AS (SELECT {words(f"{seed}::UHUGEINT")}),
-f AS (SELECT xor({value}, {epoch * golden % m}::UHUGEINT) AS seed FROM a),
-g AS (SELECT {words("seed")} FROM f),
-r(i, s0, s1, s2, s3) AS (SELECT 0, s0, s1, s2, s3 FROM g UNION ALL
-  SELECT i + 1, xor(s0, xor(s3, s1)), xor(s1, xor(s2, s0)), xor(xor(s2, s0), (s1 * (1::UHUGEINT << 17)) % {m}::UHUGEINT), {rotated("xor(s3, s1)", 45)} FROM r WHERE i < {n - 2}),
-draws AS (SELECT i, ({value} * ({n} - i)::UHUGEINT // {m}::UHUGEINT)::INT AS j FROM r),
-p(i, l) AS (SELECT 0, range({n}) UNION ALL
-  SELECT p.i + 1, list_transform(l, lambda x, k: CASE k WHEN {n} - p.i THEN l[j + 1] WHEN j + 1 THEN l[{n} - p.i] ELSE x END) FROM p JOIN draws d ON d.i = p.i WHERE p.i < {n - 1})
-SELECT {epoch}::BIGINT AS epoch, (k // {batch})::BIGINT AS index, (k % {batch})::BIGINT AS row, l[k + 1]::BIGINT AS sequence FROM p, unnest(range({n - n % batch})) u(k) WHERE i = {n - 1} AND k // {batch} >= {start}
-"""
+WITH RECURSIVE nn AS (SELECT ({n})::BIGINT AS n),
+a AS (SELECT {_words(f"{seed}::UHUGEINT")}),
+f AS (SELECT xor({_VALUE}, {epoch * _GOLDEN % _M}::UHUGEINT) AS seed FROM a),
+r(t, n, s0, s1, s2, s3) AS (SELECT 0::BIGINT, n, {_words("seed")} FROM f, nn UNION ALL SELECT t + 1, n, {_STEP} FROM r WHERE t < n - 2),
+draws AS (SELECT t, n - 1 - t AS i, ({_VALUE} * (n - t)::UHUGEINT // {_M}::UHUGEINT)::BIGINT AS j FROM r WHERE n > 1)"""
 
 
-query("permute_epoch", _epoch_sql(100, 8, 42, 1, 0))(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1))
-query("batch_seek", _epoch_sql(100, 8, 42, 1, 5))(lambda spark, d: packing.epoch_batches(spark, 100, 8, 42, 1, start=5))
-query("rng_next_u64", "SELECT * FROM (VALUES (0, 0, '99ec5f36cb75f2b4'), (0, 1, 'bf6e1f784956452a'), (0, 2, '1a5f849d4933e6e0'), (0, 3, '6aa594f1262d2d2c'), (42, 0, '15780b2e0c2ec716'), (42, 1, '6104d9866d113a7e'), (42, 2, 'ae17533239e499a1'), (42, 3, 'ecb8ad4703b360a1')) AS t(seed, i, value)")(
-    lambda spark, d: spark.createDataFrame([(s, i, f"{v:016x}") for s in (0, 42) for r in [Rng(s)] for i, v in enumerate(r.next() for _ in range(4))], "seed int, i int, value string")
-)
+def _epoch_sql(n: str, seed: int, epoch: int) -> str:
+    """CTEs up to orders(place, sequence), each place followed to where it was put last; a list of all places with one swap after the other is too slow in SQL, and tests hold the order against that."""
+    return f"""{_draws_sql(n, seed, epoch)},
+later AS (SELECT i, j, lead(i) OVER (PARTITION BY j ORDER BY i) AS later, row_number() OVER (PARTITION BY j ORDER BY i) AS nth FROM draws),
+links AS (SELECT j AS k, CASE WHEN i = j THEN later ELSE i END AS upto FROM later WHERE nth = 1),
+chain(k, stop) AS (SELECT range, range FROM range((SELECT n FROM nn)) UNION ALL SELECT c.k, l.upto FROM chain c JOIN links l ON l.k = c.stop WHERE l.upto IS NOT NULL),
+roots AS (SELECT k, max(stop) AS root FROM chain GROUP BY k),
+places AS (SELECT i AS place, CASE WHEN i = j THEN i ELSE later END AS k, j FROM later UNION ALL SELECT 0, 0, 0 FROM nn WHERE n > 0),
+orders AS (SELECT place, coalesce(root, j) AS sequence FROM places LEFT JOIN roots USING (k))"""
+
+
+def _doc_epoch(start: int):
+    """The documents, numbered by doc_id, in the order of an epoch."""
+
+    def run(spark, d):
+        docs = table(spark, d, "documents").select("doc_id")
+        order = packing.epoch_batches(spark, docs.count(), 8, 42, 1, start)
+        numbered = windows.running_total(docs, F.lit(1), ["doc_id"], "n").select("doc_id", (F.col("n") - 1).alias("sequence"))
+        return order.join(numbered, "sequence").select("epoch", "index", "row", "doc_id")
+
+    return run
+
+
+for _name, _start in (("permute_epoch", 0), ("batch_seek", 5)):
+    query(_name, f"""{_epoch_sql('SELECT count(*) FROM documents', 42, 1)}
+SELECT 1::BIGINT AS epoch, place // 8 AS index, place % 8 AS row, doc_id FROM orders JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS sequence FROM documents) d USING (sequence), nn
+WHERE place < n - n % 8 AND place // 8 >= {_start}""")(_doc_epoch(_start))
+
+
+def _rng_first(spark, d):
+    """First numbers of a generator seeded by each document's id."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            numbers = [(str(Rng(i).next()), Rng(i).below(1000), Rng(i).uniform(), str(Rng(i).fork(7).next())) for i in ids]
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*numbers, strict=True), kinds, strict=True))], names=["doc_id", "value", "below", "uniform", "forked"])
+
+    return table(spark, d, "documents").select("doc_id").mapInArrow(run, "doc_id long, value string, below long, uniform double, forked string")
+
+
+query("rng_next_u64", f"""
+WITH s AS (SELECT doc_id, {_words("doc_id::UHUGEINT")} FROM documents), v AS (SELECT doc_id, {_VALUE} AS v FROM s),
+f AS (SELECT doc_id, {_words(f"xor(v, {7 * _GOLDEN % _M}::UHUGEINT)")} FROM v), w AS (SELECT doc_id, {_VALUE} AS w FROM f)
+SELECT doc_id, v::VARCHAR AS value, (v * 1000 // {_M}::UHUGEINT)::BIGINT AS below, (v // 2048)::DOUBLE / {1 << 53} AS uniform, w::VARCHAR AS forked FROM v JOIN w USING (doc_id)
+""")(_rng_first)
 
 
 def _byte_tokens(spark, d):
@@ -249,10 +299,13 @@ def _byte_tokens(spark, d):
 
     def run(batches):
         for batch in batches:
-            tokens = [[*(t or "").encode("utf-8"), 256] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(tokens, pa.list_(pa.int32()))], names=["shard", "tokens"])
+            raw = [np.frombuffer((t or "").encode("utf-8"), np.uint8).astype(np.int32) for t in batch.column("text").to_pylist()]
+            end = np.array([256], np.int32)
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]), pa.int32())
+            tokens = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x for r in raw for x in (r, end)] or [end[:0]])))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), tokens], names=["shard", "tokens"])
 
-    return table(spark, d, "documents").select(F.col("doc_id").alias("shard"), "text").mapInArrow(run, "shard long, tokens array<int>")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("shard"), "text")).mapInArrow(run, "shard long, tokens array<int>")
 
 
 def _shard_roundtrip(spark, d):
@@ -261,10 +314,11 @@ def _shard_roundtrip(spark, d):
 
 
 query("shard_roundtrip", "SELECT doc_id AS shard, octet_length(encode(text)) + 1 AS n, 256 AS last, '' AS error FROM documents")(_shard_roundtrip)
-query("seq_windows", "SELECT doc_id AS shard, i::INT AS i, octet_length(encode(text)) AS n, ascii(substr(text, (i * 128 + 1)::BIGINT, 1))::BIGINT AS first_token FROM documents, unnest(range(0, octet_length(encode(text)) // 128)) u(i) WHERE octet_length(encode(text)) = length(text) AND octet_length(encode(text)) >= 128")(
-    lambda spark, d: packing.windows(_byte_tokens(spark, d).where(~F.exists("tokens", lambda t: (t > 127) & (t < 256))), 128)
-    .join(_byte_tokens(spark, d).select("shard", (F.size("tokens") - 1).cast("long").alias("n")), "shard")
-    .select("shard", "i", "n", F.get("inputs", F.lit(0)).cast("long").alias("first_token"))
+#: Windows of the bytes of every whole text, inputs and targets one byte further on; the last window's last target may be the end of text.
+query("seq_windows", """
+SELECT doc_id AS shard, i::INT AS i, sha256(substr(h, (i * 256 + 1)::BIGINT, 256)) AS inputs, sha256(substr(h, (i * 256 + 3)::BIGINT, 256) || CASE WHEN (i + 1) * 256 = length(h) THEN '100' ELSE '' END) AS targets
+FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) d, unnest(range(0, length(h) // 256)) u(i)""")(
+    lambda spark, d: packing.windows(_byte_tokens(spark, d), 128).select("shard", "i", *(F.sha2(F.array_join(F.transform(c, lambda t: F.lpad(F.hex(t), F.when(t > 255, 3).otherwise(2), F.lit("0"))), ""), 256).alias(c) for c in ("inputs", "targets")))
 )
 
 
@@ -274,7 +328,12 @@ def _batches(spark, d):
     return made.select("epoch", "index", "row", F.size("inputs").cast("long").alias("n"), F.sha2(F.array_join("inputs", " "), 256).alias("digest"))
 
 
-query("batch_next")(_batches)
+query("batch_next", f"""
+{_epoch_sql("SELECT sum(greatest(octet_length(encode(text)) // 128, 0)) FROM documents", 42, 1)},
+w AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS sequence, substr(hex(encode(text)), (i * 256 + 1)::BIGINT, 256) AS h FROM documents, unnest(range(0, octet_length(encode(text)) // 128)) u(i))
+SELECT 1::BIGINT AS epoch, place // 8 AS index, place % 8 AS row, 128::BIGINT AS n, sha256(array_to_string(list_transform(range(128), lambda x: ('0x' || substr(h, (2 * x + 1)::BIGINT, 2))::INT), ' ')) AS digest
+FROM orders JOIN w USING (sequence), nn WHERE place < n - n % 8
+""")(_batches)
 
 
 def _manifest(spark, d):

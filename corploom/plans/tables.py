@@ -236,7 +236,7 @@ def _pick_rows(spark, d):
     """Twenty rows at even distances: numbers by ranges of the key, then a join with the twenty numbers."""
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")
     n = rows.count()
-    numbered = windows.running_sum(rows, F.lit(1), windows.number_part(rows, "event_id"), ["event_id"], "upto")
+    numbered = windows.running_total(rows, F.lit(1), ["event_id"], "upto")
     picks = spark.range(20).select(F.bround(F.col("id") * (n - 1) / F.lit(19.0)).cast("long").alias("i"))
     return numbered.withColumn("i", F.col("upto") - 1).join(F.broadcast(picks), "i").select("event_id", "value")
 

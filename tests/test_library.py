@@ -123,9 +123,9 @@ def test_secrets_in_tables(spark):
 
 def test_running_sums_in_parts(spark):
     rows = spark.createDataFrame([(k, k % 7) for k in range(500)], "k long, v long").repartition(5)
-    got = sorted((r["k"], r["s"]) for r in windows.running_sum(rows, F.col("v"), windows.number_part(rows, "k", 16), ["k"], "s").collect())
+    got = sorted((r["k"], r["s"]) for r in windows.running_total(rows, F.col("v"), ["k"], "s", 16).collect())
     assert got == [(k, sum(j % 7 for j in range(k + 1))) for k in range(500)]
-    assert windows.running_sum(rows.where("k < 0"), F.col("v"), windows.number_part(rows.where("k < 0"), "k"), ["k"], "s").count() == 0
+    assert windows.running_total(rows.where("k < 0"), F.col("v"), ["k"], "s").count() == 0
 
 
 def test_batches_of_windows(spark):
