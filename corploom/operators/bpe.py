@@ -6,12 +6,14 @@ import heapq
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
+from ..scratch import materialize
 
 #: Bytes of the longest piece; longer ones are cut between characters.
 MAX_PIECE = 128
@@ -114,7 +116,12 @@ def piece_counts(docs: DataFrame, config: str | Splitter = "code_shell", text: s
 
 
 def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
-    """Merges (left, right) in the order learnt, from (bytes, n): the most frequent pair first, ties to the smaller pair.
+    """The merges of ``learn_counted`` alone."""
+    return learn_counted(counts, merges, min_frequency)[0]
+
+
+def learn_counted(counts, merges: int, min_frequency: int = 2) -> tuple[list[tuple[int, int]], list[int]]:
+    """Merges (left, right) in the order learnt and their counts, from (bytes, n): the most frequent pair first, ties to the smaller pair.
 
     Pair counts are kept up to date for the words that hold the merged pair only; a heap gives the
     next pair, entries out of date are put right when they come up.
@@ -130,6 +137,7 @@ def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
     heap = [(-n, pair) for pair, n in total.items()]
     heapq.heapify(heap)
     out: list[tuple[int, int]] = []
+    told: list[int] = []
     while heap and len(out) < merges:
         n, pair = heapq.heappop(heap)
         if -n != total[pair]:
@@ -140,6 +148,7 @@ def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
             break
         new = 256 + len(out)
         out.append(pair)
+        told.append(-n)
         touched = set()
         for w in where.pop(pair, ()):
             ids, merged, i = words[w], [], 0
@@ -159,55 +168,249 @@ def learn(counts, merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
                 touched.add(p)
         for p in touched:
             heapq.heappush(heap, (-total[p], p))
-    return out
+    return out, told
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    """What to learn: ``size`` tokens in all are 256 bytes, the merges and the special tokens."""
+
+    size: int
+    splitter: Splitter = Splitter()
+    specials: tuple[str, ...] = ()
+    min_frequency: int = 2
+    max_distinct: int = MAX_DISTINCT
+
+    @property
+    def merges(self) -> int:
+        if (n := self.size - 256 - len(self.specials)) < 0:
+            raise ValueError(f"{self.size} tokens don't hold 256 bytes and {len(self.specials)} special tokens")
+        return n
+
+
+@dataclass(frozen=True)
+class Trained:
+    """Merges with the count that each pair had when it was merged, and what they were learnt from."""
+
+    merges: tuple[tuple[int, int], ...]
+    counts: tuple[int, ...]
+    requested: int
+    distinct_pieces: int
+    pieces: int
+    bytes: int
+    #: Spark jobs that counted pairs; 0 where the driver did.
+    rounds: int = 0
+
+    @property
+    def stopped_early(self) -> bool:
+        """Whether no pair was frequent enough before all merges were learnt."""
+        return len(self.merges) < self.requested
+
+
+def train(docs: DataFrame, config: TrainConfig, text: str = "text") -> Trained:
+    """Learns from all pieces of all texts, on the driver or, of more than ``max_distinct`` pieces, in rounds of Spark jobs; the merges are the same.
+
+    Null and empty texts have no pieces; an empty table gives no merges.
+    """
+    return train_counted(piece_counts(docs, config.splitter, text), config)
+
+
+def train_counted(counts: DataFrame, config: TrainConfig) -> Trained:
+    """``train`` on pieces (piece, n) that were counted already."""
+    counts = materialize(counts, "pieces")
+    size = F.octet_length("piece").cast("long")
+    distinct, pieces, n_bytes = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * size), F.lit(0))).first()
+    if distinct <= config.max_distinct:
+        rows = sorted((r["piece"].encode(), r["n"]) for r in counts.collect())
+        merges, found = learn_counted(rows, config.merges, config.min_frequency)
+        return Trained(tuple(merges), tuple(found), config.merges, distinct, pieces, n_bytes)
+    merges, found, rounds = learn_rounds(counts, config.merges, config.min_frequency)
+    return Trained(tuple(merges), tuple(found), config.merges, distinct, pieces, n_bytes, rounds)
 
 
 def learn_from(docs: DataFrame, merges: int, config: str | Splitter = "code_shell", min_frequency: int = 2, max_distinct: int = MAX_DISTINCT) -> list[tuple[int, int]]:
-    """Learns from all pieces of all texts, on the driver or, of more than ``max_distinct`` pieces, in rounds; the merges are the same."""
-    counts = piece_counts(docs, config)
-    rows = counts.limit(max_distinct + 1).collect()
-    if len(rows) <= max_distinct:
-        return learn(sorted((r["piece"].encode(), r["n"]) for r in rows), merges, min_frequency)
-    return learn_rounds(counts, merges, min_frequency)
+    """The merges of ``train`` alone."""
+    return list(train(docs, TrainConfig(256 + merges, _splitter(config), (), min_frequency, max_distinct)).merges)
+
+
+def byte_ids(counts: DataFrame) -> DataFrame:
+    """(ids, n) of (piece, n): pieces of two bytes or more as numbers of bytes."""
+    ids = F.transform(F.split(F.hex(F.encode("piece", "utf-8")), "(?<=\\G..)(?!$)"), lambda x: F.conv(x, 16, 10).cast("int"))
+    return counts.where(F.octet_length("piece") > 1).select(ids.alias("ids"), F.col("n").cast("long").alias("n"))
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(a, b, n): how often two tokens stand side by side in words(ids, n), combined before the shuffle."""
+    pairs = F.zip_with(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", 2, F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return words.select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+
+
+def plan_batch(ranked: list[tuple[int, int, int]], limit: int) -> tuple[list[tuple[int, int, int]], set[tuple[int, int]]]:
+    """(batch, passed) of pairs (n, a, b), best first: pairs that may be merged together, and those passed over between them.
+
+    Merging (a, b) takes from the counts of pairs that end with a or begin with b only. A pair that no
+    earlier one of the batch takes from keeps its count, so it joins the batch; one that loses some is
+    passed over, in the hope that it falls behind. A pair of equal tokens counts differently once others
+    are merged, so it comes first in its batch.
+    """
+    batch: list[tuple[int, int, int]] = []
+    passed: set[tuple[int, int]] = set()
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    for n, a, b in ranked:
+        if len(batch) == limit or a == b and batch or len(passed) > 4 + len(batch):
+            break
+        if a in rights or b in lefts:
+            passed.add((a, b))
+            continue
+        batch.append((n, a, b))
+        lefts.add(a)
+        rights.add(b)
+    return batch, passed
+
+
+def _before(batch: list[tuple[int, int, int]], base: int, k: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows u, v) as they were when only the first ``k`` of the batch were merged: a later token is again its right part for what follows it, its left part for what it follows."""
+    left, right = np.array([p[1] for p in batch]), np.array([p[2] for p in batch])
+    u, v = pairs[:, 0].copy(), pairs[:, 1].copy()
+    later = u >= base + k
+    u[later] = right[u[later] - base]
+    later = v >= base + k
+    v[later] = left[v[later] - base]
+    return u, v
+
+
+def accepted(batch: list[tuple[int, int, int]], passed: set[tuple[int, int]], base: int, pairs: np.ndarray, n: np.ndarray) -> int:
+    """How many leading merges of a batch are those that one merge after the other would have made.
+
+    ``pairs`` and ``n`` are counts after the whole batch, of all pairs that have a token of the batch and
+    of those passed over. From them follow the counts just before each merge; it was right if no new pair
+    and no pair passed over came before it then.
+    """
+    skipped = np.array([a << 32 | b for a, b in passed], np.int64)
+    for k in range(1, len(batch)):
+        u, v = _before(batch, base, k, pairs)
+        key = u << 32 | v
+        rivals = (u >= base) | (v >= base) | np.isin(key, skipped)
+        keys, place = np.unique(key[rivals], return_inverse=True)
+        if not len(keys):
+            continue
+        then = np.bincount(place, n[rivals].astype(np.float64)).astype(np.int64)
+        best, a, b = batch[k]
+        if ((then > best) | (then == best) & (keys < (a << 32 | b))).any():
+            return k
+    return len(batch)
 
 
-def learn_rounds(counts: DataFrame, merges: int, min_frequency: int = 2, keep: int = 20) -> list[tuple[int, int]]:
-    """``learn`` without the driver: pairs are counted over the table of pieces, the best one is merged in all of them.
+def learn_rounds(counts: DataFrame, merges: int, min_frequency: int = 2, limit: int = 256, keep: int = 512, most: int = 20_000) -> tuple[list[tuple[int, int]], list[int], int]:
+    """(merges, their counts, jobs): ``learn`` without the driver, a batch of merges for each Spark job.
 
-    Every ``keep`` rounds the table is checkpointed in the shared folder of ``spark.checkpoint.dir``.
+    The driver ranks the most frequent pairs and plans a batch; one pass over the table of pieces merges
+    it and counts pairs anew; the counts tell how much of the batch was right, and what the counts were
+    then, so what was wrong costs no further job. What comes to the driver are pairs with at least a
+    floor of occurrences (about ``most`` at first; where they run out the floor is lowered) and those that
+    the batch's tokens take part in. Every ``keep`` merges the table of pieces is written with them.
     """
-    words = counts.select(F.transform(F.split(F.hex(F.encode("piece", "utf-8")), "(?<=\\G..)(?!$)"), lambda x: F.conv(x, 16, 10).cast("int")).alias("ids"), "n").where(F.size("ids") > 1)
+    words = materialize(byte_ids(counts), "words")
     found: list[tuple[int, int]] = []
-    words = words.checkpoint()
+    told: list[int] = []
+    done = jobs = 0  # merges that ``words`` have; jobs so far
+    size = 16
+
+    def job(batch: list[tuple[int, int, int]], floor: int) -> tuple[np.ndarray, np.ndarray]:
+        base, merging = 256 + len(found), {pair: 256 + done + k for k, pair in enumerate([*found[done:], *((a, b) for _, a, b in batch)])}
+        table = words.mapInArrow(_merged_counts(merging), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        if batch:
+            lefts, rights = [p[1] for p in batch], [p[2] for p in batch]
+            near = (F.col("a") >= base) | (F.col("b") >= base) | F.col("b").isin(lefts) | F.col("a").isin(rights)
+            table = table.where((F.col("n") >= floor) | near)
+        else:
+            table = table.where(F.col("n") >= floor)
+        rows = table.toArrow()
+        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("a", "b")], axis=1), rows.column("n").to_numpy()
+
+    # the first floor: what the ``most``-th pair has
+    first = pair_counts(words).orderBy(F.desc("n")).limit(most).agg(F.min("n"), F.count("*")).first()
+    floor = max(min_frequency, first[0] or 0) if first[1] == most else min_frequency
+    jobs += 1
+    pairs, n = job([], floor)
+    jobs += 1
     while len(found) < merges:
-        pairs = words.select(F.explode(F.zip_with(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", 2, F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"), "n")
-        best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < min_frequency:
+        fit = n >= floor
+        order = np.lexsort((pairs[fit, 1], pairs[fit, 0], -n[fit]))[: 8 * limit]
+        ranked = [(int(c), int(a), int(b)) for c, (a, b) in zip(n[fit][order], pairs[fit][order], strict=True)]
+        batch, passed = plan_batch(ranked, min(size, merges - len(found)))
+        if not batch or len(ranked) < size and floor > min_frequency:
+            if floor <= min_frequency:
+                break
+            floor = max(min_frequency, floor // 4)
+            pairs, n = job([], floor)
+            jobs += 1
+            continue
+        base = 256 + len(found)
+        pairs, n = job(batch, floor)
+        jobs += 1
+        k = accepted(batch, passed, base, pairs, n)
+        # the counts as they were after the first k
+        u, v = _before(batch, base, k, pairs)
+        key = np.concatenate([u << 32 | v, np.array([a << 32 | b for _, a, b in batch[k:]], np.int64)])
+        keys, place = np.unique(key, return_inverse=True)
+        n = np.bincount(place, np.concatenate([n, [c for c, _, _ in batch[k:]]]).astype(np.float64)).astype(np.int64)
+        pairs = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1)
+        found += [(a, b) for _, a, b in batch[:k]]
+        told += [c for c, _, _ in batch[:k]]
+        size = min(limit, 2 * size) if k == len(batch) else max(8, min(limit, k + k // 2))
+        if len(found) - done >= keep:
+            words = materialize(words.mapInArrow(_merged_words({pair: 256 + done + i for i, pair in enumerate(found[done:])}), "ids array<int>, n long"), "words")
+            done = len(found)
+    return found, told, jobs
+
+
+def _merge(ids: list[int], merging: dict[tuple[int, int], int]) -> list[int]:
+    """All merges of a word in their order; those numbered lower come first."""
+    while len(ids) > 1:
+        new = min((merging[p] for p in zip(ids, ids[1:], strict=False) if p in merging), default=None)
+        if new is None:
             break
-        found.append((best["a"], best["b"]))
-        words = words.mapInArrow(_merge_all(best["a"], best["b"], 255 + len(found)), "ids array<int>, n long").where(F.size("ids") > 1)
-        if len(found) % keep == 0:
-            words = words.checkpoint()
-    return found
+        merged, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and merging.get((ids[i], ids[i + 1])) == new:
+                merged.append(new)
+                i += 2
+            else:
+                merged.append(ids[i])
+                i += 1
+        ids = merged
+    return ids
 
 
-def _merge_all(a: int, b: int, new: int):
+def _merged_words(merging: dict[tuple[int, int], int]):
     def run(batches):
         for batch in batches:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                if a in ids:
-                    merged, i = [], 0
-                    while i < len(ids):
-                        if ids[i] == a and i + 1 < len(ids) and ids[i + 1] == b:
-                            merged.append(new)
-                            i += 2
-                        else:
-                            merged.append(ids[i])
-                            i += 1
-                    ids = merged
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column("n")], names=["ids", "n"])
+            out = [_merge(ids, merging) for ids in batch.column("ids").to_pylist()]
+            keep = pa.array([len(ids) > 1 for ids in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())).filter(keep), batch.column("n").filter(keep)], names=["ids", "n"])
+
+    return run
+
+
+def _merged_counts(merging: dict[tuple[int, int], int], held: int = 1_000_000):
+    """Arrow map: pair counts of the words of a partition with the merges made, given out whenever ``held`` pairs are known."""
+
+    def told(total: Counter):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in total], pa.int32()), pa.array([p[1] for p in total], pa.int32()), pa.array(total.values(), pa.int64())], names=["a", "b", "n"])
+
+    def run(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                merged = _merge(ids, merging) if merging else ids
+                for p in zip(merged, merged[1:], strict=False):
+                    total[p] += n
+            if len(total) > held:
+                yield told(total)
+                total = Counter()
+        yield told(total)
 
     return run
 

@@ -153,11 +153,46 @@ query("bpe_count")(lambda spark, d: bpe.piece_counts(spread(table(spark, d, "doc
 
 
 def _bpe_learn(spark, d):
-    merges = bpe.learn_from(spread(table(spark, d, "documents")), 128)
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left int, right int")
+    """Merges with the counts they had, learnt in rounds of Spark jobs."""
+    learnt = bpe.train(spread(table(spark, d, "documents")), bpe.TrainConfig(256 + 128, max_distinct=0))
+    return spark.createDataFrame([(k, a, b, n) for k, ((a, b), n) in enumerate(zip(learnt.merges, learnt.counts, strict=True))], "rank int, left int, right int, n long")
 
 
 query("bpe_learn")(_bpe_learn)
+#: Pieces that both dialects can split: texts at spaces.
+_BLANK_PIECES = "SELECT piece, count(*) AS n FROM (SELECT explode(split(text, ' ')) AS piece FROM {documents}) p WHERE piece <> '' GROUP BY piece"
+query("bpe_learn_round", """
+WITH p AS (SELECT hex(encode(piece)) AS h, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS piece FROM documents) WHERE piece <> '' GROUP BY 1),
+c AS (SELECT ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::INT AS a, ('0x' || substr(h, (2 * i + 3)::BIGINT, 2))::INT AS b, sum(n)::BIGINT AS n FROM p, unnest(range(0, length(h) // 2 - 1)) u(i) GROUP BY 1, 2)
+SELECT a, b, n, row_number() OVER (ORDER BY n DESC, a, b) = 1 AS merged FROM c
+""")(lambda spark, d: _bpe_round(spark, d))
+
+
+def _bpe_round(spark, d):
+    """One round of the learner: all pairs of bytes with their counts, and which one is merged."""
+    from .tables import views
+
+    words = bpe.byte_ids(spread(spark.sql(views(spark, d, _BLANK_PIECES))))
+    pairs = bpe.pair_counts(words)
+    best = pairs.orderBy(F.desc("n"), "a", "b").limit(1).select("a", "b", F.lit(True).alias("merged"))
+    return pairs.join(F.broadcast(best), ["a", "b"], "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+
+
+query("bpe_train_stats", """
+WITH p AS (SELECT unnest(string_split(text, ' ')) AS piece FROM documents)
+SELECT count(DISTINCT piece) AS distinct_pieces, count(*) AS pieces, sum(octet_length(encode(piece)))::BIGINT AS bytes, 24::BIGINT AS merges, 24::BIGINT AS requested, false AS stopped_early, true AS falling FROM p WHERE piece <> ''
+""")(lambda spark, d: _bpe_stats(spark, d))
+
+
+def _bpe_stats(spark, d):
+    """What a run learnt from and how it ended, for pieces between spaces: a splitter without classes keeps them whole."""
+    docs = spread(table(spark, d, "documents")).select(F.explode(F.split("text", " ")).alias("piece")).where("piece <> ''")
+    counts = docs.groupBy("piece").agg(F.count("*").alias("n"))
+    t = bpe.train_counted(counts, bpe.TrainConfig(256 + 24 + 1, specials=("<|end|>",)))
+    falling = all(a >= b for a, b in zip(t.counts, t.counts[1:], strict=False))
+    return spark.createDataFrame([(t.distinct_pieces, t.pieces, t.bytes, len(t.merges), t.requested, t.stopped_early, falling)], "distinct_pieces long, pieces long, bytes long, merges long, requested long, stopped_early boolean, falling boolean")
+
+
 query("bpe_textbook", "SELECT * FROM (VALUES (0, 101, 115), (1, 256, 116), (2, 108, 111), (3, 258, 119), (4, 101, 119), (5, 110, 260), (6, 261, 257), (7, 100, 257)) AS t(rank, l, r)")(
     lambda spark, d: spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(bpe.learn([(b"low", 5), (b"lower", 2), (b"newest", 6), (b"widest", 3)], 8))], "rank int, l int, r int")
 )
