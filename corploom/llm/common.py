@@ -2,59 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_path  # noqa: F401
+
 #: A word: no space, tab, newline, vertical tab, form feed or carriage return in it.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 
-_OWN_DIRS: list[tempfile.TemporaryDirectory] = []
-
 
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as the empty one; other columns never reach an operator."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where none is set and all runs in one machine (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _OWN_DIRS:
-        _OWN_DIRS.append(tempfile.TemporaryDirectory(prefix="spark-corploom-", ignore_cleanup_errors=True))
-        atexit.register(_OWN_DIRS[0].cleanup)
-    return f"file://{_OWN_DIRS[0].name}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared scratch folder."""
-    return f"{scratch_dir(spark)}/corploom-{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet below the shared scratch folder and read back.
-
-    The readers of the result neither recompute it nor depend on an executor that may be lost.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key is heavy if it has more than this part of all rows, so at most as many keys are.
 HEAVY = 2_000
 #: Rows and bytes up to which a table whose size was counted is broadcast.
