@@ -153,8 +153,8 @@ query("bpe_count")(lambda spark, d: bpe.piece_counts(spread(table(spark, d, "doc
 
 
 def _bpe_learn(spark, d):
-    """Merges with the counts they had, learnt in rounds of Spark jobs."""
-    learnt = bpe.train(spread(table(spark, d, "documents")), bpe.TrainConfig(256 + 128, max_distinct=0))
+    """Merges with the counts they had."""
+    learnt = bpe.train(spread(table(spark, d, "documents")), bpe.TrainConfig(256 + 128))
     return spark.createDataFrame([(k, a, b, n) for k, ((a, b), n) in enumerate(zip(learnt.merges, learnt.counts, strict=True))], "rank int, left int, right int, n long")
 
 
@@ -270,19 +270,19 @@ _VALUE = f"({_rotated(f'(s1 * 5 % {_M}::UHUGEINT)', 7)} * 9 % {_M}::UHUGEINT)"
 _STEP = f"xor(s0, xor(s3, s1)) AS s0, xor(s1, xor(s2, s0)) AS s1, xor(xor(s2, s0), (s1 * (1::UHUGEINT << 17)) % {_M}::UHUGEINT) AS s2, {_rotated('xor(s3, s1)', 45)} AS s3"
 
 
-def _draws_sql(n: str, seed: int, epoch: int) -> str:
-    """CTEs up to draws(t, i, j): the swaps of an epoch's shuffle of ``n`` places, one row for each draw."""
+def _draws_sql(n: str, seed: int, epoch: int, before: str = "") -> str:
+    """CTEs up to draws(t, i, j), after those given: the swaps of an epoch's shuffle of ``n`` places, one row for each draw."""
     return f"""
-WITH RECURSIVE nn AS (SELECT ({n})::BIGINT AS n),
-a AS (SELECT {_words(f"{seed}::UHUGEINT")}),
-f AS (SELECT xor({_VALUE}, {epoch * _GOLDEN % _M}::UHUGEINT) AS seed FROM a),
+WITH RECURSIVE {before} nn AS (SELECT ({n})::BIGINT AS n),
+seeds AS (SELECT {_words(f"{seed}::UHUGEINT")}),
+f AS (SELECT xor({_VALUE}, {epoch * _GOLDEN % _M}::UHUGEINT) AS seed FROM seeds),
 r(t, n, s0, s1, s2, s3) AS (SELECT 0::BIGINT, n, {_words("seed")} FROM f, nn UNION ALL SELECT t + 1, n, {_STEP} FROM r WHERE t < n - 2),
 draws AS (SELECT t, n - 1 - t AS i, ({_VALUE} * (n - t)::UHUGEINT // {_M}::UHUGEINT)::BIGINT AS j FROM r WHERE n > 1)"""
 
 
-def _epoch_sql(n: str, seed: int, epoch: int) -> str:
+def epoch_sql(n: str, seed: int, epoch: int, before: str = "") -> str:
     """CTEs up to orders(place, sequence), each place followed to where it was put last; a list of all places with one swap after the other is too slow in SQL, and tests hold the order against that."""
-    return f"""{_draws_sql(n, seed, epoch)},
+    return f"""{_draws_sql(n, seed, epoch, before)},
 later AS (SELECT i, j, lead(i) OVER (PARTITION BY j ORDER BY i) AS later, row_number() OVER (PARTITION BY j ORDER BY i) AS nth FROM draws),
 links AS (SELECT j AS k, CASE WHEN i = j THEN later ELSE i END AS upto FROM later WHERE nth = 1),
 chain(k, stop) AS (SELECT range, range FROM range((SELECT n FROM nn)) UNION ALL SELECT c.k, l.upto FROM chain c JOIN links l ON l.k = c.stop WHERE l.upto IS NOT NULL),
@@ -304,7 +304,7 @@ def _doc_epoch(start: int):
 
 
 for _name, _start in (("permute_epoch", 0), ("batch_seek", 5)):
-    query(_name, f"""{_epoch_sql('SELECT count(*) FROM documents', 42, 1)}
+    query(_name, f"""{epoch_sql('SELECT count(*) FROM documents', 42, 1)}
 SELECT 1::BIGINT AS epoch, place // 8 AS index, place % 8 AS row, doc_id FROM orders JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS sequence FROM documents) d USING (sequence), nn
 WHERE place < n - n % 8 AND place // 8 >= {_start}""")(_doc_epoch(_start))
 
@@ -364,7 +364,7 @@ def _batches(spark, d):
 
 
 query("batch_next", f"""
-{_epoch_sql("SELECT sum(greatest(octet_length(encode(text)) // 128, 0)) FROM documents", 42, 1)},
+{epoch_sql("SELECT sum(greatest(octet_length(encode(text)) // 128, 0)) FROM documents", 42, 1)},
 w AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS sequence, substr(hex(encode(text)), (i * 256 + 1)::BIGINT, 256) AS h FROM documents, unnest(range(0, octet_length(encode(text)) // 128)) u(i))
 SELECT 1::BIGINT AS epoch, place // 8 AS index, place % 8 AS row, 128::BIGINT AS n, sha256(array_to_string(list_transform(range(128), lambda x: ('0x' || substr(h, (2 * x + 1)::BIGINT, 2))::INT), ' ')) AS digest
 FROM orders JOIN w USING (sequence), nn WHERE place < n - n % 8

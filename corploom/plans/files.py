@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bpe, packing
+from ..operators import bpe, packing, vocabulary
+from ..scratch import scratch_path
 from ..session import spread, table
-from ..sources import listing, logs, manifest, reports, tensors
+from ..sources import listing, logs, manifest, reports, tensors, token_shards
+from .corpus import epoch_sql
 from .registry import query
 
 #: One file for each 64 event ids of a user; every fifth user's last line lacks a field.
@@ -130,3 +132,44 @@ query("select_files", f"SELECT replace({_TREE}, '{{p}}', page_id::VARCHAR) AS pa
 query("agg_docs_tokens", "SELECT count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(octet_length(encode(text)) + 1)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")(
     lambda spark, d: packing.corpus_counts(bpe.encode(spread(table(spark, d, "documents")).where("text is not null"), []), table(spark, d, "documents").where("text is not null"))
 )
+
+# -- shard files -------------------------------------------------------------------------------------
+
+
+def _packed(spark, d) -> str:
+    """Shard files of all documents in tokens of one byte, an end of text after each."""
+    path = scratch_path(spark, "shards")
+    kept = vocabulary.Vocabulary(bpe.SPLITTERS["cl100k_like"], (), (token_shards.END_OF_TEXT,))
+    token_shards.pack_text(spread(table(spark, d, "documents").select("doc_id", "text")), kept, 200_000, path)
+    return path
+
+
+_PACKED = """
+d AS (SELECT doc_id, text, octet_length(encode(text)) + 1 AS size FROM documents WHERE text <> ''),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+s(shard, first, base) AS (SELECT 0::BIGINT, 1::BIGINT, 0::HUGEINT UNION ALL
+  SELECT s.shard + 1, e.k + 1, e.upto FROM s, LATERAL (SELECT k, upto FROM o WHERE o.k >= s.first AND o.upto - s.base >= 200000 ORDER BY k LIMIT 1) e),
+p AS (SELECT doc_id, text, size, k, (SELECT max(shard) FROM s WHERE s.first <= o.k) AS shard FROM o)"""
+query("pack_text", f"WITH RECURSIVE {_PACKED} SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY k) - 1 AS n, sha256(text) AS digest FROM p")(
+    lambda spark, d: token_shards.read_shards_from(spark, _packed(spark, d), "documents").select("shard", "n", F.sha2(F.unhex(F.array_join(F.transform("tokens", lambda t: F.lpad(F.hex(t), 2, "0")), "")), 256).alias("digest"))
+)
+query("pack_finish", f"WITH RECURSIVE {_PACKED} SELECT shard, count(*) AS documents, sum(size)::BIGINT AS tokens, max(size)::BIGINT - 1 AS longest FROM p GROUP BY shard")(
+    lambda spark, d: token_shards.read_shards_from(spark, _packed(spark, d), "documents").groupBy("shard").agg(F.count("*").alias("documents"), F.sum(F.size("tokens") + 1).alias("tokens"), F.max(F.size("tokens")).cast("long").alias("longest"))
+)
+query("shard_concat", f"WITH RECURSIVE {_PACKED}" + """, h AS (SELECT shard, string_agg(hex(encode(text)) || 'X', '' ORDER BY k) AS h FROM p GROUP BY shard)
+SELECT shard, sha256(replace(h, 'X', '100')) AS digest, (SELECT sum(size) FROM p WHERE p.shard = h.shard)::BIGINT AS tokens FROM h""")(
+    lambda spark, d: token_shards.read_shards_from(spark, _packed(spark, d), "chunks")
+    .select("shard", "start", F.size("tokens").alias("size"), F.array_join(F.transform("tokens", lambda t: F.lpad(F.hex(t), F.when(t > 255, 3).otherwise(2), F.lit("0"))), "").alias("h"))
+    .groupBy("shard").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "h"))), lambda c: c["h"]), ""), 256).alias("digest"), F.sum("size").alias("tokens"))
+)
+#: The first 100 batches of an epoch over the shards, as numbers of 4 bytes: of each, its inputs, then its targets.
+_SHARD_WINDOWS = _PACKED + """,
+l AS (SELECT shard, sum(size) OVER (PARTITION BY shard ORDER BY k) - size AS before, list_append(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: x || '000000'), '00010000') AS ts FROM p),
+t AS (SELECT shard, unnest(ts) AS x, before + unnest(range(len(ts))) AS pos FROM l),
+c AS (SELECT shard, max(pos) // 128 AS n FROM t GROUP BY shard),
+a AS (SELECT shard, pos // 128 AS i, string_agg(x, '' ORDER BY pos) AS inputs FROM t GROUP BY ALL),
+z AS (SELECT shard, (pos - 1) // 128 AS i, string_agg(x, '' ORDER BY pos) AS targets FROM t WHERE pos > 0 GROUP BY ALL),
+w AS (SELECT row_number() OVER (ORDER BY shard, i) - 1 AS sequence, inputs, targets FROM a JOIN z USING (shard, i) JOIN c USING (shard) WHERE i < n),"""
+query("agg_batch_digest", f"""{epoch_sql("SELECT count(*) FROM w", 42, 1, _SHARD_WINDOWS)},
+b AS (SELECT place // 8 AS index, string_agg(inputs, '' ORDER BY place) || string_agg(targets, '' ORDER BY place) AS h FROM orders JOIN w USING (sequence), nn WHERE place < n - n % 8 AND place // 8 < 100 GROUP BY ALL)
+SELECT sha256(unhex(string_agg(h, '' ORDER BY index))) AS digest FROM b""")(lambda spark, d: spark.createDataFrame([(packing.batch_digest(token_shards.batches_from(spark, _packed(spark, d), 128, 8, 42, 1)),)], "digest string"))

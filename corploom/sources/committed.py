@@ -55,10 +55,12 @@ class Commit:
         name = f"{self.folder}/{stem}-{uuid.uuid4().hex[:8]}{ending}"
         return name, store.open_output_stream(f"{root}/{name}")
 
-    def commit(self, messages: list[Written | None], **facts) -> None:
-        """Puts the manifest in place, files in the order of the tasks; removes strays and what was there before."""
+    def commit(self, messages: list[Written | None], order: str | None = None, **facts) -> None:
+        """Puts the manifest in place, files by the fact ``order`` or as the tasks wrote them; removes strays and what was there before."""
         store, root = file_system(self.path)
         files = [f for m in sorted((m for m in messages if m), key=lambda m: m.partition) for f in m.files]
+        if order:
+            files.sort(key=lambda f: f[order])
         store.create_dir(root)
         draft = f"{root}/_{self.folder}.json"
         with store.open_output_stream(draft) as out:

@@ -33,10 +33,33 @@ def decode_shard(content: bytes) -> tuple[int, int, list[int]]:
         raise ValueError("length and header disagree")
     if hashlib.sha256(content[:-32]).digest() != content[-32:]:
         raise ValueError("checksum mismatch")
-    tokens = np.frombuffer(content[32:-32], f"<u{width}").tolist()
-    if eos >= vocabulary or any(t >= vocabulary for t in tokens):
+    tokens = np.frombuffer(content[32:-32], f"<u{width}")
+    if eos >= vocabulary or len(tokens) and int(tokens.max()) >= vocabulary:
         raise ValueError("token outside the vocabulary")
-    return vocabulary, eos, tokens
+    return vocabulary, eos, tokens.tolist()
+
+
+def header(vocabulary: int, eos: int, n: int) -> bytes:
+    """What a file of ``n`` tokens begins with."""
+    if not 0 <= eos < vocabulary <= 1 << 32:
+        raise ValueError(f"end of text {eos} is outside a vocabulary of {vocabulary}")
+    return MAGIC + struct.pack("<IIIIQ", VERSION, 2 if vocabulary <= 65_536 else 4, vocabulary, eos, n)
+
+
+def read_header(raw: bytes, size: int) -> tuple[int, int, int, int]:
+    """(width, vocabulary, eos, tokens) of a file's first 32 bytes; ValueError if they or the file's size can't be right."""
+    if size < 64 or len(raw) < 32:
+        raise ValueError("too short")
+    if raw[:8] != MAGIC:
+        raise ValueError("not a shard")
+    version, width, vocabulary, eos, n = struct.unpack("<IIIIQ", raw[8:32])
+    if version != VERSION:
+        raise ValueError(f"unsupported version {version}")
+    if width != (2 if vocabulary <= 65_536 else 4) or size != 64 + n * width:
+        raise ValueError("length and header disagree")
+    if eos >= vocabulary:
+        raise ValueError("token outside the vocabulary")
+    return width, vocabulary, eos, n
 
 
 def shard_files(shards: DataFrame, vocabulary: int, eos: int) -> DataFrame:
