@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bpe, packing, vocabulary
 from ..scratch import scratch_path
 from ..session import spread, table
-from ..sources import listing, logs, manifest, reports, tensors, token_shards
+from ..sources import listing, logs, manifest, reports, tensor_source, tensors, token_shards
 from .corpus import epoch_sql
 from .registry import query
 
@@ -173,3 +173,18 @@ w AS (SELECT row_number() OVER (ORDER BY shard, i) - 1 AS sequence, inputs, targ
 query("agg_batch_digest", f"""{epoch_sql("SELECT count(*) FROM w", 42, 1, _SHARD_WINDOWS)},
 b AS (SELECT place // 8 AS index, string_agg(inputs, '' ORDER BY place) || string_agg(targets, '' ORDER BY place) AS h FROM orders JOIN w USING (sequence), nn WHERE place < n - n % 8 AND place // 8 < 100 GROUP BY ALL)
 SELECT sha256(unhex(string_agg(h, '' ORDER BY index))) AS digest FROM b""")(lambda spark, d: spark.createDataFrame([(packing.batch_digest(token_shards.batches_from(spark, _packed(spark, d), 128, 8, 42, 1)),)], "digest string"))
+
+
+def _tensor_ranges(spark, d):
+    """Files of 64 vectors each, written from parts of 7 values and read by range, every tensor whose name ends in 3 by name alone."""
+    path = scratch_path(spark, "tensors")
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("file"), F.concat(F.lit("v"), "vec_id").alias("name"), F.array(F.size("embedding")).alias("shape"), "embedding")
+    parts = v.select("file", "name", "shape", F.explode(F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(7))).alias("start"), "embedding")
+    tensor_source.write_tensor_files(parts.withColumn("values", F.slice("embedding", F.col("start") + 1, 7)), path)
+    read = tensor_source.read_tensor_files(spark, path, part_values=16).where(F.col("name").startswith("v1"))
+    return read.groupBy("file", "name").agg(F.max(F.get("shape", F.lit(0))).alias("n"), F.sum(F.size("values")).alias("n_values"), F.sum(F.aggregate("values", F.lit(0.0), lambda t, x: t + x)).alias("total"), F.count("*").alias("parts"))
+
+
+query("safetensors_ranges", """
+SELECT (vec_id // 64)::VARCHAR AS file, 'v' || vec_id AS name, len(embedding)::BIGINT AS n, len(embedding)::BIGINT AS n_values, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total, ((len(embedding) + 15) // 16)::BIGINT AS parts
+FROM embeddings WHERE vec_id::VARCHAR LIKE '1%'""")(_tensor_ranges)

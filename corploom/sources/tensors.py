@@ -15,22 +15,28 @@ from pyspark.sql import functions as F
 MAX_HEADER, METADATA = 100_000_000, "__metadata__"
 
 
-def encode_tensors(tensors, metadata: dict[str, str] | None = None) -> bytes:
-    """The file of (name, shape, values), by name; ValueError for a repeated name or a shape that doesn't fit."""
-    head, at, body = ({METADATA: dict(sorted(metadata.items()))} if metadata else {}), 0, []
-    for name, shape, values in sorted(tensors, key=lambda t: t[0].encode()):
+def header(shapes: list[tuple[str, list[int]]], metadata: dict[str, str] | None = None) -> bytes:
+    """What a file of tensors (name, shape), in the order of their names' bytes, begins with; ValueError for a repeated name."""
+    head, at = ({METADATA: dict(sorted(metadata.items()))} if metadata else {}), 0
+    for name, shape in shapes:
         if name in head or name == METADATA:
             raise ValueError(f"tensor name {name} is taken")
-        if math.prod(shape) != len(values):
-            raise ValueError(f"tensor {name}: {len(values)} values don't fit its shape")
-        body.append(np.asarray(values, "<f4").tobytes())
-        head[name] = {"dtype": "F32", "shape": list(shape), "data_offsets": [at, at + len(body[-1])]}
-        at += len(body[-1])
+        head[name] = {"dtype": "F32", "shape": list(shape), "data_offsets": [at, at + 4 * math.prod(shape)]}
+        at += 4 * math.prod(shape)
     text = json.dumps(head, ensure_ascii=False, separators=(",", ":")).encode()
     text += b" " * (-len(text) % 8)
     if len(text) > MAX_HEADER:
         raise ValueError("the header is too long")
-    return struct.pack("<Q", len(text)) + text + b"".join(body)
+    return struct.pack("<Q", len(text)) + text
+
+
+def encode_tensors(tensors, metadata: dict[str, str] | None = None) -> bytes:
+    """The file of (name, shape, values), by name; ValueError for a repeated name or a shape that doesn't fit."""
+    ordered = sorted(tensors, key=lambda t: t[0].encode())
+    for name, shape, values in ordered:
+        if math.prod(shape) != len(values):
+            raise ValueError(f"tensor {name}: {len(values)} values don't fit its shape")
+    return header([t[:2] for t in ordered], metadata) + b"".join(np.asarray(t[2], "<f4").tobytes() for t in ordered)
 
 
 def _no_repeats(pairs):
@@ -40,21 +46,26 @@ def _no_repeats(pairs):
     return found
 
 
-def decode_tensors(content: bytes) -> list[tuple[str, list[int], np.ndarray]]:
-    """(name, shape, values) by place; ValueError names the first thing that is wrong."""
-    if len(content) < 8:
+def header_length(prefix: bytes, size: int) -> int:
+    """Bytes of the header of a file of ``size`` bytes, by its first nine; ValueError if that can't be."""
+    if size < 8 or len(prefix) < 8:
         raise ValueError("shorter than its length prefix")
-    (n,) = struct.unpack("<Q", content[:8])
-    if n > MAX_HEADER or n > len(content) - 8:
+    (n,) = struct.unpack("<Q", prefix[:8])
+    if n > MAX_HEADER or n > size - 8:
         raise ValueError("the header's length is beyond the file or the limit")
-    if content[8:9] != b"{":
+    if prefix[8:9] != b"{":
         raise ValueError("the header must start with {")
-    head = json.loads(content[8 : 8 + n].decode(), object_pairs_hook=_no_repeats)
-    data, at, out = content[8 + n :], 0, []
-    if not all(isinstance(k, str) and isinstance(v, str) for k, v in head.pop(METADATA, {}).items()):
+    return n
+
+
+def read_entries(head: bytes, size: int) -> tuple[dict[str, str], list[tuple[int, int, str, list[int]]]]:
+    """(metadata, entries (begin, end, name, shape) by place) of a header and the bytes of values after it; ValueError names the first thing that is wrong."""
+    found, at, out = json.loads(head.decode(), object_pairs_hook=_no_repeats), 0, []
+    metadata = found.pop(METADATA, {})
+    if not all(isinstance(k, str) and isinstance(v, str) for k, v in metadata.items()):
         raise ValueError("metadata must be text")
     try:
-        entries = sorted(((*e["data_offsets"], name, e["dtype"], e["shape"]) for name, e in head.items()), key=lambda e: e[:2])
+        entries = sorted(((*e["data_offsets"], name, e["dtype"], e["shape"]) for name, e in found.items()), key=lambda e: e[:2])
     except (KeyError, TypeError) as error:
         raise ValueError("a tensor's entry lacks dtype, shape or data_offsets") from error
     for begin, end, name, dtype, shape in entries:
@@ -62,13 +73,20 @@ def decode_tensors(content: bytes) -> list[tuple[str, list[int], np.ndarray]]:
             raise ValueError(f"tensor {name}: dtype {dtype} is not F32")
         if begin != at:
             raise ValueError(f"tensor {name} starts at byte {begin}, not {at}")
-        if end - begin != 4 * math.prod(shape) or end > len(data):
+        if end - begin != 4 * math.prod(shape) or end > size:
             raise ValueError(f"tensor {name}: shape and range disagree")
-        out.append((name, shape, np.frombuffer(data[begin:end], "<f4")))
+        out.append((begin, end, name, shape))
         at = end
-    if at != len(data):
-        raise ValueError(f"tensors cover {at} of {len(data)} bytes")
-    return out
+    if at != size:
+        raise ValueError(f"tensors cover {at} of {size} bytes")
+    return metadata, out
+
+
+def decode_tensors(content: bytes) -> list[tuple[str, list[int], np.ndarray]]:
+    """(name, shape, values) by place; ValueError names the first thing that is wrong."""
+    n = header_length(content[:9], len(content))
+    data = content[8 + n :]
+    return [(name, shape, np.frombuffer(data[begin:end], "<f4")) for begin, end, name, shape in read_entries(content[8 : 8 + n], len(data))[1]]
 
 
 def tensor_files(tensors: DataFrame) -> DataFrame:
