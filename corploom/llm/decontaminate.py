@@ -8,8 +8,12 @@ whole words. So:
 1. the q-grams of a text are looked up in an index of the benchmark's (a table of bits first, which
    nearly all fail),
 2. hits are counted in overlapping bands of diagonals, at least as wide as e, for each item,
-3. bands with as many hits as the lemma asks for are aligned, within the band; what needs more than
-   e edits is dropped.
+3. bands with as many hits as the lemma asks for are aligned, within the band and all those of items of
+   one length at once in numpy; what needs more than e edits is dropped. A band whose text is that of
+   another band of the same item and text is aligned once.
+
+Where many items share a stretch (an instruction, say), each of them can pass the lemma by it wherever
+it stands; texts with more hits than ``HITS`` are then cut in halves that overlap, so memory is bounded.
 
 The benchmark is a stated query set. Its index is broadcast in blocks of at most ``BLOCK_CHARS``
 characters, each of which is held against all texts; texts are never shuffled or paired.
@@ -31,6 +35,8 @@ Q, MAX_EDIT_SHARE, MIN_CHARS = 8, 0.1, 1
 #: Characters of the benchmark whose index is broadcast at once, and of texts that are scanned at once.
 BLOCK_CHARS, SCAN_CHARS = 4_000_000, 1_000_000
 TABLE_BITS, CACHED = 22, 1 << 15
+#: Hits in the index that are counted at once, and cells of a row of the alignments made at once.
+HITS, CELLS = 4_000_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,50 +120,73 @@ def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDI
     return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)), short)
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, anchored: bool = False) -> tuple[int, int] | None:
-    """(edits, end) of the best match of the whole pattern within ``text``, on the diagonals low to high; None beyond the budget.
+def banded_alignments(patterns: np.ndarray, windows: np.ndarray, low: np.ndarray, size: np.ndarray, budget: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best match of each whole pattern within its text, on as many diagonals from ``low`` on as the windows allow; edits beyond the budget are no match.
 
-    Diagonal d holds the cells of pattern place i and text place i + d. The match may begin and end
-    anywhere in the text; an anchored one begins where the text does.
+    Diagonal d holds the cells of pattern place i and text place i + d; ``windows`` have the text's
+    characters from place ``low`` on, ``size`` is its length. A match may begin and end anywhere in the
+    text; an anchored one begins where the text does.
+    """
+    count, n = patterns.shape
+    width = windows.shape[1] - n + 1
+    k, far = np.arange(width), (budget + 1)[:, None]
+    begin = low[:, None] + k
+    row = np.maximum(begin, 0) if anchored else np.zeros((count, width), np.int64)
+    row = np.where((begin < 0) | (begin > size[:, None]), far, row)
+    edits, ends, live = np.full(count, 1 << 30), np.zeros(count, np.int64), np.arange(count)
+    for i in range(n):
+        new = row + (windows[live, i : i + width] != patterns[live, i : i + 1])  # replaced or the same
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a pattern character left out
+        end = low[live, None] + (i + 1) + k
+        new = np.where((end < 0) | (end > size[live, None]), far[live] + n, new)
+        row = np.minimum.accumulate(new - k, axis=1) + k  # text characters put in
+        if i % 8 == 7:
+            still = row.min(axis=1) <= budget[live]
+            if not still.all():
+                row, live = row[still], live[still]
+                if not len(live):
+                    return edits, ends
+    best = row.argmin(axis=1)
+    edits[live] = row[np.arange(len(live)), best]
+    ends[live] = n + low[live] + best
+    return edits, ends
+
+
+def _stretches(joined: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, length: int, back: bool = False) -> np.ndarray:
+    """For each text (by its first place and size) ``length`` characters from place ``start`` on, or backwards from it; what lies outside of it equals nothing."""
+    at = start[:, None] + (-1 if back else 1) * np.arange(length)
+    inside = (at >= 0) & (at < size[:, None])
+    return np.where(inside, joined[np.clip(first[:, None] + at, 0, len(joined) - 1)], np.uint32(0xFFFFFFFF))
+
+
+def _aligned(index: Index, joined: np.ndarray, first: np.ndarray, size: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) for candidates: texts (by first place and size), items and the lowest diagonals of their bands; edits beyond the item's budget are no match.
+
+    The same backwards from the end gives the start.
     """
-    width, far = high - low + 1, budget + 1
-    k = np.arange(width)
-    begin = low + k
-    row = np.maximum(begin, 0) if anchored else np.zeros(width, np.int64)
-    row[(begin < 0) | (begin > len(text))] = far
-    padded = np.full(len(text) + 2 * (len(pattern) + width) + 2, 0xFFFFFFFF, np.uint32)
-    shift = len(pattern) + width
-    padded[shift : shift + len(text)] = text
-    for i, c in enumerate(pattern.tolist()):
-        start = shift + i + low
-        window = padded[start : start + width] if start >= 0 else np.full(width, 0xFFFFFFFF, np.uint32)
-        new = row + (window != c)  # replaced or the same
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a pattern character left out
-        end = i + 1 + low + k
-        new[(end < 0) | (end > len(text))] = far + len(pattern)
-        new = np.minimum.accumulate(new - k) + k  # text characters put in
-        if new.min() > budget:
-            return None
-        row = new
-    best = int(row.argmin())
-    return (int(row[best]), len(pattern) + low + best) if row[best] <= budget else None
-
-
-def _align(index: Index, item: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of an item within a text near the diagonals low to high."""
-    pattern, e = codes(index.texts[item]), int(index.edits[item])
-    # only what the band can reach
-    begin = max(0, low - e)
-    near = text[begin : max(begin, high + e + len(pattern) + 1)]
-    found = banded_alignment(pattern, near, low - e - begin, high + e - begin, e)
-    if found is None:
-        return None
-    edits, end = found[0], found[1] + begin
-    # the same backwards from the end gives the start
-    lead = max(0, end - len(pattern) - e)
-    part = text[lead:end][::-1]
-    back = banded_alignment(pattern[::-1], part, -e, e, edits, anchored=True)
-    return edits, end - (back[1] if back else len(pattern)), end
+    edits, start, end = np.full(len(item), 1 << 30), np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
+    lengths = np.array([len(index.texts[i]) for i in item.tolist()], np.int64)
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        e = int(index.edits[item[own[0]]])
+        width = 2 * (e + 1) + 2 * e + 1  # the band and the budget on both sides
+        for few in np.array_split(own, max(1, -(-len(own) * width // CELLS))):
+            known, which = np.unique(item[few], return_inverse=True)
+            patterns = np.stack([codes(index.texts[i]) for i in known.tolist()])[which]
+            budget = np.full(len(few), e)
+            where = low[few] - e
+            found, stop = banded_alignments(patterns, _stretches(joined, first[few], size[few], where, n + width - 1), where, size[few], budget)
+            good = np.flatnonzero(found <= e)
+            if not len(good):
+                continue
+            hit, stop, found = few[good], stop[good], found[good]
+            behind = _stretches(joined, first[hit], size[hit], stop - 1 + e, n + 2 * e, back=True)
+            behind[:, :e] = 0xFFFFFFFF  # before the reversed text's first character
+            least = np.minimum(stop, n + e)
+            again, back = banded_alignments(patterns[good][:, ::-1], behind, np.full(len(hit), -e), least, found, anchored=True)
+            edits[hit], end[hit] = found, stop
+            start[hit] = stop - np.where(again <= found, back, n)
+    return edits, start, end
 
 
 def _short_matches(index: Index, joined: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -179,6 +208,20 @@ def _short_matches(index: Index, joined: np.ndarray, first: np.ndarray) -> dict[
     return found
 
 
+def _halves(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """``matches`` of texts in two parts; a single text is cut with an overlap that holds any match."""
+    if len(texts) > 1:
+        half = len(texts) // 2
+        return matches(index, texts[:half]) + [(t + half, *rest) for t, *rest in matches(index, texts[half:])]
+    half, overlap = len(texts[0]) // 2, 2 * index.longest + 1
+    best: dict[int, tuple[int, int, int]] = {}
+    for offset, part in ((0, texts[0][: half + overlap]), (half, texts[0][half:])):
+        for _, i, edits, start, end in matches(index, [part]):
+            found = (edits, start + offset, end + offset)
+            best[i] = min(best.get(i, found), found)
+    return [(0, i, *found) for i, found in sorted(best.items())]
+
+
 def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end): for each text and item that stands in it the match of fewest edits, the first of them."""
     if not len(index.ids) or not texts:
@@ -192,10 +235,13 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     left = np.searchsorted(index.grams, hashes[hit], "left")
     count = np.searchsorted(index.grams, hashes[hit], "right") - left
     hit, left, count = hit[count > 0], left[count > 0], count[count > 0]
+    total = int(count.sum())
+    if total > HITS and (len(texts) > 1 or len(texts[0]) > 8 * index.longest + 8):
+        return _halves(index, texts)
     best: dict[tuple[int, int], tuple[int, int, int]] = _short_matches(index, joined, first)
     if not len(hit):
         return [(t, i, *found) for (t, i), found in sorted(best.items())]
-    entry = np.repeat(left, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    entry = np.repeat(left, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
     at, item = np.repeat(hit, count), index.item[entry]
     owner = np.searchsorted(first, at, "right") - 1
     diagonal = at - index.place[entry]
@@ -207,14 +253,27 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     keys, hits = np.unique(np.concatenate([key, key - 1]), return_counts=True)
     pair = keys // span
     keep = hits >= index.needed[pair % len(index.ids)]
-    for p, b in zip(pair[keep].tolist(), (keys[keep] % span + lowest).tolist(), strict=True):
-        t, i = divmod(p, len(index.ids))
-        if (t, i) in best and best[t, i][0] == 0:
-            continue
-        width = int(index.width[i])
-        low = b * width - int(first[t])
-        found = _align(index, i, coded[t], low, low + 2 * width)
-        if found and ((t, i) not in best or found < best[t, i]):
+    owner, item = np.divmod(pair[keep], len(index.ids))
+    low = (keys[keep] % span + lowest) * index.width[item] - first[owner]
+    size = first[1:] - first[:-1] - 1
+    # bands of one item and text that look alike are aligned once, where they come first
+    reach = index.longest + 4 * int(index.edits.max()) + 3
+    mixed = np.zeros(len(low), np.uint64)
+    with np.errstate(over="ignore"):
+        for few in np.array_split(np.arange(len(low)), max(1, len(low) * reach // (4 * CELLS))):
+            # as far as the item's own band reaches
+            n = np.array([len(index.texts[i]) for i in item[few].tolist()], np.int64)
+            e = index.edits[item[few]]
+            seen = _stretches(joined, first[owner[few]], size[owner[few]], low[few] - e, reach)
+            seen[np.arange(reach) >= (n + 4 * e + 2)[:, None]] = 0
+            mixed[few] = (seen.astype(np.uint64) * (BASE ** np.arange(1, reach + 1, dtype=np.uint64) | np.uint64(1))).sum(axis=1)
+    _, once = np.unique(np.stack([pair[keep].astype(np.uint64), mixed], axis=1), axis=0, return_index=True)
+    owner, item, low = owner[once], item[once], low[once]
+    edits, start, end = _aligned(index, joined, first[owner], size[owner], item, low)
+    for k in np.flatnonzero(edits <= index.edits[item]).tolist():
+        t, i = int(owner[k]), int(item[k])
+        found = (int(edits[k]), int(start[k]), int(end[k]))
+        if (t, i) not in best or found < best[t, i]:
             best[t, i] = found
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 

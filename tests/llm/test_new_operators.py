@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corploom.llm import importance, periodic_runs, token_files
+from corploom.llm import decontaminate, importance, periodic_runs, token_files
 from corploom.sources.committed import committed
 
 from .test_operators import ODD, docs_of, rows_of, texts_of
@@ -250,3 +250,58 @@ def test_runs_of_one_word_and_interface(spark):
     assert found.tolist() == [[0, n, 1]]
     out = periodic_runs.periodic_runs(docs_of(spark, [(1, "x a b a b a b a b y")])).collect()[0]
     assert (out["runs"], out["collapsed"], out["exponent_milli"]) == ("1,8,2\n", "x a b y", 4000)
+
+
+# 10 decontamination of benchmarks with a common template
+def edits_within(pattern, text, budget):
+    """Least edits of the whole pattern anywhere in the text, or None beyond the budget."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row) if min(row) <= budget else None
+
+
+def test_items_with_a_template(monkeypatch):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    text_of = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    template = "read the question with care and give the letter of the right answer"
+    items = [(k, template + text_of(30 + k % 9).replace("  ", " x")) for k in range(300)]
+    index = decontaminate.build_index(items)
+    texts = [template + text_of(40), template * 5, text_of(50) + items[7][1] + text_of(200) + items[7][1], text_of(30) + items[100][1][:90] + "zz" + items[100][1][92:] + text_of(20)]
+    want = []
+    for t, text in enumerate(texts):
+        for k, (i, item) in enumerate(items):
+            n = edits_within(item, text, int(index.edits[k]))
+            if n is not None:
+                want.append((t, i, n))
+    assert [m[:3] for m in decontaminate.matches(index, texts)] == want and len(want) >= 2
+    monkeypatch.setattr(decontaminate, "HITS", 2_000)  # texts are halved down to single ones, and those too
+    again = decontaminate.matches(index, [*texts, "x" * 3000 + items[9][1] + " " * 3000])
+    assert [m[:3] for m in again] == [*want, (4, 9, 0)] and again[-1][3:] == (3000, 3000 + len(items[9][1]))
+
+
+def test_many_items_with_a_template_are_quick():
+    import time
+
+    rng = random.Random(4)
+    template = "read the question with care and give the letter of the right answer "
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3000)]
+    items = [(k, template + " ".join(rng.choices(words, k=6))) for k in range(20_000)]
+    index = decontaminate.build_index(items)
+    text = template + " ".join(rng.choices(words, k=6))
+    began = time.time()
+    assert decontaminate.matches(index, [text, (template + "x ") * 5 + items[500][1]])[-1][:3] == (1, 500, 0)
+    assert time.time() - began < 30
+
+
+def test_near_copies_keeps_clashing_columns(spark):
+    from corploom.llm import near_copies
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "mine", 5), (2, text, "other", 6), (3, text.replace("w30", "v30"), "near", 7), (None, "alone here", None, None)]
+    out = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, digest string, ord long")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([rows[0], rows[3]], key=repr)
