@@ -82,6 +82,8 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     longest: int
+    #: whether an item's rarer q-grams are in its later part
+    rear: np.ndarray
     #: for items of fewer than q characters: length -> (hashes in order, items)
     short: dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -113,11 +115,13 @@ def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDI
         go = go[own[go] > 1]
         counted[ends[i] + go] = False
         needed[i] -= len(go)
+    weight = 1 / np.maximum(rank, 1)
+    middle = np.bincount(item, weight * place, len(items)) / np.maximum(np.bincount(item, weight, len(items)), 1e-9)
     grams, item, place = grams[counted], item[counted], place[counted]
     order = np.argsort(grams, kind="stable")
     table = np.zeros(1 << TABLE_BITS, bool)
     table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)), short)
+    return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)), middle > 0.6 * (n - q), short)
 
 
 def banded_alignments(patterns: np.ndarray, windows: np.ndarray, low: np.ndarray, size: np.ndarray, budget: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +144,7 @@ def banded_alignments(patterns: np.ndarray, windows: np.ndarray, low: np.ndarray
         end = low[live, None] + (i + 1) + k
         new = np.where((end < 0) | (end > size[live, None]), far[live] + n, new)
         row = np.minimum.accumulate(new - k, axis=1) + k  # text characters put in
-        if i % 8 == 7:
+        if i % 4 == 3:
             still = row.min(axis=1) <= budget[live]
             if not still.all():
                 row, live = row[still], live[still]
@@ -173,9 +177,19 @@ def _aligned(index: Index, joined: np.ndarray, first: np.ndarray, size: np.ndarr
         for few in np.array_split(own, max(1, -(-len(own) * width // CELLS))):
             known, which = np.unique(item[few], return_inverse=True)
             patterns = np.stack([codes(index.texts[i]) for i in known.tolist()])[which]
-            budget = np.full(len(few), e)
             where = low[few] - e
-            found, stop = banded_alignments(patterns, _stretches(joined, first[few], size[few], where, n + width - 1), where, size[few], budget)
+            windows = _stretches(joined, first[few], size[few], where, n + width - 1)
+            # from the end first where an item's beginning is that of many: most bands are given up early
+            rear = np.flatnonzero(index.rear[item[few]])
+            if len(rear):
+                turned = size[few[rear]] - n - where[rear] - width + 1
+                left = np.ones(len(few), bool)
+                left[rear] = banded_alignments(patterns[rear, ::-1], windows[rear, ::-1], turned, size[few[rear]], np.full(len(rear), e))[0] <= e
+                few, patterns, windows, where = few[left], patterns[left], windows[left], where[left]
+            if not len(few):
+                continue
+            budget = np.full(len(few), e)
+            found, stop = banded_alignments(patterns, windows, where, size[few], budget)
             good = np.flatnonzero(found <= e)
             if not len(good):
                 continue

@@ -6,21 +6,28 @@ from one left-to-right pass: the last token of the encoding of each prefix is th
 ends there and stands validly after the last token of the prefix before it, where two tokens are a
 valid pair if undoing their merges never shows a merge across them that would have come first.
 
-A text's counts are stored in two levels: for each piece the count at its end, and for each distinct
-piece the counts of its prefixes. Totals, truncations and budget questions are read off by a search
-in the first and a look into the second, without encoding again; ``prefix_counts`` gives them out
-in full. The step is a map: no shuffle, and its memory is one slice of a batch, one text's counts
-and a bounded table of pieces.
+A text's counts are stored in two levels: for each piece the count at its end, special tokens among
+them, and for each distinct piece the counts of all of its prefixes. Totals, truncations and budget
+questions are read off by a search in the first and a look into the second, without encoding again;
+``prefix_counts`` gives them out in full. The step is a map: no shuffle, and its memory is one slice of
+a batch, one text's counts and a bounded table of pieces.
+
+The tokens that may end at a place come from an automaton of the vocabulary for long pieces. In a run of
+one byte the last tokens repeat after a while, and from there on counts go up by one for each repetition,
+so a run of any length costs no more than its start.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,7 +35,9 @@ from pyspark.sql import DataFrame
 from .common import splitter, text_of
 
 #: Distinct pieces whose counts a worker remembers; beyond that it starts anew, which costs time only.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
+#: Bytes from which on a piece is looked through by the automaton.
+LONG = 96
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,6 +69,8 @@ class PrefixCounter:
         self.blank = regex.compile(r"\s+").fullmatch
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.totals = _Totals(self)
+        self.stored: dict[str, array] = {}
+        self.runs: dict[int, tuple[list[int], list[int]]] = {}
         self.pairs: dict[int, bool] = {}
 
     def valid(self, left: int, right: int) -> bool:
@@ -83,8 +94,10 @@ class PrefixCounter:
             else:
                 return True
 
-    def prefix_counts(self, piece: bytes) -> list[int]:
+    def prefix_counts(self, piece: bytes) -> list[int] | array:
         """Tokens of each prefix of a pre-token, from the empty one to the whole."""
+        if len(piece) >= LONG:
+            return self._run_counts(piece[0], len(piece)) if piece.count(piece[0]) == len(piece) else self._long_counts(piece)
         last, counts, rank, longest, pairs = [-1], [0], self.rank.get, self.longest, self.pairs
         for end in range(1, len(piece) + 1):
             for start in range(max(0, end - longest), end):
@@ -100,18 +113,85 @@ class PrefixCounter:
                 break
         return counts
 
+    @cached_property
+    def automaton(self):
+        """Finds all tokens that end at a place, the longest first; bytes stand as characters."""
+        found = ahocorasick.Automaton()
+        for token, number in self.rank.items():
+            found.add_word(token.decode("latin-1"), (number, len(token)))
+        found.make_automaton()
+        return found
+
+    def _long_counts(self, piece: bytes) -> array:
+        last, counts, pairs = array("i", [-1]), array("i", [0]), self.pairs
+        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+            if len(counts) > end + 1:
+                continue  # this place has its last token
+            start = end + 1 - size
+            if start:
+                found = pairs.get(last[start] << 32 | token)
+                if not (self.valid(last[start], token) if found is None else found):
+                    continue
+            last.append(token)
+            counts.append(counts[start] + 1)
+        return counts
+
+    def _run_counts(self, byte: int, n: int) -> np.ndarray | list[int]:
+        """Counts of a run of one byte: what ends at a place depends on the last tokens of the ``longest`` places before alone."""
+        known = self.runs.get(byte)
+        if known is None:
+            tokens = [(self.rank[token], len(token)) for k in range(self.longest, 0, -1) if (token := bytes([byte]) * k) in self.rank]
+            last, counts = [-1], [0]
+            for end in range(1, 16 * self.longest + 1):
+                token, size = next((t, k) for t, k in tokens if k == end or k < end and self.valid(last[end - k], t))
+                last.append(token)
+                counts.append(counts[end - size] + 1)
+            known = self.runs[byte] = (last, counts)
+        last, counts = known
+        if n < len(counts):
+            return counts[: n + 1]
+        tail = self.longest + 1
+        for period in range(1, 8 * self.longest):
+            if last[-tail:] == last[-tail - period : -period]:
+                # from here on each place is that of a period before, with so many tokens more
+                more, cycle = counts[-1] - counts[-1 - period], np.array(counts[-period:], np.int64)
+                turns = np.arange(1, -(-(n + 1 - len(counts)) // period) + 1)
+                return np.concatenate([counts, (cycle + turns[:, None] * more).ravel()])[: n + 1]
+        return self._long_counts(bytes([byte]) * n)
+
+    def prefix(self, piece: str):
+        """The stored counts of a piece's prefixes, by bytes."""
+        found = self.stored.get(piece)
+        if found is None:
+            self.totals[piece]  # short pieces are stored with their totals
+            found = self.stored.get(piece)
+        return self.prefix_counts(piece.encode("utf-8")) if found is None else found
+
     def ends(self, text: str) -> tuple[list[str], list[int]]:
         """The pieces of a text without special tokens, and the tokens up to the end of each of them, from 0 on."""
         pieces = self.pieces(text)
         return pieces, list(accumulate(map(self.totals.__getitem__, pieces), initial=0))
 
+    def segments(self, text: str) -> tuple[list[str], list[int]]:
+        """``ends`` of any text; the string of a special token is a piece of one token."""
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return self.ends(text)
+        pieces, ends = [], [0]
+        for i, part in enumerate(parts):
+            own = [part] if i % 2 else self.pieces(part)
+            pieces += own
+            for piece in own:
+                ends.append(ends[-1] + (1 if i % 2 else self.totals[piece]))
+        return pieces, ends
+
     def parts(self, text: str) -> list[str]:
         """Ordinary text and special tokens' strings in turn."""
         return self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special token's string in it is one token, as is the library's default."""
-        return sum(1 if i % 2 else self.ends(part)[1][-1] for i, part in enumerate(self.parts(text)))
+        return self.segments(text)[1][-1]
 
     def text_counts(self, text: str) -> list[int]:
         """Tokens of every prefix of a text, by characters, from the empty prefix to the whole text.
@@ -135,37 +215,34 @@ class PrefixCounter:
                 if self.blank(piece):
                     # blanks at a prefix's end are one piece, together with those just before
                     blank += piece
-                    own = self.prefix_counts(blank.encode("utf-8"))
-                    places = [len(blank[:k].encode("utf-8")) for k in range(len(blank) - len(piece) + 1, len(blank) + 1)]
-                    out += [before + own[p] for p in places]
+                    own = self.prefix(blank)
+                    if blank.isascii():
+                        out += [before + int(n) for n in own[len(blank) - len(piece) + 1 :]]
+                    else:
+                        places = list(accumulate(len(c.encode("utf-8")) for c in blank))[len(blank) - len(piece) :]
+                        out += [before + int(own[p]) for p in places]
                     done += self.totals[piece]
                     continue
                 if blank and self.blank(piece[0]):
-                    own = self.prefix_counts((blank + piece[0]).encode("utf-8"))
-                    out.append(before + own[-1])
+                    out.append(before + self.totals[blank + piece[0]])
                     start = 1
                 else:
                     start = 0
-                raw = piece.encode("utf-8")
-                own, at = self.prefix_counts(raw), len(piece[:start].encode("utf-8"))
+                own, at = self.prefix(piece), len(piece[:start].encode("utf-8"))
                 contraction = piece[0] == "'" and len(piece) > 2 and piece[1].isalpha()
                 for k in range(start, len(piece)):
                     at += len(piece[k].encode("utf-8"))
-                    out.append(done + (self.ends(piece[: k + 1])[1][-1] if contraction and k + 1 < len(piece) else own[at]))
-                done += own[-1]
+                    out.append(done + (self.ends(piece[: k + 1])[1][-1] if contraction and k + 1 < len(piece) else int(own[at])))
+                done += int(own[-1])
                 before, blank = done, ""
         return out
 
     def fit(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens; a negative budget fits nothing and gives 0."""
-        parts = self.parts(text)
-        pieces, ends = self.ends(text) if len(parts) == 1 else ([], [budget + 1])
-        return self.within(text, pieces, ends, budget)
+        return self.within(text, *self.segments(text), budget)
 
     def within(self, text: str, pieces: list[str], ends: list[int], budget: int) -> int:
-        """``fit`` by the counts at the ends of the text's pieces; a text with special tokens has none, and all of its prefixes are looked at."""
-        if not pieces:
-            return max((k for k, n in enumerate(self.text_counts(text)) if n <= budget), default=0)
+        """``fit`` by the counts at the ends of the text's pieces: a search for the piece that goes beyond the budget, and a look at the prefixes of those around it."""
         over = bisect_right(ends, budget)  # the piece whose end is the first beyond the budget
         if over == len(ends):
             return len(text)
@@ -177,17 +254,19 @@ class PrefixCounter:
 
 
 class _Totals(dict):
-    """piece -> its tokens, by the prefix counts of the piece; at most ``REMEMBERED`` pieces of 64 characters or fewer."""
+    """piece -> its tokens; the counts of its prefixes are stored beside, of at most ``REMEMBERED`` pieces of 64 characters or fewer."""
 
     def __init__(self, counter: PrefixCounter):
         self.counter = counter
 
     def __missing__(self, piece: str) -> int:
-        total = self.counter.prefix_counts(piece.encode("utf-8"))[-1]
+        counts = self.counter.prefix_counts(piece.encode("utf-8"))
+        total = int(counts[-1])
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[piece] = total
+                self.counter.stored.clear()
+            self[piece], self.counter.stored[piece] = total, array("H", counts)
         return total
 
 
@@ -205,11 +284,8 @@ def _counts(path: str, pattern: str, limit: int, prefixes: bool):
             for value in batch.column("text"):
                 text = value.as_py()
                 n_bytes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
-                if len(parts := counter.parts(text)) > 1:
-                    total, pieces, ends = sum(1 if i % 2 else counter.ends(p)[1][-1] for i, p in enumerate(parts)), [], []
-                else:
-                    pieces, ends = counter.ends(text)
-                    total = ends[-1]
+                pieces, ends = counter.segments(text)
+                total = ends[-1]
                 n_tokens.append(total)
                 fits.append(len(text) if total <= limit else counter.within(text, pieces, ends, limit))
                 if prefixes:

@@ -305,3 +305,39 @@ def test_near_copies_keeps_clashing_columns(spark):
     rows = [(1, text, "mine", 5), (2, text, "other", 6), (3, text.replace("w30", "v30"), "near", 7), (None, "alone here", None, None)]
     out = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, digest string, ord long")).collect()
     assert sorted(map(tuple, out), key=repr) == sorted([rows[0], rows[3]], key=repr)
+
+
+# 3 stored prefix counts
+@pytest.fixture(scope="module")
+def counter():
+    from corploom.llm import token_counts
+
+    return token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def test_prefix_counts_of_long_pieces(counter):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
+    rng = random.Random(5)
+    mixed = "".join(rng.choices([" ", "\n", "\t", "  "], k=400))
+    for text in (*(u * k for u in (" ", "a", "\n", "é", "-", "ab", "=-") for k in (90, 95, 96, 97, 200, 2049, 2500)), mixed):
+        own = counter.prefix_counts(text.encode())
+        assert counter.count(text) == own[-1] == n(text)
+        if text.isascii() and len(text) < 250:
+            assert [int(c) for c in own] == [n(text[:k]) for k in range(len(text) + 1)]
+    assert len(counter.prefix_counts(b" " * 5_000_000)) == 5_000_001
+
+
+def test_truncation_across_special_tokens(counter):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endo", " ", "  ", "\n", "a", "hello", " world", "'s", "'ll", "é", "日", "12", "!!", "x" * 100]
+    for _ in range(400):
+        text, budget = "".join(rng.choices(parts, k=rng.randrange(0, 14))), rng.randrange(-1, 20)
+        counts = counter.text_counts(text)
+        assert counts == [n(text[:k]) for k in range(len(text) + 1)]
+        assert counter.fit(text, budget) == max((k for k, c in enumerate(counts) if c <= budget), default=0)
+    assert counter.stored["hello"].tolist() == [n("hello"[:k]) for k in range(6)]
+    pieces, ends = counter.segments("a <|endoftext|> b" * 3)
+    assert pieces.count("<|endoftext|>") == 3 and ends[-1] == n("a <|endoftext|> b" * 3)
