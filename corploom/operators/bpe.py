@@ -78,24 +78,26 @@ def pieces(text: Column, config: str | Splitter = "code_shell") -> Column:
     return bound(found, lambda ps: F.when(F.exists(ps, lambda p: F.octet_length(p) > MAX_PIECE), cut(ps)).otherwise(ps))
 
 
+def short_parts(raw: bytes):
+    """A piece in parts of ``MAX_PIECE`` bytes at most, cut where characters start."""
+    while len(raw) > MAX_PIECE:
+        # the nearest place up to three bytes before the limit where a character starts
+        back = next((k for k in range(4) if raw[MAX_PIECE - k] & 0xC0 != 0x80), 0)
+        yield raw[: MAX_PIECE - back]
+        raw = raw[MAX_PIECE - back :]
+    yield raw
+
+
 def byte_pieces(docs: DataFrame, config: str | Splitter = "code_shell", content: str = "content") -> DataFrame:
     """(doc_id, pieces): the pieces of any bytes; a byte that isn't part of UTF-8 counts as punctuation. Null bytes have no pieces."""
     compiled = regex.compile(_splitter(config).pattern)
 
-    def parts(raw: bytes):
-        while len(raw) > MAX_PIECE:
-            # the nearest place up to three bytes before the limit where a character starts
-            back = next((k for k in range(4) if raw[MAX_PIECE - k] & 0xC0 != 0x80), 0)
-            yield raw[: MAX_PIECE - back]
-            raw = raw[MAX_PIECE - back :]
-        yield raw
-
     def run(batches):
         for batch in batches:
             out = []
             for raw in batch.column("content").to_pylist():
                 text = (raw or b"").decode("utf-8", "surrogateescape")
-                out.append([x for m in compiled.finditer(text) for x in parts(m.group().encode("utf-8", "surrogateescape"))])
+                out.append([x for m in compiled.finditer(text) for x in short_parts(m.group().encode("utf-8", "surrogateescape"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "pieces"])
 
     return docs.select("doc_id", F.col(content).alias("content")).mapInArrow(run, "doc_id long, pieces array<binary>")

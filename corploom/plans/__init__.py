@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, dedup, files, listings, logs, reports, tables, vectors
+from . import corpus, dedup, files, listings, logs, reports, surface, tables, vectors
 from .dedup import flagship
 from .registry import ORACLES, QUERIES
 
