@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import join_heavy, materialize, slices, small
 
 WINDOW, K = 20, 8
 #: Different stretches of an anchor up to which they are extended pair by pair.
 PAIRED = 16
 #: Texts of the sample in which common anchors are sought, and different stretches that make an anchor common.
 SAMPLE, COMMON = 5_000, 10
+#: Rows of an anchor, counted over all texts, up to which they are extended together in one task.
+HOT_ROWS = 100_000
 #: An odd multiplier of polynomial hashes modulo 2**64, its inverse, and one for mixing.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -257,6 +259,34 @@ def extend(anchor, doc, tie, start, n, at, words, window: int, k: int, paired: i
     return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
 
 
+def _window_keys(window: int, k: int):
+    """Arrow map over rows with arms: a key for each window over the anchor's occurrence, from its words, and the place where the window begins."""
+    arm = window - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, doc, tie, start, n, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "tie", "start", "n", "at"))
+            words = np.frombuffer(b"".join(batch.column("arms").to_pylist()), np.uint64).reshape(len(doc), -1)
+            for left in range(arm + 1):
+                own = np.flatnonzero((at >= left) & (at - n + 1 <= left))
+                key = anchor[own].view(np.uint64) + np.uint64(left)
+                with np.errstate(over="ignore"):
+                    for column in [*range(arm - left, arm), *range(arm + k, arm + k + arm - left)]:
+                        key = _mix(key * BASE + words[own, column])
+                begin = (start + at)[own] - left
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[own]), pa.array(tie[own]), pa.array(begin.astype(np.int32))], names=["key", "doc_id", "tie", "start"])
+
+    return run
+
+
+def _hot_repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc_id, tie, start, n) of the repeats over anchors of very many rows: each window by itself, the earliest of each found by partial minima."""
+    keys = materialize(rows.mapInArrow(_window_keys(window, k), "key long, doc_id long, tie long, start int"), "hot-windows")
+    heads = materialize(keys.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "start")).alias("head"), F.count("*").alias("n_rows")).where("n_rows > 1"), "hot-heads")
+    late = join_heavy(keys, heads, ["key"], "n_rows", keys.count()).where(F.struct("doc_id", "tie", "start") != F.col("head"))
+    return late.select("doc_id", "tie", "start", F.lit(1).alias("n"))
+
+
 def _extended(window: int, k: int, paired: int):
     """Arrow map over rows sorted by anchor: the repeats that extension finds. An anchor may go on over batches."""
 
@@ -334,18 +364,29 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("tie", F.lit(0).cast("long") if shared.isEmpty() else hashed)
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW, k: int = K, paired: int = PAIRED, common: int = COMMON) -> DataFrame:
-    """(doc_id, tie, start, n): runs of n windows from word ``start`` on that occur earlier in the corpus, of ``keyed_texts``."""
+def repeated_windows(keyed: DataFrame, window: int = WINDOW, k: int = K, paired: int = PAIRED, common: int = COMMON, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, tie, start, n): runs of n windows from word ``start`` on that occur earlier in the corpus, of ``keyed_texts``.
+
+    The sample of common anchors saves work and decides nothing: the rows left of each anchor are counted
+    over all texts, and anchors with more than ``hot_rows`` are settled window by window, not in one task.
+    """
     often = keyed.sparkSession.sparkContext.broadcast(common_anchors(keyed, window, k, common=common))
     seeds = _settle(keyed.mapInArrow(_seeds(window, k, often), SEED_ROWS))
     seeds = materialize(seeds.where("repeat or several").drop("deal", "stretch"), "seeds")
-    parts = seeds.where("several and not repeat").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "n", "at", "anchor")).alias("parts"))
+    several = seeds.where("several and not repeat")
+    hot = materialize(several.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select("anchor"), "hot")
+    parts = several.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "n", "at", "anchor")).alias("parts"))
     rows = keyed.join(parts, ["doc_id", "tie"]).select("doc_id", "text", "tie", "parts").mapInArrow(_with_arms(window, k), "anchor long, doc_id long, tie long, start int, n int, at int, arms binary")
+    repeats = seeds.where("repeat").select("doc_id", "tie", "start", "n")
+    if not hot.isEmpty():
+        rows, mark = materialize(rows, "arms"), F.broadcast(hot) if small(hot) else hot
+        repeats = repeats.unionByName(_hot_repeats(rows.join(mark, "anchor", "left_semi"), window, k))
+        rows = rows.join(mark, "anchor", "left_anti")
     extended = rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extended(window, k, paired), "doc_id long, tie long, start int, n int")
-    return seeds.where("repeat").select("doc_id", "tie", "start", "n").unionByName(extended)
+    return repeats.unionByName(extended)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, paired: int = PAIRED, common: int = COMMON) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, paired: int = PAIRED, common: int = COMMON, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every text.
 
     A word is removed if a window over it occurs earlier: in a smaller doc_id, or in the same text
@@ -355,7 +396,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, paired: in
     neither earlier nor later than any other and keeps its words. Only doc_id and text are read.
     """
     keyed = keyed_texts(docs)
-    repeats = repeated_windows(keyed, window, k, paired, common).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "n")).alias("repeats"))
+    repeats = repeated_windows(keyed, window, k, paired, common, hot_rows).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "n")).alias("repeats"))
     bare = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast(repeats.schema["repeats"].dataType).alias("repeats"))
     joined = keyed.join(repeats, ["doc_id", "tie"], "left").select("doc_id", "text", "repeats").unionByName(bare)
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -341,3 +341,19 @@ def test_truncation_across_special_tokens(counter):
     assert counter.stored["hello"].tolist() == [n("hello"[:k]) for k in range(6)]
     pieces, ends = counter.segments("a <|endoftext|> b" * 3)
     assert pieces.count("<|endoftext|>") == 3 and ends[-1] == n("a <|endoftext|> b" * 3)
+
+
+# 9 anchors of very many rows
+@pytest.mark.parametrize("hot_rows", [3, 40])
+def test_hot_anchors_are_settled_by_windows(spark, hot_rows):
+    from corploom.llm import substring_dedup
+
+    from .test_operators import brute_repeats
+
+    rng = random.Random(hot_rows)
+    phrase = " ".join(f"p{k}" for k in range(12))
+    word = lambda: f"w{rng.randrange(4)}"
+    rows = [(k, " ".join([*(word() for _ in range(rng.randrange(0, 14))), phrase, *(word() for _ in range(rng.randrange(0, 14)))])) for k in range(150)]
+    rows += [(200 + k, f"a{k} b c " + phrase + " d e f g h i j k l m n") for k in range(20)] + [(300, rows[7][1]), (None, phrase), (301, phrase * 3)]
+    got = rows_of(substring_dedup.remove_repeats(docs_of(spark, rows), hot_rows=hot_rows, common=10**6), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats(rows)
