@@ -37,6 +37,8 @@ BLOCK_CHARS, SCAN_CHARS = 4_000_000, 1_000_000
 TABLE_BITS, CACHED = 22, 1 << 15
 #: Hits in the index that are counted at once, and cells of a row of the alignments made at once.
 HITS, CELLS = 4_000_000, 1_000_000
+#: Bands from which on those that look alike are sought.
+MANY = 2_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,35 +126,44 @@ def build_index(items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDI
     return Index(q, np.array([i for i, _ in items], np.int64), [t for _, t in items], edits, needed, edits + 1, table, grams[order], item[order], place[order], int(n.max(initial=0)), middle > 0.6 * (n - q), short)
 
 
-def banded_alignments(patterns: np.ndarray, windows: np.ndarray, low: np.ndarray, size: np.ndarray, budget: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end) of the best match of each whole pattern within its text, on as many diagonals from ``low`` on as the windows allow; edits beyond the budget are no match.
+def banded_alignments(patterns: np.ndarray, n: np.ndarray, windows: np.ndarray, low: np.ndarray, size: np.ndarray, budget: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best match of each whole pattern (a row, of which ``n`` characters count) within its text, on as many diagonals from ``low`` on as the windows allow; edits beyond the budget are no match.
 
     Diagonal d holds the cells of pattern place i and text place i + d; ``windows`` have the text's
     characters from place ``low`` on, ``size`` is its length. A match may begin and end anywhere in the
     text; an anchored one begins where the text does.
     """
-    count, n = patterns.shape
-    width = windows.shape[1] - n + 1
-    k, far = np.arange(width), (budget + 1)[:, None]
+    edits, ends = np.full(len(patterns), 1 << 30), np.zeros(len(patterns), np.int64)
+    order = np.argsort(n, kind="stable")
+    live, n, low, size, budget, patterns, windows = order, n[order], low[order], size[order], budget[order], patterns[order], windows[order]
+    width = windows.shape[1] - patterns.shape[1] + 1
+    k = np.arange(width)
     begin = low[:, None] + k
-    row = np.maximum(begin, 0) if anchored else np.zeros((count, width), np.int64)
-    row = np.where((begin < 0) | (begin > size[:, None]), far, row)
-    edits, ends, live = np.full(count, 1 << 30), np.zeros(count, np.int64), np.arange(count)
-    for i in range(n):
-        new = row + (windows[live, i : i + width] != patterns[live, i : i + 1])  # replaced or the same
-        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a pattern character left out
-        end = low[live, None] + (i + 1) + k
-        new = np.where((end < 0) | (end > size[live, None]), far[live] + n, new)
-        row = np.minimum.accumulate(new - k, axis=1) + k  # text characters put in
-        if i % 4 == 3:
-            still = row.min(axis=1) <= budget[live]
-            if not still.all():
-                row, live = row[still], live[still]
-                if not len(live):
-                    return edits, ends
-    best = row.argmin(axis=1)
-    edits[live] = row[np.arange(len(live)), best]
-    ends[live] = n + low[live] + best
+    row = np.maximum(begin, 0) if anchored else np.zeros((len(live), width), np.int64)
+    row = np.where((begin < 0) | (begin > size[:, None]), budget[:, None] + 1, row)
+    for i in range(int(n[-1]) if len(n) else 0):
+        new = row + (windows[:, i : i + width] != patterns[:, i : i + 1])  # replaced or the same
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # a pattern character left out
+        if int(low.min()) + i + 1 < 0 or (low + (i + width) > size).any():
+            end = low[:, None] + (i + 1) + k
+            new = np.where((end < 0) | (end > size[:, None]), budget[:, None] + 1 + patterns.shape[1], new)
+        new -= k
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += k  # text characters put in
+        row = new
+        done = int(np.searchsorted(n, i + 1, "right"))
+        if not done and i % 2:
+            continue
+        best = row.min(axis=1)
+        if done:
+            at = row[:done].argmin(axis=1)
+            edits[live[:done]], ends[live[:done]] = best[:done], i + 1 + low[:done] + at
+        stay = best <= budget
+        stay[:done] = False
+        if not stay.all():
+            row, live, n, low, size, budget, patterns, windows = (x[stay] for x in (row, live, n, low, size, budget, patterns, windows))
+            if not len(live):
+                break
     return edits, ends
 
 
@@ -166,38 +177,44 @@ def _stretches(joined: np.ndarray, first: np.ndarray, size: np.ndarray, start: n
 def _aligned(index: Index, joined: np.ndarray, first: np.ndarray, size: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edits, start, end) for candidates: texts (by first place and size), items and the lowest diagonals of their bands; edits beyond the item's budget are no match.
 
-    The same backwards from the end gives the start.
+    Items of one budget are aligned together. The same backwards from the end gives the start.
     """
     edits, start, end = np.full(len(item), 1 << 30), np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
-    lengths = np.array([len(index.texts[i]) for i in item.tolist()], np.int64)
-    for n in np.unique(lengths).tolist():
-        own = np.flatnonzero(lengths == n)
-        e = int(index.edits[item[own[0]]])
+    for e in np.unique(index.edits[item]).tolist():
+        own = np.flatnonzero(index.edits[item] == e)
         width = 2 * (e + 1) + 2 * e + 1  # the band and the budget on both sides
         for few in np.array_split(own, max(1, -(-len(own) * width // CELLS))):
             known, which = np.unique(item[few], return_inverse=True)
-            patterns = np.stack([codes(index.texts[i]) for i in known.tolist()])[which]
-            where = low[few] - e
-            windows = _stretches(joined, first[few], size[few], where, n + width - 1)
+            coded = [codes(index.texts[i]) for i in known.tolist()]
+            lengths = np.array([len(c) for c in coded], np.int64)
+            longest = int(lengths.max())
+
+            def padded(turned: bool, coded=coded, longest=longest):
+                out = np.zeros((len(coded), longest), np.uint32)
+                for k, c in enumerate(coded):
+                    out[k, : len(c)] = c[::-1] if turned else c
+                return out
+
+            n, where, budget = lengths[which], low[few] - e, np.full(len(few), e)
+            left = np.ones(len(few), bool)
             # from the end first where an item's beginning is that of many: most bands are given up early
             rear = np.flatnonzero(index.rear[item[few]])
             if len(rear):
-                turned = size[few[rear]] - n - where[rear] - width + 1
-                left = np.ones(len(few), bool)
-                left[rear] = banded_alignments(patterns[rear, ::-1], windows[rear, ::-1], turned, size[few[rear]], np.full(len(rear), e))[0] <= e
-                few, patterns, windows, where = few[left], patterns[left], windows[left], where[left]
+                place, m, text = where[rear], n[rear], few[rear]
+                windows = _stretches(joined, first[text], size[text], place + m + width - 2, longest + width - 1, back=True)
+                left[rear] = banded_alignments(padded(True)[which[rear]], m, windows, size[text] - m - place - width + 1, size[text], budget[rear])[0] <= e
+            few, which, n, where, budget = few[left], which[left], n[left], where[left], budget[left]
             if not len(few):
                 continue
-            budget = np.full(len(few), e)
-            found, stop = banded_alignments(patterns, windows, where, size[few], budget)
+            windows = _stretches(joined, first[few], size[few], where, longest + width - 1)
+            found, stop = banded_alignments(padded(False)[which], n, windows, where, size[few], budget)
             good = np.flatnonzero(found <= e)
             if not len(good):
                 continue
-            hit, stop, found = few[good], stop[good], found[good]
-            behind = _stretches(joined, first[hit], size[hit], stop - 1 + e, n + 2 * e, back=True)
+            hit, stop, found, n = few[good], stop[good], found[good], n[good]
+            behind = _stretches(joined, first[hit], size[hit], stop - 1 + e, longest + 2 * e, back=True)
             behind[:, :e] = 0xFFFFFFFF  # before the reversed text's first character
-            least = np.minimum(stop, n + e)
-            again, back = banded_alignments(patterns[good][:, ::-1], behind, np.full(len(hit), -e), least, found, anchored=True)
+            again, back = banded_alignments(padded(True)[which[good]], n, behind, np.full(len(hit), -e), np.minimum(stop, n + e), found, anchored=True)
             edits[hit], end[hit] = found, stop
             start[hit] = stop - np.where(again <= found, back, n)
     return edits, start, end
@@ -271,18 +288,8 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     low = (keys[keep] % span + lowest) * index.width[item] - first[owner]
     size = first[1:] - first[:-1] - 1
     # bands of one item and text that look alike are aligned once, where they come first
-    reach = index.longest + 4 * int(index.edits.max()) + 3
-    mixed = np.zeros(len(low), np.uint64)
-    with np.errstate(over="ignore"):
-        for few in np.array_split(np.arange(len(low)), max(1, len(low) * reach // (4 * CELLS))):
-            # as far as the item's own band reaches
-            n = np.array([len(index.texts[i]) for i in item[few].tolist()], np.int64)
-            e = index.edits[item[few]]
-            seen = _stretches(joined, first[owner[few]], size[owner[few]], low[few] - e, reach)
-            seen[np.arange(reach) >= (n + 4 * e + 2)[:, None]] = 0
-            mixed[few] = (seen.astype(np.uint64) * (BASE ** np.arange(1, reach + 1, dtype=np.uint64) | np.uint64(1))).sum(axis=1)
-    _, once = np.unique(np.stack([pair[keep].astype(np.uint64), mixed], axis=1), axis=0, return_index=True)
-    owner, item, low = owner[once], item[once], low[once]
+    if len(low) > MANY:
+        owner, item, low = _once(index, joined, first, size, owner, item, low)
     edits, start, end = _aligned(index, joined, first[owner], size[owner], item, low)
     for k in np.flatnonzero(edits <= index.edits[item]).tolist():
         t, i = int(owner[k]), int(item[k])
@@ -292,6 +299,24 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
+def _once(index: Index, joined: np.ndarray, first: np.ndarray, size: np.ndarray, owner: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (text, item, lowest diagonal) without those whose text in reach is that of an earlier one of the same text and item."""
+    reach = index.longest + 4 * int(index.edits.max()) + 3
+    lengths = np.array([len(t) for t in index.texts], np.int64)
+    mixed = np.zeros(len(low), np.uint64)
+    with np.errstate(over="ignore"):
+        weights = BASE ** np.arange(1, reach + 1, dtype=np.uint64) | np.uint64(1)
+        for few in np.array_split(np.arange(len(low)), max(1, len(low) * reach // (4 * CELLS))):
+            e = index.edits[item[few]]
+            seen = _stretches(joined, first[owner[few]], size[owner[few]], low[few] - e, reach)
+            # as far as the item's own band reaches
+            seen[np.arange(reach) >= (lengths[item[few]] + 4 * e + 2)[:, None]] = 0
+            mixed[few] = (seen.astype(np.uint64) * weights).sum(axis=1)
+    _, once = np.unique(np.stack([owner.astype(np.uint64), item.astype(np.uint64), mixed], axis=1), axis=0, return_index=True)
+    once.sort()
+    return owner[once], item[once], low[once]
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value

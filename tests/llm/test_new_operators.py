@@ -280,6 +280,7 @@ def test_items_with_a_template(monkeypatch):
                 want.append((t, i, n))
     assert [m[:3] for m in decontaminate.matches(index, texts)] == want and len(want) >= 2
     monkeypatch.setattr(decontaminate, "HITS", 2_000)  # texts are halved down to single ones, and those too
+    monkeypatch.setattr(decontaminate, "MANY", 0)
     again = decontaminate.matches(index, [*texts, "x" * 3000 + items[9][1] + " " * 3000])
     assert [m[:3] for m in again] == [*want, (4, 9, 0)] and again[-1][3:] == (3000, 3000 + len(items[9][1]))
 
