@@ -46,3 +46,18 @@ def running_total(rows: DataFrame, value: Column, order: list[str], name: str, p
     """``running_sum`` over ranges of equal numbers of rows; of rows that are equal in ``order`` one comes after the other."""
     dealt = in_ranges(rows, order, parts, "__range")
     return running_sum(dealt, value, F.col("__range"), [*order, "__range_row"], name).drop("__range", "__range_row")
+
+
+def running_max(rows: DataFrame, key: str, value: str, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: of each key, the greatest ``value`` up to this row. Keys may have any share of the rows.
+
+    Rows are dealt to ranges of the order, whatever their keys; a key's greatest value in each range goes
+    on to the later ranges, which is a table of ranges and keys. A null value counts for nothing.
+    """
+    dealt = in_ranges(rows, order, parts, "__range")
+    tops = dealt.groupBy("__range", key).agg(F.max(value).alias("__top"))
+    before = tops.withColumn("__before", F.max("__top").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select(F.col("__range").alias("__r"), F.col(key).alias("__k"), "__before")
+    within = F.max(value).over(Window.partitionBy("__range", key).orderBy(*order, "__range_row").rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.withColumn("__within", within).join(before, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__k")))
+    return joined.withColumn(name, F.greatest("__within", "__before")).drop("__range", "__range_row", "__r", "__k", "__within", "__before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -45,8 +47,18 @@ _JAVA_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_
 _CHOSEN = "CASE doc_id % 40 " + " ".join(f"WHEN {k} THEN '{line}'" for k, line in enumerate(PLANTED)) + " ELSE '' END"
 
 
-def notice_lines(docs, pattern: str):
+#: Words of which a text must hold one for a label's pattern; texts without them aren't cut into lines.
+_HINTS = {
+    "notice_all_rights": ("reserved",), "notice_proprietary": ("proprietary",), "notice_noncommercial": ("commercial",), "notice_personal_use": ("use", "purpose"),
+    "notice_permission": ("permission",), "notice_no_license": ("licen",), "notice_ai_training": ("train", "scrap", "dataset", "corpus"),
+}
+
+
+def notice_lines(docs, pattern: str, hints: tuple[str, ...] = ()):
     """(doc_id, line_no, shown): lines of whole texts in which the pattern stands, in either case."""
+    if hints:
+        low = F.lower("text")
+        docs = docs.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hints]))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hit = lines.where(F.col("line").rlike("(?i)" + pattern.replace(r"\b", _JAVA_B)))
     return hit.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), F.substring(F.regexp_replace("line", "[ \t]+", " "), 1, 160).alias("shown"))
@@ -54,9 +66,36 @@ def notice_lines(docs, pattern: str):
 
 for _name, _pattern in NOTICES:
     query(_name, f"SELECT doc_id, i AS line_no, substr(regexp_replace(ls[i], '[ \\t]+', ' ', 'g'), 1, 160) AS shown FROM (SELECT doc_id, string_split(text || chr(10) || {_CHOSEN}, chr(10)) AS ls FROM documents) t, unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '(?i){_pattern}')")(
-        lambda spark, d, p=_pattern: notice_lines(table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), F.expr(_CHOSEN)).alias("text")), p)
+        lambda spark, d, p=_pattern, hints=_HINTS.get(_name, ()): notice_lines(spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit("\n"), F.expr(_CHOSEN)).alias("text")), p, hints)
     )
-sql_query("notice_decide", "SELECT d.doc_id, CASE WHEN NOT d.text LIKE '%All rights reserved%' THEN 'usable' WHEN l.doc_id IS NOT NULL THEN 'reviewed' ELSE 'flagged' END AS decision FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
+
+
+def notice_labels(text):
+    """Labels of the notices that some line of a text has, in the order of ``NOTICES``; a text without a label's words isn't cut into lines."""
+    low = F.lower(text)
+
+    def hit(label: str, pattern: str):
+        java = "(?i)" + pattern.replace(r"\b", _JAVA_B)
+        found = F.exists(F.split(text, "\n"), lambda line: line.rlike(java))
+        hints = _HINTS.get(label, ())
+        return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hints]), found).otherwise(False) if hints else found
+
+    return F.filter(F.array(*(F.when(hit(label, pattern), label) for label, pattern in NOTICES)), lambda x: x.isNotNull())
+
+
+def _notice_decide(spark, d):
+    """By the eight scans: usable without a hit, kept if reviewed, else flagged."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit("\n"), F.expr(_CHOSEN)).alias("text"))
+    found = docs.select("doc_id", notice_labels(F.col("text")).alias("labels"))
+    joined = found.join(table(spark, d, "labels").select(F.col("doc_id").alias("reviewed")).distinct(), F.col("doc_id") == F.col("reviewed"), "left")
+    return joined.select("doc_id", F.array_join("labels", ",").alias("labels"), F.when(F.size("labels") == 0, "usable").when(F.col("reviewed").isNotNull(), "reviewed").otherwise("flagged").alias("decision"))
+
+
+_SCANS = ", ".join(f"CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '(?i){pattern}'))) > 0 THEN '{label}' END" for label, pattern in NOTICES)
+query("notice_decide", f"""
+WITH t AS (SELECT doc_id, string_split(text || chr(10) || {_CHOSEN}, chr(10)) AS ls FROM documents), s AS (SELECT doc_id, list_filter([{_SCANS}], lambda x: x IS NOT NULL) AS labels FROM t)
+SELECT s.doc_id, array_to_string(labels, ',') AS labels, CASE WHEN len(labels) = 0 THEN 'usable' WHEN s.doc_id IN (SELECT doc_id FROM labels) THEN 'reviewed' ELSE 'flagged' END AS decision FROM s
+""")(_notice_decide)
 
 # -- licences --------------------------------------------------------------------------------------
 

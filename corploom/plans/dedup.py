@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 
@@ -20,14 +20,13 @@ def first_copies(docs: DataFrame, text: str | None = "text", order: str = "doc_i
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
-    """What exact deduplication keeps of each source."""
-    d = first_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.octet_length("text").cast("long").alias("n_bytes")))
-    return d.groupBy("source").agg(
-        F.count("*").alias("documents"),
-        F.count_if("is_first").alias("kept"),
-        F.count_if(~F.col("is_first")).alias("duplicates"),
-        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("n_bytes"))), F.lit(0)).alias("kept_bytes"),
-    )
+    """What exact deduplication keeps of each source: the earliest row of each digest comes out of one aggregation, no row is joined."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.min(F.struct("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))).alias("first")
+    kept = spread(docs.select("doc_id", "source", "text")).groupBy(F.sha2("text", 256)).agg(first).groupBy(F.col("first.source").alias("source")).agg(F.count("*").alias("kept"), F.sum("first.n_bytes").alias("kept_bytes"))
+    counted = docs.groupBy("source").agg(F.count("*").alias("documents")).withColumnRenamed("source", "of")
+    kept_n = F.coalesce("kept", F.lit(0))
+    return counted.join(kept, F.col("of").eqNullSafe(F.col("source")), "left").select(F.col("of").alias("source"), "documents", kept_n.alias("kept"), (F.col("documents") - kept_n).alias("duplicates"), F.coalesce("kept_bytes", F.lit(0)).alias("kept_bytes"))
 
 
 query("dedup_report_by_source", """

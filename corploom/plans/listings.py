@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import listing
 from .registry import query
-from .tables import sql_query
+from .tables import sql_query, views
 
 
 def _both(name: str, sql: str, values: str, columns: str = "") -> None:
@@ -22,10 +28,28 @@ def _case(*forms: str) -> str:
 # -- listings --------------------------------------------------------------------------------------
 
 _FILES = "SELECT " + _case("src/a~.rs", ".profile~", "bin/run~", "bin/x~", "target/b~.rs", "a b~.rs", "empty~.rs", "big~.rs", "README~.md", "CHANGELOG~.md", "docs/changelog~.txt", "d/.cache/~.sh") + " AS path, CASE page_id % 12 WHEN 6 THEN 0 WHEN 7 THEN 2000000 ELSE 10 END AS size, CASE page_id % 12 WHEN 1 THEN '#!/bin/sh' WHEN 2 THEN '#!/usr/bin/env bash' WHEN 3 THEN '#!/usr/bin/bashful' ELSE '' END AS head FROM {pages}"
-_SHELL = "{rlike}(head, '^#!.*(^|[^A-Za-z0-9_])(sh|bash|zsh|dash|ksh|fish)($|[^A-Za-z0-9_])')"
-_both("walk_select_files", f"SELECT path FROM {{v}} WHERE size > 0 AND size <= 1048576 AND path NOT LIKE '% %' AND NOT {{rlike}}(path, '(^|/)(target|node_modules|vendor)/') AND ({{rlike}}(path, '[.](rs|sh|md|txt)$') OR {_SHELL})", _FILES)
+
+
+def _files(spark, d):
+    return spark.sql(views(spark, d, _FILES))
+
+
+def _selected(spark, d):
+    """Code of both categories and documentation, by the reader's rules."""
+    files = _files(spark, d)
+    parts = [listing.select_files(files, "rust"), listing.select_files(files, "shell"), listing.select_files(files, "", kind="docs")]
+    return [p.select("path", F.lit(kind).alias("kind")) for p, kind in zip(parts, ("rust", "shell", "docs"), strict=True)]
+
+
+#: Told form by form, since the rules themselves are the reader's.
+_KINDS = "CASE page_id % 12 WHEN 0 THEN 'rust' WHEN 1 THEN 'shell' WHEN 2 THEN 'shell' WHEN 8 THEN 'docs' WHEN 11 THEN 'shell' END"
+_TOLD = _FILES.replace("SELECT ", f"SELECT {_KINDS} AS kind, ", 1).replace("{pages}", "pages")
+query("walk_select_files", f"SELECT path, kind FROM ({_TOLD}) t WHERE kind IS NOT NULL")(lambda spark, d: reduce(DataFrame.unionByName, _selected(spark, d)))
 _both("fileset_walk_dotskip", "SELECT path FROM {v} WHERE NOT {rlike}(path, '(^|/)[.]')", _FILES)
-_both("p_is_code", f"SELECT path, {{rlike}}(path, '[.](rs|sh)$') OR {_SHELL} AS code, {{rlike}}(path, '[.](md|txt)$') AND NOT {{rlike}}(lower(path), '(^|/)changelog[^/]*$') AS docs FROM {{v}}", _FILES)
+query("p_is_code", f"SELECT path, kind IN ('rust', 'shell') AS code, kind = 'docs' AS docs FROM (SELECT path, coalesce(kind, '') AS kind FROM ({_TOLD}) t)")(
+    lambda spark, d: _files(spark, d).select("path").join(reduce(DataFrame.unionByName, _selected(spark, d)), "path", "left")
+    .select("path", F.coalesce(F.col("kind").isin("rust", "shell"), F.lit(False)).alias("code"), F.coalesce(F.col("kind") == "docs", F.lit(False)).alias("docs"))
+)
 sql_query("read_list", "SELECT doc_id, trim(line) AS path FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM {documents}) WHERE trim(line) <> ''",
           "SELECT doc_id, trim(line) AS path FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) t WHERE trim(line) <> ''")
 sql_query("files_list_write", "SELECT concat_ws(char(9), lang, 'docs', source, doc_id) AS line FROM {documents} WHERE NOT text LIKE '%All rights reserved%'",
@@ -41,8 +65,8 @@ sql_query("join_moments_params", "SELECT coalesce(d.doc_id, l.doc_id) AS name, d
 
 # -- special tokens, shards ------------------------------------------------------------------------
 
-_TOKENS = "SELECT page_id, " + _case("<|a~|>", "", "<|pad|>", " <|x~|>", "<|b~|>", "<|c~|>") + " AS token FROM {pages}"
-_both("special_validate", "SELECT page_id, token, token <> '' AND trim(token) = token AND row_number() OVER (PARTITION BY token ORDER BY page_id) = 1 AS ok FROM {v}", _TOKENS)
+_TOKENS = "SELECT page_id, " + _case("<|a~|>", "", "<|pad|>", " <|x~|>", "<|b~|>", "<|c~|>", "<|d' || chr(10) || '~|>", "<|e~|>' || chr(13) || '") + " AS token FROM {pages}"
+_both("special_validate", "SELECT page_id, token, token <> '' AND trim(token) = token AND NOT contains(token, chr(10)) AND NOT contains(token, chr(13)) AND row_number() OVER (PARTITION BY token ORDER BY page_id) = 1 AS ok FROM {v}", _TOKENS)
 _SHARDS = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 65536 WHEN 2 THEN 65537 ELSE page_id END AS vocab, page_id % 300 AS eos, CASE page_id % 4 WHEN 1 THEN 65535 + page_id % 3 ELSE page_id END AS top FROM {pages}"
 _both("shard_width", "SELECT DISTINCT vocab, CASE WHEN vocab <= 65536 THEN 2 ELSE 4 END AS width FROM {v}", _SHARDS)
 _both("shard_validate", "SELECT page_id, vocab, eos, top, vocab > 0 AND eos < vocab AND top < vocab AS ok FROM {v}", _SHARDS)

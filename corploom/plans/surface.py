@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registered, settings
+from ..functions import registered, settings, spdx
 from ..operators import bpe, matrices, vocabulary
 from ..scratch import scratch_path
 from ..session import spread, table
@@ -35,6 +35,19 @@ query("udf_spdx_verdict", "SELECT page_id % 5 AS form, count(*) AS n, page_id %
 )
 
 
+_LICENSE = "CASE doc_id % 6 WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPL-3.0-only' WHEN 2 THEN 'none' WHEN 3 THEN 'Apache-2.0 OR GPL-3.0-only' WHEN 4 THEN 'MIT AND' ELSE 'MIT AND ISC' END"
+
+
+def _policy(spark, d):
+    """Verdicts on the licence of each document by language, and over all."""
+    judged = spdx.judged(table(spark, d, "documents").select(F.col("lang").alias("category"), F.expr(_LICENSE).alias("license")))
+    count = lambda c, name: F.count_if(c).alias(name)
+    return judged.rollup("category").agg(count(F.col("accepted"), "accepted"), count(~F.col("accepted"), "rejected"), count(F.upper("license") == "NONE", "unlicensed")).withColumn("category", F.coalesce("category", F.lit("all")))
+
+
+query("agg_policy_by_category", "SELECT coalesce(lang, 'all') AS category, count(*) FILTER (doc_id % 6 IN (0, 3, 5)) AS accepted, count(*) FILTER (doc_id % 6 IN (1, 2, 4)) AS rejected, count(*) FILTER (doc_id % 6 = 2) AS unlicensed FROM documents GROUP BY ROLLUP (lang)")(_policy)
+
+
 def _manifests(spark, d):
     """A manifest for each language; that of one language ends in the middle of a source."""
     rows = table(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("ord"))

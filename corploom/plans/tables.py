@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..session import spread
 from ..sources.reports import REPOSITORY
 from .registry import query
 
@@ -116,12 +117,15 @@ sql_query("anti_range_outside",
 sql_query("join_runners_fullouter",
           "SELECT coalesce(a.k, b.k) AS k, a.n AS left_n, b.n AS right_n, NOT (a.n <=> b.n) AS differs FROM (SELECT lang AS k, count(*) AS n FROM {documents} WHERE doc_id % 2 = 0 GROUP BY lang) a FULL OUTER JOIN (SELECT lang AS k, count(*) AS n FROM {documents} WHERE doc_id % 2 = 1 GROUP BY lang) b ON a.k = b.k",
           "SELECT coalesce(a.k, b.k) AS k, a.n AS left_n, b.n AS right_n, a.n IS DISTINCT FROM b.n AS differs FROM (SELECT lang AS k, count(*) AS n FROM {documents} WHERE doc_id % 2 = 0 GROUP BY lang) a FULL OUTER JOIN (SELECT lang AS k, count(*) AS n FROM {documents} WHERE doc_id % 2 = 1 GROUP BY lang) b ON a.k = b.k")
-sql_query("join_lint_by_message", "SELECT event_id, event_type, last(if(event_id % 7 = 0, event_id, null), true) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lint FROM {events}",
+# a few types have all rows: the last one of each is a partial aggregate, and the table of types is small when it is joined
+sql_query("join_lint_by_message", "SELECT e.event_id, e.event_type, l.lint FROM {events} e JOIN (SELECT event_type, max(if(event_id % 7 = 0, event_id, null)) AS lint FROM {events} GROUP BY event_type) l ON e.event_type <=> l.event_type",
           "SELECT event_id, event_type, last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lint FROM {events}")
 sql_query("join_baseline_ratio", "SELECT p_partkey, p_brand, round(p_retailprice / first(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey), 6) AS ratio FROM {part}",
           "SELECT p_partkey, p_brand, round(p_retailprice / first_value(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey), 6) AS ratio FROM {part}")
-sql_query("embedding_lookup", "SELECT d.doc_id, e.label FROM {documents} d JOIN {embeddings} e ON d.doc_id % 500 = e.vec_id")
-sql_query("dedup_same_commit", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha2(text, 256)) AS owner, doc_id > min(doc_id) OVER (PARTITION BY sha2(text, 256)) AS dropped FROM {documents}",
+_LOOKUP = "SELECT d.doc_id, e.vec_id, e.label, e.embedding[{first}] AS head, round({total}, 4) AS total FROM {{documents}} d JOIN {{embeddings}} e ON d.doc_id % (SELECT count(*) FROM {{embeddings}}) = e.vec_id"
+sql_query("embedding_lookup", _LOOKUP.format(first=0, total="aggregate(e.embedding, 0D, (t, x) -> t + x)"), _LOOKUP.format(first=1, total="list_sum(list_transform(e.embedding, lambda x: x::DOUBLE))"))
+# copies are combined before the shuffle; what is joined is digests, and Spark splits a join where one has very many rows
+sql_query("dedup_same_commit", "WITH k AS (SELECT doc_id, sha2(text, 256) AS digest FROM {documents}) SELECT k.doc_id, f.owner, k.doc_id > f.owner AS dropped FROM k JOIN (SELECT digest, min(doc_id) AS owner FROM k GROUP BY digest) f ON k.digest <=> f.digest",
           "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner, doc_id > min(doc_id) OVER (PARTITION BY sha256(text)) AS dropped FROM {documents}")
 
 # -- aggregates ---------------------------------------------------------------------------------
@@ -165,7 +169,7 @@ def _characters(spark, d, width: int) -> DataFrame:
             rows = [(label, *c, n) if width == 2 else (label, c, None, n) for label, found in counts.items() for c, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k < 3 else pa.int64()) for k in range(4)], names=["label", "a", "b", "n"])
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("label"), "text"))
     return docs.mapInArrow(run, "label string, a string, b string, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -183,7 +187,6 @@ sql_query("agg_digest_of_digests", r"SELECT sha2(listagg(concat(source, '\n', h,
           r"SELECT sha256(string_agg(source || chr(10) || h || chr(10), '' ORDER BY source)) AS digest FROM (SELECT source, sha256(count(*)::VARCHAR) AS h FROM {documents} GROUP BY source)")
 sql_query("agg_ratio_badge", "SELECT p_partkey, CASE WHEN r <= 1.05 THEN 'even' WHEN r <= 1.5 THEN 'near' WHEN r <= 5 THEN 'slow' ELSE 'far' END AS badge FROM (SELECT p_partkey, p_retailprice / min(p_retailprice) OVER (PARTITION BY p_brand) AS r FROM {part}) t")
 sql_query("agg_checks", "SELECT count(*) AS total, CAST(count_if(toxic = 0) AS BIGINT) AS passed, CAST(count_if(toxic = 1) AS BIGINT) AS failed FROM {labels}")
-sql_query("agg_policy_by_category", "SELECT coalesce(lang, 'all') AS category, CAST(count_if(text NOT LIKE '%All rights reserved%') AS BIGINT) AS accepted, CAST(count_if(text LIKE '%All rights reserved%') AS BIGINT) AS rejected FROM {documents} GROUP BY ROLLUP (lang)")
 sql_query("group_sort_failed", "SELECT source, CAST(count_if(toxic = 1) AS BIGINT) AS failed FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source ORDER BY failed DESC, source")
 _PAIRS = "SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM (SELECT unnest(list_zip(l[:-2], l[2:])) AS p FROM (SELECT string_split(text, '') AS l FROM documents WHERE length(text) > 1)) GROUP BY 1, 2"
 
@@ -253,12 +256,15 @@ _FFILL = "SELECT user_id, event_id, {last} OVER (PARTITION BY user_id ORDER BY e
 sql_query("win_ffill_section", _FFILL.format(last="last(if(event_type = 'view', event_id, null), true)"), _FFILL.format(last="last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)"))
 sql_query("win_prev_name", "SELECT conv_id, turn, last(if(role = 'user', text, null), true) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM {conversations}",
           "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM {conversations}")
-sql_query("win_running_max", "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id) AS running_max FROM {events}")
+query("win_running_max", "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id) AS running_max FROM events")(
+    lambda spark, d: windows.running_max(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "value"), "event_type", "value", ["event_id"], "running_max").select("event_id", "running_max")
+)
 
 # -- sets ---------------------------------------------------------------------------------------
 
-sql_query("dedup_exact", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY sha2(text, 256) ORDER BY doc_id) AS rn FROM {documents}) WHERE rn = 1",
-          "SELECT doc_id, source FROM {documents} QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+query("dedup_exact", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")(
+    lambda spark, d: spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")).groupBy(F.sha2("text", 256)).agg(F.min(F.struct("doc_id", "source")).alias("first")).select("first.*")
+)
 sql_query("dedup_contains", "SELECT doc_id FROM {documents} d LEFT SEMI JOIN (SELECT sha2(text, 256) AS h FROM {documents} WHERE lang = 'en') s ON sha2(d.text, 256) = s.h",
           "SELECT doc_id FROM {documents} d SEMI JOIN (SELECT sha256(text) AS h FROM {documents} WHERE lang = 'en') s ON sha256(d.text) = s.h")
 sql_query("dedup_candidates", "SELECT k, min(ord) AS ord FROM (SELECT lower(source) AS k, doc_id AS ord FROM {documents} UNION ALL SELECT upper(source) AS k, doc_id + 1000000 AS ord FROM {documents}) GROUP BY k",

@@ -94,3 +94,14 @@ def test_ranges_are_even(spark):
     assert total.agg(F.count_distinct("n"), F.max("n")).first() == (20_000, 20_000)
     ordered = [r["k"] for r in total.orderBy("n").collect()]
     assert ordered == sorted(ordered)
+
+
+def test_running_max_of_hot_keys(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice("aaab") if k % 10 else None, rng.choice([None, rng.randrange(1000)])) for k in range(2000)]
+    best, want = {}, []
+    for k, key, v in rows:
+        best[key] = max((x for x in (best.get(key), v) if x is not None), default=None)
+        want.append((k, best[key]))
+    frame = spark.createDataFrame(rows, "k long, key string, v long").repartition(5)
+    assert sorted((r["k"], r["m"]) for r in windows.running_max(frame, "key", "v", ["k"], "m", 7).collect()) == want
