@@ -91,6 +91,9 @@ SENTENCES = (
     ("Reserved", "copyright", ("all rights reserved",)),
     ("Copyright", "copyright", ()),
 )
+#: Grants that hold one of these (whole) words aren't the known ones but narrower: their identifier is ``Restricted``, which no rule has.
+GRANTS = ("UnicodeGrant", "BoostGrant", "MitGrant", "BsdHead", "IscGrant", "ZeroBsdGrant", "CurlGrant", "HpndGrant", "ZlibGrant")
+NARROWING = ("only", "non commercial", "noncommercial", "academic", "educational", "evaluation", "prohibited", "forbidden", "not permitted", "not be used", "unless", "except", "military")
 #: Licences that a line "SPDX-License-Identifier: ..." may name; the sentence's identifier is Spdx: and the name.
 SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
 
@@ -170,10 +173,14 @@ def normalised(sentence: Column) -> Column:
 def identifier(sentence: Column) -> Column:
     """The identifier of a normalised sentence, a gap (``-``) if it isn't a known one: a few fixed strings, no pattern."""
     known = F.when(F.lit(False), "-")
+    words = F.concat(F.lit(" "), sentence, F.lit(" "))
+    narrower = reduce(or_, [F.contains(words, F.lit(f" {w} ")) for w in NARROWING])
     for name, begin, held in SENTENCES:
         fits = F.startswith(sentence, F.lit(begin)) if begin else F.lit(True)
         for part in held:
             fits = fits & F.contains(sentence, F.lit(part))
+        if name in GRANTS:
+            known = known.when(fits & narrower, "Restricted")
         known = known.when(fits, name)
     named = F.create_map(*[F.lit(x) for name in SPDX for x in (_spdx_sentence(name), f"Spdx:{name}")])
     # nearly every other sentence is settled by one look
@@ -228,8 +235,11 @@ def op6_license_scan(documents: DataFrame) -> DataFrame:
 def _oracle() -> str:
     quoted = lambda x: x.replace("'", "''")
     cases = []
+    narrower = " OR ".join(f"contains(' ' || s || ' ', ' {w} ')" for w in NARROWING)
     for name, begin, held in SENTENCES:
         tests = [f"starts_with(s, '{begin}')"] if begin else []
+        if name in GRANTS:
+            cases.append(f"WHEN starts_with(s, '{begin}') AND ({narrower}) THEN 'Restricted'")
         cases.append("WHEN " + " AND ".join([*tests, *(f"contains(s, '{part}')" for part in held)]) + f" THEN '{name}'")
     cases += [f"WHEN s = '{_spdx_sentence(name)}' THEN 'Spdx:{name}'" for name in SPDX]
     steps, last = [], "seq"

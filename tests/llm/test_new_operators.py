@@ -358,3 +358,21 @@ def test_hot_anchors_are_settled_by_windows(spark, hot_rows):
     rows += [(200 + k, f"a{k} b c " + phrase + " d e f g h i j k l m n") for k in range(20)] + [(300, rows[7][1]), (None, phrase), (301, phrase * 3)]
     got = rows_of(substring_dedup.remove_repeats(docs_of(spark, rows), hot_rows=hot_rows, common=10**6), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute_repeats(rows)
+
+
+# 6 altered licences
+def test_altered_licences_are_not_the_originals(spark):
+    import duckdb
+
+    from corploom.llm import licenses
+
+    rest = "\nThe above copyright notice and this permission notice shall be included in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met{}:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\nTHIS SOFTWARE IS PROVIDED BY X \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    rows = [(1, grant + "." + rest), (2, grant + ", to use it for non-commercial purposes only." + rest), (3, grant + " unless they are a company." + rest), (4, bsd.format("")), (5, bsd.format(" and the use is academic")), (6, grant + " to deal in it, lonely or not." + rest)]
+    out = licenses.op6_license_scan(docs_of(spark, rows))
+    assert [(r["doc_id"], r["licenses"]) for r in out.orderBy("doc_id").collect()] == [(1, "MIT"), (2, ""), (3, ""), (4, "BSD-2-Clause"), (5, ""), (6, "MIT")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert rows_of(out, "doc_id", "n_known", "sentence_ids", "licenses", "unmatched") == sorted(con.sql(licenses.OP6_SQL).fetchall(), key=repr)
