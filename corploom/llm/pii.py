@@ -153,15 +153,24 @@ def find_base(docs: DataFrame) -> DataFrame:
     return text_of(docs).withColumn("text_key", text_key()).mapInArrow(_scan(), schema)
 
 
-def judged_pairs(texts: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
-    """(text_key, entity, n_entity, term, places) of different texts, for entities that a term could disclose at all."""
+def judged_mentions(texts: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
+    """(text_key, entity, n_entity) of different texts, for entities that a term could disclose at all; one in a single text is none of them in a corpus of fewer than 10^12 texts."""
     mentions = materialize(texts.select("text_key", F.explode("entities").alias("entity")), "mentions")
     counts = materialize(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
     # at best a term is in all of the entity's texts and in no other
     best = _ratio(F.col("n_entity"), F.col("n_entity"), F.col("n_entity"), n, rules)
     judged = counts.where(best > rules.threshold).withColumn("n_rows", F.col("n_entity"))
-    judged = materialize(join_heavy(mentions, judged, ["entity"], "n_rows", mentions.count()), "judged")
-    return judged.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", "n_entity", F.explode("terms").alias("t")).select("text_key", "entity", "n_entity", "t.*")
+    return materialize(join_heavy(mentions, judged, ["entity"], "n_rows", mentions.count()), "judged")
+
+
+def flagged_places(judged: DataFrame, texts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(text_key, at): the places of flagged terms (entity, term, n_both), sought only in texts of entities that have one."""
+    entities = materialize(flagged.groupBy("entity").agg(F.count("*").alias("n_terms")), "flagged-entities")
+    counted = judged.select("entity", "n_entity").distinct().join(entities, "entity").select("entity", F.col("n_entity").alias("n_rows"))
+    mentions = join_heavy(judged.select("text_key", "entity"), materialize(counted, "flagged-counts"), ["entity"], "n_rows", judged.count())
+    pairs = mentions.join(texts.select("text_key", "terms"), "text_key").select("text_key", "entity", F.explode("terms").alias("t")).select("text_key", "entity", "t.*")
+    pairs = materialize(pairs, "pairs")
+    return join_heavy(pairs, flagged, ["entity", "term"], "n_both", pairs.count()).select("text_key", F.explode("places").alias("at"))
 
 
 def _ratio(n_both: Column, n_entity: Column, n_term: Column, n: int, rules: Disclosure) -> Column:
@@ -208,14 +217,16 @@ def _texts_of_terms(shared, most: int):
     return run
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, judged: DataFrame, n: int, rules: Disclosure = RULES) -> DataFrame:
     """(entity, term, n_both, disclosure): pairs whose ratio of mutual information to information content exceeds the threshold.
 
-    ``texts`` (the different texts with an entity) and ``pairs`` are written tables. A term is in at
+    ``texts`` (the different texts with an entity) and ``judged`` (mentions) are written tables. Entities
+    and terms are counted together without places, combined before the shuffle. A term is in at
     least as many texts as hold it beside the entity, and as hold it beside any entity; pairs that
     fail even so need no count over the corpus. The texts of the other terms, which are rare ones, are
     counted in one map over all texts.
     """
+    pairs = judged.join(texts.select("text_key", F.col("terms.term").alias("ts")), "text_key").select("entity", "n_entity", F.explode("ts").alias("term"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     together = together.where(_ratio(F.col("n_both"), F.col("n_entity"), F.col("n_both"), n, rules) > rules.threshold)
     together = materialize(together.withColumn("most", _most_texts(n, rules)), "together")
@@ -242,9 +253,9 @@ def sensitive_spans(docs: DataFrame, rules: Disclosure = RULES) -> DataFrame:
     found = materialize(find_base(docs), "pii")
     n, rows = found.agg(F.count_distinct("text_key"), F.count("*")).first()
     texts = materialize(found.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"]), "texts")
-    pairs = materialize(judged_pairs(texts, n, rules), "pairs")
-    flagged = materialize(disclosing_terms(docs, texts, pairs, n, rules), "flagged").drop("disclosure")
-    hit = join_heavy(pairs, flagged, ["entity", "term"], "n_both", pairs.count()).select("text_key", F.explode("places").alias("at"))
+    judged = judged_mentions(texts, n, rules)
+    flagged = materialize(disclosing_terms(docs, texts, judged, n, rules), "flagged").drop("disclosure")
+    hit = flagged_places(judged, texts, flagged)
     by_text = hit.groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
     held = found.where(F.size("entities") > 0)
     by_text = materialize(held.groupBy("text_key").agg(F.count("*").alias("n_rows")).join(by_text, "text_key"), "by_text")
