@@ -78,3 +78,25 @@ def test_settings_and_figures(spark):
         bpe.TrainConfig(257, specials=("a", "b")).merges  # noqa: B018
     none = bpe.train(docs.where("text is null"), bpe.TrainConfig(300, max_distinct=0))
     assert none.merges == () and none.pieces == 0
+
+
+def test_learner_against_counting_all_pairs_each_time():
+    rng = random.Random(12)
+    for _ in range(40):
+        words = {}
+        for _ in range(rng.randrange(1, 40)):
+            word = bytes(rng.choices(b"aabbc ", k=rng.randrange(1, 10)))
+            words[word] = words.get(word, 0) + rng.randrange(1, 6)
+        ids, merges, told = [(list(w), n) for w, n in sorted(words.items())], [], []
+        while len(merges) < 12:
+            total = {}
+            for w, n in ids:
+                for p in zip(w, w[1:], strict=False):
+                    total[p] = total.get(p, 0) + n
+            best = min(total, key=lambda p: (-total[p], p), default=None)
+            if best is None or total[best] < 2:
+                break
+            merges.append(best)
+            told.append(total[best])
+            ids = [(bpe._merge(w, {best: 255 + len(merges)}), n) for w, n in ids]
+        assert bpe.learn_counted(sorted(words.items()), 12) == (merges, told)
