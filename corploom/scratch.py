@@ -25,6 +25,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIRS[0].name}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its store, as Spark would read it; other libraries take a bare path for a local one."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared scratch folder."""
     return f"{scratch_dir(spark)}/corploom-{label}-{uuid.uuid4().hex}"

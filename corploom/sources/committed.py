@@ -22,8 +22,8 @@ MANIFEST = "_manifest.json"
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The store of a path or URI and the path within it."""
-    if re.match(r"file:/(?!/)", path):
-        path = "file://" + path[5:]
+    if local := re.fullmatch(r"file:(?://[^/]*)?(/.*)", path):
+        path = local[1]
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
+from ..scratch import qualified
 from .committed import Commit, Written, committed, file_system, open_file
 from .tensors import header, header_length, read_entries
 
@@ -180,7 +181,7 @@ def read_tensor_files(spark: SparkSession, path: str, part_values: int = PART_VA
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TensorFiles)
-    return spark.read.format("tensor_files").options(part_values=part_values, partition_bytes=partition_bytes).load(path)
+    return spark.read.format("tensor_files").options(part_values=part_values, partition_bytes=partition_bytes).load(qualified(spark, path))
 
 
 def write_tensor_files(tensors: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
@@ -199,4 +200,4 @@ def write_tensor_files(tensors: DataFrame, path: str, metadata: dict[str, str] |
     heads = rows.where("start = 0").groupBy("file").agg(F.collect_list(F.struct("name", "shape")).alias("ts")).mapInArrow(headers, "file string, header binary")
     ready = rows.drop("shape").join(heads, "file").repartition("file").sortWithinPartitions("file", "name", "start")
     tensors.sparkSession.dataSource.register(TensorFiles)
-    ready.select("file", "name", "start", "header", "values").write.format("tensor_files").mode("append").save(path)
+    ready.select("file", "name", "start", "header", "values").write.format("tensor_files").mode("append").save(qualified(tensors.sparkSession, path))

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..operators import bpe, packing
 from ..operators.vocabulary import Vocabulary
-from ..scratch import materialize
+from ..scratch import materialize, qualified
 from .committed import Commit, Written, committed, file_system, open_file
 from .shards import header, read_header
 
@@ -203,7 +203,7 @@ def read_shards_from(spark: SparkSession, path: str, rows: str = "chunks", lengt
     if rows == "windows" and length < 1:
         raise ValueError("windows need a length")
     spark.dataSource.register(TokenShards)
-    return spark.read.format("token_shards").options(rows=rows, length=length).load(path)
+    return spark.read.format("token_shards").options(rows=rows, length=length).load(qualified(spark, path))
 
 
 def pack_tokens(encoded: DataFrame, vocabulary: int, eos: int, target: int, path: str) -> dict[str, int]:
@@ -222,6 +222,7 @@ def pack_tokens(encoded: DataFrame, vocabulary: int, eos: int, target: int, path
     placed = dealt.join(totals, "shard").select("row", "shard", "shard_tokens", "size")
     ready = rows.join(placed, "row").repartition("shard").sortWithinPartitions("shard", F.col("ord").asc_nulls_first(), "size", "row")
     spark = encoded.sparkSession
+    path = qualified(spark, path)
     spark.dataSource.register(TokenShards)
     ready.select("shard", "shard_tokens", "ord", "ids").write.format("token_shards").options(vocabulary=vocabulary, eos=eos).mode("append").save(path)
     files = committed(path)["files"]
@@ -239,6 +240,6 @@ def pack_text(docs: DataFrame, kept: Vocabulary, target: int, path: str, order:
 
 def batches_from(spark: SparkSession, path: str, length: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
     """(epoch, index, row, inputs, targets) of an epoch over the windows of all shards below ``path``; how many there are is told by the manifest."""
-    n = sum(max(f["tokens"] - 1, 0) // length for f in _Reader(path, "windows", length).files())
+    n = sum(max(f["tokens"] - 1, 0) // length for f in _Reader(qualified(spark, path), "windows", length).files())
     order = packing.epoch_batches(spark, n, batch, seed, epoch, start)
     return order.join(read_shards_from(spark, path, "windows", length), "sequence").select("epoch", "index", "row", "inputs", "targets")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators import packing
+from ..scratch import qualified
 from ..sources.committed import committed, file_system, open_file
 from ..sources.shards import read_header
 from ..sources.token_shards import TokenShards
@@ -36,6 +37,7 @@ def prepare_epochs(spark: SparkSession, path: str, length: int, seed: int, epoch
 
     Epochs are those of ``packing.permutation``. An epoch that is prepared again is replaced.
     """
+    path = qualified(spark, path)
     n = int(_sequences(path, length)[1][-1])
     for epoch in epochs:
         order = packing.permutation(spark, n, seed, epoch).withColumn("part", F.floor(F.col("place") / PLACES).cast("int"))
@@ -110,6 +112,7 @@ class TokenBatches(DataSource):
 
 def batch_stream(spark: SparkSession, path: str, length: int, batch: int, seed: int, until: tuple[int, int], start: tuple[int, int] = (0, 0)) -> DataFrame:
     """The batches from ``start`` up to ``until``, both (epoch, index), of epochs that ``prepare_epochs`` has made. A query that starts anew from its checkpoint goes on after the last batch that it finished."""
+    path = qualified(spark, path)
     committed(path)  # shards must be there
     spark.dataSource.register(TokenBatches)
     options = {"path": path, "length": length, "batch": batch, "seed": seed, "from_epoch": start[0], "from_index": start[1], "until_epoch": until[0], "until_index": until[1]}

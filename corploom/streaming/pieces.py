@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.bpe import Splitter, piece_counts
+from ..scratch import qualified
 from ..sources.committed import file_system
 
 #: Micro-batches after which those before are added up into one table.
@@ -33,6 +34,8 @@ def stream_piece_counts(stream: DataFrame, path: str, config: str | Splitter = "
     a batch that may still be replayed is never among them.
     """
 
+    path = qualified(stream.sparkSession, path)
+
     def put(rows: DataFrame, batch: int) -> None:
         last, tables = _tables(path)
         if batch <= last:
@@ -42,16 +45,16 @@ def stream_piece_counts(stream: DataFrame, path: str, config: str | Splitter = "
             before = [t for t in tables if not t.endswith(f"/batch-{batch}")]
             if before:
                 rows.sparkSession.read.parquet(*before).groupBy("piece").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/upto-{batch - 1}")
-                store, _ = file_system(path)
                 for t in before:
-                    store.delete_dir(file_system(t)[1])
+                    store, root = file_system(t)
+                    store.delete_dir(root)
 
     return stream.select(text).writeStream.outputMode("append").foreachBatch(put)
 
 
 def streamed_counts(spark: SparkSession, path: str) -> DataFrame:
     """(piece, n) of all micro-batches so far."""
-    tables = _tables(path)[1]
+    tables = _tables(qualified(spark, path))[1]
     if not tables:
         return spark.createDataFrame([], "piece string, n long")
     return spark.read.parquet(*tables).groupBy("piece").agg(F.sum("n").alias("n"))
