@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
+from ..scratch import qualified
 from ..sources.committed import Commit, Written, committed, open_file
 from .common import scratch_path, splitter, text_of
 from .token_counts import byte_letters
@@ -322,13 +323,13 @@ def write_packed(docs: DataFrame, target: str, path: str, pattern: str, vocabula
     dealt = encoded(rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie", "row"), path, pattern, end)
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "row").select("doc_id", "ids")
     docs.sparkSession.dataSource.register(PackedIds)
-    ordered.write.format("packed_ids").options(vocabulary=vocabulary, block=block, file_ids=file_ids).mode("overwrite").save(target)
+    ordered.write.format("packed_ids").options(vocabulary=vocabulary, block=block, file_ids=file_ids).mode("overwrite").save(qualified(docs.sparkSession, target))
 
 
 def read_packed(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, start, ids): ``start`` is the number of ids of all documents before."""
     spark.dataSource.register(PackedIds)
-    return spark.read.format("packed_ids").load(target)
+    return spark.read.format("packed_ids").load(qualified(spark, target))
 
 
 def stretch(target: str, first: int, count: int) -> np.ndarray:
