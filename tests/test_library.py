@@ -25,7 +25,7 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read", "bpe_encode", "pretok_bytes", "crates_page_parse", "github_search_parse", "candidates_json", "crate_version_parse", "ls_remote_parse", "log_ci_tests", "log_ci_diagnostics", "log_data_smoke", "select_files", "agg_docs_tokens"])
+@pytest.mark.parametrize("name", ["dedup_report_by_source", "p_holdout", "p_url_ok", "join_reviewed", "join_range_findings", "agg_measure_source", "agg_merge_licenses", "win_sample_cap", "win_pick_rows", "notice_all_rights", "notice_ai_training", "notice_permission", "pack_assign", "scrub_replace", "scrub_find", "scrub_kinds", "agg_findings_by_rule", "softmax", "log_softmax", "rms_norm", "matmul", "agg_covariance", "agg_entropy", "topk_pair", "p_github_url", "p_shell_shebang", "p_is_doc", "p_token_in_vocab", "permute_epoch", "batch_seek", "seq_windows", "shard_roundtrip", "lic_verdict", "lr", "manifest_roundtrip", "rng_next_u64", "walk_select_files", "p_is_code", "files_list_write", "tsv_log_read", "log_ci_fmt", "log_train_smoke", "join_moments_params", "special_validate", "shard_width", "shard_validate", "win_sample_cumsum", "tsv_log_files", "summary_kv_files", "manifest_read", "lic_partition", "lic_report", "safetensors_read", "bpe_encode", "pretok_bytes", "crates_page_parse", "github_search_parse", "candidates_json", "crate_version_parse", "ls_remote_parse", "log_ci_tests", "log_ci_diagnostics", "log_data_smoke", "select_files", "agg_docs_tokens", "batch_next", "bpe_learn_round", "bpe_train_stats", "pack_text", "pack_finish", "shard_concat", "agg_batch_digest", "safetensors_ranges", "udf_scrub_text", "udf_spdx_verdict", "udtf_manifest_rows", "udtf_read_shard", "udf_bpe", "check_matches", "json_variant", "matmul_tables", "stream_pack", "stream_piece_counts", "notice_decide", "agg_policy_by_category", "embedding_lookup", "win_running_max", "dedup_exact", "dedup_same_commit", "join_lint_by_message"])
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
