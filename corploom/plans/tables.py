@@ -122,7 +122,7 @@ sql_query("join_lint_by_message", "SELECT e.event_id, e.event_type, l.lint FROM
           "SELECT event_id, event_type, last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lint FROM {events}")
 sql_query("join_baseline_ratio", "SELECT p_partkey, p_brand, round(p_retailprice / first(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey), 6) AS ratio FROM {part}",
           "SELECT p_partkey, p_brand, round(p_retailprice / first_value(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey), 6) AS ratio FROM {part}")
-_LOOKUP = "SELECT d.doc_id, e.vec_id, e.label, e.embedding[{first}] AS head, round({total}, 4) AS total FROM {{documents}} d JOIN {{embeddings}} e ON d.doc_id % (SELECT count(*) FROM {{embeddings}}) = e.vec_id"
+_LOOKUP = "SELECT d.doc_id, e.vec_id, e.label, e.embedding[{first}] AS head, round({total}, 4) AS total FROM (SELECT doc_id, doc_id % n AS k FROM {{documents}} CROSS JOIN (SELECT count(*) AS n FROM {{embeddings}}) c) d JOIN {{embeddings}} e ON d.k = e.vec_id"
 sql_query("embedding_lookup", _LOOKUP.format(first=0, total="aggregate(e.embedding, 0D, (t, x) -> t + x)"), _LOOKUP.format(first=1, total="list_sum(list_transform(e.embedding, lambda x: x::DOUBLE))"))
 # copies are combined before the shuffle; what is joined is digests, and Spark splits a join where one has very many rows
 sql_query("dedup_same_commit", "WITH k AS (SELECT doc_id, sha2(text, 256) AS digest FROM {documents}) SELECT k.doc_id, f.owner, k.doc_id > f.owner AS dropped FROM k JOIN (SELECT digest, min(doc_id) AS owner FROM k GROUP BY digest) f ON k.digest <=> f.digest",
