@@ -15,7 +15,7 @@ import __spark_entry__
 from corploom.functions import spdx
 from corploom.functions.rng import Rng
 from corploom.operators import bpe, packing, scrub, vocabulary, windows
-from corploom.plans import all_oracles, all_queries
+from corploom.plans import all_oracles, all_queries, listings
 from corploom.plans.tables import TABLES
 from corploom.sources import listing, logs, manifest, shards, tensors
 from corploom.streaming.dedup import deduplicated, event_counts
@@ -264,3 +264,24 @@ def test_trees_of_files(spark, tmp_path):
 def test_batch_digest(spark):
     made = spark.createDataFrame([(1, 0, [5], [6]), (0, 1, [3], [4]), (0, 0, [1], [2]), (2, 0, [9], [9])], "index long, row long, inputs array<int>, targets array<int>")
     assert packing.batch_digest(made, 2) == hashlib.sha256(np.array([1, 3, 2, 4, 5, 6], "<u4").tobytes()).hexdigest()
+
+
+#: (path, size, head) and what the walk takes it for, then whether it is code and whether documentation wherever it stands.
+LISTED = [
+    ("src/a.rs", 9, "", "rust", True, False), ("Makefile", 9, "", "shell", True, False), ("t/x.bats", 9, None, "shell", True, False), ("run", 9, "#! /usr/bin/env -S bash -e", "shell", True, False),
+    ("run.txt", 9, "#!/bin/sh", None, False, False), ("bin/x", 9, "#!/usr/bin/bashful", None, False, False), ("doc/a.RST", 9, "", "docs", False, True), ("NEWS-2.md", 9, "", None, False, False),
+    ("news/a.md", 9, "", "docs", False, True), ("a b.rs", 9, "", None, True, False), ("empty.sh", 0, "", None, True, False), ("big.md", 1 << 21, "", None, False, True), ("full.md", 1 << 20, "", "docs", False, True), ("rebuild/a.rs", 9, "", "rust", True, False),
+    *[(f"p/{folder}/a.rs", 9, "", None, True, False) for folder in (".git", "target", "node_modules", "vendor", "third_party", "build", "dist")],
+]
+
+
+@pytest.mark.parametrize("name", ["walk_select_files"])
+def test_file_rules_judge_each_file(spark, sf, name):
+    files = spark.createDataFrame([r[:3] for r in LISTED], "path string, size long, head string")
+    con = duckdb.connect()
+    con.execute("create table t (path varchar, size bigint, head varchar)")
+    con.executemany("insert into t values (?, ?, ?)", [r[:3] for r in LISTED])
+    sql, want, made = listings.WALK_SQL, [(r[0], r[3]) for r in LISTED if r[3]], [r for p in listings._selected(files) for r in p.collect()]
+    assert sorted(map(tuple, made)) == sorted(con.sql(sql.replace("{v}", "t")).fetchall()) == sorted(want)
+    # the query's own SQL is these rules over its files
+    assert all_oracles()[name].startswith(sql.split("{v}")[0])
