@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What is taken as code of each category, what as documentation, and what is passed by.
@@ -21,23 +21,27 @@ def listing(spark: SparkSession, root: str, heads: bool = False) -> DataFrame:
     return files.select(below.alias("path"), F.col("length").alias("size"), head.alias("head"))
 
 
-def select_files(files: DataFrame, category: str, max_bytes: int = 1 << 20, kind: str = "code") -> DataFrame:
-    """Rows of (path, size, head) that are code of a category or, of ``kind`` docs, documentation; a shell script without a suffix is told by its head.
-
-    Empty and too large files, paths with a space or no path, and what is below a skipped folder are left out.
-    """
+def is_kind(category: str, kind: str = "code") -> Column:
+    """Whether a row of (path, head) is code of a category or, of ``kind`` docs, documentation, by its name and, a shell script without a suffix, its head; size and folder don't matter."""
     if kind not in ("code", "docs") or kind == "code" and category not in SUFFIXES:
         raise ValueError(f"no rule for {kind} of {category}")
     name = F.substring_index("path", "/", -1)
     ends = lambda c, suffixes: F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith(c, s))
     if kind == "docs":
-        wanted = ends(F.lower(name), DOCS) & ~F.exists(F.array(*map(F.lit, RELEASE_NOTES)), lambda p: F.startswith(F.lower(name), p))
-    else:
-        wanted = ends(name, SUFFIXES[category]) | name.isin(*NAMES[category])
-        if category == "shell":
-            wanted |= name.rlike(r"^[.]*[^.]+$") & F.coalesce(F.col("head").rlike(SHEBANG), F.lit(False))
+        return ends(F.lower(name), DOCS) & ~F.exists(F.array(*map(F.lit, RELEASE_NOTES)), lambda p: F.startswith(F.lower(name), p))
+    wanted = ends(name, SUFFIXES[category]) | name.isin(*NAMES[category])
+    if category == "shell":
+        wanted |= name.rlike(r"^[.]*[^.]+$") & F.coalesce(F.col("head").rlike(SHEBANG), F.lit(False))
+    return wanted
+
+
+def select_files(files: DataFrame, category: str, max_bytes: int = 1 << 20, kind: str = "code") -> DataFrame:
+    """Rows of (path, size, head) that are code of a category or, of ``kind`` docs, documentation; a shell script without a suffix is told by its head.
+
+    Empty and too large files, paths with a space or no path, and what is below a skipped folder are left out.
+    """
     skipped = "(^|/)(" + "|".join(s.replace(".", "[.]") for s in SKIPPED) + ")/"
-    return files.where(wanted & F.col("size").between(1, max_bytes) & ~F.contains("path", F.lit(" ")) & ~F.col("path").rlike(skipped))
+    return files.where(is_kind(category, kind) & F.col("size").between(1, max_bytes) & ~F.contains("path", F.lit(" ")) & ~F.col("path").rlike(skipped))
 
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:

@@ -275,13 +275,16 @@ LISTED = [
 ]
 
 
-@pytest.mark.parametrize("name", ["walk_select_files"])
+@pytest.mark.parametrize("name", ["walk_select_files", "p_is_code"])
 def test_file_rules_judge_each_file(spark, sf, name):
     files = spark.createDataFrame([r[:3] for r in LISTED], "path string, size long, head string")
     con = duckdb.connect()
     con.execute("create table t (path varchar, size bigint, head varchar)")
     con.executemany("insert into t values (?, ?, ?)", [r[:3] for r in LISTED])
-    sql, want, made = listings.WALK_SQL, [(r[0], r[3]) for r in LISTED if r[3]], [r for p in listings._selected(files) for r in p.collect()]
+    if name == "walk_select_files":
+        sql, want, made = listings.WALK_SQL, [(r[0], r[3]) for r in LISTED if r[3]], [r for p in listings._selected(files) for r in p.collect()]
+    else:
+        sql, want, made = listings.CODE_SQL, [(r[0], *r[4:]) for r in LISTED], listings._kinds(files).collect()
     assert sorted(map(tuple, made)) == sorted(con.sql(sql.replace("{v}", "t")).fetchall()) == sorted(want)
     # the query's own SQL is these rules over its files
     assert all_oracles()[name].startswith(sql.split("{v}")[0])
