@@ -26,8 +26,8 @@ from .common import splitter, text_of
 
 #: Characters of a chunk and of the overlap with the next, and how near a chunk's end a boundary isn't trusted.
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 8
-#: Distinct pieces that a worker remembers; beyond that it starts anew, which costs time only.
-REMEMBERED = 400_000
+#: Distinct pieces that a worker remembers, about 40 MB; beyond that it starts anew, which costs time only.
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=4)
