@@ -70,3 +70,22 @@ def test_near_copies_go_and_others_stay(spark, tile, leaders, monkeypatch):
     # the stage with its own settings leaves no pair either
     stage = [r["text"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert all(_similarity(a, b) < 0.8 for a, b in itertools.combinations(stage, 2))
+
+
+@pytest.mark.parametrize("tile,leaders", [(64, 32), (2, 1)])
+def test_near_copies_make_components(spark, tile, leaders, monkeypatch):
+    """Chains in which only neighbours are alike, in any order of ids, are one class: of each the least doc_id stays."""
+    monkeypatch.setattr(near_copies, "LEADERS", leaders)
+    monkeypatch.setattr(near_copies, "PART", 3)
+    rnd = random.Random(7)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(260)]
+        chain = [" ".join(words[8 * c : 8 * c + 200]) for c in range(8)]
+        ids = list(range(100 * g, 100 * g + 8))
+        rnd.shuffle(ids)
+        rows += zip(ids, chain, strict=True)
+        assert all(_similarity(a, b) >= 0.8 for a, b in itertools.pairwise(chain)) and _similarity(chain[0], chain[-1]) < 0.8
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    left = near_copies.without_near_copies(docs, tile=tile).collect()
+    assert sorted(r["doc_id"] for r in left) == [100 * g for g in range(6)]
