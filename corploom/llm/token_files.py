@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ _HEAD, _TAIL = struct.Struct("<8sII"), struct.Struct("<QQQQII8s")
 BLOCK, FILE_IDS, BATCH_IDS = 1 << 13, 1 << 27, 1 << 20
 #: Distinct pieces whose ids a worker remembers; beyond that it starts anew, which costs time only.
 REMEMBERED = 400_000
+#: Bytes of texts whose stretches between blanks are looked up together.
+TOGETHER = 2_000_000
 
 
 # -- packing -----------------------------------------------------------------------------------------
@@ -256,6 +259,10 @@ class PackedIds(DataSource):
 _LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 
 
+#: The pattern by which a blank between others than blanks begins a pre-token, whatever stands around.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class _Known(dict):
     """pre-token -> its ids as bytes, by the library's model; long ones aren't remembered."""
 
@@ -263,7 +270,10 @@ class _Known(dict):
         self.model = model
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        if piece.isascii() and piece.isprintable():  # only the blank has another letter
+            letters = piece.replace(" ", _LETTERS[0x20])
+        else:
+            letters = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
         found = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
@@ -272,42 +282,105 @@ class _Known(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def _coder(path: str, pattern: str):
-    """text -> its ids as bytes, once per worker process. Special tokens' strings are cut out first; each pre-token between is encoded once."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as lines:
-        spec = json.load(lines)
-    before = spec["pre_tokenizer"] or {}
-    if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-        raise ValueError(f"{path} is not a byte-level vocabulary that splits texts as they are")
-    special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-    cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-    known, pieces = _Known(tokenizer.model), splitter(pattern)
-    special_ids = {s: np.array([tokenizer.token_to_id(s)], "<i4").tobytes() for s in special}
-
-    def encode(text: str) -> bytes:
-        if cut is None or not any(s in text for s in special):
+class _Coder:
+    """Whole texts to ids. Special tokens' strings are cut out first; each pre-token between is encoded once."""
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as lines:
+            spec = json.load(lines)
+        before = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path} is not a byte-level vocabulary that splits texts as they are")
+        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.known, self.pieces, self.by_blanks = _Known(tokenizer.model), splitter(pattern), pattern == BYTE_LEVEL
+        self.special_ids = {s: np.array([tokenizer.token_to_id(s)], "<i4").tobytes() for s in self.special}
+
+    def one(self, text: str) -> bytes:
+        """The ids of a text as bytes, pre-token by pre-token."""
+        known, pieces = self.known, self.pieces
+        if self.cut is None or not any(s in text for s in self.special):
             return b"".join([known[p] for p in pieces(text)])
-        return b"".join([special_ids[part] if i % 2 else b"".join([known[p] for p in pieces(part)]) for i, part in enumerate(cut(text))])
+        return b"".join([self.special_ids[part] if i % 2 else b"".join([known[p] for p in pieces(part)]) for i, part in enumerate(self.cut(text))])
+
+    def many(self, texts: pa.Array, end: int | None = None) -> pa.ListArray:
+        """The ids of each text, then ``end`` if one is given.
+
+        Texts are split at blanks, and each distinct stretch is cut into pre-tokens and looked up once
+        for all texts: where none is empty or begins with white space, a pre-token begins at each blank
+        and none goes over it. Other texts, and those with special tokens, are encoded one by one.
+        """
+        if not self.by_blanks:
+            raw = [self.one(t) for t in texts.to_pylist()]
+            return _lists(raw, np.arange(len(raw)), np.arange(len(raw) + 1), end)
+        split = pc.split_pattern(texts, " ")
+        bounds, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        codes, stretches = coded.indices.to_numpy().copy(), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        joined = pc.binary_join(stretches, pa.scalar(" ", texts.type))[0].as_py()
+        units = joined.split(" ")
+        odd = np.fromiter((not u or u[0].isspace() for u in units), bool, len(units))
+        if odd.any():
+            joined = " ".join(["x" if o else u for u, o in zip(units, odd.tolist(), strict=True)])  # not used
+        pieces = self.pieces(" " + joined)
+        raw = [self.known[p] for p in pieces]
+        begins = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        if len(begins) != len(units):
+            raise RuntimeError(f"{len(begins)} of {len(units)} stretches begin a pre-token")
+        # a row's first stretch has no blank before it; of a row that is encoded by itself all else is left out
+        rows, first = np.arange(len(texts)), codes[bounds[:-1]].tolist()
+        alone = np.add.reduceat(odd[codes], bounds[:-1]) > 0
+        for s in self.special:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        heads = [self.one(texts[row].as_py() if own else units[code]) for row, (own, code) in enumerate(zip(alone.tolist(), first, strict=True))]
+        none = len(units) + len(heads)
+        codes[np.repeat(alone, np.diff(bounds))] = none
+        codes[bounds[:-1]] = len(units) + rows
+        return _lists([*raw, *heads, b""], codes, bounds, end, np.concatenate([begins, len(raw) + np.arange(len(heads) + 1)]))
+
+
+def _lists(raw: list[bytes], codes: np.ndarray, bounds: np.ndarray, end: int | None, begins: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of ids, ``bounds`` of the ``codes`` each; a code is a place of ``raw`` or a stretch of it, from its place in ``begins`` to the next."""
+    last = [] if end is None else [np.array([end], "<i4").tobytes()]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    sizes = np.concatenate([sizes if begins is None else np.add.reduceat(sizes, begins), [1] * len(last)])
+    if last:
+        codes = np.insert(codes, bounds[1:], len(sizes) - 1)
+        bounds = bounds + np.arange(len(bounds))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    entries = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join([*raw, *last]), "<i4")))
+    taken = entries.take(pa.array(codes))
+    return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[bounds]), taken.values)
+
+
+@lru_cache(maxsize=2)
+def _coder(path: str, pattern: str) -> _Coder:
+    """One per worker process."""
+    return _Coder(path, pattern)
+
 
-    return encode
+def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about ``size`` bytes of text; a longer one by itself."""
+    ends, low = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
+        yield low, high
+        low = high
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, end: int | None = None) -> DataFrame:
     """(doc_id, tie, row, ids) of rows (doc_id, text, tie, row): ids of the byte-level vocabulary of a tokenizers file, then ``end`` if one is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = _coder(path, pattern), b"" if end is None else np.array([end], "<i4").tobytes()
+        coder = _coder(path, pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):  # a few texts' ids at a time
-                few = batch.slice(low, 256)
-                raw = [encode(t.as_py()) + last for t in few.column("text")]
-                cuts = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
-                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), few.column("tie"), few.column("row"), ids], names=["doc_id", "tie", "row", "ids"])
+            for low, high in _runs(batch.column("text"), TOGETHER):
+                some = batch.slice(low, high - low)
+                out = pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("tie"), some.column("row"), coder.many(some.column("text"), end)], names=["doc_id", "tie", "row", "ids"])
+                for at in range(0, out.num_rows, 256):  # a few texts' ids at a time
+                    yield out.slice(at, 256)
 
     return docs.mapInArrow(run, "doc_id long, tie long, row long, ids array<int>")
 

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -50,6 +51,26 @@ def test_token_files_ties(spark):
     assert token_files.op11_token_files(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_token_files_shared_stretches():
+    """What many texts hold between blanks is cut and looked up once for all of them, and the ids are the library's."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, coder, rng = Tokenizer.from_file(path), token_files._Coder(path, public_tokenizers.PATTERN), random.Random(11)
+    assert coder.by_blanks and not [c for c in map(chr, range(0x110000)) if regex.match(r"\s", c) and not c.isspace()]
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x00", "\x85", "\u00a0", "\u3000", "a", "word", "é", "日", "🙂", "7", "'", "'s", "'ll", "!", ".", "<|endoftext|>", "<|"]
+    texts = ["", " ", "a ", " a", "\n", "a\n", "a\n b", "a \nb", "a\n\n \nb", "x" * 100] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    want = [list(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for end in (None, 2):
+        assert coder.many(pa.array(texts), end).to_pylist() == [ids + [end] * (end is not None) for ids in want]
+    assert coder.many(pa.array([], pa.string()), 2).to_pylist() == []
+    assert coder.many(pa.array(texts, pa.large_string())[5:70]).to_pylist() == want[5:70]
+    other = token_files._Coder(path, public_tokenizers.PATTERN + "|x")
+    assert not other.by_blanks and other.many(pa.array(texts[:99]), 2).to_pylist() == [[*ids, 2] for ids in want[:99]]
+    seen, whole, split = [], ["of the same words, again.\n" + "of the same words, again. " * 50 + "end"] * 300, coder.pieces
+    coder.pieces = lambda text: seen.append(len(text)) or split(text)
+    assert coder.many(pa.array(whole)).to_pylist() == [list(tokenizer.encode(whole[0], add_special_tokens=False).ids)] * 300
+    assert sum(seen) * 100 < sum(map(len, whole))
+
+
 @pytest.mark.parametrize("vocabulary", [2, 3, 257, 32_000, 50_257, 65_537, 1 << 20, 1 << 31])
 def test_packing(vocabulary):
     bits, rng = token_files.bits_of(vocabulary), np.random.default_rng(vocabulary)
