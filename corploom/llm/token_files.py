@@ -262,6 +262,10 @@ _LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 #: The pattern by which a blank between others than blanks begins a pre-token, whatever stands around.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_WHITE = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace())
+#: A text that is empty, begins with white space, ends with a blank or has one before white space, which includes all that Python calls so.
+ODD_BLANKS = f"^(?:[{_WHITE}]|$)| (?:[{_WHITE}]|$)"
+
 
 class _Known(dict):
     """pre-token -> its ids as bytes, by the library's model; long ones aren't remembered."""
@@ -313,39 +317,36 @@ class _Coder:
         for all texts: where none is empty or begins with white space, a pre-token begins at each blank
         and none goes over it. Other texts, and those with special tokens, are encoded one by one.
         """
-        if not self.by_blanks:
-            raw = [self.one(t) for t in texts.to_pylist()]
-            return _lists(raw, np.arange(len(raw)), np.arange(len(raw) + 1), end)
-        split = pc.split_pattern(texts, " ")
-        bounds, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
-        codes, stretches = coded.indices.to_numpy().copy(), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        rows = np.arange(len(texts))
+        alone = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False) if self.by_blanks else rows >= 0
+        for s in self.special:
+            alone = alone | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~alone)), " ")
+        own, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        stretches = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
         joined = pc.binary_join(stretches, pa.scalar(" ", texts.type))[0].as_py()
-        units = joined.split(" ")
-        odd = np.fromiter((not u or u[0].isspace() for u in units), bool, len(units))
-        if odd.any():
-            joined = " ".join(["x" if o else u for u, o in zip(units, odd.tolist(), strict=True)])  # not used
-        pieces = self.pieces(" " + joined)
+        units = joined.split(" ") if joined else []
+        pieces = self.pieces(" " + joined) if joined else []
         raw = [self.known[p] for p in pieces]
         begins = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
-        if len(begins) != len(units):
-            raise RuntimeError(f"{len(begins)} of {len(units)} stretches begin a pre-token")
-        # a row's first stretch has no blank before it; of a row that is encoded by itself all else is left out
-        rows, first = np.arange(len(texts)), codes[bounds[:-1]].tolist()
-        alone = np.add.reduceat(odd[codes], bounds[:-1]) > 0
-        for s in self.special:
-            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        heads = [self.one(texts[row].as_py() if own else units[code]) for row, (own, code) in enumerate(zip(alone.tolist(), first, strict=True))]
-        none = len(units) + len(heads)
-        codes[np.repeat(alone, np.diff(bounds))] = none
-        codes[bounds[:-1]] = len(units) + rows
-        return _lists([*raw, *heads, b""], codes, bounds, end, np.concatenate([begins, len(raw) + np.arange(len(heads) + 1)]))
-
-
-def _lists(raw: list[bytes], codes: np.ndarray, bounds: np.ndarray, end: int | None, begins: np.ndarray | None = None) -> pa.ListArray:
-    """Lists of ids, ``bounds`` of the ``codes`` each; a code is a place of ``raw`` or a stretch of it, from its place in ``begins`` to the next."""
+        if not len(begins) == len(units) == len(coded.dictionary):
+            raise RuntimeError(f"{len(begins)} of {len(coded.dictionary)} stretches begin a pre-token")
+        # the first stretch of a text has no blank before it, so it has an entry of its own, as has a text by itself
+        sizes, codes = np.ones(len(texts), np.int64), coded.indices.to_numpy()
+        sizes[~alone] = np.diff(own)
+        bounds, first = np.concatenate([[0], np.cumsum(sizes)]), iter(codes[own[:-1]].tolist())
+        heads = [self.one(texts[row].as_py() if by_itself else units[next(first)]) for row, by_itself in enumerate(alone.tolist())]
+        places = np.empty(bounds[-1], np.int32)
+        places[np.repeat(~alone, sizes)] = codes
+        places[bounds[:-1]] = len(units) + rows
+        return _lists([*raw, *heads], places, bounds, end, np.concatenate([begins, len(raw) + rows]))
+
+
+def _lists(raw: list[bytes], codes: np.ndarray, bounds: np.ndarray, end: int | None, begins: np.ndarray) -> pa.ListArray:
+    """Lists of ids, ``bounds`` of the ``codes`` each; a code is a stretch of ``raw``, from its place in ``begins`` to the next."""
     last = [] if end is None else [np.array([end], "<i4").tobytes()]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-    sizes = np.concatenate([sizes if begins is None else np.add.reduceat(sizes, begins), [1] * len(last)])
+    sizes = np.concatenate([np.add.reduceat(sizes, begins), np.ones(len(last), np.int64)])
     if last:
         codes = np.insert(codes, bounds[1:], len(sizes) - 1)
         bounds = bounds + np.arange(len(bounds))

@@ -56,12 +56,13 @@ def test_token_files_shared_stretches():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, coder, rng = Tokenizer.from_file(path), token_files._Coder(path, public_tokenizers.PATTERN), random.Random(11)
     assert coder.by_blanks and not [c for c in map(chr, range(0x110000)) if regex.match(r"\s", c) and not c.isspace()]
+    assert max(c for c in map(chr, range(0x110000)) if c.isspace()) == "\u3000"
     parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x00", "\x85", "\u00a0", "\u3000", "a", "word", "é", "日", "🙂", "7", "'", "'s", "'ll", "!", ".", "<|endoftext|>", "<|"]
     texts = ["", " ", "a ", " a", "\n", "a\n", "a\n b", "a \nb", "a\n\n \nb", "x" * 100] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
     want = [list(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for end in (None, 2):
         assert coder.many(pa.array(texts), end).to_pylist() == [ids + [end] * (end is not None) for ids in want]
-    assert coder.many(pa.array([], pa.string()), 2).to_pylist() == []
+    assert coder.many(pa.array([], pa.string()), 2).to_pylist() == [] and coder.many(pa.array(["", "  a"]), 2).to_pylist() == [[2], [*want[1], *want[texts.index(" a")], 2]]
     assert coder.many(pa.array(texts, pa.large_string())[5:70]).to_pylist() == want[5:70]
     other = token_files._Coder(path, public_tokenizers.PATTERN + "|x")
     assert not other.by_blanks and other.many(pa.array(texts[:99]), 2).to_pylist() == [[*ids, 2] for ids in want[:99]]
