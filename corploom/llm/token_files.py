@@ -206,16 +206,26 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, vocabulary: int, block: int, file_ids: int, overwrite: bool):
-        self.vocabulary, self.block, self.file_ids = vocabulary, block, file_ids
+    def __init__(self, path: str, vocabulary: int, block: int, file_ids: int, overwrite: bool, coder: tuple[str, str, int | None] | None):
+        self.vocabulary, self.block, self.file_ids, self.coder = vocabulary, block, file_ids, coder
         self.target = Commit(path, overwrite)
 
+    def lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+        """doc_ids and their ids; those of some texts at a time where texts come."""
+        for batch in batches:
+            docs, values = batch.column("doc_id"), batch.column(1)
+            if self.coder is None:
+                yield docs, values
+                continue
+            path, pattern, end = self.coder
+            for low, high in _runs(values, TOGETHER):
+                yield docs.slice(low, high - low), _coder(path, pattern).many(values.slice(low, high - low), end)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         said, file, name = self.target.message(), None, ""
-        for batch in iterator:
-            ids = batch.column("ids")
+        for docs, ids in self.lists(iterator):
             values, cuts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            for row, doc_id in enumerate(docs.to_pylist()):
                 if file is None:
                     name, out = self.target.open(f"ids-{said.partition:06d}-{len(said.files):04d}", ".bits")
                     file = FileWriter(out, self.vocabulary, self.block)
@@ -235,7 +245,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class PackedIds(DataSource):
-    """``packed_ids``: (doc_id, start, ids) in the order written; options path, vocabulary, block, file_ids. Rows to write are (doc_id, ids)."""
+    """``packed_ids``: (doc_id, start, ids) in the order written; options path, vocabulary, block, file_ids. Rows to write are (doc_id, ids), or (doc_id, text) with the options tokenizer, pattern and, if wanted, end."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +259,8 @@ class PackedIds(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         o = self.options
-        return _Writer(o["path"], int(o["vocabulary"]), int(o.get("block", BLOCK)), int(o.get("file_ids", FILE_IDS)), overwrite)
+        coder = (o["tokenizer"], o["pattern"], int(o["end"]) if "end" in o else None) if "tokenizer" in o else None
+        return _Writer(o["path"], int(o["vocabulary"]), int(o.get("block", BLOCK)), int(o.get("file_ids", FILE_IDS)), overwrite, coder)
 
 
 # -- encoding ------------------------------------------------------------------------------------------
@@ -371,21 +382,6 @@ def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, end: int | None = None) -> DataFrame:
-    """(doc_id, tie, row, ids) of rows (doc_id, text, tie, row): ids of the byte-level vocabulary of a tokenizers file, then ``end`` if one is given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in batches:
-            for low, high in _runs(batch.column("text"), TOGETHER):
-                some = batch.slice(low, high - low)
-                out = pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("tie"), some.column("row"), coder.many(some.column("text"), end)], names=["doc_id", "tie", "row", "ids"])
-                for at in range(0, out.num_rows, 256):  # a few texts' ids at a time
-                    yield out.slice(at, 256)
-
-    return docs.mapInArrow(run, "doc_id long, tie long, row long, ids array<int>")
-
-
 def write_packed(docs: DataFrame, target: str, path: str, pattern: str, vocabulary: int, end: int | None = None, block: int = BLOCK, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes the ids to ``target`` in ascending order of ``id_col``.
 
@@ -394,10 +390,11 @@ def write_packed(docs: DataFrame, target: str, path: str, pattern: str, vocabula
     Any other columns are left out, whatever their names.
     """
     rows = text_of(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    dealt = encoded(rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie", "row"), path, pattern, end)
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "row").select("doc_id", "ids")
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     docs.sparkSession.dataSource.register(PackedIds)
-    ordered.write.format("packed_ids").options(vocabulary=vocabulary, block=block, file_ids=file_ids).mode("overwrite").save(qualified(docs.sparkSession, target))
+    options = {"vocabulary": vocabulary, "block": block, "file_ids": file_ids, "tokenizer": path, "pattern": pattern} | ({} if end is None else {"end": end})
+    ordered.write.format("packed_ids").options(**options).mode("overwrite").save(qualified(docs.sparkSession, target))
 
 
 def read_packed(spark: SparkSession, target: str) -> DataFrame:
