@@ -23,13 +23,15 @@ def multiply(a: DataFrame, b: DataFrame, row: str = "row", values: str = "values
     A batch of matrices times one is the same with all their rows numbered on. Blocks of ``a`` meet every
     block of columns of ``b``, of which there is a copy for each ``SHARED`` blocks of rows, so that few
     columns of ``a`` don't make few tasks; each pair is one product in numpy, and products are added up by
-    rows and block of columns. Rows of ``b`` that are missing count as zeros; a vector of ``a`` that is
-    null or empty gives no row.
+    rows and block of columns. Rows of ``b`` that are missing count as zeros, those beyond the longest vector
+    of ``a`` meet nothing and are left out before they are copied; a vector of ``a`` that is null or empty
+    gives no row.
     """
-    copies = 1 + (a.agg(F.coalesce(F.max(row), F.lit(0))).first()[0] // block) // SHARED
+    last, width = a.agg(F.coalesce(F.max(row), F.lit(0)), F.coalesce(F.max(F.size(values)), F.lit(0))).first()
+    copies = 1 + (last // block) // SHARED
     left = a.where(F.size(values) > 0).select(F.col(row).cast("long").alias("i"), F.floor(F.col(row) / block).cast("long").alias("rows_at"), F.explode(_cut(values, block)).alias("c"))
     left = left.groupBy("rows_at", F.pmod(F.xxhash64("rows_at"), F.lit(copies).cast("long")).alias("copy"), F.col("c.block").alias("inner_at")).agg(F.collect_list(F.struct("i", "c.part")).alias("rows"))
-    right = b.where(F.size(values) > 0).select(F.col(row).cast("long").alias("k"), F.floor(F.col(row) / block).cast("long").alias("inner_at"), F.explode(_cut(values, block)).alias("c"))
+    right = b.where((F.size(values) > 0) & F.col(row).between(0, width - 1)).select(F.col(row).cast("long").alias("k"), F.floor(F.col(row) / block).cast("long").alias("inner_at"), F.explode(_cut(values, block)).alias("c"))
     right = right.groupBy("inner_at", F.col("c.block").alias("columns_at")).agg(F.collect_list(F.struct("k", "c.part")).alias("columns"))
     right = right.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
 
@@ -47,7 +49,8 @@ def multiply(a: DataFrame, b: DataFrame, row: str = "row", values: str = "values
                 out += [(r["i"], big_j, v) for r, v in zip(rows, parts @ matrix, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2].tolist() for o in out], pa.list_(pa.float64()))], names=["i", "columns_at", "part"])
 
-    products = left.join(right, ["copy", "inner_at"]).select("inner_at", "columns_at", "rows", "columns").mapInArrow(run, "i long, columns_at long, part array<double>")
+    # a plan knows the size of ``right`` before it is copied only, so it must not choose to send it whole to every task
+    products = left.join(right.hint("merge"), ["copy", "inner_at"]).select("inner_at", "columns_at", "rows", "columns").mapInArrow(run, "i long, columns_at long, part array<double>")
     # one addition for each block of columns of a, which is few
     add = lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), F.get(parts, F.lit(0)), lambda t, p: F.zip_with(t, p, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
     summed = products.groupBy("i", "columns_at").agg(F.collect_list("part").alias("parts")).select("i", "columns_at", add(F.col("parts")).alias("part"))

@@ -108,7 +108,7 @@ query("json_variant", "SELECT event_id, json_extract_string(props, '$.k')::INT A
 
 def _matmul_tables(spark, d):
     """Vectors of ``embeddings`` times a matrix of ``part``, a row for each key below the vectors' width."""
-    a = table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    a = table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("values"))
     b = table(spark, d, "part").select((F.col("p_partkey") - 1).alias("row"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 1000, F.length("p_name").cast("double")).alias("values"))
     made = matrices.multiply(a, b, block=24)
     return made.select(F.col("row").alias("vec_id"), *(F.round(F.get("values", F.lit(k)), 4).alias(f"c{k}") for k in range(3)))

@@ -59,3 +59,15 @@ def test_products_of_tables(spark, m, k, n, block):
     frame = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row long, values array<double>").repartition(3)
     got = {r["row"]: r["values"] for r in matrices.multiply(frame(a), frame(b), block=block).collect()}
     assert len(got) == m and all(np.allclose(got[i], a[i] @ b) for i in range(m))
+
+
+def test_products_of_tables_with_many_more_rows(spark):
+    """Rows beyond the width of the left side are left out before they are copied, and copies are not sent whole to every task."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-5, 6, (300, 6)).astype(float), rng.integers(-5, 6, (20_000, 2)).astype(float)
+    frame = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row long, values array<double>").repartition(3)
+    made = matrices.multiply(frame(a), frame(b), block=2)
+    got = {r["row"]: r["values"] for r in made.collect()}
+    assert len(got) == 300 and all(np.allclose(got[i], a[i] @ b[:6]) for i in range(300))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "<= 5)" in plan
