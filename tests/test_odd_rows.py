@@ -27,3 +27,12 @@ def test_entropy_of_empty_texts(spark, tmp_path):
     rows = [(1, "ab\0", "en", "s", 3), (2, "", "en", "s", 0), (3, "", "de", "s", 0), (4, None, "fr", "s", 0), (5, "é\r\n", None, "s", 4), (6, "", None, "s", 0), (7, "aaaa", "es", "s", 4)]
     got = held_against_sql(spark, tmp_path, "agg_entropy", "documents", DOCUMENTS, rows)
     assert (0.0, "de", 1) in got and {r[1]: r[2] for r in got} == {"en": 4, "de": 1, None: 5, "es": 4}
+
+
+#: Ids whose digest at the generic rule's place has under 3.5 bits a character, so that it is no secret by that rule as it is.
+FLAT = [27780, 55670, 62660, 117920, 126790]
+
+
+def test_findings_by_rule_of_flat_digests(spark, tmp_path):
+    got = held_against_sql(spark, tmp_path, "agg_findings_by_rule", "documents", DOCUMENTS, [(i, "x", "en", "s", 1) for i in FLAT])
+    assert ("generic-secret" in {r[1] for r in got}) and {r[0] for r in got if r[1] == "generic-secret"} == {len(FLAT)}
