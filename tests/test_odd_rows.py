@@ -36,3 +36,18 @@ FLAT = [27780, 55670, 62660, 117920, 126790]
 def test_findings_by_rule_of_flat_digests(spark, tmp_path):
     got = held_against_sql(spark, tmp_path, "agg_findings_by_rule", "documents", DOCUMENTS, [(i, "x", "en", "s", 1) for i in FLAT])
     assert ("generic-secret" in {r[1] for r in got}) and {r[0] for r in got if r[1] == "generic-secret"} == {len(FLAT)}
+
+
+def test_scrub_kinds_of_flat_digests(spark, tmp_path):
+    got = held_against_sql(spark, tmp_path, "scrub_kinds", "documents", DOCUMENTS, [(i, "x", "en", "s", 1) for i in [*FLAT, 10, 10]])
+    assert all((i, 76, 1, "generic-secret", 12) in got for i in FLAT) and (10, 76, 2, "generic-secret", 12) in got
+
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR"
+
+
+def test_window_loss_of_equal_values(spark, tmp_path):
+    rows = [(i, None, 1, "view", 5.0 if i % 10 == 3 else float(i % 5), None) for i in range(250)]
+    rows += [(300, None, 1, "view", None, None), (400, None, 1, "view", None, None), (401, None, 1, "view", 2.0, None), (-150, None, 1, "view", 1.0, None), (-120, None, 1, "view", 1.0, None), (None, None, 1, "view", 1.0, None)]
+    got = held_against_sql(spark, tmp_path, "agg_window_loss", "events", EVENTS, rows)
+    assert {3, 103, 203, 401, -150} <= {r[0] for r in got}
