@@ -51,3 +51,10 @@ def test_window_loss_of_equal_values(spark, tmp_path):
     rows += [(300, None, 1, "view", None, None), (400, None, 1, "view", None, None), (401, None, 1, "view", 2.0, None), (-150, None, 1, "view", 1.0, None), (-120, None, 1, "view", 1.0, None), (None, None, 1, "view", 1.0, None)]
     got = held_against_sql(spark, tmp_path, "agg_window_loss", "events", EVENTS, rows)
     assert {3, 103, 203, 401, -150} <= {r[0] for r in got}
+
+
+def test_io_pairs_in_single_precision(spark, tmp_path):
+    values = [0.29, 0.57, 0.58, 1.13, 1.14, 1.15, -0.29, -0.57, 0.07]
+    rows = [(1, values, 0), (2, [], 0), (3, None, 0), (4, values[:5], 0), (5, [0.29, None, None, None, None, None], 0), (6, values[:4], 0), (7, [None] * 5, 0)]
+    got = held_against_sql(spark, tmp_path, "io_pairs", "embeddings", "vec_id BIGINT, embedding FLOAT[], label INTEGER", rows)
+    assert (0, 29 + 57 + 58 + 113, 1, 57 + 58 + 113 + 114) in got and (0, 29, 5, None) in got
