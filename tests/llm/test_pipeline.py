@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -89,3 +90,30 @@ def test_near_copies_make_components(spark, tile, leaders, monkeypatch):
     docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     left = near_copies.without_near_copies(docs, tile=tile).collect()
     assert sorted(r["doc_id"] for r in left) == [100 * g for g in range(6)]
+
+
+def test_near_copies_that_keys_and_fingerprints_miss(spark):
+    """Pairs at 0.8 whose fingerprints differ in more bits than the radius, or that share no key, go too."""
+    rnd, rows, far, apart = random.Random(3), [], 0, 0
+    while far < 12 or apart < 3:
+        long = [f"w{rnd.randrange(10**9)}" for _ in range(9)]
+        a, b = (near_copies.shingles(" ".join(w)) for w in (long[:8], long))
+        bits = bin(int(near_copies.fingerprint(a)) ^ int(near_copies.fingerprint(b))).count("1")
+        keys = set(near_copies.bands(a)) & set(near_copies.bands(b))
+        if bits > near_copies.RADIUS or not keys:
+            far, apart = far + (bits > near_copies.RADIUS), apart + (not keys)
+            rows += [(len(rows), " ".join(long[:8])), (len(rows) + 1, " ".join(long))]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(left) == list(range(0, len(rows), 2))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 30), 100, 333]:
+        for _ in range(20):
+            b = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            a = np.unique(np.concatenate([rng.permutation(b)[: max(1, int(np.ceil(0.8 * n)))], rng.integers(0, 1 << 63, rng.integers(0, 2), np.uint64)]))
+            often = np.sort(rng.permutation(b)[: rng.integers(0, n + 1)])
+            if near_copies.similar(a, b):
+                assert np.intersect1d(near_copies.prefix(a, often), near_copies.prefix(b, often)).size >= near_copies.least(min(len(a), len(b)))
