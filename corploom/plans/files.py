@@ -172,7 +172,7 @@ z AS (SELECT shard, (pos - 1) // 128 AS i, string_agg(x, '' ORDER BY pos) AS tar
 w AS (SELECT row_number() OVER (ORDER BY shard, i) - 1 AS sequence, inputs, targets FROM a JOIN z USING (shard, i) JOIN c USING (shard) WHERE i < n),"""
 query("agg_batch_digest", f"""{epoch_sql("SELECT count(*) FROM w", 42, 1, _SHARD_WINDOWS)},
 b AS (SELECT place // 8 AS index, string_agg(inputs, '' ORDER BY place) || string_agg(targets, '' ORDER BY place) AS h FROM orders JOIN w USING (sequence), nn WHERE place < n - n % 8 AND place // 8 < 100 GROUP BY ALL)
-SELECT sha256(unhex(string_agg(h, '' ORDER BY index))) AS digest FROM b""")(lambda spark, d: spark.createDataFrame([(packing.batch_digest(token_shards.batches_from(spark, _packed(spark, d), 128, 8, 42, 1)),)], "digest string"))
+SELECT sha256(unhex(string_agg(h, '' ORDER BY index))) AS digest FROM b""")(lambda spark, d: spark.createDataFrame([(packing.batch_digest(token_shards.batches_from(spark, _packed(spark, d), 128, 8, 42, 1, stop=100)),)], "digest string"))
 
 
 def _tensor_ranges(spark, d):

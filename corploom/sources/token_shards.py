@@ -1,6 +1,6 @@
 """Token shards as a Spark data source: ``spark.read.format("token_shards")`` and ``df.write.format("token_shards")``.
 
-Writing streams: the tokens of a shard come as rows in order, go to the file at once, and a running
+Writing streams: the tokens of a shard come as rows in order, packed on the way, go to the file at once, and a running
 digest ends it; what a shard will hold is known from the packing, since a file's header tells it. The
 driver commits the files of all tasks in one step (``committed``). Reading gives a file a partition and
 never a whole shard a row: chunks of tokens, documents, or windows for training, by the option ``rows``.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from ..scratch import materialize, qualified
 from .committed import Commit, Written, committed, file_system, open_file
 from .shards import header, read_header
 
+#: How a document's ids are packed on their way to its shard.
+CODEC = "zstd"
 #: Tokens of a chunk, and of what is read at a time.
 CHUNK = 1 << 16
 ENDING = ".shard"
@@ -153,10 +156,8 @@ class _Writer(DataSourceArrowWriter):
 
         kind = "<u2" if self.vocabulary <= 65_536 else "<u4"
         for batch in iterator:
-            ids = batch.column("ids")
-            values, cuts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            for row, (shard, size, order) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "shard_tokens", "ord")), strict=True)):
-                own = values[cuts[row] : cuts[row + 1]].astype(np.int64)
+            for shard, size, order, n, packed in zip(*(batch.column(c).to_pylist() for c in ("shard", "shard_tokens", "ord", "size", "packed")), strict=True):
+                own = np.frombuffer(pa.decompress(packed, decompressed_size=4 * (n - 1), codec=CODEC), "<i4").astype(np.int64)
                 if len(own) and (int(own.max()) >= self.vocabulary or int(own.min()) < 0):
                     raise ValueError(f"document {order}: a token is outside the vocabulary of {self.vocabulary}")
                 if (own == self.eos).any():
@@ -206,25 +207,46 @@ def read_shards_from(spark: SparkSession, path: str, rows: str = "chunks", lengt
     return spark.read.format("token_shards").options(rows=rows, length=length).load(qualified(spark, path))
 
 
+def _keys(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The order of documents in the shards as values that numpy compares: those without ``ord`` first."""
+    made = np.empty(rows.num_rows, [("known", "i1"), ("ord", "i8"), ("size", "i8"), ("row", "i8")])
+    for c in made.dtype.names:
+        made[c] = rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
+    return made
+
+
 def pack_tokens(encoded: DataFrame, vocabulary: int, eos: int, target: int, path: str) -> dict[str, int]:
     """Packs encoded(ord, ids) into shard files below ``path``; {shards, documents, tokens}, each document's end of text counted.
 
     In the order of ``ord`` a shard is closed once it has ``target`` tokens; the last one may be short.
     Documents without tokens are left out. A token outside the vocabulary or an end of text inside a
-    document fails the job, and nothing is left below ``path``. Documents are joined to their shards
-    by row and then dealt to them, so a shard's documents go through one task, one after another.
+    document fails the job, and nothing is left below ``path``. The first document of each shard is told
+    to all tasks, so tokens are shuffled once, to their shard; its documents go through one task, one
+    after another.
     """
     rows = encoded.where(F.size("ids") > 0).select(F.col("ord").cast("long").alias("ord"), "ids", F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows, "encoded")
     sized = rows.select("ord", (F.size("ids") + 1).alias("size"), "row")
     dealt = materialize(packing.greedy_shards(sized, "size", "ord", target, keep=("row",)), "dealt")
-    totals = dealt.groupBy("shard").agg(F.sum("size").alias("shard_tokens"))
-    placed = dealt.join(totals, "shard").select("row", "shard", "shard_tokens", "size")
-    ready = rows.join(placed, "row").repartition("shard").sortWithinPartitions("shard", F.col("ord").asc_nulls_first(), "size", "row")
     spark = encoded.sparkSession
+    firsts = dealt.groupBy("shard").agg(F.min(F.struct("ord", "size", "row")).alias("first"), F.sum("size").alias("tokens")).select(F.col("first.ord").isNotNull().alias("known"), F.coalesce("first.ord", F.lit(0)).alias("ord"), "first.size", "first.row", "shard", "tokens").orderBy("shard").toArrow()
+    shared = spark.sparkContext.broadcast((_keys(firsts), firsts.column("shard").to_numpy(), firsts.column("tokens").to_numpy()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shard, tokens = shared.value
+        for batch in batches:
+            at, ids = np.searchsorted(first, _keys(batch), "right") - 1, batch.column("ids")
+            values, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
+            packed = [pa.compress(values[a:b].tobytes(), codec=CODEC, asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            order = pc.if_else(batch.column("known"), batch.column("ord"), None)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(tokens[at]), order, batch.column("size"), batch.column("row"), pa.array(packed, pa.binary())], names=["shard", "shard_tokens", "ord", "size", "row", "packed"])
+
+    keyed = rows.select(F.col("ord").isNotNull().alias("known"), F.coalesce("ord", F.lit(0)).alias("ord"), (F.size("ids") + 1).cast("long").alias("size"), "row", "ids")
+    ready = keyed.mapInArrow(placed, "shard long, shard_tokens long, ord long, size long, row long, packed binary")
+    ready = ready.repartition("shard").sortWithinPartitions("shard", F.col("ord").asc_nulls_first(), "size", "row")
     path = qualified(spark, path)
     spark.dataSource.register(TokenShards)
-    ready.select("shard", "shard_tokens", "ord", "ids").write.format("token_shards").options(vocabulary=vocabulary, eos=eos).mode("append").save(path)
+    ready.drop("row").write.format("token_shards").options(vocabulary=vocabulary, eos=eos).mode("append").save(path)
     files = committed(path)["files"]
     return {"shards": len(files), "documents": sum(f["documents"] for f in files), "tokens": sum(f["tokens"] for f in files)}
 
@@ -238,8 +260,8 @@ def pack_text(docs: DataFrame, kept: Vocabulary, target: int, path: str, order:
     return pack_tokens(encoded.select(F.col("doc_id").alias("ord"), "ids"), size, 256 + len(kept.merges) + kept.specials.index(end), target, path)
 
 
-def batches_from(spark: SparkSession, path: str, length: int, batch: int, seed: int, epoch: int, start: int = 0) -> DataFrame:
-    """(epoch, index, row, inputs, targets) of an epoch over the windows of all shards below ``path``; how many there are is told by the manifest."""
+def batches_from(spark: SparkSession, path: str, length: int, batch: int, seed: int, epoch: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(epoch, index, row, inputs, targets) of an epoch over the windows of all shards below ``path``, or of its batches before ``stop``, where that is a few; how many windows there are is told by the manifest."""
     n = sum(max(f["tokens"] - 1, 0) // length for f in _Reader(qualified(spark, path), "windows", length).files())
-    order = packing.epoch_batches(spark, n, batch, seed, epoch, start)
-    return order.join(read_shards_from(spark, path, "windows", length), "sequence").select("epoch", "index", "row", "inputs", "targets")
+    order = packing.epoch_batches(spark, n, batch, seed, epoch, start, stop)
+    return (order if stop is None else F.broadcast(order)).join(read_shards_from(spark, path, "windows", length), "sequence").select("epoch", "index", "row", "inputs", "targets")

@@ -105,3 +105,14 @@ def test_running_max_of_hot_keys(spark):
         want.append((k, best[key]))
     frame = spark.createDataFrame(rows, "k long, key string, v long").repartition(5)
     assert sorted((r["k"], r["m"]) for r in windows.running_max(frame, "key", "v", ["k"], "m", 7).collect()) == want
+
+
+@pytest.mark.parametrize(("n", "draws"), [(0, 8), (1, 8), (2, 8), (3, 1), (100, 16), (30_000, 4096)])
+def test_a_few_places_of_a_permutation(spark, monkeypatch, n, draws):
+    """They are those of the chain, and no table is written for them."""
+    monkeypatch.setattr(packing, "materialize", None)
+    want = Rng(42).fork(1).permutation(n)
+    for places in (range(min(n, 64)), range(n // 2, min(n, n // 2 + 9)), range(max(0, n - 5), n)):
+        assert packing.sequences_at(spark, n, 42, 1, places, draws) == [(p, want[p]) for p in places]
+    whole = sorted(map(tuple, packing.epoch_batches(spark, n, 8, 42, 1, 2, 5).collect()))
+    assert whole == [(1, p // 8, p % 8, want[p]) for p in range(16, min(40, n - n % 8))]
