@@ -17,6 +17,8 @@ from . import spdx
 
 #: The fields of a manifest's sources, in their order.
 FIELDS = ("id", "url", "revision", "license", "fetched", "category")
+#: Merges that are made one after the other over whole texts; of more, each distinct piece is encoded by itself.
+FEW_MERGES = 1_000
 
 
 def scrub_text(texts: pa.Array) -> pa.Array:
@@ -105,21 +107,48 @@ def register_vocabulary(spark: SparkSession, kept: Vocabulary) -> None:
 
     @arrow_udf("array<int>")
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        rank, _, pattern = shared.value
-        find, known, out = regex.compile(pattern).findall, {}, []
-        for text in texts.to_pylist():
+        rank, piece, pattern = shared.value
+        find, known = regex.compile(pattern).findall, {}
+        # what ends in byte 255 is in no text, so that byte may stand between pieces
+        steps = [(chr(a) + chr(b), chr(256 + r)) for (a, b), r in rank.items() if b"\xff" not in piece[256 + r]]
+
+        def by_steps(parts: list[str]) -> np.ndarray:
+            """Merges one after the other over the whole text: one can only make room for later ones."""
+            if len(max(parts, key=len, default="")) * 4 > bpe.MAX_PIECE:
+                parts = [x.decode() for p in parts for x in bpe.short_parts(p.encode())]
+            made = "\udcff".join(parts).encode("utf-8", "surrogateescape").decode("latin-1")
+            for pair, new in steps:
+                made = made.replace(pair, new)
+            return np.frombuffer(made.replace("\xff", "").encode("utf-32-le"), "<i4")
+
+        def by_pieces(parts: list[str]) -> np.ndarray:
             ids = []
-            for piece in find(text or ""):
-                if piece not in known:
-                    known[piece] = [i for part in bpe.short_parts(piece.encode()) for i in bpe.encode_piece(part, rank)]
-                ids += known[piece]
-            out.append(None if text is None else ids)
-        return pa.array(out, pa.list_(pa.int32()))
+            for part in parts:
+                if part not in known:
+                    known[part] = [i for x in bpe.short_parts(part.encode()) for i in bpe.encode_piece(x, rank)]
+                ids += known[part]
+            return np.array(ids, np.int32)
+
+        encoded = by_steps if len(rank) <= FEW_MERGES else by_pieces
+        out = [np.zeros(0, np.int32) if text is None else encoded(find(text)) for text in texts.to_pylist()]
+        cuts = np.concatenate([[0], np.cumsum([len(o) for o in out])])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32()), mask=texts.is_null())
 
     @arrow_udf("binary")
     def bpe_decode(lists: pa.Array) -> pa.Array:
         piece = shared.value[1]
-        return pa.array([None if ids is None or any(i not in piece for i in ids) else b"".join([piece[i] for i in ids]) for ids in lists.to_pylist()], pa.binary())
+        whole, sizes = np.frombuffer(b"".join(piece[i] for i in range(len(piece))), np.uint8), np.array([len(piece[i]) for i in range(len(piece))], np.int64)
+        starts, values, cuts = np.cumsum(sizes) - sizes, lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        out: list[bytes | None] = []
+        for null, a, b in zip(lists.is_null().to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids = values[a:b]
+            if null or len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(piece):
+                out.append(None)
+                continue
+            n = sizes[ids]
+            at = np.repeat(starts[ids] - (np.cumsum(n) - n), n)
+            out.append(whole[at + np.arange(len(at))].tobytes())
+        return pa.array(out, pa.binary())
 
     spark.udf.register("bpe_encode", bpe_encode)
     spark.udf.register("bpe_decode", bpe_decode)

@@ -71,3 +71,24 @@ def test_products_of_tables_with_many_more_rows(spark):
     assert len(got) == 300 and all(np.allclose(got[i], a[i] @ b[:6]) for i in range(300))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "<= 5)" in plan
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_encoding_by_steps_and_by_pieces(spark, monkeypatch, few):
+    """Whole texts at once give what their pieces give one by one, and encoding does not go through each piece."""
+    monkeypatch.setattr(registered, "FEW_MERGES", few)
+    merges = ((97, 97), (256, 97), (195, 169), (258, 258), (257, 256), (32, 97), (101, 255))
+    kept = Vocabulary(bpe.SPLITTERS["cl100k_like"], merges, ("<|end|>",))
+    texts = ["aaaaaaa aaaa éééé é", "a" * 999, "é" * 301, "\U0001f468 aÿa\0\r\n  aa", "", None, "e ee \U0010ffff"]
+    want = []
+    for t in texts:
+        found = [] if t is None else [x for p in __import__("regex").findall(kept.splitter.pattern, t) for x in bpe.short_parts(p.encode())]
+        want.append(None if t is None else [i for x in found for i in bpe.encode_piece(x, {m: r for r, m in enumerate(merges)})])
+    if few:
+        monkeypatch.setattr(bpe, "encode_piece", None)
+    registered.register_vocabulary(spark, kept)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    got = spark.sql("SELECT ids, CAST(bpe_decode(ids) AS STRING) AS back FROM (SELECT k, bpe_encode(text) AS ids FROM {t}) ORDER BY k", t=rows).collect()
+    assert [r["ids"] for r in got] == want and [r["back"] for r in got] == texts
+    odd = spark.createDataFrame([([97, None],), ([-1],), ([264],), (None,), ([],), ([263, 262],)], "ids array<int>").coalesce(1)
+    assert [r[0] for r in spark.sql("SELECT bpe_decode(ids) FROM {t}", t=odd).collect()] == [None, None, None, None, b"", b"<|end|>e\xff"]
